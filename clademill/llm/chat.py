@@ -40,13 +40,13 @@ def _unescape_role(role: Column) -> Column:
     return unescape(F.replace(role, F.lit("\u0000"), F.lit("\\\\")))
 
 
-def root_paths(messages: DataFrame, max_rounds: int | None = None) -> DataFrame:
+def root_paths(messages: DataFrame, max_rounds: int = 40) -> DataFrame:
     """Every root-to-leaf path of reply trees, one row per message of a path.
 
     ``messages``: ``(conv_id, msg_id, parent_id, score)`` and more columns. A row
     whose parent is null or absent in its tree is a root. Ancestor tables double
-    in reach with each self-join, so depth ``d`` takes ``log2(d)`` joins; cycles
-    reach no root and give no path. Returns ``(conv_id, leaf_id, msg_id, up)``
+    in reach with each self-join, so depth ``d`` takes ``log2(d)`` rounds, each of
+    which goes to the shared folder; replies in a cycle are an error. Returns ``(conv_id, leaf_id, msg_id, up)``
     with ``up`` 0 at the leaf.
     """
     keys = messages.select("conv_id", "msg_id", "parent_id").dropDuplicates(["conv_id", "msg_id"])
@@ -54,24 +54,24 @@ def root_paths(messages: DataFrame, max_rounds: int | None = None) -> DataFrame:
     up = keys.join(known.withColumn("known", F.lit(True)), ["conv_id", "parent_id"], "left")
     up = up.select("conv_id", "msg_id", F.when(F.col("known"), F.col("parent_id")).alias("parent_id"))
     pairs = up.select("conv_id", F.col("msg_id").alias("low"), F.col("msg_id").alias("high"), F.lit(0).alias("up"))
-    jump = up.where("parent_id IS NOT NULL").select("conv_id", F.col("msg_id").alias("from"), F.col("parent_id").alias("to"))
+    jump = save(up.where("parent_id IS NOT NULL").select("conv_id", F.col("msg_id").alias("from"), F.col("parent_id").alias("to")), "replies")
+    parents = jump.df.select("conv_id", F.col("to").alias("low"))
     reach, rounds = 1, 0
-    while (max_rounds is None and not jump.isEmpty()) or (max_rounds is not None and rounds < max_rounds):
-        # pairs hold ancestors at distance < reach; jump leads exactly `reach` up
-        far = pairs.join(jump, (pairs.conv_id == jump.conv_id) & (pairs.high == jump["from"])).select(
-            pairs.conv_id, "low", F.col("to").alias("high"), (F.col("up") + reach).alias("up"))
-        pairs = pairs.unionByName(far)
-        j2 = jump.select(F.col("conv_id").alias("c2"), F.col("from").alias("f2"), F.col("to").alias("t2"))
-        jump = jump.join(j2, (F.col("conv_id") == F.col("c2")) & (F.col("to") == F.col("f2"))).select("conv_id", "from", F.col("t2").alias("to"))
+    while not jump.df.isEmpty():
+        # pairs hold ancestors nearer than reach; jump leads exactly `reach` up
+        far = pairs.join(jump.df.withColumnRenamed("from", "high"), ["conv_id", "high"]).select(
+            "conv_id", "low", F.col("to").alias("high"), (F.col("up") + reach).alias("up"))
+        pairs = save(pairs.unionByName(far), "ancestors").df
+        onward = jump.df.select("conv_id", F.col("from").alias("to"), F.col("to").alias("next"))
+        jump = save(jump.df.join(onward, ["conv_id", "to"]).select("conv_id", "from", F.col("next").alias("to")), "replies")
         reach, rounds = reach * 2, rounds + 1
-        if rounds > 40:
-            raise ValueError("the replies form a cycle")
-    leaves = up.select("conv_id", F.col("msg_id").alias("low")).join(
-        up.where("parent_id IS NOT NULL").select("conv_id", F.col("parent_id").alias("low")).distinct(), ["conv_id", "low"], "left_anti")
+        if rounds > max_rounds:
+            raise ValueError("the replies form a cycle, or are deeper than max_rounds allows")
+    leaves = up.select("conv_id", F.col("msg_id").alias("low")).join(parents.distinct(), ["conv_id", "low"], "left_anti")
     return pairs.join(leaves, ["conv_id", "low"], "left_semi").select("conv_id", F.col("low").alias("leaf_id"), F.col("high").alias("msg_id"), "up")
 
 
-def best_branches(messages: DataFrame, top: int = 1, max_rounds: int | None = None) -> DataFrame:
+def best_branches(messages: DataFrame, top: int = 1, max_rounds: int = 40) -> DataFrame:
     """The ``top`` branches of each tree by summed score, longer and then smaller leaf on ties.
 
     One row per message: ``conv_id, branch, leaf_id, turn`` (0 at the root) and

@@ -19,6 +19,18 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets_query(_table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clademill.llm.toxicity import toxicity_query
+
+    return toxicity_query(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clademill.llm.packing import packing_query
+
+    return packing_query(_table(spark, sf_dir, "documents"))
+
+
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     from clademill.llm.chat import chat_query
 
@@ -28,6 +40,8 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op2_secrets": op2_secrets,
+        "op3_toxicity": op3_toxicity,
+        "op4_packing": op4_packing,
         "op10_chat_formatting": op10_chat_formatting,
     }
 
