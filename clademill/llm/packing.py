@@ -120,13 +120,14 @@ def _price(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float,
     return best[capacity], copies
 
 
-def plan_patterns(demand: dict[int, int], capacity: int, gap: float = 1e-3, max_pivots: int = 20_000) -> Plan:
+def plan_patterns(demand: dict[int, int], capacity: int, gap: float = 1e-3, patience: int = 400) -> Plan:
     """Patterns that hold at least ``demand[class]`` pieces of each size class.
 
     Revised simplex over generated columns of the covering program. Prices are
     smoothed towards those of the best Lagrangian bound, which start at each
     class's share of the capacity; pivoting stops once the bound is within
-    ``gap``. Floors leave under one pattern per class, which is filled first-fit
+    ``gap``, or ``patience`` pivots have not lowered the cost (degenerate cycles
+    of small inputs). Floors leave under one pattern per class, which is filled first-fit
     decreasing. Stopping early only costs fill, never validity.
     """
     sizes = np.array(sorted(c for c, n in demand.items() if n > 0), dtype=np.int64)
@@ -139,7 +140,13 @@ def plan_patterns(demand: dict[int, int], capacity: int, gap: float = 1e-3, max_
     inverse = np.diag(1 / np.diag(columns))
     x = inverse @ b
     near, bound = sizes / capacity, 0.0
-    for pivot in range(max_pivots):
+    pivot, least, since = -1, np.inf, 0
+    while since < patience:
+        pivot += 1
+        if (now := float(cost @ x)) < least * (1 - 1e-9):
+            least, since = now, 0
+        else:
+            since += 1
         y = cost @ inverse
         if y.min() < -1e-9:
             column, price = np.zeros(m), 0.0
@@ -164,7 +171,7 @@ def plan_patterns(demand: dict[int, int], capacity: int, gap: float = 1e-3, max_
         if not np.isfinite(ratio[out]):
             break
         columns[:, out], cost[out] = column, price
-        if pivot % 50 == 49:
+        if pivot % 200 == 199:
             inverse = np.linalg.inv(columns)
         else:
             row = inverse[out] / d[out]
