@@ -44,7 +44,7 @@ def root_paths(messages: DataFrame, max_rounds: int = 40) -> DataFrame:
     """Every root-to-leaf path of reply trees, one row per message of a path.
 
     ``messages``: ``(conv_id, msg_id, parent_id, score)`` and more columns. A row
-    whose parent is null or absent in its tree is a root. Ancestor tables double
+    whose parent is null or absent in its tree is a root. The leaves' ancestors double
     in reach with each self-join, so depth ``d`` takes ``log2(d)`` rounds, each of
     which goes to the shared folder; replies in a cycle are an error. Returns ``(conv_id, leaf_id, msg_id, up)``
     with ``up`` 0 at the leaf.
@@ -53,12 +53,13 @@ def root_paths(messages: DataFrame, max_rounds: int = 40) -> DataFrame:
     known = keys.select("conv_id", F.col("msg_id").alias("parent_id"))
     up = keys.join(known.withColumn("known", F.lit(True)), ["conv_id", "parent_id"], "left")
     up = up.select("conv_id", "msg_id", F.when(F.col("known"), F.col("parent_id")).alias("parent_id"))
-    pairs = up.select("conv_id", F.col("msg_id").alias("low"), F.col("msg_id").alias("high"), F.lit(0).alias("up"))
     jump = save(up.where("parent_id IS NOT NULL").select("conv_id", F.col("msg_id").alias("from"), F.col("parent_id").alias("to")), "replies")
-    parents = jump.df.select("conv_id", F.col("to").alias("low"))
+    parents = jump.df.select("conv_id", F.col("to").alias("low")).distinct()
+    leaves = up.select("conv_id", F.col("msg_id").alias("low")).join(parents, ["conv_id", "low"], "left_anti")
+    pairs = leaves.select("conv_id", "low", F.col("low").alias("high"), F.lit(0).alias("up"))
     reach, rounds = 1, 0
     while not jump.df.isEmpty():
-        # pairs hold ancestors nearer than reach; jump leads exactly `reach` up
+        # pairs hold the leaves' ancestors nearer than reach; jump leads exactly `reach` up
         far = pairs.join(jump.df.withColumnRenamed("from", "high"), ["conv_id", "high"]).select(
             "conv_id", "low", F.col("to").alias("high"), (F.col("up") + reach).alias("up"))
         pairs = save(pairs.unionByName(far), "ancestors").df
@@ -67,8 +68,7 @@ def root_paths(messages: DataFrame, max_rounds: int = 40) -> DataFrame:
         reach, rounds = reach * 2, rounds + 1
         if rounds > max_rounds:
             raise ValueError("the replies form a cycle, or are deeper than max_rounds allows")
-    leaves = up.select("conv_id", F.col("msg_id").alias("low")).join(parents.distinct(), ["conv_id", "low"], "left_anti")
-    return pairs.join(leaves, ["conv_id", "low"], "left_semi").select("conv_id", F.col("low").alias("leaf_id"), F.col("high").alias("msg_id"), "up")
+    return pairs.select("conv_id", F.col("low").alias("leaf_id"), F.col("high").alias("msg_id"), "up")
 
 
 def best_branches(messages: DataFrame, top: int = 1, max_rounds: int = 40) -> DataFrame:
