@@ -169,7 +169,7 @@ def fit(texts: list[str], labels: list[int], *, features: int = 3000, least: int
         gw = np.bincount(cols, g[rows], minlength=len(names)) + l2 * w / len(names) ** 0.5
         if pairs:
             change = np.bincount(r2, w[c2], minlength=len(pairs)) - np.bincount(r3, w[c3], minlength=len(pairs))
-            change *= 2 * counterfactual / len(pairs)
+            change = change * 2.0 * counterfactual / len(pairs)
             gw += np.bincount(c2, change[r2], minlength=len(names)) - np.bincount(c3, change[r3], minlength=len(names))
         grad = np.append(gw, g.sum())
         m1, m2 = 0.9 * m1 + 0.1 * grad, 0.999 * m2 + 0.001 * grad**2
