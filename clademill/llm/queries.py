@@ -13,6 +13,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clademill.llm.near_dup import near_dup_query
+
+    return near_dup_query(_table(spark, sf_dir, "documents"))
+
+
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from clademill.llm.secrets import secrets_query
 
@@ -31,6 +37,12 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing_query(_table(spark, sf_dir, "documents"))
 
 
+def op5_embed_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clademill.llm.embed_dup import embed_dup_query
+
+    return embed_dup_query(_table(spark, sf_dir, "embeddings"))
+
+
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     from clademill.llm.chat import chat_query
 
@@ -39,9 +51,11 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_near_dup": op1_near_dup,
         "op2_secrets": op2_secrets,
         "op3_toxicity": op3_toxicity,
         "op4_packing": op4_packing,
+        "op5_embed_dup": op5_embed_dup,
         "op10_chat_formatting": op10_chat_formatting,
     }
 
