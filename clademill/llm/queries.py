@@ -43,6 +43,12 @@ def op5_embed_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dup_query(_table(spark, sf_dir, "embeddings"))
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clademill.llm.lm_score import lm_query
+
+    return lm_query(_table(spark, sf_dir, "documents"))
+
+
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     from clademill.llm.chat import chat_query
 
@@ -56,6 +62,7 @@ def queries() -> dict[str, Query]:
         "op3_toxicity": op3_toxicity,
         "op4_packing": op4_packing,
         "op5_embed_dup": op5_embed_dup,
+        "op9_lm_score": op9_lm_score,
         "op10_chat_formatting": op10_chat_formatting,
     }
 
