@@ -16,15 +16,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from clademill.llm.common import SharedTable, WordHashes, mix, rolling, save, words_of
+from clademill.llm.common import WordHashes, mix, rolling, save, words_of
 from clademill.llm.components import components
 
 #: Retained values of a set.
 SKETCH = 48
 #: Least common values of two full sketches, of SKETCH: half, where 0.8 is expected to give 38.4 with a deviation of 2.8.
 OVERLAP = 24
-#: Lists up to this length give all their pairs at once; longer ones are compared to pivots in rounds.
+#: Lists up to this length give all their pairs at once; longer ones are compared to a pivot, and then tile by tile.
 SHORT_LIST = 8
+#: Sets of one side of a tile, and shingles that are multiplied at once.
+TILE, COLUMNS = 512, 4096
 
 
 def shingle_set(text: str | None, hashes: WordHashes, width: int) -> np.ndarray:
@@ -100,7 +102,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _lists(reps: DataFrame, percent: int) -> DataFrame:
-    """Inverted lists ``(value, doc_id, n)`` over the rarest retained values of each set.
+    """Inverted lists ``(value, doc_id, n, central)`` over the rarest retained values of each set.
+
+    ``central`` is the mean number of sets that retain a value of the set.
 
     Two sketches of sizes s with ``o`` common values share one of the first
     ``s - o + 1`` in any common order; here rarer values come first, so values of
@@ -110,13 +114,13 @@ def _lists(reps: DataFrame, percent: int) -> DataFrame:
     shared = values.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     rows = values.join(shared, "value")
     own = W.partitionBy("doc_id")
-    rows = rows.withColumn("place", F.row_number().over(own.orderBy("df", "value"))).withColumn("n_shared", F.count(F.lit(1)).over(own))
+    rows = rows.withColumn("place", F.row_number().over(own.orderBy("df", "value"))).withColumns({"n_shared": F.count(F.lit(1)).over(own), "sum_df": F.sum("df").over(own)})
     sizes = reps.select("doc_id", "n", F.size("values").alias("m"))
-    rows = rows.join(sizes, "doc_id")
+    rows = rows.join(sizes, "doc_id").withColumn("central", (F.col("sum_df") - F.col("n_shared")) / F.col("m") + 1)
     # a set that fits its sketch, and its partners too, needs ceil(percent% of n) common values
     exact = F.col("n") * 100 <= F.lit(SKETCH * percent)
     needed = F.when(exact, F.ceil(F.col("n") * percent / 100)).otherwise(F.lit(OVERLAP))
-    return rows.where(F.col("place") + F.col("m") - F.col("n_shared") <= F.col("m") - needed + 1).select("value", "doc_id", "n")
+    return rows.where(F.col("place") + F.col("m") - F.col("n_shared") <= F.col("m") - needed + 1).select("value", "doc_id", "n", "central")
 
 
 def _oriented(pairs: DataFrame, percent: int) -> DataFrame:
@@ -133,65 +137,118 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     without words (null and empty texts too) are linked with nothing. A null
     ``doc_id`` has a null component and is kept; repeated ids are one document.
 
-    Long inverted lists are never expanded into all pairs at first: their members
-    are compared to a pivot, and then, in rounds with eight times as many pivots,
-    only those members that no link has joined to the list's first pivot. Each
-    such member becomes a pivot against all members outside its component, so no
-    pair of a list is left out that could join two components.
+    Long inverted lists are never expanded into pairs. Each is first compared to a
+    pivot, its most central member, which lists of one group of copies have in
+    common. What no link has joined to the pivot is compared with all members of
+    the pivot's lists in tiles, on full sets inside a task, which gives out one
+    row per linked set: no pair of a list is left out that could join two
+    components, and no hot list is gathered in one task.
     """
     sketched = save(_sets(docs, width, full=False), "sketches").df
     firsts = sketched.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"))
     member = save(sketched.select("doc_id", "n", "digest").join(firsts, "digest", "left").select("doc_id", "n", "rep"), "members").df
     reps = save(sketched.join(firsts, [sketched.digest == firsts.digest, sketched.doc_id == firsts.rep], "left_semi").select("doc_id", "n", "values").dropDuplicates(["doc_id"]), "sketch-reps").df
     lists = save(_lists(reps, percent), "lists").df
-    stats = save(lists.groupBy("value").agg(F.count(F.lit(1)).alias("size"), F.min("doc_id").alias("pivot")).where("size > 1"), "list-sizes").df
+    pivot = F.max_by("doc_id", F.struct("central", -F.col("doc_id"))).alias("pivot")
+    stats = save(lists.groupBy("value").agg(F.count(F.lit(1)).alias("size"), pivot).where("size > 1"), "list-sizes").df
     short = lists.join(stats.where(F.col("size") <= SHORT_LIST), "value")
-    long = save(lists.join(stats.where(F.col("size") > SHORT_LIST), "value").select("value", "doc_id", "n", "pivot"), "long-lists").df
-    sizes = long.where("doc_id = pivot").select("value", F.col("doc_id").alias("x"), F.col("n").alias("nx"))
+    long = lists.join(stats.where(F.col("size") > SHORT_LIST), "value").select("pivot", "doc_id", "n").distinct()
+    long = save(long, "long-lists").df
     other = F.col("doc_id").alias("y"), F.col("n").alias("ny")
     pairs = short.select("value", F.col("doc_id").alias("x"), F.col("n").alias("nx")).join(short.select("value", *other), "value").where("x < y")
-    pairs = pairs.unionByName(long.select("value", *other).join(sizes, "value"))
+    sizes = reps.select(F.col("doc_id").alias("x"), F.col("n").alias("nx"))
+    to_pivot = long.select(F.col("pivot").alias("x"), *other).join(sizes, "x")
+    pairs = pairs.select("x", "nx", "y", "ny").unionByName(to_pivot.select("x", "nx", "y", "ny"))
     candidates = save(_estimated(_oriented(pairs, percent), reps), "candidates")
     # full sets of all documents that any list may still pair
     wanted = candidates.df.select(F.col("a").alias("doc_id")).union(candidates.df.select("b")).union(long.select("doc_id")).distinct()
     texts = docs.select("doc_id", "text").where("doc_id IS NOT NULL").join(wanted, "doc_id", "left_semi")
     sets = save(_sets(texts, width, full=True).dropDuplicates(["doc_id"]).select("doc_id", "values"), "sets").df
     links = save(_verified(candidates.df, sets, percent), "links").df
-    found = _all_linked(links, long, reps, sets, percent)
+    found = components(links)
+    more = save(_tiled(long, found.df, sets, percent), "tile-links")
+    if not more.df.isEmpty():
+        found = components(links.unionByName(more.df.toDF("a", "b")))
     answer = member.join(found.df.select(F.col("node").alias("rep"), "component"), "rep", "left")
     whole = F.coalesce("component", "rep", "doc_id")
     return answer.select("doc_id", F.col("n").alias("n_shingles"), whole.alias("component_id"), F.coalesce(F.col("doc_id") == whole, F.lit(True)).alias("kept"))
 
 
-def _all_linked(links: DataFrame, long: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> SharedTable:
-    """Components of ``links`` after long lists have been compared out."""
-    found, pivots, served = components(links), 8, None
-    if long.isEmpty():
-        return found
-    while True:
-        comp = found.df.select(F.col("node").alias("doc_id"), "component")
-        rows = long.join(comp, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        base = rows.where("doc_id = pivot").select("value", F.col("component").alias("base"))
-        rows = save(rows.join(base, "value"), "labelled-lists")
-        open_ = rows.df.where("component != base")
-        if served is not None:
-            open_ = open_.join(served, ["value", "doc_id"], "left_anti")
-        ranked = open_.withColumn("r", F.row_number().over(W.partitionBy("value").orderBy("doc_id"))).where(F.col("r") <= pivots)
-        chosen = save(ranked.select("value", "doc_id", "n", "component"), "pivots")
-        if chosen.df.isEmpty():
-            return found
-        now = chosen.df.select("value", "doc_id")
-        served = now if served is None else served.unionByName(now)
-        x = chosen.df.select("value", F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"))
-        y = rows.df.select("value", F.col("doc_id").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"))
-        pairs = _oriented(x.join(y, "value").where("cx != cy"), percent)
-        more = save(_verified(_estimated(pairs, reps), sets, percent), "links")
-        rows.drop()
-        if not more.df.isEmpty():
-            links = links.unionByName(more.df)
-            found.drop()
-            found = components(links)
-        pivots *= 8
+def _tile_links(ids: np.ndarray, sets: list[np.ndarray], component: np.ndarray, low: np.ndarray, high: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and the smallest ids that links between the rows ``low`` and ``high`` lead them to.
+
+    Intersections are products of 0/1 rows over the shingles that occur twice.
+    """
+    sizes = np.array([len(x) for x in sets])
+    _, code, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    some = times[code] > 1
+    column, row = (np.cumsum(times > 1) - 1)[code[some]], np.repeat(np.arange(len(sets)), sizes)[some]
+    order = np.argsort(column, kind="stable")
+    column, row = column[order], row[order]
+    common = np.zeros((len(low), len(high)), np.float32)
+    for start in range(0, int((times > 1).sum()), COLUMNS):
+        s, e = np.searchsorted(column, [start, start + COLUMNS])
+        ones = np.zeros((len(sets), COLUMNS), np.float32)
+        ones[row[s:e], column[s:e] - start] = 1
+        common += ones[low] @ ones[high].T
+    total = sizes[low][:, None] + sizes[high][None, :]
+    x, y = np.nonzero((100 * common >= percent * (total - common)) & (component[low][:, None] != component[high][None, :]))
+    i, j = low[x], high[y]
+    label = ids.copy()
+    while len(i):
+        lower = label.copy()
+        np.minimum.at(lower, i, label[j])
+        np.minimum.at(lower, j, label[i])
+        if (lower == label).all():
+            break
+        label = lower
+    moved = label != ids
+    return ids[moved], label[moved]
+
+
+def _tiled(long: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``(doc_id, other)`` links between a pivot's members of different components."""
+    comp = found.select(F.col("node").alias("doc_id"), "component")
+    rows = long.select("pivot", "doc_id").join(comp, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    base = rows.where("doc_id = pivot").select("pivot", F.col("component").alias("base"))
+    rows = rows.join(base, "pivot").withColumn("open", F.col("component") != F.col("base"))
+    counts = rows.groupBy("pivot").agg(F.count_if("open").alias("n_open"), F.count_if(~F.col("open")).alias("n_shut")).where("n_open > 0")
+    rows = rows.join(counts, "pivot")
+    n_open, n_shut = (F.ceil(F.col(c) / TILE).cast("int") for c in ("n_open", "n_shut"))
+    own = F.xxhash64("doc_id")
+    tile = F.when(F.col("open"), F.pmod(own, n_open)).otherwise(n_open + F.pmod(own, n_shut)).cast("int")
+    to = F.sequence(F.lit(0), F.when(F.col("open"), n_open + n_shut).otherwise(n_open) - 1)
+    rows = rows.select("pivot", "doc_id", "component", tile.alias("tile"), F.explode(to).alias("with"))
+    keys = ["pivot", "row_tile", "col_tile"]
+    rows = rows.select("pivot", F.least("tile", "with").alias("row_tile"), F.greatest("tile", "with").alias("col_tile"), "tile", "doc_id", "component")
+    rows = rows.join(sets, "doc_id").repartition(*keys).sortWithinPartitions(*keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def links(part: pa.Table) -> Iterator[pa.RecordBatch]:
+            tile = part.column("tile").to_numpy()
+            low, high = (np.nonzero(tile == part.column(c)[0].as_py())[0] for c in ("row_tile", "col_tile"))
+            if len(part) > 1 and len(low) and len(high):
+                values = [v for c in part.column("values").chunks for v in np.split(c.flatten().to_numpy(), np.cumsum(c.value_lengths().to_numpy())[:-1])]
+                ids, other = _tile_links(part.column("doc_id").to_numpy(), values, part.column("component").to_numpy(), low, high, percent)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(other)], names=["doc_id", "other"])
+
+        held: list[pa.Table] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            k = np.array([table.column(c).to_numpy() for c in keys])
+            cuts = [0, *(np.nonzero((k[:, 1:] != k[:, :-1]).any(axis=0))[0] + 1).tolist(), len(table)]
+            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+                part = table.slice(s, e - s)
+                if held and any(held[-1].column(c)[0] != part.column(c)[0] for c in keys):
+                    yield from links(pa.concat_tables(held))
+                    held = []
+                held.append(part)
+        if held:
+            yield from links(pa.concat_tables(held))
+
+    return rows.mapInArrow(run, "doc_id bigint, other bigint")
 
 
 def near_dup_query(documents: DataFrame) -> DataFrame:
