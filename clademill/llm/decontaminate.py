@@ -25,7 +25,7 @@ NAME, NUMBER, UNIT = "", "", ""
 MARK = f"[{NAME}{NUMBER}{UNIT}]"
 # Units that follow a number.
 UNITS = "km|cm|mm|m|kg|mg|g|t|lb|lbs|oz|l|ml|cl|s|ms|sec|secs|seconds?|min|mins|minutes?|h|hrs?|hours?|days?|weeks?|months?|years?|kilometers?|kilometres?|meters?|metres?|miles?|feet|foot|ft|inch|inches|yards?|grams?|kilograms?|liters?|litres?|dollars?|euros?|cents?|usd|eur|gbp|percent|degrees?|mph|kmh|kwh|kw|w|v|hz|khz|mhz|ghz|kb|mb|gb|tb"
-NUMBERS = r"(?<![^\s(\[$€£])[+-]?\d[\d.,:/]*(?![^\s).,;:!?%\]])"
+PUNCTUATION = r"[!-/:-@\[-`{-~\u00a1-\u00a9\u00ab-\u00b1\u00b4\u00b6-\u00b8\u00bb\u00bf\u00d7\u00f7\u2010-\u205e\u20a0-\u20bf\u3001-\u303f]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -34,11 +34,12 @@ def marked(text: Column) -> Column:
 
     A name is a capitalised word that follows a word or comma in its sentence.
     """
-    text = F.regexp_replace(F.coalesce(text, F.lit("")), MARK, "")
-    text = F.regexp_replace(text, r"(?<=[\p{L}\p{N},;] )\p{Lu}", f"{NAME}$0")
-    text = F.regexp_replace(text, NUMBERS, f"{NUMBER}$0")
-    text = F.regexp_replace(text, rf"(?i)(?<=\d )(?:{UNITS})(?![\p{{L}}\p{{N}}])", f"{UNIT}$0")
-    return F.regexp_replace(text, rf"[^\p{{L}}\p{{N}}\s{NAME}{NUMBER}{UNIT}]+", "")
+    text = F.translate(F.coalesce(text, F.lit("")), NAME + NUMBER + UNIT, "")
+    # each pattern begins with a rare character and looks back from there
+    text = F.regexp_replace(text, r"\p{Lu}(?<=[\p{L}\p{N},;] \p{Lu})", f"{NAME}$0")
+    text = F.regexp_replace(text, r"\d(?<![^\s(\[$€£+-]\d)[\d.,:/]*(?![\p{L}\p{N}])", f"{NUMBER}$0")
+    text = F.regexp_replace(text, rf"(?i)(\d )({UNITS})(?![\p{{L}}\p{{N}}])", f"$1{UNIT}$2")
+    return F.regexp_replace(text, PUNCTUATION, "")
 
 
 def tokens(text: Column) -> Column:
@@ -52,10 +53,16 @@ def template(text: Column) -> Column:
 
 
 def _windows(words: Column, width: int) -> Column:
-    """One hash per run of ``width`` words; none for fewer."""
-    n = F.size(words)
-    at = F.sequence(F.lit(1), n - width + 1)
-    return F.when(n >= width, F.transform(at, lambda i: F.xxhash64(F.slice(words, i, width)))).otherwise(F.array().cast("array<bigint>"))
+    """One hash per run of ``width`` words; none for fewer.
+
+    The words are bound to a lambda variable, so that they are made once a row.
+    """
+
+    def of(w: Column) -> Column:
+        at = F.sequence(F.lit(1), F.size(w) - width + 1)
+        return F.when(F.size(w) >= width, F.transform(at, lambda i: F.xxhash64(F.slice(w, i, width)))).otherwise(F.array().cast("array<bigint>"))
+
+    return F.element_at(F.transform(F.array(words), of), 1)
 
 
 def _items(benchmark: DataFrame) -> DataFrame:

@@ -43,6 +43,12 @@ def op5_embed_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dup_query(_table(spark, sf_dir, "embeddings"))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clademill.llm.decontaminate import decontaminate_query
+
+    return decontaminate_query(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     from clademill.llm.html_extract import html_query
 
@@ -68,6 +74,7 @@ def queries() -> dict[str, Query]:
         "op3_toxicity": op3_toxicity,
         "op4_packing": op4_packing,
         "op5_embed_dup": op5_embed_dup,
+        "op7_decontaminate": op7_decontaminate,
         "op8_html_extract": op8_html_extract,
         "op9_lm_score": op9_lm_score,
         "op10_chat_formatting": op10_chat_formatting,
