@@ -43,6 +43,12 @@ def op5_embed_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dup_query(_table(spark, sf_dir, "embeddings"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clademill.llm.line_dedup import line_dedup_query
+
+    return line_dedup_query(_table(spark, sf_dir, "documents"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from clademill.llm.decontaminate import decontaminate_query
 
@@ -74,6 +80,7 @@ def queries() -> dict[str, Query]:
         "op3_toxicity": op3_toxicity,
         "op4_packing": op4_packing,
         "op5_embed_dup": op5_embed_dup,
+        "op6_line_dedup": op6_line_dedup,
         "op7_decontaminate": op7_decontaminate,
         "op8_html_extract": op8_html_extract,
         "op9_lm_score": op9_lm_score,

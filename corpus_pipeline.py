@@ -1,16 +1,76 @@
-"""The corpus pipeline: filtering, de-duplication, decontamination and packing."""
+"""The corpus pipeline: toxicity, line dedup, near-duplicates, decontamination, packing."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from clademill.llm.common import shared_dir
+from clademill.llm.decontaminate import drop_contaminated
+from clademill.llm.line_dedup import dedup_lines
+from clademill.llm.near_dup import drop_near_duplicates
+from clademill.llm.packing import default_tokenizer, pack
+from clademill.llm.toxicity import fit_from_tables, keep_clean
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-STAGES: list[tuple[str, Stage]] = []
+#: A document that line dedup would empty to this share is left to the near-duplicate stage.
+WHOLE_COPY_SHARE = 0.8
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go; it learns from the labelled ones of ``docs``."""
+    return keep_clean(docs, fit_from_tables(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that repeat across documents go, but for their first occurrence.
+
+    ``n_chars`` follows the cut text. Documents that are nearly wholly made of
+    repeated passages are copies, and are left to the next stage whole.
+    """
+    from pyspark.sql import functions as F
+
+    cut = dedup_lines(docs, whole_share=WHOLE_COPY_SHARE)
+    if "n_chars" in docs.columns:
+        cut = cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return cut.select(*docs.columns)
+
+
+def near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group stays, that of the smallest id."""
+    return drop_near_duplicates(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of the benchmark go."""
+    return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left, packed into sequences."""
+    return pack(docs, default_tokenizer())
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", toxicity),
+    ("line_dedup", line_dedup),
+    ("near_dup", near_dup),
+    ("decontaminate", decontaminate),
+    ("packing", packing),
+]
+
+#: SQL expresses neither the classifier nor the tokenizer.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over ``documents``; each result is written to the shared folder and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for number, (name, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{base}/{number}-{name}")
+        docs = spark.read.parquet(f"{base}/{number}-{name}")
+    return docs
