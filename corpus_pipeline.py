@@ -16,8 +16,8 @@ from clademill.llm.toxicity import fit_from_tables, keep_clean
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-#: A document that line dedup would empty to this share is left to the near-duplicate stage.
-WHOLE_COPY_SHARE = 0.8
+#: A document of which line dedup would remove this share is a copy, left to the near-duplicate stage.
+WHOLE_COPY_SHARE = 0.5
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,8 +28,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that repeat across documents go, but for their first occurrence.
 
-    ``n_chars`` follows the cut text. Documents that are nearly wholly made of
-    repeated passages are copies, and are left to the next stage whole.
+    ``n_chars`` follows the cut text. Documents mostly made of repeated passages are
+    copies with few edits, and are left whole to the next stage.
     """
     from pyspark.sql import functions as F
 
