@@ -120,6 +120,25 @@ def _price(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float,
     return best[capacity], copies
 
 
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A vector-matrix or matrix-vector product without a threaded library, which small sizes only slow down."""
+    return np.einsum("i,ij->j", a, b) if a.ndim == 1 else np.einsum("ij,j->i", a, b)
+
+
+def _inverse(matrix: np.ndarray) -> np.ndarray:
+    """Gauss-Jordan inverse with partial pivoting."""
+    n = len(matrix)
+    work = np.hstack([matrix.astype(float), np.eye(n)])
+    for i in range(n):
+        k = i + int(np.argmax(np.abs(work[i:, i])))
+        work[[i, k]] = work[[k, i]]
+        work[i] /= work[i, i]
+        factor = work[:, i].copy()
+        factor[i] = 0.0
+        work -= factor[:, None] * work[i]
+    return work[:, n:]
+
+
 def plan_patterns(demand: dict[int, int], capacity: int, gap: float = 1e-3, patience: int = 400) -> Plan:
     """Patterns that hold at least ``demand[class]`` pieces of each size class.
 
@@ -138,7 +157,7 @@ def plan_patterns(demand: dict[int, int], capacity: int, gap: float = 1e-3, pati
     columns = np.diag((capacity // sizes).astype(float))  # one column per basic pattern
     cost = np.ones(m)  # 0 for a surplus column
     inverse = np.diag(1 / np.diag(columns))
-    x = inverse @ b
+    x = _times(inverse, b)
     near, bound = sizes / capacity, 0.0
     pivot, least, since = -1, np.inf, 0
     while since < patience:
@@ -147,7 +166,7 @@ def plan_patterns(demand: dict[int, int], capacity: int, gap: float = 1e-3, pati
             least, since = now, 0
         else:
             since += 1
-        y = cost @ inverse
+        y = _times(cost, inverse)
         if y.min() < -1e-9:
             column, price = np.zeros(m), 0.0
             column[int(np.argmin(y))] = -1.0
@@ -164,7 +183,7 @@ def plan_patterns(demand: dict[int, int], capacity: int, gap: float = 1e-3, pati
                 break
             if cost @ x <= bound * (1 + gap):
                 break
-        d = inverse @ column
+        d = _times(inverse, column)
         with np.errstate(divide="ignore", invalid="ignore"):
             ratio = np.where(d > 1e-7, x / d, np.inf)
         out = int(np.argmin(ratio))
@@ -172,15 +191,15 @@ def plan_patterns(demand: dict[int, int], capacity: int, gap: float = 1e-3, pati
             break
         columns[:, out], cost[out] = column, price
         if pivot % 200 == 199:
-            inverse = np.linalg.inv(columns)
+            inverse = _inverse(columns)
         else:
             row = inverse[out] / d[out]
             inverse = inverse - d[:, None] * row
             inverse[out] = row
-        x = np.maximum(inverse @ b, 0.0)
+        x = np.maximum(_times(inverse, b), 0.0)
     columns, x = columns[:, cost > 0], x[cost > 0]
     uses = np.floor(x + 1e-7).astype(np.int64)
-    left = np.maximum(b - columns @ uses, 0).astype(np.int64)
+    left = np.maximum(b - _times(columns, uses), 0).astype(np.int64)
     fills = [{int(sizes[i]): int(columns[i, p]) for i in np.nonzero(columns[:, p])[0]} for p in range(len(uses)) if uses[p]]
     counts = [int(u) for u in uses if u]
     bins: list[tuple[int, dict[int, int]]] = []
