@@ -49,6 +49,15 @@ def save(df: DataFrame, label: str) -> SharedTable:
     return SharedTable(spark.read.schema(df.schema).parquet(path), path)
 
 
+#: Ids up to this count are broadcast to a scan (8 bytes each in the table, about 30 in memory); more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def bounded(ids: DataFrame) -> DataFrame:
+    """A table of single ids, to be broadcast where its count allows it. ``ids`` must be cheap to count."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def fold(id_column: str = "doc_id", folds: int = 5) -> Column:
     """crc32 of the id's decimal text, modulo ``folds``."""
     return F.crc32(F.col(id_column).cast("string").cast("binary")) % folds

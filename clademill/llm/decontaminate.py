@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clademill.llm.common import save
+from clademill.llm.common import bounded, save
 
 WINDOW = 8
 #: Items with fewer template tokens than this are too short to be told from chance.
@@ -109,7 +109,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     enough = (F.col("n_windows") + F.col("width") - 1 >= RUN) | (F.col("n_windows") >= F.col("total") * SHARE)
     diagonals = save(diagonals.join(total, "item_id").where(enough), "diagonals").df
     # the values behind the placeholders, for the documents with hits
-    texts = docs.where("doc_id IS NOT NULL").select("doc_id", "text").join(diagonals.select("doc_id").distinct(), "doc_id", "left_semi")
+    texts = docs.where("doc_id IS NOT NULL").select("doc_id", "text").join(bounded(diagonals.select("doc_id").distinct()), "doc_id", "left_semi")
     texts = texts.groupBy("doc_id").agg(F.max("text").alias("text")).select("doc_id", tokens(marked(F.col("text"))).alias("raw"))
     rows = diagonals.join(texts, "doc_id").join(items.select("item_id", F.col("raw").alias("item_raw")), "item_id")
     length = F.col("high") - F.col("low") + F.col("width")
@@ -123,7 +123,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose document holds no benchmark passage; columns as given."""
-    return docs.join(contamination(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    gone = save(contamination(docs, benchmark).select("doc_id").distinct(), "contaminated").df
+    return docs.join(bounded(gone), "doc_id", "left_anti").select(*docs.columns)
 
 
 def decontaminate_query(documents: DataFrame, benchmark: DataFrame) -> DataFrame:

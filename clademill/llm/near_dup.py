@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from clademill.llm.common import WordHashes, mix, rolling, save, words_of
+from clademill.llm.common import WordHashes, bounded, rolling, save, words_of
 from clademill.llm.components import components
 
 #: Retained values of a set.
@@ -162,6 +162,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     candidates = save(_estimated(_oriented(pairs, percent), reps), "candidates")
     # full sets of all documents that any list may still pair
     wanted = candidates.df.select(F.col("a").alias("doc_id")).union(candidates.df.select("b")).union(long.select("doc_id")).distinct()
+    wanted = bounded(save(wanted, "wanted").df)
     texts = docs.select("doc_id", "text").where("doc_id IS NOT NULL").join(wanted, "doc_id", "left_semi")
     sets = save(_sets(texts, width, full=True).dropDuplicates(["doc_id"]).select("doc_id", "values"), "sets").df
     links = save(_verified(candidates.df, sets, percent), "links").df
@@ -258,6 +259,5 @@ def near_dup_query(documents: DataFrame) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that are the first of their group; columns as given."""
-    kept = near_duplicates(docs, width, percent).where("kept").select("doc_id").distinct()
-    known = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").select(*docs.columns)
-    return known.unionByName(docs.where("doc_id IS NULL"))
+    gone = save(near_duplicates(docs, width, percent).where("NOT kept").select("doc_id").distinct(), "copies").df
+    return docs.join(bounded(gone), "doc_id", "left_anti").select(*docs.columns)
