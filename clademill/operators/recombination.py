@@ -1,0 +1,193 @@
+"""Recombination events: gates, bounded merging, roles and feature overlap."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from clademill.functions.sequence import AMBIGUITY_CODES, recode_ambiguity
+from clademill.operators.clusters import connected
+
+
+def _members():
+    return F.array_distinct(F.filter(F.array("recombinant", "parent_a", "parent_b"), lambda x: x.isNotNull() & (x != "")))
+
+
+def sanitise(alignment: DataFrame) -> DataFrame:
+    """Aligned sequences with ambiguity codes as N, and how many sites of each record were recoded."""
+    n = F.length("seq") - F.length(F.translate("seq", AMBIGUITY_CODES, ""))
+    return alignment.withColumns({"seq": recode_ambiguity(F.col("seq")), "recoded": n})
+
+
+def gate(events: DataFrame, pvalue_max: float = 0.05) -> DataFrame:
+    """Events with two members and more whose p-value, held at 1, is not above the bound; NaN passes."""
+    p = F.when(F.isnan("pvalue"), F.col("pvalue")).otherwise(F.least(F.col("pvalue"), F.lit(1.0)))
+    rows = events.withColumns({"members": F.array_sort(_members()), "p": p})
+    return rows.where((F.size("members") >= 2) & (F.isnan("p") | (F.col("p") <= pvalue_max)))
+
+
+def compatible_pairs(gated: DataFrame, min_overlap: float = 0.5, tolerance: int = 100) -> DataFrame:
+    """``(a, b)`` of events ``a < b`` that share two members and agree in place.
+
+    Events meet in an equi-join on member pairs; they agree if the overlap is
+    ``min_overlap`` of the shorter, or both ends lie within ``tolerance``.
+    """
+    pair = F.explode(F.flatten(F.transform("members", lambda x: F.transform(F.filter("members", lambda y: y > x), lambda y: F.struct(x.alias("m"), y.alias("n"))))))
+    rows = gated.select("ord", "start", "end", pair.alias("pair"))
+    a, b = (rows.select("pair", *(F.col(c).alias(c + s) for c in ("ord", "start", "end"))) for s in "ab")
+    both = a.join(b, "pair").where("orda < ordb")
+    overlap = F.least("enda", "endb") - F.greatest("starta", "startb") + 1
+    shorter = F.least(F.col("enda") - F.col("starta"), F.col("endb") - F.col("startb")) + 1
+    near = (F.abs(F.col("starta") - F.col("startb")) <= tolerance) & (F.abs(F.col("enda") - F.col("endb")) <= tolerance)
+    return both.where((overlap / shorter >= min_overlap) | near).select(F.col("orda").alias("a"), F.col("ordb").alias("b")).distinct()
+
+
+def merge_block(events: list[dict], min_overlap: float, tolerance: int, max_members: int, pair_fragments: bool = True) -> list[list[dict]]:
+    """Groups of a block's events, in the order of their creation.
+
+    Fragments are paired first: of one method and recombinant, with one different
+    parent each, the longer at least twice the shorter and hardly overlapping.
+    Events then join, by start and end, the first group that holds an agreeing
+    event with two common members and stays within ``max_members``.
+    """
+    length = lambda e: e["end"] - e["start"] + 1
+
+    def share(a: dict, b: dict) -> float:
+        return (min(a["end"], b["end"]) - max(a["start"], b["start"]) + 1) / max(1, min(length(a), length(b)))
+
+    events = sorted(events, key=lambda e: e["ord"])
+    paired, used = [], set()
+    if pair_fragments:
+        by: dict[str, list[dict]] = {}
+        for e in events:
+            parents = [p for p in (e["parent_a"], e["parent_b"]) if p]
+            if e["method"] == "geneconv" and e["recombinant"] and len(parents) == 1:
+                by.setdefault(e["recombinant"], []).append(e | {"parent": parents[0]})
+        for same in by.values():
+            for i, x in enumerate(same):
+                if x["ord"] in used:
+                    continue
+                for y in same[i + 1 :]:
+                    small, big = sorted((x, y), key=length)
+                    if y["ord"] not in used and x["parent"] != y["parent"] and length(big) >= 2 * length(small) and share(x, y) <= 0.1:
+                        used |= {x["ord"], y["ord"]}
+                        paired.append(small | {"members": sorted({*x["members"], *y["members"]})})
+                        break
+    rows = paired + [e for e in events if e["ord"] not in used]
+    rows.sort(key=lambda e: (e["start"], e["end"]))
+    groups: list[tuple[set, list[dict]]] = []
+    index: dict[tuple[str, str], list[int]] = {}
+    for e in rows:
+        mine = set(e["members"])
+        keys = [(a, b) for a in mine for b in mine if a < b]
+        for g in sorted({g for k in keys for g in index.get(k, [])}):
+            whole, inside = groups[g]
+            if len(whole | mine) <= max_members and any(len(mine & set(o["members"])) >= 2 and (share(e, o) >= min_overlap or abs(e["start"] - o["start"]) <= tolerance and abs(e["end"] - o["end"]) <= tolerance) for o in inside):
+                break
+        else:
+            g = len(groups)
+            groups.append((set(), []))
+        groups[g][0].update(mine)
+        groups[g][1].append(e)
+        for k in keys:
+            if g not in (found := index.setdefault(k, [])):
+                found.append(g)
+    return [inside for _, inside in groups]
+
+
+def consensus(events: DataFrame, min_methods: int = 3, pvalue_max: float = 0.05, min_overlap: float = 0.5, tolerance: int = 100, max_members: int = 3) -> DataFrame:
+    """One row per merged event with at least ``min_methods`` methods.
+
+    ``members, methods, n_methods, n_events, start, end, start_min, end_max,
+    min_pvalue``: upper medians of the ends, the smallest p-value in range. Events
+    meet only through member pairs, so blocks of connected pairs are merged apart.
+    """
+    gated = gate(events, pvalue_max)
+    ids = gated.select("ord", F.explode(F.flatten(F.transform("members", lambda x: F.transform(F.filter("members", lambda y: y > x), lambda y: F.concat_ws("\t", x, y))))).alias("pair"))
+    links = ids.join(ids.groupBy("pair").agg(F.min("ord").alias("first")), "pair").where("ord != first").select(F.col("first").alias("src"), F.col("ord").alias("dst"))
+    fragments = gated.where("method = 'geneconv' AND recombinant != ''")
+    links = links.unionByName(fragments.join(fragments.groupBy("recombinant").agg(F.min("ord").alias("first")), "recombinant").where("ord != first").select(F.col("first").alias("src"), F.col("ord").alias("dst")))
+    block = connected(gated.select(F.col("ord").alias("id")), links).select(F.col("id").alias("ord"), F.col("component").alias("block"))
+    columns = ["ord", "recombinant", "parent_a", "parent_b", "start", "end", "method", "p", "members"]
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        rows = frame.to_dict("records")
+        for r in rows:
+            r["members"] = list(r["members"])
+        block_id = rows[0]["block"]
+        out = []
+        for g, inside in enumerate(merge_block(rows, min_overlap, tolerance, max_members)):
+            for e in inside:
+                out.append((block_id, g, e["method"], e["start"], e["end"], e["p"], e["members"]))
+        return pd.DataFrame(out, columns=["block", "grp", "method", "start", "end", "p", "members"])
+
+    merged = gated.select(*columns).join(block, "ord").groupBy("block").applyInPandas(run, "block bigint, grp int, method string, start int, end int, p double, members array<string>")
+    upper = lambda c: F.element_at(F.array_sort(F.collect_list(c)), (F.floor(F.count(F.lit(1)) / 2) + 1).cast("int"))
+    grouped = merged.groupBy("block", "grp").agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("members")))).alias("members"), F.array_sort(F.collect_set("method")).alias("methods"), F.count(F.lit(1)).alias("n_events"),
+        upper("start").alias("start"), upper("end").alias("end"), F.min("start").alias("start_min"), F.max("end").alias("end_max"), F.min(F.when(~F.isnan("p"), F.col("p"))).alias("min_pvalue"))
+    return grouped.withColumn("n_methods", F.size("methods")).where(F.col("n_methods") >= min_methods).drop("block", "grp")
+
+
+def site_tally(rec: str, a: str, b: str, start: int, end: int) -> tuple[int, int, int, int, int, int]:
+    """Informative sites: (like a, like b, all) in ``[start, end)`` and outside."""
+    inside, outside = [0, 0, 0], [0, 0, 0]
+    for i, (r, x, y) in enumerate(zip(rec, a, b, strict=False)):
+        if x == y or "-" in (r, x, y):
+            continue
+        t = inside if start <= i < end else outside
+        t[0] += r == x
+        t[1] += r == y
+        t[2] += 1
+    return (*inside, *outside)
+
+
+def tally_sites(trios: DataFrame) -> DataFrame:
+    """``(key, tract_a, tract_b, tract_n, flank_a, flank_b, flank_n)`` of ``(key, rec, pa, pb, start, end)``.
+
+    Parents that differ, and no gap in any of the three; the tract is half-open.
+    """
+    n = F.least(F.length("rec"), F.length("pa"), F.length("pb"))
+    at = lambda c, i: F.substring(c, i, F.lit(1))
+    sites = F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.struct((i - 1).alias("i"), at("rec", i).alias("r"), at("pa", i).alias("a"), at("pb", i).alias("b")))).otherwise(F.array().cast("array<struct<i:int,r:string,a:string,b:string>>"))
+    told = F.filter(sites, lambda s: (s.a != s.b) & (s.r != "-") & (s.a != "-") & (s.b != "-"))
+    rows = trios.withColumn("s", told)
+    inside = lambda s: (s.i >= F.col("start")) & (s.i < F.col("end"))
+    count = lambda cond: F.size(F.filter("s", cond))
+    return rows.select("key", count(lambda s: inside(s) & (s.r == s.a)).alias("tract_a"), count(lambda s: inside(s) & (s.r == s.b)).alias("tract_b"), count(inside).alias("tract_n"), count(lambda s: ~inside(s) & (s.r == s.a)).alias("flank_a"), count(lambda s: ~inside(s) & (s.r == s.b)).alias("flank_b"), count(lambda s: ~inside(s)).alias("flank_n"))
+
+
+def polarise(rec: str, a: str, b: str, names: tuple[str, str], start: int, end: int) -> dict | None:
+    """Backbone and donor if the recombinant follows one parent outside and the other inside; else None."""
+    ia, ib, n_in, oa, ob, n_out = site_tally(rec, a, b, start, end)
+    if not n_in or not n_out or ia == ib or oa == ob or (ia > ib) == (oa > ob):
+        return None
+    donor, backbone = (names[0], names[1]) if ia > ib else (names[1], names[0])
+    return {"backbone": backbone, "donor": donor, "tract_sites": n_in, "flank_sites": n_out, "support": abs(ia - ib) / n_in + abs(oa - ob) / n_out}
+
+
+def assign_roles(alignment: dict[str, str], members: list[str], start: int, end: int) -> dict | None:
+    """The best of the members as recombinant between the two others; the first on ties, None below three."""
+    known = [m for m in members if m in alignment]
+    if len(known) < 3:
+        return None
+    best = None
+    for rec in known[:3]:
+        a, b = [m for m in known[:3] if m != rec]
+        call = polarise(alignment[rec], alignment[a], alignment[b], (a, b), start, end)
+        if call and (best is None or call["support"] > best["support"] + 1e-12):
+            best = {"recombinant": rec} | call
+    return best
+
+
+def feature_overlap(events: DataFrame, features: DataFrame) -> DataFrame:
+    """``events`` with ``features``: names of overlapping closed intervals in file order, ``none`` without.
+
+    Features are a gene map of one genome; they are collected per row by a range
+    condition over one packed row, so events are not shuffled.
+    """
+    packed = features.agg(F.array_sort(F.collect_list(F.struct("ord", "name", F.col("start").alias("s"), F.col("end").alias("e")))).alias("_f"))
+    hit = F.filter("_f", lambda f: ~((F.col("end") < f.s) | (F.col("start") > f.e)))
+    names = F.array_join(F.transform(hit, lambda f: f["name"]), ",")
+    return events.crossJoin(F.broadcast(packed)).withColumn("features", F.coalesce(F.nullif(names, F.lit("")), F.lit("none"))).drop("_f")
