@@ -37,10 +37,10 @@ def compatible_pairs(gated: DataFrame, min_overlap: float = 0.5, tolerance: int
     rows = gated.select("ord", "start", "end", pair.alias("pair"))
     a, b = (rows.select("pair", *(F.col(c).alias(c + s) for c in ("ord", "start", "end"))) for s in "ab")
     both = a.join(b, "pair").where("orda < ordb")
-    overlap = F.least("enda", "endb") - F.greatest("starta", "startb") + 1
-    shorter = F.least(F.col("enda") - F.col("starta"), F.col("endb") - F.col("startb")) + 1
+    overlap = F.greatest(F.lit(0), F.least("enda", "endb") - F.greatest("starta", "startb"))
+    shorter = F.least(F.col("enda") - F.col("starta"), F.col("endb") - F.col("startb"))
     near = (F.abs(F.col("starta") - F.col("startb")) <= tolerance) & (F.abs(F.col("enda") - F.col("endb")) <= tolerance)
-    return both.where((overlap / shorter >= min_overlap) | near).select(F.col("orda").alias("a"), F.col("ordb").alias("b")).distinct()
+    return both.where(((shorter > 0) & (overlap >= min_overlap * shorter)) | near).select(F.col("orda").alias("a"), F.col("ordb").alias("b")).distinct()
 
 
 def merge_block(events: list[dict], min_overlap: float, tolerance: int, max_members: int, pair_fragments: bool = True) -> list[list[dict]]:
@@ -51,10 +51,11 @@ def merge_block(events: list[dict], min_overlap: float, tolerance: int, max_memb
     Events then join, by start and end, the first group that holds an agreeing
     event with two common members and stays within ``max_members``.
     """
-    length = lambda e: e["end"] - e["start"] + 1
+    length = lambda e: max(0, e["end"] - e["start"])
 
     def share(a: dict, b: dict) -> float:
-        return (min(a["end"], b["end"]) - max(a["start"], b["start"]) + 1) / max(1, min(length(a), length(b)))
+        shorter = min(length(a), length(b))
+        return max(0, min(a["end"], b["end"]) - max(a["start"], b["start"])) / shorter if shorter else 0.0
 
     events = sorted(events, key=lambda e: e["ord"])
     paired, used = [], set()

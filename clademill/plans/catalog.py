@@ -389,7 +389,7 @@ def event_pvalue_gate(spark, sf):
 
 
 @query(f"""WITH e AS {EVT}, m AS (SELECT *, list_sort(list_distinct(list_filter([recombinant, parent_a, parent_b], lambda x: x <> ''))) AS members FROM e), g AS (SELECT * FROM m WHERE len(members) >= 2 AND least(pvalue, 1) <= 0.01), x AS (SELECT *, unnest(members) AS a FROM g), y AS (SELECT *, unnest(members) AS b FROM x), pr AS (SELECT * FROM y WHERE a < b)
-SELECT DISTINCT p.ord AS a, q.ord AS b FROM pr p JOIN pr q ON p.a = q.a AND p.b = q.b AND p.ord < q.ord WHERE (least(p."end", q."end") - greatest(p."start", q."start") + 1)::DOUBLE / (least(p."end"-p."start", q."end"-q."start")+1) >= 0.5 OR (abs(p."start"-q."start") <= 100 AND abs(p."end"-q."end") <= 100)""")
+SELECT DISTINCT p.ord AS a, q.ord AS b FROM pr p JOIN pr q ON p.a = q.a AND p.b = q.b AND p.ord < q.ord WHERE greatest(0, least(p."end", q."end") - greatest(p."start", q."start")) >= 0.5 * least(p."end"-p."start", q."end"-q."start") OR (abs(p."start"-q."start") <= 100 AND abs(p."end"-q."end") <= 100)""")
 def event_pairs_compatible(spark, sf):
     return R.compatible_pairs(R.gate(events(spark, sf), 0.01))
 
