@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,6 +53,26 @@ def save(df: DataFrame, label: str) -> SharedTable:
     return SharedTable(spark.read.schema(df.schema).parquet(path), path)
 
 
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` for a task's batches, after which the worker gives free memory back.
+
+    Workers outlive their tasks; what they keep counts against the executor while
+    later stages run.
+    """
+
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return wrapped
+
+
 #: Ids up to this count are broadcast to a scan (8 bytes each in the table, about 30 in memory); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -66,7 +90,7 @@ def fold(id_column: str = "doc_id", folds: int = 5) -> Column:
 class WordHashes(dict):
     """64-bit hashes of byte words, remembered up to a bound."""
 
-    LIMIT = 300_000
+    LIMIT = 150_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:

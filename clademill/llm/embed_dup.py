@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clademill.llm.common import save
+from clademill.llm.common import save, tidy
 from clademill.llm.components import components
 
 #: Rows of one filter that are compared as a block; larger filters are tiled.
@@ -106,7 +106,7 @@ def _units(rows: DataFrame) -> DataFrame:
             raw = [None if u is None else u.tobytes() for u in units]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([None if r is None else xxhash.xxh3_128_digest(r) for r in raw], pa.binary()), pa.array(raw, pa.binary())], names=["vec_id", "digest", "unit"])
 
-    return rows.select("vec_id", "embedding").mapInArrow(run, "vec_id bigint, digest binary, unit binary")
+    return rows.select("vec_id", "embedding").mapInArrow(tidy(run), "vec_id bigint, digest binary, unit binary")
 
 
 def _filters(units: DataFrame, level: float) -> DataFrame:
@@ -125,7 +125,7 @@ def _filters(units: DataFrame, level: float) -> DataFrame:
                 ids = batch.column("vec_id").take(at)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), dim, np.int32)), pa.array(np.concatenate(caps)), ids, batch.column("copies").take(at)], names=["dim", "cap", "vec_id", "copies"])
 
-    return units.mapInArrow(run, "dim int, cap bigint, vec_id bigint, copies bigint")
+    return units.mapInArrow(tidy(run), "dim int, cap bigint, vec_id bigint, copies bigint")
 
 
 def _compared(tiles: DataFrame, cosine: float) -> DataFrame:
@@ -208,7 +208,7 @@ def _compared(tiles: DataFrame, cosine: float) -> DataFrame:
         if held is not None:
             yield from groups(held, np.array([0, held.num_rows]))
 
-    return tiles.mapInArrow(run, "vec_id bigint, other bigint, links bigint")
+    return tiles.mapInArrow(tidy(run), "vec_id bigint, other bigint, links bigint")
 
 
 def near_vectors(rows: DataFrame, cosine: float = 0.9, level: float = 4.5) -> DataFrame:

@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from clademill.llm.common import tidy
+
 # Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes plaintext".split())
@@ -73,7 +75,7 @@ def _names(attributes: str) -> tuple[str, bool, list[str]]:
 def parse(source: str) -> Node:
     """The element tree of a page, tolerant of unclosed, stray and cut-off tags."""
     root = Node("", "", False, False, None)
-    node, at, low = root, 0, None
+    node, at = root, 0
     position = TOKEN.search
     while True:
         m = position(source, at)
@@ -118,8 +120,8 @@ def parse(source: str) -> Node:
         if tag in VOID or m[3].endswith("/") and tag not in BLOCKS and tag not in RAW:
             continue
         if tag in RAW:
-            low = source.lower() if low is None else low
-            end = low.find(f"</{tag}", at)
+            found = re.compile(f"</{tag}", re.IGNORECASE | re.ASCII).search(source, at)
+            end = found.start() if found else -1
             child.parts.append(source[at : end if end >= 0 else len(source)])
             close = source.find(">", end) if end >= 0 else -1
             at = close + 1 if close >= 0 else len(source)
@@ -272,7 +274,7 @@ def winning_paths(pages: DataFrame) -> DataFrame:
             best = [best_path(parse(h.as_py())) if h.is_valid and h.as_py() else ("", 0.0) for h in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([p for p, _ in best]), pa.array([s for _, s in best], pa.float64())], names=["host", "path", "score"])
 
-    votes = pages.select(host_of("url").alias("host"), "html").mapInArrow(run, "host string, path string, score double")
+    votes = pages.select(host_of("url").alias("host"), "html").mapInArrow(tidy(run), "host string, path string, score double")
     counted = votes.where("path != ''").groupBy("host", "path").agg(F.count(F.lit(1)).alias("votes"), F.max("score").alias("score"))
     ranked = counted.withColumn("r", F.row_number().over(W.partitionBy("host").orderBy(F.desc("votes"), F.desc("score"), "path")))
     return ranked.where("r = 1").select("host", "path", "votes")
@@ -295,7 +297,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
             texts = [extract(h.as_py(), p.as_py()) for h, p in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
-    return joined.select("page_id", "url", "html", "path").mapInArrow(run, f"page_id {page_id}, url string, text string")
+    return joined.select("page_id", "url", "html", "path").mapInArrow(tidy(run), f"page_id {page_id}, url string, text string")
 
 
 def html_query(pages: DataFrame) -> DataFrame:

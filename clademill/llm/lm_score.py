@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clademill.llm.common import fold, save
+from clademill.llm.common import fold, save, tidy
 
 DEPTH = 5
 #: A context is kept only where its share of all places reaches this, so a tree has at most DEPTH / MIN_SHARE contexts.
@@ -211,7 +211,7 @@ def _counted(blocks: DataFrame, n: int) -> DataFrame:
         yield from out_words()
         yield from out_grams()
 
-    return blocks.repartition(n, "block").mapInArrow(run, "block int, word binary, gram bigint, n bigint")
+    return blocks.repartition(n, "block").mapInArrow(tidy(run), "block int, word binary, gram bigint, n bigint")
 
 
 def fit_tree(grams: DataFrame) -> SuffixTree:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from clademill.llm.common import WordHashes, bounded, rolling, save, words_of
+from clademill.llm.common import WordHashes, bounded, rolling, save, tidy, words_of
 from clademill.llm.components import components
 
 #: Retained values of a set.
@@ -59,7 +59,7 @@ def _sets(docs: DataFrame, width: int, full: bool) -> DataFrame:
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
                 ], names=["doc_id", "n", "digest", "values"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, digest binary, values array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id bigint, n bigint, digest binary, values array<bigint>")
 
 
 def _estimated(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -78,7 +78,7 @@ def _estimated(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
                 keep[i] = (n[:SKETCH] == 2).sum() * SKETCH >= OVERLAP * min(SKETCH, len(u))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep))
 
-    return both.mapInArrow(run, "a bigint, b bigint")
+    return both.mapInArrow(tidy(run), "a bigint, b bigint")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -98,7 +98,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep[i] = 100 * common >= percent * (len(p) + len(q) - common)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep))
 
-    return both.mapInArrow(run, "a bigint, b bigint")
+    return both.mapInArrow(tidy(run), "a bigint, b bigint")
 
 
 def _lists(reps: DataFrame, percent: int) -> DataFrame:
@@ -249,7 +249,7 @@ def _tiled(long: DataFrame, found: DataFrame, sets: DataFrame, percent: int) ->
         if held:
             yield from links(pa.concat_tables(held))
 
-    return rows.mapInArrow(run, "doc_id bigint, other bigint")
+    return rows.mapInArrow(tidy(run), "doc_id bigint, other bigint")
 
 
 def near_dup_query(documents: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from clademill.llm.common import save
+from clademill.llm.common import save, tidy
 
 END_ID = 0
 #: Pieces are rounded up to so many tokens in the linear program.
@@ -257,7 +257,7 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, length: int = 1024, with_ids
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
     schema = f"doc_id {id_type}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, cls int, part int, rank bigint"
-    return docs.select("doc_id", "text").mapInArrow(run, schema + ", ids array<int>" * with_ids)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), schema + ", ids array<int>" * with_ids)
 
 
 def pack(docs: DataFrame, tokenizer_path: str, length: int = 1024, with_ids: bool = False) -> DataFrame:
@@ -305,7 +305,7 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = 1024, with_ids: boo
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), pa.array(seq), pa.array(slot)], names=[*keep, "sequence_id", "slot"])
 
     schema = f"doc_id {id_type}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, " + "ids array<int>, " * with_ids + "sequence_id bigint, slot bigint"
-    placed = ranked.mapInArrow(place, schema)
+    placed = ranked.mapInArrow(tidy(place), schema)
     along = W.partitionBy("sequence_id").orderBy("slot").rowsBetween(W.unboundedPreceding, -1)
     return placed.select(*keep, "sequence_id", F.coalesce(F.sum("length").over(along), F.lit(0)).alias("offset"))
 

@@ -12,6 +12,8 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from clademill.llm.common import tidy
+
 # The base patterns and their least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")  # AKIA[A-Z0-9]+ of 18 characters and more
@@ -150,7 +152,7 @@ def find_secrets(docs: DataFrame, id_column: str = "doc_id", text_column: str =
             spans = [[vars(s) for s in scan(t.as_py())] for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, kind)], names=[id_column, "spans"])
 
-    return docs.select(id_column, text_column).mapInArrow(run, f"`{id_column}` {ids.dataType.simpleString()}, spans {SPANS}")
+    return docs.select(id_column, text_column).mapInArrow(tidy(run), f"`{id_column}` {ids.dataType.simpleString()}, spans {SPANS}")
 
 
 def secrets_query(documents: DataFrame) -> DataFrame:
@@ -168,4 +170,4 @@ def secrets_query(documents: DataFrame) -> DataFrame:
             kinds = [pa.int64()] * 3 + [pa.string()] * 2
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
-    return find_secrets(documents).mapInArrow(digest, "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string")
+    return find_secrets(documents).mapInArrow(tidy(digest), "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string")

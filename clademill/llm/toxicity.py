@@ -20,13 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clademill.llm.common import fold
+from clademill.llm.common import fold, tidy
 
 #: Bounds of the training sample: labelled rows, and code points of their whole texts.
 MAX_TRAINING_ROWS = 8_000
 MAX_TRAINING_CHARS = 30_000_000
 #: Words whose features are remembered while fitting, and while scoring.
-FIT_MEMO, SCORE_MEMO = 20_000, 300_000
+FIT_MEMO, SCORE_MEMO = 20_000, 200_000
 
 #: Groups of identity terms, each in one language and number: terms of a group are swapped for one another.
 IDENTITY_GROUPS = [
@@ -231,7 +231,7 @@ def score_documents(docs: DataFrame, model: ToxicityModel, id_column: str = "doc
             scores = pa.array([model.score(t.as_py(), seen) for t in batch.column(at)], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*batch.schema.names, "score"])
 
-    return docs.mapInArrow(run, f"{schema}, score double")
+    return docs.mapInArrow(tidy(run), f"{schema}, score double")
 
 
 def toxicity_query(documents: DataFrame, labels: DataFrame) -> DataFrame:
