@@ -24,6 +24,8 @@ from clademill.llm.components import components
 
 #: Rows of one filter that are compared as a block; larger filters are tiled.
 TILE = 512
+#: Deviations below a vector's best filter that always count.
+MARGIN = 0.3
 
 
 @dataclass(frozen=True)
@@ -31,14 +33,14 @@ class CapCode:
     """``codes`` product codes of ``size ** blocks`` filters each; each direction is a unit vector.
 
     ``level`` is the least inner product, in deviations ``1 / sqrt(dim)`` of a
-    random direction's. With the defaults a vector has about 57 filters, an
+    random direction's. With the defaults a vector has about 85 filters, an
     unrelated vector exceeds one of them with a chance of 3.4e-6 a filter, and a
     pair at cosine 0.9 is expected to share a quarter of its filters. Several
     codes, each with its own rotation, even out how many filters vectors get.
     """
 
     dim: int
-    codes: int = 4
+    codes: int = 6
     blocks: int = 2
     size: int = 2048
     level: float = 4.5
@@ -63,7 +65,8 @@ class CapCode:
 
         Blocks are joined one by one; a partial sum is dropped once the best of the
         remaining blocks cannot lift it to the level, so no filter is missed. In a
-        code of which no filter is exceeded, the best one stands in.
+        code whose best filter is below ``level + MARGIN``, all within ``MARGIN``
+        of the best are taken instead, so that no vector is left with few.
         """
         out: list[list[np.ndarray]] = [[] for _ in unit]
         least = self.level / math.sqrt(self.dim)
@@ -72,7 +75,7 @@ class CapCode:
             scores = [turned[:, c] @ b.T for c, b in zip(cuts, books, strict=True)]
             best = np.array([s.max(axis=1) for s in scores])
             for i in range(len(unit)):
-                goal = min(least, float(best[:, i].sum()) - 1e-5)
+                goal = min(least, float(best[:, i].sum()) - MARGIN / math.sqrt(self.dim))
                 ids, sums = np.zeros(1, np.int64), np.zeros(1, np.float32)
                 for k, s in enumerate(scores):
                     need = goal - best[k + 1 :, i].sum()
