@@ -89,7 +89,29 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_chat_formatting": OP10_SQL}
+    return {"op1_near_dup": OP1_SQL, "op5_embed_dup": OP5_SQL, "op10_chat_formatting": OP10_SQL}
+
+
+OP1_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i+3], ' ')) END) AS g FROM w
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1
+), p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+), l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 80 * (a.n + b.n - c)
+), e AS (SELECT x, y FROM l UNION SELECT y, x FROM l
+), r(id, comp) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.y, r.comp FROM r JOIN e ON e.x = r.id)
+SELECT id AS doc_id, any_value(coalesce(n.n, 0))::BIGINT AS n_shingles, min(comp)::BIGINT AS component_id, id = min(comp) AS kept FROM r LEFT JOIN n ON n.doc_id = id GROUP BY id
+"""
+
+OP5_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x)) > 0
+), e AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.9
+), d AS (SELECT x, count(*) AS n FROM e GROUP BY 1
+), r(id, comp) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT e.y, r.comp FROM r JOIN e ON e.x = r.id)
+SELECT id AS vec_id, any_value(coalesce(d.n, 0))::BIGINT AS n_links, min(comp)::BIGINT AS component_id, id = min(comp) AS kept FROM r LEFT JOIN d ON d.x = id GROUP BY id
+"""
 
 
 #: The template in SQL: the head of a turn is '### role:\n', its end '</turn>\n'.
