@@ -59,15 +59,26 @@ def ari(rows: DataFrame, u: str, v: str) -> DataFrame:
     return c.select(F.when(high == expected, 1.0).otherwise((F.col("p") - expected) / (high - expected)).alias("ari"))
 
 
-def agreement(rows: DataFrame, left: list[str], right: list[str]) -> DataFrame:
-    """``(left, right, nmi)`` of every pair of labelling columns, from one grouped contingency table."""
-    long = rows.select(F.explode(F.array(*[F.struct(F.lit(a).alias("left"), F.col(a).cast("string").alias("u"), F.lit(b).alias("right"), F.col(b).cast("string").alias("v")) for a in left for b in right])).alias("s")).select("s.*").where("u IS NOT NULL AND v IS NOT NULL")
-    n = long.groupBy("left", "right", "u", "v").agg(F.count(F.lit(1)).alias("n"))
-    by = lambda c: n.groupBy("left", "right", c).agg(F.sum("n").alias("n")).groupBy("left", "right").agg(F.sum(F.col("n") * F.ln("n")).alias(f"l{c}"), F.count(F.lit(1)).alias(f"k{c}"))
-    j = n.groupBy("left", "right").agg(F.sum("n").alias("t"), F.sum(F.col("n") * F.ln("n")).alias("l")).join(by("u"), ["left", "right"]).join(by("v"), ["left", "right"])
-    hu, hv, hj = (F.ln("t") - F.col(c) / F.col("t") for c in ("lu", "lv", "l"))
+def grouped_scores(rows: DataFrame, keys: list[str], u: str, v: str) -> DataFrame:
+    """``(keys, u_count, v_count, items, nmi, ari)`` of two labellings in every group, from one contingency table."""
+    n = rows.where(F.col(u).isNotNull() & F.col(v).isNotNull()).groupBy(*keys, F.col(u).alias("_u"), F.col(v).alias("_v")).agg(F.count(F.lit(1)).alias("n"))
+    pairs, logs = F.sum(F.col("n") * (F.col("n") - 1) / 2.0), F.sum(F.col("n") * F.ln("n"))
+    side = lambda c, k: n.groupBy(*keys, c).agg(F.sum("n").alias("n")).groupBy(*keys).agg(pairs.alias(f"p{k}"), logs.alias(f"l{k}"), F.count(F.lit(1)).alias(f"{k}_count"))
+    j = n.groupBy(*keys).agg(F.sum("n").alias("items"), pairs.alias("p"), logs.alias("l")).join(side("_u", "u"), keys).join(side("_v", "v"), keys)
+    hu, hv, hj = (F.ln("items") - F.col(c) / F.col("items") for c in ("lu", "lv", "l"))
     mi = hu + hv - hj
-    return j.select("left", "right", F.when((F.col("ku") == 1) & (F.col("kv") == 1), 1.0).when(F.abs(mi) < 1e-15, 0.0).otherwise(2 * mi / (hu + hv)).alias("nmi"))
+    score = F.when((F.col("u_count") == 1) & (F.col("v_count") == 1), 1.0).when(F.abs(mi) < 1e-15, 0.0).otherwise(2 * mi / (hu + hv))
+    all_pairs = F.col("items") * (F.col("items") - 1) / 2.0
+    expected = F.when(all_pairs > 0, F.col("pu") * F.col("pv") / all_pairs).otherwise(0.0)
+    high = (F.col("pu") + F.col("pv")) / 2
+    adjusted = F.when(high == expected, 1.0).otherwise((F.col("p") - expected) / (high - expected))
+    return j.select(*keys, "u_count", "v_count", "items", score.alias("nmi"), adjusted.alias("ari"))
+
+
+def agreement(rows: DataFrame, left: list[str], right: list[str]) -> DataFrame:
+    """``(left, right, nmi)`` of every pair of labelling columns, in one grouped query."""
+    long = rows.select(F.explode(F.array(*[F.struct(F.lit(a).alias("left"), F.col(a).cast("string").alias("u"), F.lit(b).alias("right"), F.col(b).cast("string").alias("v")) for a in left for b in right])).alias("s")).select("s.*")
+    return grouped_scores(long, ["left", "right"], "u", "v").select("left", "right", "nmi")
 
 
 def pearson_composition(full: DataFrame, panel: DataFrame, cluster: str = "cluster") -> DataFrame:

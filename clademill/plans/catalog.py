@@ -213,7 +213,12 @@ def ari_lang_quality(spark, sf):
     return C.ari(_labelled(spark, sf), "lang", "quality").select(F.round("ari", 6).alias("ari"))
 
 
-@query()
+_AGREE = " UNION ALL ".join(f"SELECT '{a}' AS \"left\", '{b}' AS \"right\", {a} AS u, {b}::VARCHAR AS v FROM documents JOIN labels USING (doc_id)" for a in ("lang", "source") for b in ("quality", "toxic"))
+
+
+@query(f"""WITH l AS ({_AGREE}), n AS (SELECT "left", "right", u, v, count(*) AS n FROM l WHERE u IS NOT NULL AND v IS NOT NULL GROUP BY ALL), t AS (SELECT "left", "right", sum(n) AS t, sum(n*ln(n)) AS l FROM n GROUP BY ALL),
+a AS (SELECT "left", "right", sum(n*ln(n)) AS l FROM (SELECT "left", "right", u, sum(n) AS n FROM n GROUP BY ALL) GROUP BY ALL), b AS (SELECT "left", "right", sum(n*ln(n)) AS l FROM (SELECT "left", "right", v, sum(n) AS n FROM n GROUP BY ALL) GROUP BY ALL)
+SELECT t."left", t."right", round(2*((ln(t)-a.l/t)+(ln(t)-b.l/t)-(ln(t)-t.l/t))/((ln(t)-a.l/t)+(ln(t)-b.l/t)), 6) AS nmi FROM t JOIN a USING ("left", "right") JOIN b USING ("left", "right")""")
 def agreement_matrix(spark, sf):
     return C.agreement(_labelled(spark, sf), ["lang", "source"], ["quality", "toxic"]).withColumn("nmi", F.round("nmi", 6))
 
