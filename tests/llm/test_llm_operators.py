@@ -371,3 +371,19 @@ def test_chat_query_against_sql(spark):
     cols = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
     want = con.execute(OP10_SQL).df()[cols].sort_values("conv_id").values.tolist()
     assert op10_chat_formatting(spark, sf).toPandas()[cols].sort_values("conv_id").values.tolist() == want
+
+
+def test_sql_of_near_duplicates(spark):
+    import duckdb
+
+    from clademill.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    for name in ("op1_near_dup", "op5_embed_dup"):
+        want = con.execute(queries.oracle_sql()[name]).df()
+        cols = list(want.columns)
+        got = queries.queries()[name](spark, sf).toPandas()[cols]
+        assert sorted(got.values.tolist()) == sorted(want.values.tolist())
