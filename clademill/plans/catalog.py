@@ -43,8 +43,14 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def sequences(spark: SparkSession, sf: str) -> DataFrame:
-    """``(ord, id, seq, cluster, source)``; null texts are empty."""
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("ord"), F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("seq"), F.col("lang").alias("cluster"), "source")
+    """``(ord, id, seq, cluster, source)``; null texts are empty.
+
+    A table of fewer files than cores may be one row group that one task reads; it
+    is dealt out, which larger inputs never need.
+    """
+    docs, cores = table(spark, sf, "documents"), spark.sparkContext.defaultParallelism
+    docs = docs.repartition(cores) if len(docs.inputFiles()) < cores else docs
+    return docs.select(F.col("doc_id").alias("ord"), F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("seq"), F.col("lang").alias("cluster"), "source")
 
 
 def points(spark: SparkSession, sf: str) -> DataFrame:
