@@ -7,16 +7,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clademill.llm.common import shared_dir
+from clademill.llm.common import bounded, save, shared_dir
 from clademill.llm.decontaminate import drop_contaminated
-from clademill.llm.line_dedup import dedup_lines
-from clademill.llm.near_dup import drop_near_duplicates
+from clademill.llm.line_dedup import cut_spans, repeated_spans
+from clademill.llm.near_dup import drop_near_duplicates, near_duplicates
 from clademill.llm.packing import default_tokenizer, pack
 from clademill.llm.toxicity import fit_from_tables, keep_clean
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-#: A document of which line dedup would remove this share is a copy, left to the near-duplicate stage.
+#: A document of which line dedup would remove this share may be a copy, left to the near-duplicate stage if that removes it.
 WHOLE_COPY_SHARE = 0.5
 
 
@@ -28,12 +28,20 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that repeat across documents go, but for their first occurrence.
 
-    ``n_chars`` follows the cut text. Documents mostly made of repeated passages are
-    copies with few edits, and are left whole to the next stage.
+    ``n_chars`` follows the cut text. Documents mostly made of repeated passages stay
+    whole only where the next stage is sure to remove them: the near-duplicate rule, on
+    the texts that stage will get, links them to a first document that is not
+    one of them. All others are cut.
     """
     from pyspark.sql import functions as F
 
-    cut = dedup_lines(docs, whole_share=WHOLE_COPY_SHARE)
+    spans = repeated_spans(docs)
+    cut = save(cut_spans(docs, spans, whole_share=WHOLE_COPY_SHARE), "cut").df
+    whole = cut.where("n_removed = 0 AND n_spans > 0").select("doc_id").distinct()
+    copies = near_duplicates(cut.select("doc_id", "text")).where("NOT kept").select("doc_id", "component_id").distinct()
+    copies = copies.join(whole.toDF("component_id"), "component_id", "left_anti")
+    rest = bounded(save(whole.join(copies, "doc_id", "left_anti"), "not-copies").df)
+    cut = cut.join(rest, "doc_id", "left_anti").unionByName(cut_spans(docs.join(rest, "doc_id", "left_semi"), spans))
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return cut.select(*docs.columns)

@@ -39,6 +39,25 @@ def test_stages(spark, tmp_path):
     assert {r.doc_id for r in out.collect()} == set(kept["decontaminate"])
 
 
+def test_shared_passage_in_most_of_a_document(spark):
+    rng = np.random.default_rng(5)
+    words = [f"v{i}q" for i in range(500)]
+    text = lambda n: " ".join(rng.choice(words, n))
+    licence, original = text(200), text(150)
+    rows = {i: text(100) + " " + licence for i in range(8)} | {20: original, 21: original, 22: original + " extra"}
+    rows[30] = rows[3]  # a copy of a document that is cut
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows.items()], SCHEMA)
+    cut = {r.doc_id: r for r in P.line_dedup(spark, docs, "").collect()}
+    assert set(cut) == set(rows) and all(r.n_chars == len(r.text) for r in cut.values())
+    assert cut[0].text == rows[0] and all(cut[i].text == rows[i] for i in (20, 21, 22))
+    for i in range(1, 8):  # own words stay, the licence goes but for its ends
+        left = cut[i].text.split()
+        assert left[:100] == rows[i].split()[:100] and len(left) < 140
+    assert len(cut[30].text.split()) < 60
+    kept = {r.doc_id for r in P.near_dup(spark, spark.createDataFrame(list(cut.values()), SCHEMA), "").collect()}
+    assert not kept & {21, 22} and set(range(8)) <= kept
+
+
 def test_empty(spark, tmp_path):
     for name, schema in (("documents", SCHEMA), ("labels", "doc_id bigint, quality int, toxic int"), ("benchmark", "item_id bigint, text string")):
         spark.createDataFrame([], schema).write.parquet(str(tmp_path / f"{name}.parquet"))
