@@ -22,6 +22,8 @@ SHARE = 0.5
 BROADCAST_WINDOWS = 1_000_000
 
 NAME, NUMBER, UNIT = "", "", ""
+#: Hashed before the values of a literal-poor window, so that it meets no template.
+VALUES = "values"
 MARK = f"[{NAME}{NUMBER}{UNIT}]"
 # Units that follow a number.
 UNITS = "km|cm|mm|m|kg|mg|g|t|lb|lbs|oz|l|ml|cl|s|ms|sec|secs|seconds?|min|mins|minutes?|h|hrs?|hours?|days?|weeks?|months?|years?|kilometers?|kilometres?|meters?|metres?|miles?|feet|foot|ft|inch|inches|yards?|grams?|kilograms?|liters?|litres?|dollars?|euros?|cents?|usd|eur|gbp|percent|degrees?|mph|kmh|kwh|kw|w|v|hz|khz|mhz|ghz|kb|mb|gb|tb"
@@ -52,19 +54,53 @@ def template(text: Column) -> Column:
     return F.array_remove(F.split(F.regexp_replace(F.lower(text), rf"({MARK})\S*", "$1"), SPACE), "")
 
 
-def _windows(words: Column, width: int) -> Column:
-    """One hash per run of ``width`` words; none for fewer.
+def values(raw: Column) -> Column:
+    """Tokens in lower case without marks: what literal-poor windows are compared by."""
+    return F.transform(raw, lambda t: F.regexp_replace(F.lower(t), MARK, ""))
 
-    The words are bound to a lambda variable, so that they are made once a row.
+
+def _poor(words: Column, width: int) -> Column:
+    """Places, from 0, of the runs of ``width`` words with fewer literals than placeholders.
+
+    Made from the places of the placeholders, so that texts with few of them cost little.
     """
+    least = width // 2 + 1
 
     def of(w: Column) -> Column:
-        at = F.sequence(F.lit(1), F.size(w) - width + 1)
-        return F.when(F.size(w) >= width, F.transform(at, lambda i: F.xxhash64(F.slice(w, i, width)))).otherwise(F.array().cast("array<bigint>"))
+        marks = F.filter(F.transform(w, lambda t, i: F.when(F.contains(t, F.lit(NAME)) | F.contains(t, F.lit(NUMBER)) | F.contains(t, F.lit(UNIT)), i)), lambda i: i.isNotNull())
+
+        def near(p: Column) -> Column:
+            last = F.size(w) - width
+            # placeholder number j and the one `least - 1` after it in one window
+            spans = F.transform(p, lambda x, j: F.struct(F.greatest(F.get(p, j + (least - 1)) - (width - 1), F.lit(0)).alias("low"), F.least(x, last).alias("high"), F.get(p, j + (least - 1)).alias("to")))
+            fit = F.filter(spans, lambda x: x.to.isNotNull() & (x.low <= x.high))
+            return F.array_distinct(F.flatten(F.transform(fit, lambda x: F.sequence(x.low, x.high))))
+
+        return F.when(F.size(w) >= width, F.element_at(F.transform(F.array(marks), near), 1)).otherwise(F.array().cast("array<int>"))
 
     return F.element_at(F.transform(F.array(words), of), 1)
 
 
+def _windows(words: Column, marked: Column, width: int, by_values: bool) -> Column:
+    """``(pos, hash)`` per run of ``width`` words; none for fewer. With ``by_values`` literal-poor runs have a second one, of their values.
+
+    The words are bound to lambda variables, so that they are made once a row, and
+    the values are made only where there are literal-poor runs.
+    """
+    once = lambda x, f: F.element_at(F.transform(F.array(x), f), 1)
+    none = F.array().cast("array<struct<pos:int,hash:bigint>>")
+
+    def of(x: Column) -> Column:
+        every = F.transform(F.sequence(F.lit(1), F.size(x.words) - width + 1), lambda i: F.struct((i - 1).alias("pos"), F.xxhash64(F.slice(x.words, i, width)).alias("hash")))
+        if not by_values:
+            return F.when(F.size(x.words) >= width, every).otherwise(none)
+        by_value = lambda at: once(values(tokens(x.marked)), lambda v: F.transform(at, lambda i: F.struct(i.alias("pos"), F.xxhash64(F.lit(VALUES), F.slice(v, i + 1, width)).alias("hash"))))
+        poor = once(_poor(x.words, width), lambda at: F.when(F.size(at) > 0, by_value(at)).otherwise(none))
+        return F.when(F.size(x.words) >= width, F.concat(every, poor)).otherwise(none)
+
+    return once(F.struct(words.alias("words"), marked.alias("marked")), of)
+
+
 def _items(benchmark: DataFrame) -> DataFrame:
     """``(item_id, raw, words, width)`` of the items that are long enough, one row per id."""
     rows = benchmark.where("item_id IS NOT NULL").groupBy("item_id").agg(F.max("text").alias("text"))
@@ -78,17 +114,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     ``start`` and ``end`` count the document's tokens, ``exact`` tells whether all
     values agree too. Null texts have no tokens; repeated document rows are one,
-    null ids are never matched. Windows of fewer literals than placeholders are no
-    evidence and are left out on the benchmark's side.
+    null ids are never matched. The templates of windows of fewer literals than
+    placeholders are no evidence; such windows are compared by their values.
     """
     items = save(_items(benchmark), "items").df
     widths = [r.width for r in items.select("width").distinct().collect()]
     literal = lambda w: F.size(F.filter(w, lambda t: ~F.rlike(t, F.lit(MARK))))
     sides = []
     for width in sorted(widths):
-        own = items.where(F.col("width") == width)
-        own = own.select("item_id", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("words") - width + 1), lambda i: F.slice("words", i, width))).alias("ipos", "window"))
-        sides.append(own.where(literal(F.col("window")) * 2 >= width).select("item_id", "ipos", F.lit(width).alias("width"), F.xxhash64("window").alias("hash")))
+        own = items.where(F.col("width") == width).withColumn("values", values(F.col("raw")))
+        runs = F.transform(F.sequence(F.lit(1), F.size("words") - width + 1), lambda i: F.struct(F.slice("words", i, width).alias("window"), F.slice("values", i, width).alias("values")))
+        own = own.select("item_id", F.posexplode(runs).alias("ipos", "run")).withColumn("rich", literal(F.col("run.window")) * 2 >= width)
+        sides.append(own.select("item_id", "ipos", F.lit(width).alias("width"), "rich", F.when(F.col("rich"), F.xxhash64("run.window")).otherwise(F.xxhash64(F.lit(VALUES), F.col("run.values"))).alias("hash")))
     if not sides:
         return docs.where("false").select("doc_id", F.lit(0).cast("bigint").alias("item_id"), *(F.lit(0).alias(c) for c in ("start", "end")), F.lit(0).cast("bigint").alias("n_windows"), F.lit(True).alias("exact"))
     side = sides[0]
@@ -96,17 +133,21 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         side = side.unionByName(more)
     side = save(side, "item-windows").df
     small = side.count() <= BROADCAST_WINDOWS
-    words = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", template(marked(F.col("text"))).alias("words"))
+    marks = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", marked(F.col("text")).alias("marked"))
+    words = marks.select("doc_id", template(F.col("marked")).alias("words"), "marked")
     hits = None
+    by_values = {r.width for r in side.where("NOT rich").select("width").distinct().collect()}
     for width in sorted(widths):
-        found = words.select("doc_id", F.posexplode(_windows(F.col("words"), width)).alias("dpos", "hash"))
+        found = words.select("doc_id", F.inline(_windows(F.col("words"), F.col("marked"), width, width in by_values)).alias("dpos", "hash"))
         own = side.where(F.col("width") == width)
         got = found.join(F.broadcast(own) if small else own, "hash")
         hits = got if hits is None else hits.unionByName(got)
     diagonals = hits.groupBy("doc_id", "item_id", "width", (F.col("dpos") - F.col("ipos")).alias("diagonal")).agg(
-        F.countDistinct("ipos").alias("n_windows"), F.min("ipos").alias("low"), F.max("ipos").alias("high"))
-    total = side.groupBy("item_id").agg(F.count(F.lit(1)).alias("total"))
-    enough = (F.col("n_windows") + F.col("width") - 1 >= RUN) | (F.col("n_windows") >= F.col("total") * SHARE)
+        F.countDistinct("ipos").alias("n_windows"), F.countDistinct(F.when(F.col("rich"), F.col("ipos"))).alias("n_rich"), F.min("ipos").alias("low"), F.max("ipos").alias("high"))
+    total = side.groupBy("item_id").agg(F.count(F.lit(1)).alias("total"), F.count_if("rich").alias("total_rich"))
+    # half of the windows of either kind's count: windows by value add hits, and never raise the bar for templates
+    share = (F.col("n_windows") >= F.col("total") * SHARE) | ((F.col("n_rich") > 0) & (F.col("n_rich") >= F.col("total_rich") * SHARE))
+    enough = (F.col("n_windows") + F.col("width") - 1 >= RUN) | share
     diagonals = save(diagonals.join(total, "item_id").where(enough), "diagonals").df
     # the values behind the placeholders, for the documents with hits
     texts = docs.where("doc_id IS NOT NULL").select("doc_id", "text").join(bounded(diagonals.select("doc_id").distinct()), "doc_id", "left_semi")
@@ -117,8 +158,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     slots = F.array_distinct(F.filter("pairs", lambda p: F.rlike(p.x, F.lit(f"^{MARK}"))))
     consistent = F.size(F.array_distinct(F.transform(slots, lambda p: p.x))) == F.size(slots)
     start = F.col("low") + F.col("diagonal")
-    exact = F.forall("pairs", lambda p: F.lower(p.x) == F.lower(p.y))
-    return rows.where(consistent).select("doc_id", "item_id", start.alias("start"), (start + length).alias("end"), "n_windows", exact.alias("exact"))
+    bare = lambda t: F.regexp_replace(F.lower(t), MARK, "")
+    exact = F.forall("pairs", lambda p: bare(p.x) == bare(p.y))
+    return rows.where(consistent | exact).select("doc_id", "item_id", start.alias("start"), (start + length).alias("end"), "n_windows", exact.alias("exact"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -262,6 +262,20 @@ def test_decontamination(spark, rng):
     assert decontaminate.contamination(_docs(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_literal_poor_items(spark, rng):
+    figures, names = "What is 12 + 34 * 56 - 78 / 9?", "We met Ada Byron, Alan Turing, Grace Hopper, Kurt Godel, Emmy Noether"
+    bench = spark.createDataFrame([(1, figures), (2, names)], "item_id bigint, text string")
+    rows = [(1, f"{_text(rng, 20)} {figures} {_text(rng, 20)}"), (2, figures.replace("56", "57")), (3, f"{_text(rng, 9)} then {names} {_text(rng, 9)}"), (4, names.replace("Alan", "Mary").replace("Grace", "Jane").replace("Emmy", "Eva")), (5, _text(rng, 300)), (6, "See What is 12 + 34 * 56 - 78 / 9"), (7, "the 5 km 6 kg 7 m")]
+    got = {r.doc_id: r.first_item for r in decontaminate.decontaminate_query(_docs(spark, rows), bench).collect()}
+    assert got == {1: 1, 2: None, 3: 2, 4: None, 5: None, 6: 1, 7: None}
+    assert all(r.exact for r in decontaminate.contamination(_docs(spark, rows), bench).collect())
+    brute = lambda w, n: [i for i in range(len(w) - n + 1) if 2 * sum(t == decontaminate.NUMBER for t in w[i : i + n]) > n]
+    for n in (4, 5, 8):
+        for w in ([decontaminate.NUMBER if x else "a" for x in rng.integers(0, 2, size)] for size in (0, 3, 4, 8, 40)):
+            one = spark.createDataFrame([(w,)], "w array<string>").select(decontaminate._poor(F.col("w"), n).alias("p")).first().p
+            assert sorted(one) == brute(w, n)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var t="</p>";</script></head><body><header>Site</header>
 <nav><ul><li><a href="/a">Home</a></li></ul></nav><div class="cookie-notice">We use cookies</div>
 <div id="main-content" class="post body-12"><h1>Caf&eacute; &amp; more</h1><p>First   para<br>with <b>bold</b>.<p>Second &lt;one&gt; that is long enough to count as text.</p>
