@@ -261,6 +261,13 @@ def knn_edges_gaussian(spark, sf):
     return C.gaussian_edges(_searches(spark, sf, 10)).withColumn("w", F.round("w", 6))
 
 
+@query(_NN.replace(" WHERE id % 50 = 0", "") + """, n AS (SELECT * FROM k WHERE rank <= 10), s AS (SELECT quantile_cont(d, 0.5) AS s FROM n WHERE d > 0) SELECT least(id, other) AS src, greatest(id, other) AS dst, round(max(exp(-d*d/(2*s*s))), 6) AS w FROM n, s GROUP BY 1, 2""")
+def knn_graph_gaussian(spark, sf):
+    """The whole graph: edges from every point, and sigma over all of them."""
+    p = points(spark, sf)
+    return C.gaussian_edges(C.nearest(p, p, 10)).withColumn("w", F.round("w", 6))
+
+
 @query(_NN + """, v AS (SELECT id, cluster, count(*) AS n, min(rank) AS f FROM k WHERE rank <= 25 GROUP BY ALL) SELECT id, cluster FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, f) AS r FROM v) WHERE r = 1""")
 def reference_vote_25nn(spark, sf):
     return C.majority_vote(_searches(spark, sf, 25), points(spark, sf))

@@ -139,3 +139,10 @@ def test_query_against_sql(spark, name):
     cols = sorted(got.columns)
     got, want = (x[cols].sort_values(cols).reset_index(drop=True) for x in (got, want))
     pd.testing.assert_frame_equal(got, want, check_dtype=False, atol=2e-6)
+
+
+def test_gaussian_graph_has_edges_from_every_point(spark):
+    points = {r.id for r in catalog.points(spark, SF).collect()}
+    edges = catalog.QUERIES["knn_graph_gaussian"](spark, SF).toPandas()
+    degree = pd.concat([edges.src, edges.dst]).value_counts()
+    assert set(degree.index) == points and degree.min() >= 10
