@@ -34,56 +34,68 @@ def _escape_role(role: Column) -> Column:
 
 
 def _unescape_role(role: Column) -> Column:
-    # "\n" after an odd backslash is a line feed; mark the doubled ones first.
-    role = F.replace(role, F.lit("\\\\"), F.lit("\u0000"))
-    role = F.replace(role, F.lit("\\n"), F.lit("\n"))
-    return unescape(F.replace(role, F.lit("\u0000"), F.lit("\\\\")))
+    # doubled backslashes pair up from the left, and no other escape holds one: what lies between them is read apart
+    parts = F.transform(F.split(role, r"\\\\", -1), lambda p: unescape(F.replace(p, F.lit("\\n"), F.lit("\n"))))
+    return F.array_join(parts, "\\")
+
+
+def _key(name: str) -> Column:
+    """A join key that is equal for equal values and for two nulls."""
+    return F.struct(F.col(name).alias("id"))
 
 
 def root_paths(messages: DataFrame, max_rounds: int = 40) -> DataFrame:
     """Every root-to-leaf path of reply trees, one row per message of a path.
 
-    ``messages``: ``(conv_id, msg_id, parent_id, score)`` and more columns. A row
-    whose parent is null or absent in its tree is a root. The leaves' ancestors double
-    in reach with each self-join, so depth ``d`` takes ``log2(d)`` rounds, each of
-    which goes to the shared folder; replies in a cycle are an error. Returns ``(conv_id, leaf_id, msg_id, up)``
-    with ``up`` 0 at the leaf.
+    ``messages``: ``(conv_id, msg_id, parent_id)`` and more columns. A row whose
+    parent is null or absent in its tree is a root. A null ``conv_id`` is one tree,
+    a null ``msg_id`` one message of its tree that no row answers. The leaves'
+    ancestors double in reach with each self-join, so depth ``d`` takes ``log2(d)``
+    rounds, each of which goes to the shared folder; replies in a cycle are an
+    error. Returns ``(conv_id, leaf_id, msg_id, up)`` with ``up`` 0 at the leaf.
     """
-    keys = messages.select("conv_id", "msg_id", "parent_id").dropDuplicates(["conv_id", "msg_id"])
-    known = keys.select("conv_id", F.col("msg_id").alias("parent_id"))
-    up = keys.join(known.withColumn("known", F.lit(True)), ["conv_id", "parent_id"], "left")
-    up = up.select("conv_id", "msg_id", F.when(F.col("known"), F.col("parent_id")).alias("parent_id"))
-    jump = save(up.where("parent_id IS NOT NULL").select("conv_id", F.col("msg_id").alias("from"), F.col("parent_id").alias("to")), "replies")
-    parents = jump.df.select("conv_id", F.col("to").alias("low")).distinct()
-    leaves = up.select("conv_id", F.col("msg_id").alias("low")).join(parents, ["conv_id", "low"], "left_anti")
-    pairs = leaves.select("conv_id", "low", F.col("low").alias("high"), F.lit(0).alias("up"))
+    keys = messages.select(_key("conv_id").alias("conv"), _key("msg_id").alias("msg"), "parent_id").groupBy("conv", "msg").agg(F.min("parent_id").alias("parent_id"))
+    keys = keys.select("conv", "msg", F.when(F.col("parent_id").isNotNull(), _key("parent_id")).alias("parent"))
+    known = keys.select("conv", F.col("msg").alias("parent"))
+    up = keys.join(known.withColumn("known", F.lit(True)), ["conv", "parent"], "left")
+    up = up.select("conv", "msg", F.when(F.col("known"), F.col("parent")).alias("parent"))
+    jump = save(up.where("parent IS NOT NULL").select("conv", F.col("msg").alias("from"), F.col("parent").alias("to")), "replies")
+    parents = jump.df.select("conv", F.col("to").alias("low")).distinct()
+    leaves = up.select("conv", F.col("msg").alias("low")).join(parents, ["conv", "low"], "left_anti")
+    pairs = leaves.select("conv", "low", F.col("low").alias("high"), F.lit(0).alias("up"))
     reach, rounds = 1, 0
     while not jump.df.isEmpty():
         # pairs hold the leaves' ancestors nearer than reach; jump leads exactly `reach` up
-        far = pairs.join(jump.df.withColumnRenamed("from", "high"), ["conv_id", "high"]).select(
-            "conv_id", "low", F.col("to").alias("high"), (F.col("up") + reach).alias("up"))
+        far = pairs.join(jump.df.withColumnRenamed("from", "high"), ["conv", "high"]).select(
+            "conv", "low", F.col("to").alias("high"), (F.col("up") + reach).alias("up"))
         pairs = save(pairs.unionByName(far), "ancestors").df
-        onward = jump.df.select("conv_id", F.col("from").alias("to"), F.col("to").alias("next"))
-        jump = save(jump.df.join(onward, ["conv_id", "to"]).select("conv_id", "from", F.col("next").alias("to")), "replies")
+        onward = jump.df.select("conv", F.col("from").alias("to"), F.col("to").alias("next"))
+        jump = save(jump.df.join(onward, ["conv", "to"]).select("conv", "from", F.col("next").alias("to")), "replies")
         reach, rounds = reach * 2, rounds + 1
         if rounds > max_rounds:
             raise ValueError("the replies form a cycle, or are deeper than max_rounds allows")
-    return pairs.select("conv_id", F.col("low").alias("leaf_id"), F.col("high").alias("msg_id"), "up")
+    return pairs.select(F.col("conv.id").alias("conv_id"), F.col("low.id").alias("leaf_id"), F.col("high.id").alias("msg_id"), "up")
 
 
 def best_branches(messages: DataFrame, top: int = 1, max_rounds: int = 40) -> DataFrame:
     """The ``top`` branches of each tree by summed score, longer and then smaller leaf on ties.
 
     One row per message: ``conv_id, branch, leaf_id, turn`` (0 at the root) and
-    the message's own columns.
+    the message's own columns; columns of the caller's named like the first four
+    or ``parent_id`` are replaced. Of rows with one ``conv_id`` and ``msg_id`` the least
+    parent, score and remaining values stay. A branch of null scores ranks last.
     """
-    paths = root_paths(messages, max_rounds)
-    own = messages.dropDuplicates(["conv_id", "msg_id"])
-    rows = paths.join(own.drop("parent_id"), ["conv_id", "msg_id"])
-    ranked = rows.groupBy("conv_id", "leaf_id").agg(F.sum("score").alias("total"), F.count(F.lit(1)).alias("length"))
-    order = W.partitionBy("conv_id").orderBy(F.desc_nulls_last("total"), F.desc("length"), "leaf_id")
-    ranked = ranked.withColumn("branch", F.row_number().over(order)).where(F.col("branch") <= top)
-    return rows.join(ranked, ["conv_id", "leaf_id"]).withColumn("turn", F.col("length") - 1 - F.col("up")).drop("up", "total", "length")
+    paths = root_paths(messages, max_rounds).select(_key("conv_id").alias("conv"), _key("leaf_id").alias("leaf"), _key("msg_id").alias("msg"), "up")
+    held = [c for c in messages.columns if c not in ("conv_id", "msg_id", "parent_id", "branch", "leaf_id", "turn")]
+    order = [F.col(c) for c in sorted(held, key=lambda c: c != "score")]
+    own = messages.select(_key("conv_id").alias("conv"), _key("msg_id").alias("msg"), F.struct("parent_id", *order).alias("row")).groupBy("conv", "msg").agg(F.min("row").alias("row"))
+    rows = paths.join(own, ["conv", "msg"])
+    ranked = rows.groupBy("conv", "leaf").agg(F.sum("row.score").alias("total"), F.count(F.lit(1)).alias("length"))
+    best = W.partitionBy("conv").orderBy(F.desc_nulls_last("total"), F.desc("length"), "leaf")
+    ranked = ranked.withColumn("branch", F.row_number().over(best)).where(F.col("branch") <= top)
+    rows = rows.join(ranked, ["conv", "leaf"])
+    turn = F.col("length") - 1 - F.col("up")
+    return rows.select(F.col("conv.id").alias("conv_id"), F.col("msg.id").alias("msg_id"), "branch", F.col("leaf.id").alias("leaf_id"), turn.alias("turn"), *(F.col("row")[c].alias(c) for c in held))
 
 
 def format_branches(turns: DataFrame, keys: list[str]) -> DataFrame:
@@ -142,7 +154,8 @@ def chat_query(conversations: DataFrame) -> DataFrame:
     """Contract rows of op10, read back from the formatted conversations.
 
     All conversations plus conversation -7 (a user row, then an assistant row,
-    both with ``PROBE``). No rows for an empty table but that of -7.
+    both with ``PROBE``). No rows for an empty table but that of -7. Rows of a null
+    id are one conversation, with a null id.
     """
     spark = conversations.sparkSession
     extra = spark.range(2).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").cast("bigint").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE).alias("text"))

@@ -73,6 +73,14 @@ def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     return wrapped
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """``name``, with underscores before it until no column of ``taken`` has it, in any case of letters."""
+    lower = {c.lower() for c in taken}
+    while name.lower() in lower:
+        name = f"_{name}"
+    return name
+
+
 #: Ids up to this count are broadcast to a scan (8 bytes each in the table, about 30 in memory); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 

@@ -41,7 +41,7 @@ def shingle_set(text: str | None, hashes: WordHashes, width: int) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, width: int, full: bool) -> DataFrame:
-    """``(doc_id, n, digest, values)``: all hashes, or the ``SKETCH`` smallest."""
+    """``(doc_id, n, node, values)``: all hashes, or the ``SKETCH`` smallest; ``node`` is a hash of the whole set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -55,16 +55,16 @@ def _sets(docs: DataFrame, width: int, full: bool) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([
                     rows.column(0).cast(pa.int64()),
                     pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
+                    pa.array([xxhash.xxh3_64_intdigest(s.tobytes()) >> 1 for s in sets], pa.int64()),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
-                ], names=["doc_id", "n", "digest", "values"])
+                ], names=["doc_id", "n", "node", "values"])
 
-    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id bigint, n bigint, digest binary, values array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id bigint, n bigint, node bigint, values array<bigint>")
 
 
 def _estimated(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     """Pairs whose union's sketch shows at least ``OVERLAP / SKETCH`` common values."""
-    side = lambda c: sketches.select(F.col("doc_id").alias(c), F.col("values").alias(f"s{c}"))
+    side = lambda c: sketches.select(F.col("node").alias(c), F.col("values").alias(f"s{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,7 +83,7 @@ def _estimated(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs with ``100 * intersection >= percent * union`` on their full sets."""
-    side = lambda c: sets.select(F.col("doc_id").alias(c), F.col("values").alias(f"s{c}"))
+    side = lambda c: sets.select(F.col("node").alias(c), F.col("values").alias(f"s{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,7 +102,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _lists(reps: DataFrame, percent: int) -> DataFrame:
-    """Inverted lists ``(value, doc_id, n, central)`` over the rarest retained values of each set.
+    """Inverted lists ``(value, node, n, central)`` over the rarest retained values of each set.
 
     ``central`` is the mean number of sets that retain a value of the set.
 
@@ -110,17 +110,17 @@ def _lists(reps: DataFrame, percent: int) -> DataFrame:
     ``s - o + 1`` in any common order; here rarer values come first, so values of
     boilerplate are indexed only where a set has little else.
     """
-    values = reps.select("doc_id", F.explode("values").alias("value"))
+    values = reps.select("node", F.explode("values").alias("value"))
     shared = values.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     rows = values.join(shared, "value")
-    own = W.partitionBy("doc_id")
+    own = W.partitionBy("node")
     rows = rows.withColumn("place", F.row_number().over(own.orderBy("df", "value"))).withColumns({"n_shared": F.count(F.lit(1)).over(own), "sum_df": F.sum("df").over(own)})
-    sizes = reps.select("doc_id", "n", F.size("values").alias("m"))
-    rows = rows.join(sizes, "doc_id").withColumn("central", (F.col("sum_df") - F.col("n_shared")) / F.col("m") + 1)
+    sizes = reps.select("node", "n", F.size("values").alias("m"))
+    rows = rows.join(sizes, "node").withColumn("central", (F.col("sum_df") - F.col("n_shared")) / F.col("m") + 1)
     # a set that fits its sketch, and its partners too, needs ceil(percent% of n) common values
     exact = F.col("n") * 100 <= F.lit(SKETCH * percent)
     needed = F.when(exact, F.ceil(F.col("n") * percent / 100)).otherwise(F.lit(OVERLAP))
-    return rows.where(F.col("place") + F.col("m") - F.col("n_shared") <= F.col("m") - needed + 1).select("value", "doc_id", "n", "central")
+    return rows.where(F.col("place") + F.col("m") - F.col("n_shared") <= F.col("m") - needed + 1).select("value", "node", "n", "central")
 
 
 def _oriented(pairs: DataFrame, percent: int) -> DataFrame:
@@ -135,7 +135,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     Links join sets with ``100 * intersection >= percent * union``; equal sets
     are one node. ``component_id`` is the smallest ``doc_id`` reached. Rows
     without words (null and empty texts too) are linked with nothing. A null
-    ``doc_id`` has a null component and is kept; repeated ids are one document.
+    ``doc_id`` has a null component and is kept. Rows of one id with different
+    texts are each compared, with their own ``n_shingles``, and belong to one component.
 
     Long inverted lists are never expanded into pairs. Each is first compared to a
     pivot, its most central member, which lists of one group of copies have in
@@ -144,34 +145,47 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     row per linked set: no pair of a list is left out that could join two
     components, and no hot list is gathered in one task.
     """
-    sketched = save(_sets(docs, width, full=False), "sketches").df
-    firsts = sketched.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    member = save(sketched.select("doc_id", "n", "digest").join(firsts, "digest", "left").select("doc_id", "n", "rep"), "members").df
-    reps = save(sketched.join(firsts, [sketched.digest == firsts.digest, sketched.doc_id == firsts.rep], "left_semi").select("doc_id", "n", "values").dropDuplicates(["doc_id"]), "sketch-reps").df
-    lists = save(_lists(reps, percent), "lists").df
-    pivot = F.max_by("doc_id", F.struct("central", -F.col("doc_id"))).alias("pivot")
-    stats = save(lists.groupBy("value").agg(F.count(F.lit(1)).alias("size"), pivot).where("size > 1"), "list-sizes").df
-    short = lists.join(stats.where(F.col("size") <= SHORT_LIST), "value")
-    long = lists.join(stats.where(F.col("size") > SHORT_LIST), "value").select("pivot", "doc_id", "n").distinct()
-    long = save(long, "long-lists").df
-    other = F.col("doc_id").alias("y"), F.col("n").alias("ny")
-    pairs = short.select("value", F.col("doc_id").alias("x"), F.col("n").alias("nx")).join(short.select("value", *other), "value").where("x < y")
-    sizes = reps.select(F.col("doc_id").alias("x"), F.col("n").alias("nx"))
-    to_pivot = long.select(F.col("pivot").alias("x"), *other).join(sizes, "x")
+    sketched = save(_sets(docs, width, full=False), "sketches")
+    member = sketched.df.select("doc_id", "n", "node")
+    able = sketched.df.where("n > 0 AND doc_id IS NOT NULL")
+    # one row of each set, combined before the shuffle: copies have one sketch
+    reps = save(able.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("values").alias("values")), "sketch-reps")
+    firsts = reps.df.select("node", "rep")
+    lists = save(_lists(reps.df, percent), "lists")
+    pivot = F.max_by("node", F.struct("central", "node")).alias("pivot")
+    stats = save(lists.df.groupBy("value").agg(F.count(F.lit(1)).alias("size"), pivot).where("size > 1"), "list-sizes")
+    short = lists.df.join(stats.df.where(F.col("size") <= SHORT_LIST), "value")
+    long = save(lists.df.join(stats.df.where(F.col("size") > SHORT_LIST), "value").select("pivot", "node", "n").distinct(), "long-lists")
+    other = F.col("node").alias("y"), F.col("n").alias("ny")
+    pairs = short.select("value", F.col("node").alias("x"), F.col("n").alias("nx")).join(short.select("value", *other), "value").where("x < y")
+    sizes = reps.df.select(F.col("node").alias("x"), F.col("n").alias("nx"))
+    to_pivot = long.df.select(F.col("pivot").alias("x"), *other).join(sizes, "x")
     pairs = pairs.select("x", "nx", "y", "ny").unionByName(to_pivot.select("x", "nx", "y", "ny"))
-    candidates = save(_estimated(_oriented(pairs, percent), reps), "candidates")
-    # full sets of all documents that any list may still pair
-    wanted = candidates.df.select(F.col("a").alias("doc_id")).union(candidates.df.select("b")).union(long.select("doc_id")).distinct()
-    wanted = bounded(save(wanted, "wanted").df)
-    texts = docs.select("doc_id", "text").where("doc_id IS NOT NULL").join(wanted, "doc_id", "left_semi")
-    sets = save(_sets(texts, width, full=True).dropDuplicates(["doc_id"]).select("doc_id", "values"), "sets").df
-    links = save(_verified(candidates.df, sets, percent), "links").df
-    found = components(links)
-    more = save(_tiled(long, found.df, sets, percent), "tile-links")
-    if not more.df.isEmpty():
-        found = components(links.unionByName(more.df.toDF("a", "b")))
-    answer = member.join(found.df.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    whole = F.coalesce("component", "rep", "doc_id")
+    candidates = save(_estimated(_oriented(pairs, percent), reps.df), "candidates")
+    # full sets of all nodes that any list may still pair
+    wanted = candidates.df.select(F.col("a").alias("node")).union(candidates.df.select("b")).union(long.df.select("node")).distinct()
+    wanted = save(wanted.join(firsts, "node"), "wanted")
+    ids, nodes = bounded(wanted.df.select(F.col("rep").alias("doc_id"))), bounded(wanted.df.select("node"))
+    texts = docs.select("doc_id", "text").where("doc_id IS NOT NULL").join(ids, "doc_id", "left_semi")
+    sets = _sets(texts, width, full=True).join(nodes, "node", "left_semi")
+    sets = save(sets.dropDuplicates(["node"]).select("node", "values"), "sets")
+    links = save(_verified(candidates.df, sets.df, percent), "links")
+    found = components(links.df)
+    more = save(_tiled(long.df, found.df, sets.df, percent), "tile-links")
+    # rows of one id hold together
+    least = able.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("doc_id", "a")
+    least = save(least, "repeated")
+    again = able.join(bounded(least.df), "doc_id").where("a != node").select("a", F.col("node").alias("b"))
+    if not (more.df.isEmpty() and least.df.isEmpty()):
+        found.drop()
+        found = components(links.df.unionByName(more.df.toDF("a", "b")).unionByName(again))
+    for table in (lists, stats, long, candidates, wanted, sets, links, more):
+        table.drop()
+    named = found.df.join(firsts, "node")
+    smallest = named.groupBy("component").agg(F.min("rep").alias("smallest"))
+    named = named.join(smallest, "component").select("node", "smallest")
+    answer = member.join(firsts.join(named, "node", "left"), "node", "left")
+    whole = F.when(F.col("doc_id").isNotNull(), F.coalesce("smallest", F.when(F.col("n") > 0, F.col("rep")), "doc_id"))
     return answer.select("doc_id", F.col("n").alias("n_shingles"), whole.alias("component_id"), F.coalesce(F.col("doc_id") == whole, F.lit(True)).alias("kept"))
 
 
@@ -208,21 +222,23 @@ def _tile_links(ids: np.ndarray, sets: list[np.ndarray], component: np.ndarray,
 
 
 def _tiled(long: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``(doc_id, other)`` links between a pivot's members of different components."""
-    comp = found.select(F.col("node").alias("doc_id"), "component")
-    rows = long.select("pivot", "doc_id").join(comp, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    base = rows.where("doc_id = pivot").select("pivot", F.col("component").alias("base"))
+    """``(node, other)`` links between a pivot's members of different components."""
+    comp = found.select(F.col("node").alias("node"), "component")
+    rows = long.select("pivot", "node").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    base = rows.where("node = pivot").select("pivot", F.col("component").alias("base"))
     rows = rows.join(base, "pivot").withColumn("open", F.col("component") != F.col("base"))
     counts = rows.groupBy("pivot").agg(F.count_if("open").alias("n_open"), F.count_if(~F.col("open")).alias("n_shut")).where("n_open > 0")
     rows = rows.join(counts, "pivot")
     n_open, n_shut = (F.ceil(F.col(c) / TILE).cast("int") for c in ("n_open", "n_shut"))
-    own = F.xxhash64("doc_id")
+    own = F.xxhash64("node")
     tile = F.when(F.col("open"), F.pmod(own, n_open)).otherwise(n_open + F.pmod(own, n_shut)).cast("int")
     to = F.sequence(F.lit(0), F.when(F.col("open"), n_open + n_shut).otherwise(n_open) - 1)
-    rows = rows.select("pivot", "doc_id", "component", tile.alias("tile"), F.explode(to).alias("with"))
+    rows = rows.select("pivot", "node", "component", tile.alias("tile"), F.explode(to).alias("with"))
     keys = ["pivot", "row_tile", "col_tile"]
-    rows = rows.select("pivot", F.least("tile", "with").alias("row_tile"), F.greatest("tile", "with").alias("col_tile"), "tile", "doc_id", "component")
-    rows = rows.join(sets, "doc_id").repartition(*keys).sortWithinPartitions(*keys)
+    rows = rows.select("pivot", F.least("tile", "with").alias("row_tile"), F.greatest("tile", "with").alias("col_tile"), "tile", "node", "component")
+    spark = sets.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)  # a number, or few rows of much work would be dealt to one task
+    rows = rows.join(sets, "node").repartition(parts, *keys).sortWithinPartitions(*keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def links(part: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -230,8 +246,8 @@ def _tiled(long: DataFrame, found: DataFrame, sets: DataFrame, percent: int) ->
             low, high = (np.nonzero(tile == part.column(c)[0].as_py())[0] for c in ("row_tile", "col_tile"))
             if len(part) > 1 and len(low) and len(high):
                 values = [v for c in part.column("values").chunks for v in np.split(c.flatten().to_numpy(), np.cumsum(c.value_lengths().to_numpy())[:-1])]
-                ids, other = _tile_links(part.column("doc_id").to_numpy(), values, part.column("component").to_numpy(), low, high, percent)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(other)], names=["doc_id", "other"])
+                ids, other = _tile_links(part.column("node").to_numpy(), values, part.column("component").to_numpy(), low, high, percent)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(other)], names=["node", "other"])
 
         held: list[pa.Table] = []
         for batch in batches:
@@ -249,7 +265,7 @@ def _tiled(long: DataFrame, found: DataFrame, sets: DataFrame, percent: int) ->
         if held:
             yield from links(pa.concat_tables(held))
 
-    return rows.mapInArrow(tidy(run), "doc_id bigint, other bigint")
+    return rows.mapInArrow(tidy(run), "node bigint, other bigint")
 
 
 def near_dup_query(documents: DataFrame) -> DataFrame:

@@ -19,8 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from clademill.llm.common import fold, tidy
+from clademill.llm.common import fold, fresh, save, tidy
 
 #: Bounds of the training sample: labelled rows, and code points of their whole texts.
 MAX_TRAINING_ROWS = 8_000
@@ -198,14 +199,17 @@ def training_sample(documents: DataFrame, labels: DataFrame, held_out: int = 0)
     marked = marked.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     marked = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_TRAINING_ROWS)
     texts = documents.where(F.col("text").isNotNull()).select("doc_id", "text")
-    rows = texts.join(F.broadcast(marked), "doc_id")
-    taken, out, chars = set(), ([], []), 0
-    for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id", F.desc("text")).toLocalIterator():
-        if r.doc_id not in taken and chars < MAX_TRAINING_CHARS:
-            taken.add(r.doc_id)
-            chars += len(r.text)
-            out[0].append(r.text)
-            out[1].append(int(r.toxic > 0))
+    rows = texts.join(F.broadcast(marked), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic"))
+    rows = save(rows, "sample")  # bounded by the labels' side
+    along = W.orderBy("at", "doc_id").rowsBetween(W.unboundedPreceding, -1)
+    sizes = rows.df.select("doc_id", F.xxhash64("doc_id").alias("at"), F.length("text").cast("bigint").alias("size"))
+    taken = sizes.withColumn("before", F.coalesce(F.sum("size").over(along), F.lit(0))).where(F.col("before") < MAX_TRAINING_CHARS)
+    chosen = rows.df.join(F.broadcast(taken.select("doc_id", "at")), "doc_id").orderBy("at", "doc_id")
+    out: tuple[list[str], list[int]] = ([], [])
+    for r in chosen.select("text", "toxic").toLocalIterator():
+        out[0].append(r.text)
+        out[1].append(int(r.toxic > 0))
+    rows.drop()
     return out
 
 
@@ -214,14 +218,14 @@ def fit_from_tables(documents: DataFrame, labels: DataFrame, held_out: int = 0)
     return fit(*training_sample(documents, labels, held_out))
 
 
-def score_documents(docs: DataFrame, model: ToxicityModel, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """All columns of ``docs`` and ``score`` (0 to 1), in one pass.
+def score_documents(docs: DataFrame, model: ToxicityModel, text_column: str = "text", score_column: str = "score") -> DataFrame:
+    """All columns of ``docs`` and ``score_column`` (0 to 1), in one pass.
 
     Null and empty texts get the score of a text without features. The model has
-    a bounded number of weights and travels with the task. Columns named
-    ``score`` are replaced.
+    a bounded number of weights and travels with the task. A column of ``docs`` that
+    has the score's name is replaced.
     """
-    docs = docs.drop("score")
+    docs = docs.drop(score_column)
     at = docs.columns.index(text_column)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
@@ -229,9 +233,9 @@ def score_documents(docs: DataFrame, model: ToxicityModel, id_column: str = "doc
         seen: dict[str, tuple] = {}
         for batch in batches:
             scores = pa.array([model.score(t.as_py(), seen) for t in batch.column(at)], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*batch.schema.names, score_column])
 
-    return docs.mapInArrow(tidy(run), f"{schema}, score double")
+    return docs.mapInArrow(tidy(run), f"{schema}, `{score_column}` double")
 
 
 def toxicity_query(documents: DataFrame, labels: DataFrame) -> DataFrame:
@@ -242,6 +246,6 @@ def toxicity_query(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that score below ``threshold``; columns as given."""
-    columns = docs.columns
-    return score_documents(docs, model).where(F.col("score") < threshold).select(*columns)
+    """The rows of ``docs`` that score below ``threshold``; all columns as given, one named ``score`` too."""
+    columns, score = docs.columns, fresh("score", docs.columns)
+    return score_documents(docs, model, score_column=score).where(F.col(score) < threshold).select(*columns)
