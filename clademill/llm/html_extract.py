@@ -2,7 +2,8 @@
 
 Every page's containers are scored; pages of a host vote, in Spark, on the
 generalised tag-class path of their best container; each page is then extracted
-again from the container at its host's winning path.
+again from the container at its host's winning path. Names of classes are evidence
+that is weighed against the text an element holds; they never remove an article.
 """
 
 from __future__ import annotations
@@ -10,129 +11,287 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from clademill.llm.common import tidy
+from clademill.llm.common import BROADCAST_IDS, save, tidy
 
 # Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes plaintext".split())
-#: Elements whose content is never main text.
-DROPPED = frozenset("script style noscript template head title nav footer aside form button select option textarea input iframe svg math canvas object embed audio video dialog menu map xmp noembed noframes label datalist".split())
+#: Elements whose content is never main text; a form may wrap a whole page and is weighed.
+DROPPED = frozenset("script style noscript template head title nav footer aside form button select option textarea input iframe svg canvas object embed audio video dialog menu map xmp noembed noframes label datalist".split())
 #: Elements that begin and end a block of text.
 BLOCKS = frozenset("html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 #: Open elements that a start tag closes, up to the nearest scope element.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}, "thead": {"table"}, "tbody": {"table"}, "tfoot": {"table"}}
-CONTAINERS = frozenset("body article main section div td".split())
-
-TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
-ATTRIBUTE = re.compile(r"""(?<![^\s"'/])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
-#: Words in class, id or role that mark content beside the article.
-BESIDE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adbox|adslot|sponsor\w*|promo\w*|banner\w*|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|nav|navbar|navigation|menu\w*|breadcrumbs?|sidebar\w*|side|aside|footer|foot|masthead|site-?header|page-?header|topbar|share|sharing|social|related|recommend\w*|newsletter|subscribe\w*|signup|login|comments?|commentlist|replies|respond|disqus|widgets?|pagination|pager|toolbar|search\w*|copyright|legal|skip-?link|complementary|contentinfo|search)(?:$|[\s_-])",
-    re.IGNORECASE,
-)
-GOOD = re.compile(r"(?:^|[\s_-])(?:article|content|main|post|entry|story|body|text|page)(?:$|[\s_-])", re.IGNORECASE)
+MARKED = frozenset(x for d in (CLOSES, SCOPES) for s in d.values() for x in s)
+CONTAINERS = frozenset(["", *"body article main section div td form".split()])  # the page itself where it names no body
+
+#: Where markup begins; any other "<" is text.
+MARKUP = re.compile(r"<(?:/?[a-zA-Z]|[!?/])")
+#: A tag by the rules for attributes. All repeats are possessive, so a match takes linear time.
+TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+)?+)?+)*+)>""")
+ATTRIBUTE = re.compile(r"""[\s/]*+([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>][^\s>]*+))?+)?+""")
+NAMED = re.compile(r"class|id|role|hidden|style", re.IGNORECASE)
+ENDS = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)", re.IGNORECASE | re.ASCII) for t in RAW}
+#: Words of class, id and role names that speak for content beside the article, of which some for readers' comments.
+BESIDE = re.compile(r"ads?|advert\w*|adbox|adslot|sponsor\w*|promo\w*|banner\w*|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|nav|navbar|navigation|menu\w*|breadcrumbs?|sidebar\w*|side|aside|footer|foot|masthead|siteheader|pageheader|topbar|share|sharing|social|related|recommend\w*|newsletter|subscribe\w*|signup|login|widgets?|pagination|pager|toolbar|search\w*|copyright|legal|skiplink|complementary|contentinfo")
+COMMENT = re.compile(r"comments?|commentlist|replies|respond|disqus")
+GOOD = re.compile(r"article|content|main|post|entry|story|body|text")
+#: Names that tell of a state or a layout, such as ``has-sidebar`` or ``comments-open``.
+STATE = re.compile(r"(?:has|no|with|without|is|show|hide|supports)[-_].*|.*[-_](?:open|closed|enabled|disabled|on|off|visible|active|left|right|layout)")
+PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
+PAIRED = re.compile(r"(?i)(site|page)[-_]?(header)|(skip)[-_]?(link)")
+HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 DIGITS = re.compile(r"\d+")
 SPACE = re.compile(r"[\s\xa0]+")
+#: Shares of a page's text: what an element with names of both kinds, one with a heading, and any other must hold to stay against its names.
+MIXED, HEADED, MOST, THREAD = 0.15, 0.25, 0.5, 0.9
+
+
+class Names:
+    """What an element's attributes tell: its generalised classes, and evidence for and against."""
+
+    __slots__ = ("bad", "comment", "general", "good", "hidden")
+
+    def __init__(self, attributes: str):
+        self.general, self.hidden = "", False
+        self.bad = self.comment = self.good = 0
+        if not NAMED.search(attributes):
+            return
+        seen: set[str] = set()
+        for m in ATTRIBUTE.finditer(attributes):
+            name, value = m[1].lower(), html.unescape(m[2] or m[3] or m[4] or "")
+            if name in seen:  # the first of an attribute holds
+                continue
+            seen.add(name)
+            if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and HIDDEN.search(value):
+                self.hidden = True
+            elif name in ("class", "id", "role"):
+                words = value.split()
+                if name == "class":
+                    self.general = "".join(f".{DIGITS.sub('#', c.lower())}" for c in sorted(set(words)))
+                for word in words:
+                    self._weigh(word)
+
+    def _weigh(self, name: str) -> None:
+        if STATE.fullmatch(name.lower()):
+            return
+        parts = [x.lower() for x in PARTS.findall(PAIRED.sub(lambda m: "".join(x.lower() for x in m.groups() if x), name))]
+        if any(COMMENT.fullmatch(x) for x in parts):
+            self.comment += 1
+        elif any(BESIDE.fullmatch(x) for x in parts):
+            self.bad += 1
+        elif any(GOOD.fullmatch(x) for x in parts):
+            self.good += 1
 
 
-@dataclass
 class Node:
-    """One element: its generalised path and its direct parts in page order."""
-
-    tag: str
-    path: str
-    beside: bool
-    good: bool
-    parent: Node | None
-    parts: list = field(default_factory=list)
-
-
-def _names(attributes: str) -> tuple[str, bool, list[str]]:
-    """class, id and role words, whether the element is hidden, and class words alone."""
-    if not attributes or attributes.isspace():
-        return "", False, []
-    words, hidden, classes = [], False, []
-    for m in ATTRIBUTE.finditer(attributes):
-        name = m[1].lower()
-        value = html.unescape(m[2] or m[3] or m[4] or "")
-        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.IGNORECASE):
-            hidden = True
-        elif name in ("class", "id", "role"):
-            words.append(value)
-            if name == "class":
-                classes = value.split()
-    return " ".join(words), hidden, classes
-
-
-def parse(source: str) -> Node:
-    """The element tree of a page, tolerant of unclosed, stray and cut-off tags."""
-    root = Node("", "", False, False, None)
-    node, at = root, 0
-    position = TOKEN.search
-    while True:
-        m = position(source, at)
-        text = source[at : m.start() if m else len(source)]
-        if text:
-            node.parts.append(text if m or "<" not in text else re.sub(r"<[a-zA-Z/!][^<]*\Z", "", text))
-        if not m:
-            break
-        at = m.end()
-        tag = (m[2] or "").lower()
-        if not tag:
-            continue
-        if m[1]:
-            up = node
-            while up is not root and up.tag != tag:
-                up = up.parent
-            if up is not root:
-                node = up.parent
-            elif tag == "br" or tag == "p":
-                node.parts.append(Node(tag, node.path, False, False, node))
-            continue
-        # start tags that end open elements
-        if tag in BLOCKS or tag == "p":
-            up = node
-            while up is not root and up.tag not in BLOCKS:
-                up = up.parent
-            if up.tag == "p":
-                node = up.parent
-        if tag in CLOSES:
-            up = node
-            closed = None
-            while up is not root and up.tag not in SCOPES[tag]:
-                if up.tag in CLOSES[tag]:
-                    closed = up
-                up = up.parent
-            if closed is not None:
-                node = closed.parent
-        words, hidden, classes = _names(m[3])
-        general = tag + "".join(f".{DIGITS.sub('#', c.lower())}" for c in sorted(set(classes)))
-        child = Node(tag, f"{node.path}/{general}", hidden or bool(words and BESIDE.search(words)), bool(words and GOOD.search(words)), node)
+    """One element: its direct parts in page order, and measures of what it holds."""
+
+    __slots__ = ("block", "core", "depth", "gone", "inside", "links", "main", "marks", "names", "parent", "parts", "path", "tag", "text")
+
+    def __init__(self, tag: str, path: int, names: Names, parent: Node | None):
+        self.tag, self.path, self.names, self.parent, self.parts = tag, path, names, parent, []
+        self.text = self.links = self.core = self.main = 0
+        self.gone = self.inside = False
+        if parent is None:
+            self.depth, self.block, self.marks = 0, self, {}
+            return
+        self.depth = parent.depth + 1
+        self.block = self if tag in BLOCKS else parent.block
+        self.marks = {**parent.marks, tag: self} if tag in MARKED else parent.marks
+
+
+class Page:
+    """The element tree of a page, tolerant of unclosed, stray and cut-off tags.
+
+    Linear in the page: nothing scans the open elements but what it closes, and a
+    path is a hash of the parent's path and the element's tag and classes.
+    """
+
+    #: Attribute strings whose names are remembered by a worker.
+    MEMO = 20_000
+    _known: dict[str, Names] = {}
+
+    def __init__(self, source: str):
+        self.root = Node("", 0, Names(""), None)
+        self.nodes = [self.root]
+        self._parse(source)
+        self._measure()
+
+    def _named(self, attributes: str) -> Names:
+        found = self._known.get(attributes)
+        if found is None:
+            if len(self._known) >= self.MEMO:
+                self._known.clear()
+            found = self._known[attributes] = Names(attributes)
+        return found
+
+    def _child(self, node: Node, tag: str, attributes: str) -> Node:
+        names = self._named(attributes)
+        child = Node(tag, xxhash.xxh3_64_intdigest(f"{tag}{names.general}".encode("utf-8", "replace"), node.path) >> 1, names, node)
         node.parts.append(child)
-        if tag in VOID or m[3].endswith("/") and tag not in BLOCKS and tag not in RAW:
-            continue
-        if tag in RAW:
-            found = re.compile(f"</{tag}", re.IGNORECASE | re.ASCII).search(source, at)
-            end = found.start() if found else -1
-            child.parts.append(source[at : end if end >= 0 else len(source)])
-            close = source.find(">", end) if end >= 0 else -1
-            at = close + 1 if close >= 0 else len(source)
-            continue
-        node = child
-    return root
+        self.nodes.append(child)
+        return child
 
+    def _parse(self, source: str) -> None:
+        node, at, size = self.root, 0, len(source)
+        opened: dict[str, int] = {}  # open elements by tag
 
-def _dropped(node: Node, inside: bool) -> bool:
-    """Whether an element is beside the article; a page's header is, an article's own is not."""
-    return node.tag in DROPPED or node.beside and not node.tag == "body" or node.tag == "header" and not inside
+        def up_to(to: Node) -> Node:
+            nonlocal node
+            while node is not to:
+                opened[node.tag] -= 1
+                node = node.parent
+            return to
+
+        while at < size:
+            m = MARKUP.search(source, at)
+            text = source[at : m.start() if m else size]
+            if text:
+                node.parts.append(text)
+            if not m:
+                return
+            at = m.start()
+            tag = TAG.match(source, at) if m[0][-1].isalpha() else None
+            if tag is None:
+                if m[0][-1].isalpha():
+                    return  # a tag that the page's end cuts off
+                close = "-->" if source.startswith("<!--", at) else ">"
+                end = source.find(close, at + 2)
+                if end < 0:
+                    return
+                at = end + len(close)
+                continue
+            at, name, attributes = tag.end(), tag[2].lower(), tag[3]
+            if tag[1]:
+                if opened.get(name):
+                    up = node
+                    while up.tag != name:
+                        up = up.parent
+                    up_to(up.parent)
+                elif name in ("br", "p"):
+                    self._child(node, name, "")
+                continue
+            # start tags that end open elements
+            if name in BLOCKS and node.block.tag == "p":
+                up_to(node.block.parent)
+            if name in CLOSES:
+                floor = max((node.marks[t].depth for t in SCOPES[name] if t in node.marks), default=-1)
+                ends = [node.marks[t] for t in CLOSES[name] if t in node.marks and node.marks[t].depth > floor]
+                if ends:
+                    up_to(min(ends, key=lambda x: x.depth).parent)
+            child = self._child(node, name, attributes)
+            if name in VOID or attributes.endswith("/") and name not in BLOCKS and name not in RAW:
+                continue
+            if name in RAW:
+                end = ENDS[name].search(source, at) if name != "plaintext" else None
+                child.parts.append(source[at : end.start() if end else size])
+                close = source.find(">", end.end()) if end else -1
+                at = close + 1 if close >= 0 else size
+                continue
+            node = child
+            opened[name] = opened.get(name, 0) + 1
+
+    def _measure(self) -> None:
+        """Text, link text and cores below every element; then, from the top, what is beside the article."""
+        for node in reversed(self.nodes):
+            text = sum(len(x) - x.count(" ") - x.count("\n") for x in node.parts if isinstance(x, str))
+            node.text += text
+            if node.tag == "a":
+                node.links = node.text
+            elif node.tag in ("article", "h1"):
+                node.core += 1
+            elif node.tag == "main":
+                node.core, node.main = node.core + 1, node.main + 1
+            up = node.parent
+            if up is not None and not node.names.hidden and (node.tag == "form" or node.tag not in DROPPED):
+                up.text += node.text
+                up.links += node.links
+                up.core += node.core
+                up.main += node.main
+        for node in self.nodes[1:]:
+            up = node.parent
+            node.gone = up.gone or self._beside(node, up.inside)
+            node.inside = up.inside or node.tag in ("article", "main")
+
+    def _beside(self, node: Node, inside: bool) -> bool:
+        """Whether an element is beside the article; a page's header is, an article's own is not."""
+        names, tag, whole = node.names, node.tag, self.root
+        if names.hidden or tag in DROPPED and tag != "form":
+            return True
+        if not (names.bad or names.comment or tag == "form" or tag == "header" and not inside):
+            return False
+        if tag in ("html", "body", "main"):
+            return False
+        if tag == "article" and (not inside or names.good):
+            return False
+        share = node.text / whole.text if whole.text else 0.0
+        linked = node.links / node.text if node.text else 1.0
+        if node.main or share >= THREAD:
+            return False
+        if names.comment and not names.bad:
+            return not (node.core and node.core == whole.core and share >= HEADED and names.good)
+        if share >= MOST and linked < 0.5 and node.core == whole.core:
+            return False
+        if node.core and share >= HEADED and linked < 0.5:
+            return False
+        return not (names.good and share >= MIXED and linked < 0.3)
+
+    def containers(self) -> list[tuple[Node, float]]:
+        """Containers with scores: own and near text, less links, by tag and names.
+
+        A paragraph counts for its parent in full and for the grandparent by half.
+        """
+        own: dict[int, list] = {}  # by the block's number: its text and link text through inline elements
+        link: set[int] = set()
+        scores: dict[int, tuple[Node, float]] = {}
+        over: dict[int, Node | None] = {}  # the nearest container at or above a node
+        for node in self.nodes:
+            up = node.parent
+            over[id(node)] = node if node.tag in CONTAINERS else over[id(up)] if up is not None else None
+            if node.gone:
+                continue
+            if node.tag == "a" or up is not None and id(up) in link and node.tag not in BLOCKS:
+                link.add(id(node))
+            text = sum(len(x) - x.count(" ") for x in node.parts if isinstance(x, str))
+            if text:
+                got = own.setdefault(id(node.block), [node.block, 0, 0])
+                got[1] += text
+                got[2] += text if id(node) in link else 0
+        for block, text, links in own.values():
+            if text <= 2 * links:
+                continue
+            at = block if block.tag in CONTAINERS else block.parent
+            for share in (1.0, 0.5):
+                at = over[id(at)] if at is not None else None
+                if at is None:
+                    break
+                scores[id(at)] = (at, scores.get(id(at), (at, 0.0))[1] + share * (text - 2 * links))
+                at = at.parent
+        bonus = {"article": 1.6, "main": 1.4}
+        return [(n, s * bonus.get(n.tag, 1.2 if n.names.good else 1.0) * (0.9 if n.tag in ("", "body") else 1.0)) for n, s in scores.values()]
+
+    def best(self) -> tuple[Node | None, float]:
+        """A page's best container and its score, the first of the page on ties."""
+        return max(self.containers(), key=lambda x: x[1], default=(None, 0.0))
+
+    def at(self, path: int) -> list[Node]:
+        """The outermost elements with the path, in page order."""
+        out, below = [], set()
+        for node in self.nodes:
+            if node.parent is not None and id(node.parent) in below:
+                below.add(id(node))
+            elif node.path == path and not node.gone:
+                out.append(node)
+                below.add(id(node))
+        return out
 
 
 def blocks_of(top: Node) -> list[str]:
@@ -148,9 +307,9 @@ def blocks_of(top: Node) -> list[str]:
             line.clear()
 
     # depth first without recursion, since pages may nest deeply
-    stack: list = [(iter(top.parts), True, top.tag in ("article", "main"))]
+    stack: list = [(iter(top.parts), True)]
     while stack:
-        parts, block, inside = stack[-1]
+        parts, block = stack[-1]
         for part in parts:
             if isinstance(part, str):
                 line.append(part)
@@ -158,16 +317,13 @@ def blocks_of(top: Node) -> list[str]:
             if part.tag in ("br", "wbr"):
                 line.append(" " if part.tag == "br" else "")
                 continue
-            if _dropped(part, inside):
-                if part.tag in BLOCKS:
-                    flush()
-                else:
-                    line.append(" ")
-                continue
             is_block = part.tag in BLOCKS
+            if part.gone:
+                flush() if is_block else line.append(" ")
+                continue
             if is_block:
                 flush()
-            stack.append((iter(part.parts), is_block, inside or part.tag in ("article", "main")))
+            stack.append((iter(part.parts), is_block))
             break
         else:
             if block:
@@ -177,83 +333,30 @@ def blocks_of(top: Node) -> list[str]:
     return out
 
 
-def _containers(root: Node) -> list[tuple[Node, float]]:
-    """Containers with scores: own and near text, less links, by tag and names.
-
-    A paragraph counts for its parent in full and for the grandparent by half.
-    """
-    own: dict[int, tuple[Node, float]] = {}
-
-    def give(node: Node | None, score: float) -> None:
-        for share in (1.0, 0.5):
-            while node is not None and node.tag not in CONTAINERS:
-                node = node.parent
-            if node is None:
-                return
-            was = own.get(id(node), (node, 0.0))[1]
-            own[id(node)] = (node, was + share * score)
-            node = node.parent
-
-    stack: list[tuple[Node, bool]] = [(root, False)]
-    while stack:
-        node, inside = stack.pop()
-        text = links = 0
-        inner: list[tuple[Node, bool]] = [(node, False)]
-        while inner:  # the text directly in this block, through inline elements
-            part, in_link = inner.pop()
-            for x in part.parts:
-                if isinstance(x, str):
-                    n = len(x) - x.count(" ")
-                    text += n
-                    links += n * in_link
-                elif x.tag in BLOCKS or _dropped(x, inside):
-                    if not _dropped(x, inside):
-                        stack.append((x, inside or x.tag in ("article", "main")))
-                else:
-                    inner.append((x, in_link or x.tag == "a"))
-        if text > 2 * links:
-            at = node if node.tag in CONTAINERS else node.parent
-            give(at, float(text - 2 * links))
-    bonus = {"article": 1.6, "main": 1.4}
-    return [(n, s * bonus.get(n.tag, 1.2 if n.good else 1.0) * (0.9 if n.tag == "body" else 1.0)) for n, s in own.values()]
-
-
-def best_path(root: Node) -> tuple[str, float]:
-    """Path and score of a page's best container, the first on ties; empty if it has none."""
-    found = _containers(root)
-    if not found:
-        return "", 0.0
-    node, score = max(found, key=lambda x: x[1])
-    return node.path, score
-
-
-def _at(root: Node, path: str) -> list[Node]:
-    """The outermost elements with the path, in page order."""
-    out, stack = [], [root]
-    while stack:
-        node = stack.pop()
-        if node.path == path:
-            out.append(node)
-            continue
-        stack.extend(p for p in reversed(node.parts) if not isinstance(p, str) and path.startswith(p.path))
-    return out
+def best_path(source: str) -> tuple[int | None, float]:
+    """Path and score of a page's best container, the first on ties; null if it has none."""
+    node, score = Page(source).best()
+    return (None if node is None else node.path), score
 
 
-def extract(source: str | None, path: str | None = None) -> str:
+def extract(source: str | None, path: int | None = None) -> str:
     """Main text of a page from the containers at ``path``, or from its own best container.
 
-    A path that the page lacks, or at which it has no text, falls back to its own
-    best container and then to the whole body. Blocks are joined by line feeds.
+    A path that the page lacks falls back to its own best container and then to the
+    whole body; so does one at which it has less than half of its text, where that
+    gives more. Blocks are joined by line feeds.
     """
     if not source:
         return ""
-    root = parse(source)
-    for candidate in (path, None):
-        where = candidate if candidate else best_path(root)[0]
-        text = "\n".join(b for n in (_at(root, where) if where else []) for b in blocks_of(n))
-        if text:
-            return text
-    return "\n".join(blocks_of(root))
+    page = Page(source)
+    told = lambda nodes: "\n".join(b for n in nodes for b in blocks_of(n))
+    where = page.at(path) if path is not None else []
+    text = told(where)
+    if text and sum(n.text for n in where) * 2 >= page.root.text:
+        return text
+    node, _ = page.best()
+    own = told([node]) if node is not None else ""
+    return max(text, own, key=len) or told([page.root])
 
 
 def host_of(url: str):
@@ -263,34 +366,42 @@ def host_of(url: str):
 
 
 def winning_paths(pages: DataFrame) -> DataFrame:
-    """``(host, path, votes)``: per host the path most pages vote for; then the higher score, then the path.
+    """``(host, path, votes, pages)``: per host the path most pages vote for; then the higher score, then the path.
 
     Votes are counted before anything is ranked, so a host with any number of
-    pages gives one row per path.
+    pages gives one row per path. ``path`` is the hash of a generalised path.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            best = [best_path(parse(h.as_py())) if h.is_valid and h.as_py() else ("", 0.0) for h in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([p for p, _ in best]), pa.array([s for _, s in best], pa.float64())], names=["host", "path", "score"])
+            best = [best_path(h.as_py()) if h.is_valid and h.as_py() else (None, 0.0) for h in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([p for p, _ in best], pa.int64()), pa.array([s for _, s in best], pa.float64())], names=["host", "path", "score"])
 
-    votes = pages.select(host_of("url").alias("host"), "html").mapInArrow(tidy(run), "host string, path string, score double")
-    counted = votes.where("path != ''").groupBy("host", "path").agg(F.count(F.lit(1)).alias("votes"), F.max("score").alias("score"))
-    ranked = counted.withColumn("r", F.row_number().over(W.partitionBy("host").orderBy(F.desc("votes"), F.desc("score"), "path")))
-    return ranked.where("r = 1").select("host", "path", "votes")
+    votes = pages.select(host_of("url").alias("host"), "html").mapInArrow(tidy(run), "host string, path bigint, score double")
+    counted = votes.where("path IS NOT NULL").groupBy("host", "path").agg(F.count(F.lit(1)).alias("votes"), F.max("score").alias("score"))
+    best = F.max_by("path", F.struct("votes", "score", "path"))
+    return counted.groupBy("host").agg(best.alias("path"), F.max("votes").alias("votes"), F.sum("votes").alias("pages"))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """``(page_id, url, text)`` for every row of ``pages``.
 
     Null and empty pages give the empty text; a null url has the empty host;
-    repeated rows are answered each. The table of winning paths has one row per
-    host; where it outgrows Spark's broadcast limit the join shuffles pages by
-    host, and Spark splits the partitions of hot hosts.
+    repeated rows are answered each; other columns are not read. The winning paths
+    go to a table of one row per host. Up to ``BROADCAST_IDS`` hosts it is broadcast
+    and no page is shuffled; beyond, those of the most pages are broadcast, and only
+    pages of the others are shuffled by host.
     """
     page_id = pages.schema["page_id"].dataType.simpleString()
+    winners = save(winning_paths(pages), "winning-paths").df
     keyed = pages.select("page_id", "url", "html", host_of("url").alias("host"))
-    joined = keyed.join(winning_paths(pages), "host", "left")
+    if winners.count() <= BROADCAST_IDS:
+        joined = keyed.join(F.broadcast(winners.select("host", "path")), "host", "left")
+    else:
+        large = save(winners.orderBy(F.desc("pages"), "host").limit(BROADCAST_IDS), "large-hosts").df
+        small = winners.join(large, "host", "left_anti").select("host", "path")
+        named = keyed.join(F.broadcast(large.select("host", "path")), "host", "left")
+        joined = named.where("path IS NOT NULL").unionByName(named.where("path IS NULL").drop("path").join(small, "host", "left"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

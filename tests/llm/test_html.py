@@ -1,0 +1,72 @@
+"""Main text: names of classes weighed against text, markup by the rules, linear time and memory."""
+
+import resource
+import time
+
+import pytest
+
+from clademill.llm import html_extract
+from clademill.llm.html_extract import extract
+
+TEXT = "Words of the article that are long enough to matter. " * 6
+OTHER = "Some of what stands beside it, told at length. " * 4
+
+
+@pytest.mark.parametrize(
+    "wrap",
+    ['<article class="post comments-open">{}</article>', '<div class="site-main has-sidebar">{}</div>', '<div class="content no-sidebar">{}</div>', '<article class="article related-article">{}</article>',
+     '<div class="sidebar-layout"><div class="post sidebar-right">{}</div></div>', '<form id="aspnetForm"><div>{}</div></form>', '<div class="menuPage">{}</div>', '<main class="widget">{}</main>', '<section class="banner"><h1></h1>{}</section>'],
+)
+def test_articles_stay(wrap):
+    page = f"<body><nav>menu</nav><p class=notice>We use cookies</p>{wrap.format(f'<p>{TEXT}</p>')}<footer>end</footer></body>"
+    assert extract(page) == TEXT.strip()
+
+
+@pytest.mark.parametrize(
+    "beside",
+    ['<div class="comments"><p>{}</p></div>', '<section id="disqus_thread"><article class="comment"><p>{}</p></article></section>', '<div class="sidebar"><p>{}</p></div>', '<div class="related-posts"><p>{}</p></div>', '<aside>{}</aside>',
+     '<div hidden><p>{}</p></div>', '<div style="display: none">{}</div>', '<div aria-hidden=true>{}</div>', '<form>{}</form>', '<div role=complementary>{}</div>', '<div class="cookie-consent">{}</div>', "<noscript>{}</noscript>", '<div class="siteHeader">{}</div>'],
+)
+def test_what_is_beside_goes(beside):
+    page = f"<body><article><h1>Title</h1><p>{TEXT}</p>{beside.format(OTHER)}</article>{beside.format(OTHER)}</body>"
+    assert extract(page) == f"Title\n{TEXT.strip()}"
+
+
+def test_markup_by_the_rules():
+    assert extract("<p title=don't>one</p><p>two isn't</p>") == "one\ntwo isn't"
+    assert extract("<p>let <math><mi>x</mi><mo>=</mo></math> be 1 < 2 and a<!-- c > d -->b") == "let x= be 1 < 2 and ab"
+    assert extract('<p a="x>y" b=\'<p>\' c = "z"class=e>in</p><?php > ?><p>more</>end</p>') == "in\n?>\nmoreend"
+    assert extract('<p title="never closed>one</p><p>two</p>') == "one\ntwo"
+    assert extract("<script>if (a</b>) '<p>'</scripty></SCRIPT ><p>x&nbsp;&#x41;&eacute;\t \n y<p>cut <b") == "x Aé y\ncut"
+    assert extract("<ul><li>a<ul><li>b<li>c</ul><li>d</ul><table><tr><td>1<td>2<tr><th>3</table>") == "a\nb\nc\nd\n1\n2\n3"
+
+
+def test_a_host_path_that_holds_little_of_a_page_does_not_hide_its_article():
+    host = html_extract.best_path(f"<body><div class=post><p>{TEXT}</p></div></body>")[0]
+    page = f"<body><div class=post><p>A short note.</p></div><div id=long><p>{TEXT}</p></div></body>"
+    assert TEXT.strip() in extract(page, host)
+    assert extract(f"<body><div class=post><p>{TEXT}</p></div><div id=x><p>{OTHER}</p></div></body>", host) == TEXT.strip()
+
+
+@pytest.mark.parametrize(
+    ("source", "text"),
+    [("<div>" * 100_000 + "deep" + "</div>" * 100_000, "deep"), ("<a " * 350_000, ""), ('<a x="' * 200_000, ""), ("<!-- " * 200_000, ""), ("<li><ul>" + "<div>" * 50_000 + "<li></li>" * 50_000 + "x", "x"),
+     ("<b>" * 100_000 + "<p>" * 100_000 + "x", "x"), ("<div>" * 100_000 + "</x>" * 100_000 + "y", "y"), ("<table>" + "<td><table>" * 30_000 + "z", "z"), ("word " * 400_000, ("word " * 400_000).strip())],
+)
+def test_large_pages_take_linear_time_and_memory(source, text):
+    before, began = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, time.process_time()
+    assert extract(source) == text
+    assert time.process_time() - began < 10 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 500_000
+
+
+def test_votes_ties_and_many_hosts(spark, monkeypatch):
+    one, two = "<body><div class=a><p>{}</p></div></body>", "<body><div class=b><p>{}</p></div></body>"
+    rows = [(1, "http://h.org/1", one.format(TEXT)), (2, "http://h.org/2", two.format(TEXT + "x")), (3, "http://g.org/", one.format(TEXT)), (4, "http://g.org/", two.format("y")), (5, "http://f.org/", ""), (6, None, one.format("n"))]
+    pages = spark.createDataFrame([(*r, "clash") for r in rows], "page_id bigint, url string, html string, host string")
+    won = {r.host: (r.path, r.votes, r.pages) for r in html_extract.winning_paths(pages).collect()}
+    assert won["h.org"] == (html_extract.best_path(rows[1][2])[0], 1, 2)  # a tie of votes: the higher score
+    assert won["g.org"][0] == html_extract.best_path(rows[0][2])[0] and "f.org" not in won
+    whole = sorted((r.page_id, r.text) for r in html_extract.html_query(pages).collect())
+    monkeypatch.setattr(html_extract, "BROADCAST_IDS", 1)
+    assert sorted((r.page_id, r.text) for r in html_extract.html_query(pages).collect()) == whole
+    assert [t for _, t in whole] == [TEXT.strip(), TEXT.strip() + " x", TEXT.strip(), "y", "", "n"]
