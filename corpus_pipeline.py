@@ -6,8 +6,9 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from clademill.llm.common import bounded, save, shared_dir
+from clademill.llm.common import bounded, fresh, save, shared_dir
 from clademill.llm.decontaminate import drop_contaminated
 from clademill.llm.line_dedup import cut_spans, repeated_spans
 from clademill.llm.near_dup import drop_near_duplicates, near_duplicates
@@ -33,17 +34,17 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     the texts that stage will get, links them to a first document that is not
     one of them. All others are cut.
     """
-    from pyspark.sql import functions as F
-
     spans = repeated_spans(docs)
-    cut = save(cut_spans(docs, spans, whole_share=WHOLE_COPY_SHARE), "cut").df
-    whole = cut.where("n_removed = 0 AND n_spans > 0").select("doc_id").distinct()
+    counts = tuple(fresh(c, docs.columns) for c in ("n_words", "n_removed", "n_spans"))  # documents keep columns of these names
+    removed, found = F.col(counts[1]), F.col(counts[2])
+    cut = save(cut_spans(docs, spans, whole_share=WHOLE_COPY_SHARE, counts=counts), "cut").df
+    whole = cut.where((removed == 0) & (found > 0)).select("doc_id").distinct()
     copies = near_duplicates(cut.select("doc_id", "text")).where("NOT kept").select("doc_id", "component_id").distinct()
     copies = copies.join(whole.toDF("component_id"), "component_id", "left_anti")
     rest = bounded(save(whole.join(copies, "doc_id", "left_anti"), "not-copies").df)
-    cut = cut.join(rest, "doc_id", "left_anti").unionByName(cut_spans(docs.join(rest, "doc_id", "left_semi"), spans))
+    cut = cut.join(rest, "doc_id", "left_anti").unionByName(cut_spans(docs.join(rest, "doc_id", "left_semi"), spans, counts=counts))
     if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+        cut = cut.withColumn("n_chars", F.when(removed > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return cut.select(*docs.columns)
 
 
