@@ -2,7 +2,9 @@
 
 Numbers, the units after them and names become typed placeholders. Windows of
 template tokens are hash-joined with those of the benchmark; along each diagonal
-of hits, every value of the benchmark must stand for one value of the document.
+of hits, literals must agree and every value of the benchmark must stand for one
+value of the document. Items too short for a template, and windows of few literals,
+are compared by their values.
 """
 
 from __future__ import annotations
@@ -13,9 +15,9 @@ from pyspark.sql import functions as F
 from clademill.llm.common import bounded, save
 
 WINDOW = 8
-#: Items with fewer template tokens than this are too short to be told from chance.
-SHORTEST = 4
-#: A diagonal of so many consecutive tokens, or of half of the item's windows, is contamination.
+#: Items with fewer tokens than this are compared by their values, and by values with whole lines below ``LINE``.
+SHORTEST, LINE = 4, 3
+#: So many consecutive tokens of a diagonal, or half of the item's windows on it, are contamination.
 RUN = 13
 SHARE = 0.5
 #: Benchmark windows up to this count are broadcast (24 bytes each); more are joined by a shuffle.
@@ -81,86 +83,119 @@ def _poor(words: Column, width: int) -> Column:
     return F.element_at(F.transform(F.array(words), of), 1)
 
 
-def _windows(words: Column, marked: Column, width: int, by_values: bool) -> Column:
-    """``(pos, hash)`` per run of ``width`` words; none for fewer. With ``by_values`` literal-poor runs have a second one, of their values.
+def _windows(text: Column, widths: dict[int, bool]) -> Column:
+    """``(width, pos, hash)`` per run of words of each width of ``widths``; none for fewer words.
 
-    The words are bound to lambda variables, so that they are made once a row, and
-    the values are made only where there are literal-poor runs.
+    Where the width's flag is set, literal-poor runs have a second one, of their
+    values; runs of under ``SHORTEST`` words have only that. The words are bound to
+    lambda variables, so that a text is split once for all widths, and its values are
+    made only where there are runs to compare by them.
     """
     once = lambda x, f: F.element_at(F.transform(F.array(x), f), 1)
-    none = F.array().cast("array<struct<pos:int,hash:bigint>>")
+    none = F.array().cast("array<struct<width:int,pos:int,hash:bigint>>")
+    hashed = lambda w, i, h: F.struct(F.lit(w).alias("width"), i.alias("pos"), h.alias("hash"))
 
-    def of(x: Column) -> Column:
-        every = F.transform(F.sequence(F.lit(1), F.size(x.words) - width + 1), lambda i: F.struct((i - 1).alias("pos"), F.xxhash64(F.slice(x.words, i, width)).alias("hash")))
-        if not by_values:
-            return F.when(F.size(x.words) >= width, every).otherwise(none)
-        by_value = lambda at: once(values(tokens(x.marked)), lambda v: F.transform(at, lambda i: F.struct(i.alias("pos"), F.xxhash64(F.lit(VALUES), F.slice(v, i + 1, width)).alias("hash"))))
-        poor = once(_poor(x.words, width), lambda at: F.when(F.size(at) > 0, by_value(at)).otherwise(none))
-        return F.when(F.size(x.words) >= width, F.concat(every, poor)).otherwise(none)
+    def of(words: Column, marked: Column, width: int) -> Column:
+        by_value = lambda at: once(values(tokens(marked)), lambda v: F.transform(at, lambda i: hashed(width, i, F.xxhash64(F.lit(VALUES), F.slice(v, i + 1, width)))))
+        places = F.sequence(F.lit(0), F.size(words) - width)
+        if width < SHORTEST:
+            return F.when(F.size(words) >= width, by_value(places)).otherwise(none)
+        every = F.transform(places, lambda i: hashed(width, i, F.xxhash64(F.slice(words, i + 1, width))))
+        if widths[width]:
+            every = F.concat(every, once(_poor(words, width), lambda at: F.when(F.size(at) > 0, by_value(at)).otherwise(none)))
+        return F.when(F.size(words) >= width, every).otherwise(none)
 
-    return once(F.struct(words.alias("words"), marked.alias("marked")), of)
+    # marks are made once a text, then words once, by binding each to a variable
+    return once(text, lambda m: once(template(m), lambda w: F.concat(*(of(w, m, width) for width in sorted(widths)))))
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
-    """``(item_id, raw, words, width)`` of the items that are long enough, one row per id."""
+    """``(item_id, raw, words, width)`` of the items with words, one row per id."""
     rows = benchmark.where("item_id IS NOT NULL").groupBy("item_id").agg(F.max("text").alias("text"))
     m = marked(F.col("text"))
     rows = rows.select("item_id", tokens(m).alias("raw"), template(m).alias("words"))
-    return rows.where(F.size("words") >= SHORTEST).withColumn("width", F.least(F.lit(WINDOW), F.size("words")))
+    return rows.where(F.size("words") > 0).withColumn("width", F.least(F.lit(WINDOW), F.size("words")))
+
+
+def _whole_lines(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """Passages of the items of under ``LINE`` tokens: a document's own lines of just their values."""
+    line = F.transform(F.split(F.col("text"), "\n"), lambda x: F.array_join(values(tokens(marked(x))), " "))
+    short = items.select("item_id", F.array_join(values(F.col("raw")), " ").alias("line"), "width")
+    lines = docs.select("doc_id", F.posexplode(line).alias("at", "line")).where("line != ''")
+    found = lines.join(F.broadcast(short) if short.count() <= BROADCAST_WINDOWS else short, "line").groupBy("doc_id", "item_id").agg(F.min("at").alias("at"), F.max("width").alias("width"))
+    # its place in the document's tokens
+    texts = docs.join(bounded(save(found.select("doc_id").distinct(), "lined").df), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
+    before = F.size(tokens(marked(F.array_join(F.slice(F.split(F.col("text"), "\n"), F.lit(1), F.col("at")), "\n"))))
+    rows = found.join(texts, "doc_id").withColumn("start", F.when(F.col("at") > 0, before).otherwise(0))
+    return rows.select("doc_id", "item_id", "start", (F.col("start") + F.col("width")).alias("end"), F.lit(1).alias("n_windows"), F.lit(True).alias("exact"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``(doc_id, item_id, start, end, n_windows, exact)``: passages of items in documents.
 
     ``start`` and ``end`` count the document's tokens, ``exact`` tells whether all
-    values agree too. Null texts have no tokens; repeated document rows are one,
-    null ids are never matched. The templates of windows of fewer literals than
-    placeholders are no evidence; such windows are compared by their values.
+    values agree too. Null texts have no tokens; of rows of one document id the last
+    text in order counts, null ids are never matched. The templates of windows of fewer
+    literals than placeholders are no evidence; such windows, and items of three
+    tokens, are compared by their values; items of one or two tokens with whole lines.
     """
     items = save(_items(benchmark), "items").df
-    widths = [r.width for r in items.select("width").distinct().collect()]
+    counts = {r.width: r.n for r in items.groupBy("width").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")
     literal = lambda w: F.size(F.filter(w, lambda t: ~F.rlike(t, F.lit(MARK))))
-    sides = []
-    for width in sorted(widths):
-        own = items.where(F.col("width") == width).withColumn("values", values(F.col("raw")))
-        runs = F.transform(F.sequence(F.lit(1), F.size("words") - width + 1), lambda i: F.struct(F.slice("words", i, width).alias("window"), F.slice("values", i, width).alias("values")))
-        own = own.select("item_id", F.posexplode(runs).alias("ipos", "run")).withColumn("rich", literal(F.col("run.window")) * 2 >= width)
-        sides.append(own.select("item_id", "ipos", F.lit(width).alias("width"), "rich", F.when(F.col("rich"), F.xxhash64("run.window")).otherwise(F.xxhash64(F.lit(VALUES), F.col("run.values"))).alias("hash")))
-    if not sides:
-        return docs.where("false").select("doc_id", F.lit(0).cast("bigint").alias("item_id"), *(F.lit(0).alias(c) for c in ("start", "end")), F.lit(0).cast("bigint").alias("n_windows"), F.lit(True).alias("exact"))
-    side = sides[0]
-    for more in sides[1:]:
-        side = side.unionByName(more)
-    side = save(side, "item-windows").df
-    small = side.count() <= BROADCAST_WINDOWS
-    marks = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", marked(F.col("text")).alias("marked"))
-    words = marks.select("doc_id", template(F.col("marked")).alias("words"), "marked")
-    hits = None
-    by_values = {r.width for r in side.where("NOT rich").select("width").distinct().collect()}
-    for width in sorted(widths):
-        found = words.select("doc_id", F.inline(_windows(F.col("words"), F.col("marked"), width, width in by_values)).alias("dpos", "hash"))
-        own = side.where(F.col("width") == width)
-        got = found.join(F.broadcast(own) if small else own, "hash")
-        hits = got if hits is None else hits.unionByName(got)
+    found = []
+    if any(w < LINE for w in counts):
+        found.append(_whole_lines(rows, items.where(F.col("width") < LINE)))
+    if any(w >= LINE for w in counts):
+        width = F.col("width")
+        own = items.where(width >= LINE).withColumn("values", values(F.col("raw")))
+        runs = F.transform(F.sequence(F.lit(0), F.size("words") - width), lambda i: F.struct(F.slice("words", i + 1, width).alias("window"), F.slice("values", i + 1, width).alias("values")))
+        own = own.select("item_id", "width", F.posexplode(runs).alias("ipos", "run")).withColumn("rich", (width >= SHORTEST) & (literal(F.col("run.window")) * 2 >= width))
+        side = own.select("item_id", "ipos", "width", "rich", F.when(F.col("rich"), F.xxhash64("run.window")).otherwise(F.xxhash64(F.lit(VALUES), F.col("run.values"))).alias("hash"))
+        side = save(side, "item-windows").df
+        widths = {r.width: r.poor for r in side.groupBy("width").agg(F.bool_or(~F.col("rich")).alias("poor")).collect()}
+        small = side.count() <= BROADCAST_WINDOWS
+        windows = rows.select("doc_id", F.inline(_windows(marked(F.col("text")), widths)))
+        hits = windows.withColumnRenamed("pos", "dpos").join(F.broadcast(side) if small else side, ["width", "hash"])
+        found.append(_passages(hits, side, items, rows))
+    if not found:
+        return docs.where("false").select("doc_id", F.lit(0).cast("bigint").alias("item_id"), *(F.lit(0).alias(c) for c in ("start", "end", "n_windows")), F.lit(True).alias("exact"))
+    return found[0] if len(found) == 1 else found[0].unionByName(found[1])
+
+
+def _passages(hits: DataFrame, side: DataFrame, items: DataFrame, docs: DataFrame) -> DataFrame:
+    """The hits of each diagonal as a passage, where they are enough and what they cover agrees."""
     diagonals = hits.groupBy("doc_id", "item_id", "width", (F.col("dpos") - F.col("ipos")).alias("diagonal")).agg(
-        F.countDistinct("ipos").alias("n_windows"), F.countDistinct(F.when(F.col("rich"), F.col("ipos"))).alias("n_rich"), F.min("ipos").alias("low"), F.max("ipos").alias("high"))
+        F.sort_array(F.collect_set("ipos")).alias("at"), F.size(F.collect_set(F.when(F.col("rich"), F.col("ipos")))).alias("n_rich"))
     total = side.groupBy("item_id").agg(F.count(F.lit(1)).alias("total"), F.count_if("rich").alias("total_rich"))
+    # the longest run of neighbouring windows: what lies between two runs is no evidence
+    zero = F.struct(F.lit(-2).alias("last"), F.lit(0).alias("run"), F.lit(0).alias("most"))
+
+    def longer(acc: Column, i: Column) -> Column:
+        run = F.when(i == acc["last"] + 1, acc["run"] + 1).otherwise(F.lit(1))
+        return F.struct(i.alias("last"), run.alias("run"), F.greatest(acc["most"], run).alias("most"))
+
+    run = F.aggregate("at", zero, longer)["most"]
     # half of the windows of either kind's count: windows by value add hits, and never raise the bar for templates
-    share = (F.col("n_windows") >= F.col("total") * SHARE) | ((F.col("n_rich") > 0) & (F.col("n_rich") >= F.col("total_rich") * SHARE))
-    enough = (F.col("n_windows") + F.col("width") - 1 >= RUN) | share
+    share = (F.size("at") >= F.col("total") * SHARE) | ((F.col("n_rich") > 0) & (F.col("n_rich") >= F.col("total_rich") * SHARE))
+    enough = (run + F.col("width") - 1 >= RUN) | share
     diagonals = save(diagonals.join(total, "item_id").where(enough), "diagonals").df
-    # the values behind the placeholders, for the documents with hits
-    texts = docs.where("doc_id IS NOT NULL").select("doc_id", "text").join(bounded(diagonals.select("doc_id").distinct()), "doc_id", "left_semi")
+    # the tokens behind the windows, for the documents with hits
+    texts = docs.join(bounded(save(diagonals.select("doc_id").distinct(), "hit").df), "doc_id", "left_semi")
     texts = texts.groupBy("doc_id").agg(F.max("text").alias("text")).select("doc_id", tokens(marked(F.col("text"))).alias("raw"))
     rows = diagonals.join(texts, "doc_id").join(items.select("item_id", F.col("raw").alias("item_raw")), "item_id")
-    length = F.col("high") - F.col("low") + F.col("width")
-    rows = rows.withColumn("pairs", F.zip_with(F.slice("item_raw", F.col("low") + 1, length), F.slice("raw", F.col("low") + F.col("diagonal") + 1, length), lambda x, y: F.struct(x.alias("x"), y.alias("y"))))
+    covered = F.array_distinct(F.flatten(F.transform("at", lambda i: F.sequence(i, i + F.col("width") - 1))))
+    rows = rows.withColumn("pairs", F.transform(covered, lambda i: F.struct(F.get("item_raw", i).alias("x"), F.get("raw", i + F.col("diagonal")).alias("y"))))
+    kind = lambda t: F.regexp_replace(F.lower(t), rf"({MARK})\S*", "$1")
+    bare = lambda t: F.regexp_replace(F.lower(t), MARK, "")
+    agree = F.forall("pairs", lambda p: p.y.isNotNull() & ((kind(p.x) == kind(p.y)) | (bare(p.x) == bare(p.y))))
     slots = F.array_distinct(F.filter("pairs", lambda p: F.rlike(p.x, F.lit(f"^{MARK}"))))
     consistent = F.size(F.array_distinct(F.transform(slots, lambda p: p.x))) == F.size(slots)
-    start = F.col("low") + F.col("diagonal")
-    bare = lambda t: F.regexp_replace(F.lower(t), MARK, "")
-    exact = F.forall("pairs", lambda p: bare(p.x) == bare(p.y))
-    return rows.where(consistent | exact).select("doc_id", "item_id", start.alias("start"), (start + length).alias("end"), "n_windows", exact.alias("exact"))
+    exact = F.forall("pairs", lambda p: p.y.isNotNull() & (bare(p.x) == bare(p.y)))
+    start = F.element_at("at", 1) + F.col("diagonal")
+    end = F.element_at("at", -1) + F.col("width") + F.col("diagonal")
+    told = rows.withColumns({"exact": exact, "holds": agree & consistent}).where("holds OR exact")
+    return told.select("doc_id", "item_id", start.alias("start"), end.alias("end"), F.size("at").alias("n_windows"), "exact")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
