@@ -1,13 +1,16 @@
-"""Secret scans: base patterns and assignment-aware lexing."""
+"""Secret scans: base patterns, and literals that a lexer of assignments leads to sensitive names."""
 
 from __future__ import annotations
 
 import hashlib
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,14 +31,36 @@ SENSITIVE = {"password": 3.0, "passwd": 3.0, "passphrase": 3.0, "pwd": 2.5, "sec
 THRESHOLD = 4.0
 PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|<.*>|\$\{.*\}|%\(.*\)s|your[-_ ].*|change[-_ ]?me.*|example.*|placeholder|redacted|none|null|true|false|todo)$")
 
-#: name, separator, then either quoted literals joined by +, or a bare word.
-STATEMENT = re.compile(
-    r"""(?P<name>[A-Za-z_][\w.\-\[\]"']{0,127}?)["'\]]{0,2}[ \t]{0,8}(?::=|=>|[:=])(?![=])[ \t]{0,8}
-        (?:(?P<lits>(?:[A-Za-z]{0,2}(?:"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'))(?:[ \t]*[+.]?[ \t]*(?:"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'))*)
-        |(?P<bare>[^\s"',;()\[\]{}]+))""",
+# The lexer's patterns. Repeats are possessive and what one pattern consumes is not read again by it, so a text takes linear time.
+BLANK = re.compile(r"(?:[^\S\n]++|\\\r?\n)*+")
+OPERATOR = r"(?::=|=>|=(?![=~])|:(?![:]))"
+#: What the lexer stops at: an escape, quotes, a comment, a tag, a flag, or a name before an operator.
+EVENT = re.compile(
+    rf"""(?P<escape>\\[\s\S])|(?P<quote>\"{{3}}|'{{3}}|(?<!\w)'|["`])|(?P<comment>(?<!\S)\#|(?<![:\w])//|/\*|<!--)|<(?P<tag>[A-Za-z][\w:.\-]*+)
+    |(?<!\S)--?(?P<flag>[A-Za-z][\w\-]*+)|(?<![\w$])(?P<name>[^\W\d][\w$]*+(?:[.\-][\w$]++)*+)(?=[\])]*+[^\S\n]*+{OPERATOR})""",
     re.VERBOSE,
 )
-LITERAL = re.compile(r'"((?:[^"\\\n]|\\.)*)"|\'((?:[^\'\\\n]|\\.)*)\'')
+AFTER_NAME = re.compile(rf"[\])]*+[^\S\n]*+(?P<op>{OPERATOR})")
+STRINGS = {q: re.compile(rf"{q}((?:[^{q}\\\n]|\\[\s\S])*+){q}") for q in "\"'"} | {"`": re.compile(r"`((?:[^`\\]|\\[\s\S])*+)`")}
+PREFIX = re.compile(r"[A-Za-z@$]{0,2}(?=[\"'`])")
+JOIN = re.compile(r"[^\S\n]*+(?:(?:\+|\.{1,2}|&|\\\r?\n)\s*+)?(?=[A-Za-z@$]{0,2}[\"'`]|[A-Za-z_$])")
+#: A type between a name and its value, as in ``name: str = ``.
+ANNOTATION = re.compile(r"[^\S\n]*+[\w.\[\], |?]++=(?![=>~])")
+HEREDOC = re.compile(r"""(?:\$\([^\S\n]*+cat[^\S\n]++)?<<[-~]?[^\S\n]*+(["']?)([A-Za-z_]\w*+)\1[^\n]*+\n""")
+BLOCK = re.compile(r"[^\S\n]*+[|>][+\-\d]*+[^\S\n]*+\r?\n")
+REFERENCE = re.compile(r"\$?\{?([^\W\d][\w$]*+(?:[.\-][\w$]++)*+)\}?(?![\w(+/=@:%^&*!?~])")
+CALL = re.compile(r"[^\W\d][\w$.:]*+\(")
+BARE = re.compile(r"[^\s\"'`,;()\[\]{}<>=]++(?:={1,2}(?![\w=]))?+")
+ATTRIBUTE = re.compile(r"""([\w:.\-]++)\s*+=\s*+(?:"([^"<>]*+)"|'([^'<>]*+)')""")
+TAG_END = re.compile(r"[^<>]*+>")
+TAG_TEXT = re.compile(r"[^<]*+(?=</)")
+PAIR = re.compile(r"\s*+,\s*+(?=[\"'])")
+PAIRED_STRINGS = re.compile(r"[\"'][^\S\n]*+,\s*+[\"']")
+#: A bare word of this kind is a literal and no name; names of constants are no secrets.
+LIKE_LITERAL = re.compile(r"(?=.*\d)[\w.\-]{20,}")
+#: A bare word that no statement binds is a literal if it has two runs of digits and letters of both cases.
+UNBOUND = re.compile(r"(?=.*[a-z])(?=.*[A-Z])(?=.*\d.*[A-Za-z].*\d)[A-Za-z0-9]{10,}")
+CONSTANT = re.compile(r"[A-Z][A-Z_]*$")
 CAMEL = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
 
@@ -63,6 +88,7 @@ def entropy(value: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in Counter(value).values()) if n else 0.0
 
 
+@lru_cache(maxsize=20_000)
 def name_score(name: str) -> float:
     """Summed weights of the sensitive parts of a name, once each."""
     parts = {p.lower() for p in CAMEL.findall(name)}
@@ -71,56 +97,244 @@ def name_score(name: str) -> float:
 
 
 def literal_score(value: str) -> float:
-    """How much a literal looks random: length, entropy and mixed classes."""
-    if len(value) < 8 or PLACEHOLDER.match(value) or " " in value.strip():
+    """How much a literal looks random: length, entropy and mixed classes. Lines of one literal are joined."""
+    value = "".join(x.strip() for x in value.splitlines()) if "\n" in value else value.strip()
+    if len(value) < 8 or " " in value or PLACEHOLDER.match(value) or CONSTANT.match(value):
         return 0.0
     classes = sum(bool(re.search(c, value)) for c in ("[a-z]", "[A-Z]", "[0-9]", r"[^A-Za-z0-9]"))
     return min(len(value), 32) / 16 + max(0.0, entropy(value) - 2.0) + 0.25 * (classes - 1)
 
 
+@dataclass
+class Binding:
+    """A name bound, at a place of the text, to literals ``(start, end)`` and to other names at such places."""
+
+    name: str
+    at: int
+    literals: list[tuple[int, int]] = field(default_factory=list)
+    refs: list[tuple[int, int]] = field(default_factory=list)
+
+
+class Lexer:
+    """Name-literal pairs of source and configuration syntax, with the names that names are bound to.
+
+    Reads assignments, JSON and YAML entries with block scalars, keyword arguments,
+    typed declarations, hash entries, call arguments ``("name", "literal")``, XML
+    attributes and elements, heredocs, command flags, strings over lines and joined
+    strings. Comments and the contents of strings are read in the same way. A
+    statement's comment is not its value.
+    """
+
+    def __init__(self, text: str):
+        self.text = text
+        self.bindings: list[Binding] = []
+        self._open: set[str] = set()  # kinds of quotes without a further end
+        self._read(0, len(text))
+
+    def _string(self, at: int, end: int) -> tuple[int, int, int] | None:
+        """Start and end of a literal's content, and the end with its quotes, of a string that begins at ``at``."""
+        text = self.text
+        quote = text[at : at + 3] if text.startswith(('"""', "'''"), at) else text[at]
+        if len(quote) == 3:
+            stop = text.find(quote, at + 3, end) if quote not in self._open else -1
+            while stop > 0 and text[stop - 1] == "\\":  # an escaped quote
+                stop = text.find(quote, stop + 1, end)
+            if stop >= 0:
+                return at + 3, stop, stop + 3
+            self._open.add(quote)
+            quote = quote[0]
+        if quote == "`" and quote in self._open:
+            return None
+        m = STRINGS[quote].match(text, at, end)
+        if m is None:
+            self._open.update({"`"} & {quote})
+            return None
+        return m.start(1), m.end(1), m.end()
+
+    def _inside(self, start: int, end: int) -> None:
+        """Pairs in the content of a string."""
+        if end - start > 3 and any(c in self.text[start:end] for c in "=:"):
+            before, self._open = self._open, set()
+            self._read(start, end)
+            self._open = before
+
+    def _value(self, b: Binding, at: int, end: int, op: str, line: int) -> int:
+        """Reads what a name is bound to; returns where to read on."""
+        text = self.text
+        if op == ":":
+            m = BLOCK.match(text, at, end)
+            if m:  # lines indented deeper than the name's
+                deep = at_line = m.end()
+                own = len(text[line:at]) - len(text[line:at].lstrip(" -"))
+                while at_line < end:
+                    stop = text.find("\n", at_line, end)
+                    stop = end if stop < 0 else stop
+                    row = text[at_line:stop]
+                    if row.strip() and len(row) - len(row.lstrip(" ")) <= own:
+                        break
+                    deep, at_line = stop, stop + 1
+                if deep > m.end():
+                    b.literals.append((m.end(), deep))
+                return m.end()
+            typed = ANNOTATION.match(text, at, end)
+            at = typed.end() if typed else at
+        at = start = BLANK.match(text, at, end).end()
+        opened = 0
+        while text.startswith("(", at) and at < end:  # a value in brackets may begin on a later line
+            opened += 1
+            at += 1
+            while at < end and text[at].isspace():
+                at += 1
+        m = HEREDOC.match(text, at, end)
+        if m:
+            stop = re.compile(rf"^[ \t]*+{m[2]}\b", re.MULTILINE).search(text, m.end(), end) if m[2] not in self._open else None
+            if stop:
+                b.literals.append((m.end(), max(m.end(), stop.start() - 1)))
+                return stop.end()
+            self._open.add(m[2])
+            return m.end()
+        read = at
+        while at < end:
+            quoted = PREFIX.match(text, at, end)
+            found = self._string(quoted.end(), end) if quoted and quoted.end() < end else None
+            if found:
+                if found[1] > found[0]:
+                    b.literals.append(found[:2])
+                    self._inside(*found[:2])
+                at = read = found[2]
+            elif quoted:
+                break
+            elif CALL.match(text, at, end):
+                return at if at > start else start
+            elif m := REFERENCE.match(text, at, end):
+                if LIKE_LITERAL.fullmatch(m[1]):
+                    b.literals.append(m.span(1))
+                    read = m.end()
+                else:
+                    b.refs.append(m.span(1))
+                    read = at if not b.literals and len(b.refs) == 1 else m.end()
+                at = m.end()
+            elif not b.literals and not b.refs and (m := BARE.match(text, at, end)):
+                if text.startswith("#", at) or text.startswith("//", at):
+                    return at
+                b.literals.append(m.span())
+                return m.end()
+            else:
+                break
+            if opened:
+                while at < end and text[at].isspace():
+                    at += 1
+            m = JOIN.match(text, at, end)
+            if not m or not opened and m.end() == at and text[at : at + 1].isalpha():
+                break
+            if text[m.end()].isalpha() and m[0].strip() == "":
+                break  # two words are no joined value
+            at = m.end()
+        return max(read, start)
+
+    def _read(self, at: int, end: int) -> None:
+        text, bindings = self.text, self.bindings
+        while m := EVENT.search(text, at, end):
+            at, kind = m.end(), m.lastgroup
+            if kind == "quote":
+                found = self._string(m.start(), end)
+                if found is None:
+                    at = m.start() + 1
+                    continue
+                start, stop, at = found
+                name = text[start:stop]
+                after = AFTER_NAME.match(text, at, end)
+                if after and "\n" not in name:
+                    b = Binding(name, m.start())
+                    bindings.append(b)
+                    at = self._value(b, after.end(), end, after["op"], text.rfind("\n", max(0, start - 200), start) + 1)
+                    continue
+                self._inside(start, stop)
+                pair = PAIR.match(text, at, end)
+                if pair and name_score(name) > 0:
+                    b = Binding(name, m.start())
+                    if given := self._string(pair.end(), end):
+                        b.literals.append(given[:2])
+                        bindings.append(b)
+            elif kind == "name" or kind == "flag" and AFTER_NAME.match(text, at, end):
+                after = AFTER_NAME.match(text, at, end)
+                b = Binding(m[kind], m.start())
+                bindings.append(b)
+                at = max(self._value(b, after.end(), end, after["op"], text.rfind("\n", max(0, m.start() - 200), m.start()) + 1), after.end())
+            elif kind == "flag" and name_score(m["flag"]) > 0:
+                blank = BLANK.match(text, at, end).end()
+                if blank > at and blank < end and text[blank] not in "-\n":
+                    b = Binding(m["flag"], m.start())
+                    bindings.append(b)
+                    at = self._value(b, at, end, "=", 0)
+            elif kind == "tag":
+                self._tag(m["tag"], at, end)
+
+    def _tag(self, tag: str, at: int, end: int) -> None:
+        """``<name>literal</name>``, and ``name`` or ``key`` beside ``value`` or text. Its attributes are read as assignments too."""
+        text = self.text
+        close = TAG_END.match(text, at, end)
+        if not close:
+            return
+        told = {a[1].lower(): (a[2] or a[3] or "", a.span(2) if a[2] is not None else a.span(3)) for a in ATTRIBUTE.finditer(text, at, close.end())}
+        name = next((told[k][0] for k in ("name", "key", "id") if k in told and name_score(told[k][0]) > 0), tag)
+        if name_score(name) <= 0:
+            return
+        if "value" in told:
+            self.bindings.append(Binding(name, at, [told["value"][1]]))
+        body = TAG_TEXT.match(text, close.end(), end)
+        if body and body[0].strip():
+            self.bindings.append(Binding(name, at, [body.span()]))
+
+
 def lexed_spans(text: str) -> list[Span]:
     """Literals that reach a sensitive name, directly or through other names.
 
-    Statements ``name = literal`` are read in any of the usual source and
-    configuration forms; neighbouring literals are joined. A name bound to a
-    literal passes it on to names it is assigned to, in text order and again
-    backwards, so a constant defined after its use is found too.
+    A name that is used as a value stands for its last binding before that place,
+    or for its first one where there is none before; a bare word that is bound nowhere
+    and looks random is a literal. From every sensitive name, the
+    most sensitive first, bindings are followed through any number of names; each is
+    visited once.
     """
-    if "=" not in text and ":" not in text:
+    if not any(c in text for c in "=:<") and "--" not in text and not PAIRED_STRINGS.search(text):
         return []
-    values: dict[str, tuple[str, list[tuple[int, int]]]] = {}
-    aliases: list[tuple[str, str]] = []
-    pairs: list[tuple[str, str, list[tuple[int, int]]]] = []
-    for m in STATEMENT.finditer(text):
-        name = m["name"].strip("\"'[]")
-        if m["lits"] is not None:
-            at = m.start("lits")
-            parts = [(x[1] if x[1] is not None else x[2], at + (x.start(1) if x[1] is not None else x.start(2)), at + (x.end(1) if x[1] is not None else x.end(2))) for x in LITERAL.finditer(m["lits"])]
-            value = "".join(p for p, _, _ in parts)
-            spans = [(s, e) for _, s, e in parts if e > s]
-            values[name] = (value, spans)
-            pairs.append((name, value, spans))
-        else:
-            bare = m["bare"]
-            if re.fullmatch(r"[A-Za-z_][\w.]*", bare) and not (any(c.isdigit() for c in bare) and len(bare) >= 20):
-                aliases.append((name, bare))
-            else:
-                pairs.append((name, bare, [m.span("bare")]))
-    for _ in range(2):  # forwards, then again for constants that are defined below
-        for name, other in aliases:
-            if other in values and name not in values:
-                values[name] = values[other]
-    pairs += [(name, *values[other]) for name, other in aliases if other in values]
-    found = {}
-    for name, value, spans in pairs:
-        target = name_score(name)
+    bindings = sorted(Lexer(text).bindings, key=lambda b: b.at)
+    known: dict[str, list[int]] = {}
+    for i, b in enumerate(bindings):
+        known.setdefault(b.name, []).append(i)
+        if (last := re.split(r"[.\]]", b.name)[-1]) != b.name:
+            known.setdefault(last, []).append(i)
+
+    def bound(name: str, before: int) -> int | None:
+        own = known.get(name) or known.get(name.rpartition(".")[2])
+        if not own:
+            return None
+        k = bisect_left(own, before)
+        return own[k - 1] if k else next((i for i in own if i != before), None)
+
+    scored = sorted(((name_score(b.name), -i) for i, b in enumerate(bindings)), reverse=True)
+    found: dict[tuple[int, int], Span] = {}
+    seen: set[int] = set()
+    for target, i in scored:
         if target <= 0:
-            continue
-        score = target + literal_score(value) if literal_score(value) else 0.0
-        if score >= THRESHOLD:
-            for start, end in spans:
-                found.setdefault((start, end), Span("literal", start, end, name, round(score, 3)))
-    return sorted(found.values(), key=lambda s: s.start)
+            break
+        todo = [-i]
+        while todo:
+            k = todo.pop()
+            if k in seen:
+                continue
+            seen.add(k)
+            b = bindings[k]
+            own = literal_score("".join(text[s:e] for s, e in b.literals))
+            if own and target + own >= THRESHOLD:
+                for start, end in b.literals:
+                    found.setdefault((start, end), Span("literal", start, end, bindings[-i].name, round(target + own, 3)))
+            for start, end in b.refs:
+                if (to := bound(text[start:end], k)) is not None:
+                    todo.append(to)
+                elif UNBOUND.fullmatch(text[start:end]) and target + (own := literal_score(text[start:end])) >= THRESHOLD:
+                    found.setdefault((start, end), Span("literal", start, end, bindings[-i].name, round(target + own, 3)))
+    return sorted(found.values(), key=lambda s: (s.start, s.end))
 
 
 def scan(text: str | None) -> list[Span]:
@@ -130,8 +344,9 @@ def scan(text: str | None) -> list[Span]:
     """
     if not text:
         return []
-    base = base_spans(text)
-    more = [s for s in lexed_spans(text) if not any(b.start <= s.start and s.end <= b.end for b in base)]
+    base = sorted(base_spans(text), key=lambda s: s.start)
+    starts, reach = [b.start for b in base], list(accumulate((b.end for b in base), max))
+    more = [s for s in lexed_spans(text) if not (k := bisect_right(starts, s.start)) or reach[k - 1] < s.end]
     return sorted([*base, *more], key=lambda s: (s.start, KINDS.index(s.kind), s.end))
 
 
