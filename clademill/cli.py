@@ -33,7 +33,7 @@ def parser() -> argparse.ArgumentParser:
     command("umap-explorer", ["input-fasta", "outdir"], reference_fasta="", cg_map="", kmers="5", neighbors="50,100,150,200", min_dist="0.05,0.1,0.3,0.5,0.8", resolution="1e-6", seed=42, graph_neighbors=300, validation_neighbors="10,30,100", validation_subsample=1000, validation_replicates=1)
     command("sample-panel", ["input-fasta", "explorer-dir", "kmer", "neighbors", "min-dist", "sample-size", "outdir"], reference_fasta="", resolution=1e-6)
     command("collapse-panel", ["input-fasta", "explorer-dir", "kmer", "neighbors", "min-dist", "outdir"], reference_fasta="", resolution=1e-6, identity_threshold=98.1, jaccard_k=15, focal_ids="")
-    command("align-panel", ["panel-dir", "outdir"])
+    command("align-panel", ["panel-dir", "outdir"], aligner="builtin", mafft="mafft", muscle="muscle")
     command("distance-explorer", ["panel-dir", "aligned-dir", "outdir"], thresholds="0.03,0.04,0.05,0.06,0.07,0.08,0.10", novelty=92.0, explorer_dir="", umap_neighbors=30, umap_min_dist=0.5, umap_spread=0.8, seed=42)
     command("recombination", ["alignment-fasta", "outdir", "events"], min_methods=3, pvalue_max=0.05, feature_tsv="")
     command("export-clusters", ["sequence-fasta", "cluster-tsv", "outdir"], id_column="id", cluster_column="cluster", filter_column="", filter_value="", clusters="")
@@ -50,7 +50,7 @@ def main(argv: list[str] | None = None) -> int:
     elif a.command == "collapse-panel":
         stages.collapse_panel(spark, a.input_fasta, a.explorer_dir, int(a.kmer), int(a.neighbors), float(a.min_dist), a.outdir, a.reference_fasta or None, a.resolution, a.identity_threshold, a.jaccard_k, a.focal_ids or None)
     elif a.command == "align-panel":
-        stages.align_panel(spark, a.panel_dir, a.outdir)
+        stages.align_panel(spark, a.panel_dir, a.outdir, a.aligner, {"mafft": a.mafft, "muscle": a.muscle}.get(a.aligner))
     elif a.command == "distance-explorer":
         stages.review(spark, a.panel_dir, a.aligned_dir, a.outdir, _floats(a.thresholds), a.novelty, a.explorer_dir or None, a.umap_neighbors, a.umap_min_dist, a.umap_spread, a.seed)
     elif a.command == "recombination":

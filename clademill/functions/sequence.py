@@ -113,11 +113,16 @@ def state_fields(state: Column) -> Column:
         F.translate(part(3), "p", ".").cast("double").alias("min_dist"), part(4).cast("double").alias("resolution"))
 
 
+# The colour below 70 per cent and for none, and the ramp's ends at 70 and 100.
+HEAT_NONE = "#d9d9d9"
+HEAT_LOW, HEAT_HIGH = (247, 251, 255), (8, 81, 156)
+
+
 def heat_color(value: Column) -> Column:
-    """``#rrggbb`` of an identity: grey below 70 and for null, else a ramp to 100."""
-    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (value - 70) / 30))
-    mix = lambda a, b: F.round(a + (b - a) * t).cast("int")
-    return F.when(value.isNull() | F.isnan(value) | (value < 70), F.lit("#d9d9d9")).otherwise(F.format_string("#%02x%02x%02x", mix(240, 26), mix(244, 82), mix(250, 140)))
+    """``#rrggbb`` of an identity: grey below 70 and for null, else the ramp, each channel cut to whole numbers."""
+    t = (F.greatest(F.lit(70.0), F.least(F.lit(100.0), value)) - 70.0) / 30.0
+    channels = [(a + (b - a) * t).cast("int") for a, b in zip(HEAT_LOW, HEAT_HIGH, strict=True)]
+    return F.when(value.isNull() | F.isnan(value) | (value < 70), F.lit(HEAT_NONE)).otherwise(F.format_string("#%02x%02x%02x", *channels))
 
 
 def cluster_order(cluster: Column) -> list[Column]:

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from clademill.plans.shared import checkpoint
+from clademill.plans.shared import checkpoint, forget
 
 
 def size_metrics(rows: DataFrame, cluster: str = "cluster") -> DataFrame:
@@ -161,31 +163,59 @@ def majority_vote(neighbours: DataFrame, labels: DataFrame) -> DataFrame:
     return v.withColumn("r", F.row_number().over(W.partitionBy("id").orderBy(F.desc("n"), "first"))).where("r = 1").select("id", "cluster")
 
 
-def connected(nodes: DataFrame, edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+#: Edges up to this count are united by one task, about 200 bytes each; more are halved by rounds first.
+LOCAL_EDGES = 500_000
+
+
+def _united(edges: DataFrame) -> DataFrame:
+    """``(u, v)`` of each node and the smallest one it reaches, roots left out; for at most ``LOCAL_EDGES`` edges."""
+    kind = edges.schema["u"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict = {}
+
+        def root(x):
+            while up.setdefault(x, x) != x:
+                up[x] = x = up[up[x]]
+            return x
+
+        for batch in batches:
+            for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                u, v = root(u), root(v)
+                if u != v:
+                    up[max(u, v)] = min(u, v)
+        ids = [x for x in up if up[x] != x]
+        type_ = batch.schema.field(0).type if up else pa.int64()
+        if ids:
+            yield pa.RecordBatch.from_arrays([pa.array(ids, type_), pa.array([root(x) for x in ids], type_)], names=["u", "v"])
+
+    return edges.repartition(1).mapInArrow(run, f"u {kind}, v {kind}")
+
+
+def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``(id, component)``: the smallest id that each node reaches, by large and small stars.
 
     A round hooks all larger neighbours of a node to its smallest one, and then all
     smaller neighbours; rounds grow with the logarithm of the diameter and are
-    checkpointed. A hub's neighbours are joined, never gathered.
+    checkpointed. A hub's neighbours are joined, never gathered. Edges that are few enough,
+    at first or after rounds, are united in one task.
     """
     now = checkpoint(edges.where("src IS NOT NULL AND dst IS NOT NULL AND src != dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
     mark = lambda d: tuple(d.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     seen = mark(now)
-    for _ in range(max_rounds):
-        if not seen[0]:
-            break
+    while seen[0] > LOCAL_EDGES:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         pair = F.explode(F.array(F.struct(F.col("u").alias("a"), F.col("m").alias("b")), F.struct(F.greatest("v", "m").alias("a"), F.least("v", "m").alias("b"))))
-        now = checkpoint(large.join(low, "u").select(pair.alias("e")).select(F.col("e.a").alias("u"), F.col("e.b").alias("v")).where("u != v").distinct())
-        after = mark(now)
-        if after == seen:
+        after = checkpoint(large.join(low, "u").select(pair.alias("e")).select(F.col("e.a").alias("u"), F.col("e.b").alias("v")).where("u != v").distinct())
+        forget(now)
+        now, before, seen = after, seen, mark(after)
+        if before == seen:  # every node hangs on its root
             break
-        seen = after
     else:
-        raise RuntimeError("connected did not end")
+        now = _united(now)
     root = now.select(F.col("u").alias("id"), F.col("v").alias("root"))
     return nodes.select("id").join(root, "id", "left").select("id", F.coalesce("root", "id").alias("component"))
 

@@ -236,6 +236,54 @@ def align_identity(a: str, b: str, match: float = 1.0, opening: float = -1.0, ex
     return 100.0 * end[2][0] / end[1][0] if end[1][0] else 0.0
 
 
+_BASES = np.full(256, 4, np.uint8)
+_BASES[list(b"ACGT")] = range(4)
+#: The longest k-mer that two bits a base hold in a signed 64-bit number.
+PACKED = 31
+
+
+def kmer_codes(seq: str, k: int) -> np.ndarray:
+    """A 64-bit number for each k-mer in order: two bits a base where all are A, C, G or T and k allows, else a negative hash."""
+    raw = np.frombuffer(seq.encode("utf-32-le"), np.uint32)
+    n = len(raw) - k + 1
+    if n < 1:
+        return np.zeros(0, np.int64)
+    base = np.where(raw < 128, _BASES[raw & 127], 4)
+    codes = np.zeros(n, np.int64)
+    if k <= PACKED:
+        for j in range(k):
+            codes = (codes << 2) | (base[j : j + n] & 3)
+        other = np.concatenate([[0], np.cumsum(base == 4)])
+        odd = np.nonzero(other[k:] != other[:-k])[0]
+    else:
+        odd = np.arange(n)
+    if len(odd):
+        h = np.zeros(len(odd), np.uint64)
+        for j in range(k):
+            h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + raw[odd + j]
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        codes[odd] = ((h ^ (h >> np.uint64(32))) | np.uint64(1 << 63)).view(np.int64)
+    return codes
+
+
+def kmer_codes_without_n(seq: str, k: int) -> np.ndarray:
+    """Sorted distinct codes of the k-mers that hold no N."""
+    codes = kmer_codes(seq, k)
+    if "N" in seq and len(codes):
+        n = np.concatenate([[0], np.cumsum(np.frombuffer(seq.encode("utf-32-le"), np.uint32) == ord("N"))])
+        codes = codes[n[k:] == n[:-k]]
+    return np.unique(codes)
+
+
+def kmer_strings(codes: np.ndarray, k: int) -> np.ndarray:
+    """The k-mers of packed codes."""
+    letters = np.frombuffer(b"ACGT", np.uint8)
+    out = np.empty((len(codes), k), np.uint8)
+    for j in range(k):
+        out[:, k - 1 - j] = letters[(codes >> (2 * j)) & 3]
+    return out.view(f"S{k}").ravel().astype(str) if len(codes) else np.zeros(0, str)
+
+
 def hull(points: np.ndarray) -> np.ndarray:
     """Convex hull by the monotone chain, collinear points left out; empty below three."""
     p = np.unique(np.asarray(points, float), axis=0)

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clademill.functions.sequence import AMBIGUITY_CODES, recode_ambiguity
 from clademill.operators.clusters import connected
+from clademill.plans.shared import checkpoint, partitions
 
 
 def _members():
@@ -20,6 +25,13 @@ def sanitise(alignment: DataFrame) -> DataFrame:
     return alignment.withColumns({"seq": recode_ambiguity(F.col("seq")), "recoded": n})
 
 
+def recoded_counts(alignment: DataFrame) -> DataFrame:
+    """``(code, n)``: sites of each ambiguity code over all records, codes that occur only."""
+    per = [F.sum(F.length("seq") - F.length(F.translate("seq", c, ""))).alias(c) for c in sorted(AMBIGUITY_CODES)]
+    wide = alignment.agg(*per)
+    return wide.select(F.explode(F.map_filter(F.create_map(*(x for c in sorted(AMBIGUITY_CODES) for x in (F.lit(c), F.col(c)))), lambda _, n: n > 0)).alias("code", "n"))
+
+
 def gate(events: DataFrame, pvalue_max: float = 0.05) -> DataFrame:
     """Events with two members and more whose p-value, held at 1, is not above the bound; NaN passes."""
     p = F.when(F.isnan("pvalue"), F.col("pvalue")).otherwise(F.least(F.col("pvalue"), F.lit(1.0)))
@@ -43,48 +55,51 @@ def compatible_pairs(gated: DataFrame, min_overlap: float = 0.5, tolerance: int
     return both.where(((shorter > 0) & (overlap >= min_overlap * shorter)) | near).select(F.col("orda").alias("a"), F.col("ordb").alias("b")).distinct()
 
 
-def merge_block(events: list[dict], min_overlap: float, tolerance: int, max_members: int, pair_fragments: bool = True) -> list[list[dict]]:
-    """Groups of a block's events, in the order of their creation.
+def pair_fragments(events: list[dict]) -> tuple[list[dict], set[int]]:
+    """Paired fragments of one recombinant's single-parent events in the order of their first one, and the ``ord`` of those used.
 
-    Fragments are paired first: of one method and recombinant, with one different
-    parent each, the longer at least twice the shorter and hardly overlapping.
-    Events then join, by start and end, the first group that holds an agreeing
-    event with two common members and stays within ``max_members``.
+    A pair has different parents; the longer is at least twice the shorter and hardly
+    overlaps it. The shorter's ends stand for both; ``first`` is the ``ord`` of the first.
     """
-    length = lambda e: max(0, e["end"] - e["start"])
-
-    def share(a: dict, b: dict) -> float:
-        shorter = min(length(a), length(b))
-        return max(0, min(a["end"], b["end"]) - max(a["start"], b["start"])) / shorter if shorter else 0.0
-
     events = sorted(events, key=lambda e: e["ord"])
     paired, used = [], set()
-    if pair_fragments:
-        by: dict[str, list[dict]] = {}
-        for e in events:
-            parents = [p for p in (e["parent_a"], e["parent_b"]) if p]
-            if e["method"] == "geneconv" and e["recombinant"] and len(parents) == 1:
-                by.setdefault(e["recombinant"], []).append(e | {"parent": parents[0]})
-        for same in by.values():
-            for i, x in enumerate(same):
-                if x["ord"] in used:
-                    continue
-                for y in same[i + 1 :]:
-                    small, big = sorted((x, y), key=length)
-                    if y["ord"] not in used and x["parent"] != y["parent"] and length(big) >= 2 * length(small) and share(x, y) <= 0.1:
-                        used |= {x["ord"], y["ord"]}
-                        paired.append(small | {"members": sorted({*x["members"], *y["members"]})})
-                        break
-    rows = paired + [e for e in events if e["ord"] not in used]
-    rows.sort(key=lambda e: (e["start"], e["end"]))
+    for i, x in enumerate(events):
+        if x["ord"] in used:
+            continue
+        for y in events[i + 1 :]:
+            small, big = sorted((x, y), key=_length)
+            if y["ord"] not in used and x["parent"] != y["parent"] and _length(big) >= 2 * _length(small) and _share(x, y) <= 0.1:
+                used |= {x["ord"], y["ord"]}
+                paired.append(small | {"members": sorted({*x["members"], *y["members"]}), "first": x["ord"]})
+                break
+    return paired, used
+
+
+def _length(e: dict) -> int:
+    return max(0, e["end"] - e["start"])
+
+
+def _share(a: dict, b: dict) -> float:
+    """Overlap of two events as a share of the shorter."""
+    shorter = min(_length(a), _length(b))
+    return max(0, min(a["end"], b["end"]) - max(a["start"], b["start"])) / shorter if shorter else 0.0
+
+
+def merge_events(rows: list[dict], min_overlap: float, tolerance: int, max_members: int) -> list[int]:
+    """The group of each event, groups numbered in the order of their creation; ``rows`` in order.
+
+    An event joins the first group that holds an agreeing event with two common
+    members and stays within ``max_members``, else it begins one.
+    """
     groups: list[tuple[set, list[dict]]] = []
     index: dict[tuple[str, str], list[int]] = {}
+    out = []
     for e in rows:
         mine = set(e["members"])
         keys = [(a, b) for a in mine for b in mine if a < b]
         for g in sorted({g for k in keys for g in index.get(k, [])}):
             whole, inside = groups[g]
-            if len(whole | mine) <= max_members and any(len(mine & set(o["members"])) >= 2 and (share(e, o) >= min_overlap or abs(e["start"] - o["start"]) <= tolerance and abs(e["end"] - o["end"]) <= tolerance) for o in inside):
+            if len(whole | mine) <= max_members and any(len(mine & set(o["members"])) >= 2 and (_share(e, o) >= min_overlap or abs(e["start"] - o["start"]) <= tolerance and abs(e["end"] - o["end"]) <= tolerance) for o in inside):
                 break
         else:
             g = len(groups)
@@ -94,41 +109,87 @@ def merge_block(events: list[dict], min_overlap: float, tolerance: int, max_memb
         for k in keys:
             if g not in (found := index.setdefault(k, [])):
                 found.append(g)
-    return [inside for _, inside in groups]
+        out.append(g)
+    return out
 
 
-def consensus(events: DataFrame, min_methods: int = 3, pvalue_max: float = 0.05, min_overlap: float = 0.5, tolerance: int = 100, max_members: int = 3) -> DataFrame:
-    """One row per merged event with at least ``min_methods`` methods.
+def _paired(gated: DataFrame) -> DataFrame:
+    """``(seq, ord, start, end, method, pvalue, members)``: events with fragments paired; ``seq`` orders events of equal ends.
 
-    ``members, methods, n_methods, n_events, start, end, start_min, end_max,
-    min_pvalue``: upper medians of the ends, the smallest p-value in range. Events
-    meet only through member pairs, so blocks of connected pairs are merged apart.
+    Only single-parent events of the one method that reports fragments are gathered, by recombinant.
     """
-    gated = gate(events, pvalue_max)
-    ids = gated.select("ord", F.explode(F.flatten(F.transform("members", lambda x: F.transform(F.filter("members", lambda y: y > x), lambda y: F.concat_ws("\t", x, y))))).alias("pair"))
-    links = ids.join(ids.groupBy("pair").agg(F.min("ord").alias("first")), "pair").where("ord != first").select(F.col("first").alias("src"), F.col("ord").alias("dst"))
-    fragments = gated.where("method = 'geneconv' AND recombinant != ''")
-    links = links.unionByName(fragments.join(fragments.groupBy("recombinant").agg(F.min("ord").alias("first")), "recombinant").where("ord != first").select(F.col("first").alias("src"), F.col("ord").alias("dst")))
-    block = connected(gated.select(F.col("ord").alias("id")), links).select(F.col("id").alias("ord"), F.col("component").alias("block"))
-    columns = ["ord", "recombinant", "parent_a", "parent_b", "start", "end", "method", "p", "members"]
+    parents = F.filter(F.array("parent_a", "parent_b"), lambda x: x.isNotNull() & (x != ""))
+    told = gated.withColumn("parents", parents).withColumn("half", F.coalesce((F.col("method") == "geneconv") & (F.size("parents") == 1) & (F.col("recombinant") != ""), F.lit(False)))
+    whole = told.where("NOT half").select(F.lit(1).alias("rest"), "ord", "start", "end", "method", "pvalue", "members")
+    halves = told.where("half").select("recombinant", "ord", "start", "end", "method", "pvalue", "members", F.col("parents")[0].alias("parent"))
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         rows = frame.to_dict("records")
-        for r in rows:
-            r["members"] = list(r["members"])
-        block_id = rows[0]["block"]
-        out = []
-        for g, inside in enumerate(merge_block(rows, min_overlap, tolerance, max_members)):
-            for e in inside:
-                out.append((block_id, g, e["method"], e["start"], e["end"], e["p"], e["members"]))
-        return pd.DataFrame(out, columns=["block", "grp", "method", "start", "end", "p", "members"])
-
-    merged = gated.select(*columns).join(block, "ord").groupBy("block").applyInPandas(run, "block bigint, grp int, method string, start int, end int, p double, members array<string>")
+        paired, used = pair_fragments(rows)
+        out = [(0, e["first"], e["start"], e["end"], e["method"], e["pvalue"], e["members"]) for e in paired]
+        out += [(1, e["ord"], e["start"], e["end"], e["method"], e["pvalue"], list(e["members"])) for e in rows if e["ord"] not in used]
+        return pd.DataFrame(out, columns=["rest", "ord", "start", "end", "method", "pvalue", "members"])
+
+    return whole.unionByName(halves.groupBy("recombinant").applyInPandas(run, "rest int, ord bigint, start int, end int, method string, pvalue double, members array<string>"))
+
+
+def merged_events(events: DataFrame, pvalue_max: float = 0.05, min_overlap: float = 0.5, tolerance: int = 100, max_members: int = 3) -> DataFrame:
+    """``(block, grp, ord, start, end, method, pvalue, members)``: the merged group of every gated event.
+
+    An event joins a group only through an agreeing event with two common members,
+    so connected events are merged apart from all others, in the order of ends, with the
+    same result as one pass over everything. Events without such another are groups of their own
+    and never leave the JVM.
+    """
+    rows = checkpoint(_paired(gate(events, pvalue_max)))
+    links = compatible_pairs(rows, min_overlap, tolerance).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    links = checkpoint(links)
+    block = connected(links.select(F.col("src").alias("id")).union(links.select("dst")).distinct(), links).select(F.col("id").alias("ord"), F.col("component").alias("block"))
+    rows = rows.join(block, "ord", "left")
+    columns = ["block", "grp", "ord", "start", "end", "method", "pvalue", "members"]
+    alone = rows.where("block IS NULL").select(F.col("ord").alias("block"), F.lit(0).alias("grp"), *columns[2:])
+    shared = rows.where("block IS NOT NULL").select("block", "rest", *columns[2:])
+    shared = shared.repartition(partitions(events.sparkSession), "block").sortWithinPartitions("block", "start", "end", "rest", "ord")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def out() -> pa.RecordBatch:
+            table = pa.Table.from_batches(held).combine_chunks()
+            found = merge_events(table.select(["start", "end", "members"]).to_pylist(), min_overlap, tolerance, max_members)
+            return table.drop_columns(["rest"]).add_column(1, "grp", pa.array(found, pa.int32())).combine_chunks().to_batches()[0]
+
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            cuts = [0, *(np.nonzero(ids[1:] != ids[:-1])[0] + 1).tolist(), len(ids)]
+            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+                if e > s:
+                    if held and held[-1].column(0)[0].as_py() != ids[s]:
+                        yield out()
+                        held = []
+                    held.append(batch.slice(s, e - s))
+        if held:
+            yield out()
+
+    done = shared.mapInArrow(run, "block bigint, grp int, ord bigint, start int, end int, method string, pvalue double, members array<string>")
+    return alone.unionByName(done)
+
+
+def consensus(events: DataFrame, min_methods: int = 3, pvalue_max: float = 0.05, min_overlap: float = 0.5, tolerance: int = 100, max_members: int = 3) -> DataFrame:
+    """One row per merged event with at least ``min_methods`` methods.
+
+    ``members, methods, n_methods, n_events, start, end, start_min, end_max,
+    min_pvalue``: upper medians of the ends, and the smallest p-value of those from 0
+    to 1, NaN if there is none. A pair of fragments counts as one event.
+    """
+    merged = merged_events(events, pvalue_max, min_overlap, tolerance, max_members)
     upper = lambda c: F.element_at(F.array_sort(F.collect_list(c)), (F.floor(F.count(F.lit(1)) / 2) + 1).cast("int"))
+    named = F.when(F.col("method") != "", F.col("method"))
     grouped = merged.groupBy("block", "grp").agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("members")))).alias("members"), F.array_sort(F.collect_set("method")).alias("methods"), F.count(F.lit(1)).alias("n_events"),
-        upper("start").alias("start"), upper("end").alias("end"), F.min("start").alias("start_min"), F.max("end").alias("end_max"), F.min(F.when(~F.isnan("p"), F.col("p"))).alias("min_pvalue"))
-    return grouped.withColumn("n_methods", F.size("methods")).where(F.col("n_methods") >= min_methods).drop("block", "grp")
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("members")))).alias("members"), F.array_sort(F.collect_set(named)).alias("methods"), F.count(F.lit(1)).alias("n_events"),
+        upper("start").alias("start"), upper("end").alias("end"), F.min("start").alias("start_min"), F.max("end").alias("end_max"), F.min(F.when(F.col("pvalue").between(0.0, 1.0), F.col("pvalue"))).alias("min_pvalue"))
+    grouped = grouped.withColumns({"n_methods": F.size("methods"), "min_pvalue": F.coalesce("min_pvalue", F.lit(float("nan")))})
+    return grouped.where(F.col("n_methods") >= min_methods).drop("block", "grp")
 
 
 def site_tally(rec: str, a: str, b: str, start: int, end: int) -> tuple[int, int, int, int, int, int]:
@@ -149,10 +210,12 @@ def tally_sites(trios: DataFrame) -> DataFrame:
 
     Parents that differ, and no gap in any of the three; the tract is half-open.
     """
+    # characters as arrays, so that each is reached once and not from the start of its string
+    chars = lambda c: F.split(c, "")
     n = F.least(F.length("rec"), F.length("pa"), F.length("pb"))
-    at = lambda c, i: F.substring(c, i, F.lit(1))
-    sites = F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.struct((i - 1).alias("i"), at("rec", i).alias("r"), at("pa", i).alias("a"), at("pb", i).alias("b")))).otherwise(F.array().cast("array<struct<i:int,r:string,a:string,b:string>>"))
-    told = F.filter(sites, lambda s: (s.a != s.b) & (s.r != "-") & (s.a != "-") & (s.b != "-"))
+    sites = F.arrays_zip(F.slice(chars("rec"), F.lit(1), n).alias("r"), F.slice(chars("pa"), F.lit(1), n).alias("a"), F.slice(chars("pb"), F.lit(1), n).alias("b"))
+    placed = F.transform(sites, lambda s, i: F.struct(i.alias("i"), s["r"].alias("r"), s["a"].alias("a"), s["b"].alias("b")))
+    told = F.when(n > 0, F.filter(placed, lambda s: (s.a != s.b) & (s.r != "-") & (s.a != "-") & (s.b != "-"))).otherwise(F.array().cast("array<struct<i:int,r:string,a:string,b:string>>"))
     rows = trios.withColumn("s", told)
     inside = lambda s: (s.i >= F.col("start")) & (s.i < F.col("end"))
     count = lambda cond: F.size(F.filter("s", cond))

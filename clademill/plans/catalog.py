@@ -104,7 +104,7 @@ def kmer_jaccard_pairs(spark, sf):
 def collapse_panel(spark, sf):
     s = sequences(spark, sf).select("id", S.acgt(F.col("seq")).alias("seq"))
     items = s.select("id", F.struct((-F.length("seq")).alias("l"), "id").alias("rank"), F.lit(False).alias("protected"))
-    return M.greedy_collapse(items, M.similar_pairs(s, 15, 98.1).select("a", "b"))
+    return M.collapse(s, items, 15, 98.1)
 
 
 @query()
@@ -393,7 +393,7 @@ def explorer_grid(spark, sf):
     return run_grid(items, [3], [3, 5], [0.1, 0.5], [0.5, 1.0])
 
 
-@query("""WITH v AS (SELECT doc_id AS id, 60 + (n_chars % 41) AS v FROM documents), t AS (SELECT id, v, (v-70)/30.0 AS t FROM v) SELECT id, CASE WHEN v < 70 THEN '#d9d9d9' ELSE printf('#%02x%02x%02x', round(240-214*t)::INT, round(244-162*t)::INT, round(250-110*t)::INT) END AS color FROM t""")
+@query("""WITH v AS (SELECT doc_id AS id, 60 + (n_chars % 41) AS v FROM documents), t AS (SELECT id, v, (v-70)/30.0 AS t FROM v) SELECT id, CASE WHEN v < 70 THEN '#d9d9d9' ELSE printf('#%02x%02x%02x', trunc(247+(8-247)*t)::INT, trunc(251+(81-251)*t)::INT, trunc(255+(156-255)*t)::INT) END AS color FROM t""")
 def heatmap_colors(spark, sf):
     return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), S.heat_color((F.lit(60) + F.col("n_chars") % 41).cast("double")).alias("color"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -21,4 +21,19 @@ def checkpoint(df: DataFrame) -> DataFrame:
         base = "file:///tmp/checkpoints"
     path = f"{base.rstrip('/')}/rounds-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._checkpoint_path = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Removes the files of tables that :func:`checkpoint` returned."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._checkpoint_path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def partitions(spark: SparkSession) -> int:
+    """A number for exchanges of few rows with much work each, which adaptive execution would merge into one task."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -91,7 +92,6 @@ def test_allocation_labels_and_references(spark):
     assert (got["r1"].best_ref_id, got["r1"].second_ref_id, got["r1"].candidate_novel) == ("r2", "r2", False)
 
 
-CONTROL = [("geneconv", 1382, 1492, "REC", "DON", "", 0.0), ("geneconv", 5, 1359, "REC", "BACK", "", 0.03171), ("geneconv", 1382, 1492, "BACK", "", "", 0.0), ("geneconv", 5, 1359, "DON", "", "", 0.03037), ("rdp", 1343, 1420, "REC", "DON", "BACK", 36.36)]
 EVENT = "ord bigint, method string, start int, end int, recombinant string, parent_a string, parent_b string, pvalue double"
 
 
@@ -99,12 +99,77 @@ def _events(spark, rows):
     return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], EVENT)
 
 
-def test_consensus_control(spark):
-    one = R.consensus(_events(spark, CONTROL), min_methods=1).collect()
-    assert len(one) == 1 and one[0].methods == ["geneconv"] and one[0].members == ["BACK", "DON", "REC"]
-    assert R.consensus(_events(spark, CONTROL), min_methods=3).count() == 0
-    assert R.consensus(_events(spark, CONTROL), min_methods=2, pvalue_max=1.0, min_overlap=0.99, tolerance=100).count() == 1
-    assert R.consensus(_events(spark, CONTROL), min_methods=2, pvalue_max=1.0, min_overlap=0.5, tolerance=5).count() == 0
+#: Intervals of 100 sites on both sides of the overlap of one half, and ends on both sides of the tolerance.
+TRIO = ("p", "q", "r")
+
+
+@pytest.mark.parametrize(
+    ("second", "joined"),
+    [((150, 250), True), ((151, 281), True), ((199, 300), True), ((199, 301), False), ((201, 301), False), ((700, 800), False), ((190, 202), True), ((195, 215), True), ((195, 315), False), ((40, 160), True)],
+)
+def test_consensus_joins_by_overlap_or_ends(spark, second, joined):
+    rows = [("rdp", 100, 200, *TRIO, 0.001), ("maxchi", *second, *TRIO, 0.002)]
+    got = R.consensus(_events(spark, rows), min_methods=2).collect()
+    assert len(got) == joined
+    if joined:
+        assert (got[0].start, got[0].end, got[0].start_min, got[0].end_max) == (max(100, second[0]), max(200, second[1]), min(100, second[0]), max(200, second[1]))
+
+
+def test_consensus_gate_fragments_and_least_pvalue(spark):
+    wide, near = ("geneconv", 1000, 1900, "x", "y", "", 0.02), ("geneconv", 300, 420, "x", "z", "", 0.03)
+    one = R.consensus(_events(spark, [wide, near]), min_methods=1).collect()
+    assert [(r.members, r.start, r.end, r.n_events, r.min_pvalue) for r in one] == [(["x", "y", "z"], 300, 420, 1, 0.03)]
+    assert R.consensus(_events(spark, [wide, ("geneconv", 300, 800, "x", "z", "", 0.03)]), min_methods=1).count() == 2  # not twice as long
+    assert R.consensus(_events(spark, [wide, ("geneconv", 950, 1100, "x", "z", "", 0.03)]), min_methods=1).count() == 2  # they overlap
+    odd = [("rdp", 5, 90, *TRIO, -2.0), ("maxchi", 5, 90, *TRIO, 0.04), ("chimaera", 5, 90, *TRIO, 7.5), ("siscan", 5, 90, *TRIO, float("nan")), ("rdp", 5, 90, "p", "", "", 0.01)]
+    got = R.consensus(_events(spark, odd), min_methods=1).collect()
+    assert [(r.methods, r.min_pvalue) for r in got] == [(["maxchi", "rdp", "siscan"], 0.04)]
+    assert {r.n_events for r in R.consensus(_events(spark, odd), min_methods=1, pvalue_max=1.0).collect()} == {4}
+    assert np.isnan(R.consensus(_events(spark, odd[3:4]), min_methods=1).first().min_pvalue)
+
+
+def _one_pass(rows, pvalue_max, max_members):
+    """Groups of one loop over all events, as sets of their ``ord``."""
+    kept = []
+    for i, (method, start, end, rec, a, b, p) in enumerate(rows):
+        members = sorted({x for x in (rec, a, b) if x})
+        if len(members) >= 2 and not min(p, 1.0) > pvalue_max:
+            kept.append({"ord": i, "method": method, "start": start, "end": end, "members": members, "recombinant": rec, "parents": [x for x in (a, b) if x]})
+    used, paired = set(), []
+    for i, x in enumerate(kept):
+        for y in kept[i + 1 :]:
+            if x["ord"] in used or y["ord"] in used or not all(e["method"] == "geneconv" and len(e["parents"]) == 1 and e["recombinant"] for e in (x, y)) or x["recombinant"] != y["recombinant"] or x["parents"] == y["parents"]:
+                continue
+            small, big = (x, y) if x["end"] - x["start"] <= y["end"] - y["start"] else (y, x)
+            both = max(0, min(x["end"], y["end"]) - max(x["start"], y["start"]))
+            if big["end"] - big["start"] >= 2 * (small["end"] - small["start"]) and both <= 0.1 * (small["end"] - small["start"]):
+                used |= {x["ord"], y["ord"]}
+                paired.append(small | {"ord": x["ord"], "members": sorted({*x["members"], *y["members"]})})
+    groups = []
+    for e in sorted(paired + [e for e in kept if e["ord"] not in used], key=lambda e: (e["start"], e["end"])):
+        for g in groups:
+            fits = any(len({*e["members"]} & {*o["members"]}) >= 2 and (max(0, min(e["end"], o["end"]) - max(e["start"], o["start"])) >= 0.5 * min(e["end"] - e["start"], o["end"] - o["start"]) or abs(e["start"] - o["start"]) <= 100 and abs(e["end"] - o["end"]) <= 100) for o in g)
+            if fits and len({m for o in [*g, e] for m in o["members"]}) <= max_members:
+                g.append(e)
+                break
+        else:
+            groups.append([e])
+    return {frozenset(o["ord"] for o in g) for g in groups}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_blocks_equal_one_pass(spark, seed):
+    rng = random.Random(seed)
+    rows = []
+    for _ in range(220):
+        names = rng.sample("abcdefgh"[: 4 + seed], 3)
+        start = rng.randrange(0, 1500)
+        rows.append((rng.choice(["geneconv", "rdp", "maxchi"]), start, start + rng.choice([60, 150, 150, 400]), names[0], names[1], rng.choice(["", names[2]]), rng.choice([0.001, 0.02, 0.2, 3.0, -1.0, float("nan")])))
+    got = R.merged_events(_events(spark, rows), 0.05, max_members=3 + seed % 2)
+    groups = {}
+    for r in got.collect():
+        groups.setdefault((r.block, r.grp), set()).add(r.ord)
+    assert {frozenset(g) for g in groups.values()} == _one_pass(rows, 0.05, 3 + seed % 2)
 
 
 def test_consensus_bound(spark):
