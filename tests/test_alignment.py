@@ -1,0 +1,92 @@
+"""Aligners: where programs are found, what they answer, and that all cores get pairs."""
+
+import stat
+
+import pytest
+
+from clademill.operators import alignment as A
+from clademill.operators import similarity as M
+
+
+def _program(folder, name, body="exit 0"):
+    path = folder / name
+    path.write_text(f"#!/bin/sh\n{body}\n")
+    path.chmod(path.stat().st_mode | stat.S_IXUSR)
+    return path
+
+
+def test_executables_are_found_in_order(tmp_path, monkeypatch):
+    own, other = _program(tmp_path, "mine"), tmp_path / "bin"
+    other.mkdir()
+    on_path = _program(other, "mafft")
+    monkeypatch.setenv("PATH", str(other))
+    assert A.resolve_executable(str(own), "mafft") == str(own.resolve())
+    assert A.resolve_executable("mafft", "mafft") == A.resolve_executable(None, "mafft") == A.resolve_executable(str(tmp_path / "no"), "mafft") == str(on_path)
+    plain = tmp_path / "text"
+    plain.write_text("no program")
+    assert A.resolve_executable(str(plain), "muscle", [str(tmp_path / "none"), str(own)]) == str(own.resolve())
+    assert A.resolve_executable(str(plain), "muscle") == str(plain) and A.resolve_executable(None, "muscle") == "muscle"
+    assert not A.usable(tmp_path)
+
+
+def test_external_programs(tmp_path):
+    mafft = _program(tmp_path, "mafft", 'printf ">a\\nAC-gt\\nA\\n>b\\nACCGA-\\n"')
+    assert A.external_identity("x", "y", "mafft", str(mafft)) == 75.0
+    new = _program(tmp_path, "muscle", '[ "$1" = "-align" ] || exit 2\ncp "$2" "$4"')
+    old = _program(tmp_path, "muscle3", '[ "$1" = "-in" ] || exit 2\ncp "$2" "$4"')
+    for program in (new, old):
+        assert A.external_identity("ACGT", "ACGA", "muscle", str(program)) == 75.0
+    broken = _program(tmp_path, "broken", "echo out of luck >&2; exit 1")
+    for aligner in ("mafft", "muscle"):
+        with pytest.raises(RuntimeError, match="out of luck"):
+            A.external_identity("A", "C", aligner, str(broken))
+    with pytest.raises(RuntimeError, match="cannot be run"):
+        A.identity_of("mafft", str(tmp_path / "absent"))("A", "C")
+    with pytest.raises(ValueError):
+        A.identity_of("clustal")
+
+
+def test_pairs_of_an_external_program(spark, tmp_path):
+    program = _program(tmp_path, "muscle", 'cp "$2" "$4"')
+    seqs = spark.createDataFrame([(i, f"s{i}", "ACGT"[i % 4] * 4) for i in range(9)], "ord int, id string, seq string")
+    got = {(r.a, r.b): r.identity for r in A.identity_pairs(seqs, tile=3, aligner="muscle", program=str(program)).collect()}
+    assert got == {(f"s{i}", f"s{j}"): 100.0 * (i % 4 == j % 4) for i in range(9) for j in range(i + 1, 9)}
+
+
+def test_pairs_are_dealt_to_many_tasks(spark):
+    seqs = spark.createDataFrame([(i, i, "ACGT" * 3 + "ACGT"[i % 4]) for i in range(120)], "ord int, id int, seq string")
+    pairs = A.identity_pairs(seqs)
+    assert pairs.count() == 120 * 119 // 2
+    sizes = [r.n for r in pairs.selectExpr("spark_partition_id() p").groupBy("p").count().toDF("p", "n").collect()]
+    assert len(sizes) >= 8 and max(sizes) < 0.3 * sum(sizes)
+
+
+def test_copies_collapse_by_membership(spark):
+    seqs = spark.range(100_000).selectExpr("id", "CASE WHEN id % 1000 = 7 THEN '' WHEN id % 2 = 0 THEN 'ACGTTGCAACGGTTACGATCC' ELSE 'TTGACCATGGACCATTTGACA' END seq")
+    items = seqs.selectExpr("id", "100000 - id AS rank", "id = 99999 AS protected")
+    got = M.collapse(seqs, items, 5, 98.0).groupBy("representative").count().collect()
+    count = {r.representative: r["count"] for r in got}
+    assert sum(count.values()) == 100_000 and count[99_998] == 50_000 and count[99_997] == 50_000 - 101 and count[99_999] == 1 and count[7] == 1
+
+
+@pytest.mark.parametrize("local", [1_000_000, 30])
+def test_long_chains_end(spark, monkeypatch, local):
+    monkeypatch.setattr(M, "LOCAL_EDGES", local)
+    n = 5000 if local > 30 else 45
+    items = spark.range(n).selectExpr("id", "id AS rank", "false AS protected")
+    got = M.greedy_collapse(items, spark.range(n - 1).selectExpr("id AS a", "id + 1 AS b"))
+    assert sorted((r.id, r.representative) for r in got.collect()) == [(i, i - i % 2) for i in range(n)]
+
+
+def test_kmer_codes():
+    from clademill.operators import kernels as K
+
+    assert K.kmer_strings(K.kmer_codes("ACGTTGCA", 3), 3).tolist() == ["ACG", "CGT", "GTT", "TTG", "TGC", "GCA"]
+    assert len(K.kmer_codes("AC", 3)) == 0 and len(K.kmer_strings(K.kmer_codes("", 3), 3)) == 0
+    mixed = "ACGTRACGTYACGTRACNACGTé"
+    for k in (4, 40, 31):
+        text = mixed * 5
+        windows = [text[i : i + k] for i in range(len(text) - k + 1)]
+        codes = K.kmer_codes(text, k).tolist()
+        assert len(set(zip(windows, codes, strict=True))) == len(set(windows)) == len(set(codes))
+        assert len(K.kmer_codes_without_n(text, k)) == len({w for w in windows if "N" not in w})
