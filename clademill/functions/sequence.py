@@ -88,11 +88,14 @@ def best_frame(seq: Column) -> Column:
     """Struct ``(internal_stops, aa_len, aa, frame)`` of the frame with fewest stops, then longest, then first."""
 
     def of(s: Column) -> Column:
-        def told(aa: Column, f: int) -> Column:
-            stops = F.length(aa) - F.length(F.replace(aa, F.lit("*"), F.lit("")))
-            return F.struct(stops.alias("internal_stops"), (-F.length(aa)).alias("neg_len"), aa.alias("aa"), F.lit(f).alias("frame"))
+        def told(f: int):
+            def struct(aa: Column) -> Column:  # of one argument: a second would be given the element's index
+                stops = F.length(aa) - F.length(F.replace(aa, F.lit("*"), F.lit("")))
+                return F.struct(stops.alias("internal_stops"), (-F.length(aa)).alias("neg_len"), aa.alias("aa"), F.lit(f).alias("frame"))
 
-        return F.array_min(F.array(*(bound(translated(s, f), lambda aa, f=f: told(aa, f)) for f in range(3))))
+            return struct
+
+        return F.array_min(F.array(*(bound(translated(s, f), told(f)) for f in range(3))))
 
     best = bound(seq, of)
     return F.struct(best["internal_stops"].alias("internal_stops"), (-best["neg_len"]).alias("aa_len"), best["aa"].alias("aa"), best["frame"].alias("frame"))

@@ -20,7 +20,7 @@ from clademill.operators import clusters as C
 from clademill.operators import kernels as K
 from clademill.operators import recombination as R
 from clademill.operators import similarity as M
-from clademill.operators.sampling import farthest_point_panel, panel_metrics, quotas
+from clademill.operators.sampling import farthest_point_panel, outermost, panel_metrics, quotas
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -87,9 +87,11 @@ def kmer_freq_by_lang(spark, sf):
     return M.kmer_frequencies(sequences(spark, sf), 3, "cluster").withColumn("freq", F.round("freq", 6))
 
 
-@query()
+@query(f"""WITH s AS (SELECT doc_id AS id, {ACGT} AS q FROM documents), k AS (SELECT id, substring(q, i::INT, 3) AS kmer FROM s, range(1, greatest(length(q)-1, 1)) t(i) WHERE length(q) >= 3), f AS (SELECT id, kmer, (count(*) / sum(count(*)) OVER (PARTITION BY id))::FLOAT AS v FROM k GROUP BY id, kmer),
+c AS (SELECT i, substring('ACGT', (i // 16 + 1)::INT, 1) || substring('ACGT', (i // 4 % 4 + 1)::INT, 1) || substring('ACGT', (i % 4 + 1)::INT, 1) AS kmer FROM range(64) t(i)) SELECT s.id, c.i::INT AS i, round(coalesce(v, 0)::DOUBLE, 6) AS v FROM s CROSS JOIN c LEFT JOIN f ON f.id = s.id AND f.kmer = c.kmer""")
 def kmer_vectors(spark, sf):
-    return M.kmer_vectors(sequences(spark, sf), 3)
+    """The vectors of all sequences, one row per component."""
+    return M.kmer_vectors(sequences(spark, sf), 3).select("id", F.posexplode("vector").alias("i", "v")).withColumn("v", F.round(F.col("v").cast("double"), 6))
 
 
 @query(f"""WITH s AS (SELECT doc_id AS id, {ACGT} AS q FROM documents), k AS (SELECT DISTINCT id, substring(q, i::INT, 15) AS kmer FROM s, range(1, greatest(length(q)-13, 1)) t(i) WHERE length(q) >= 15),
@@ -100,19 +102,28 @@ def kmer_jaccard_pairs(spark, sf):
     return M.similar_pairs(s, 15, 98.1).select("a", "b", *(F.col(c).cast("bigint").alias(c) for c in ("shared", "size_a", "size_b")), F.round("identity", 6).alias("identity"))
 
 
-@query()
+#: The loop in rank order over the sequences that are near to another: each is lost if a kept one comes before it.
+_COLLAPSE = f"""WITH RECURSIVE s AS (SELECT doc_id AS id, {ACGT} AS q FROM documents), rk AS (SELECT id, row_number() OVER (ORDER BY -length(q), id) AS r FROM s), k AS (SELECT DISTINCT id, substring(q, i::INT, 15) AS kmer FROM s, range(1, greatest(length(q)-13, 1)) t(i) WHERE length(q) >= 15),
+n AS (SELECT id, count(*) AS n FROM k GROUP BY id), p AS (SELECT a.id AS a, b.id AS b, count(*) AS shared FROM k a JOIN k b ON a.kmer = b.kmer AND a.id < b.id GROUP BY ALL),
+e AS (SELECT p.a, p.b FROM p JOIN n na ON na.id = p.a JOIN n nb ON nb.id = p.b WHERE 100*(1+ln(2.0*shared/(na.n+nb.n))/15) >= 98.1 - 1e-9), o AS (SELECT least(x.r, y.r) AS a, greatest(x.r, y.r) AS b FROM e JOIN rk x ON x.id = e.a JOIN rk y ON y.id = e.b),
+w AS (SELECT row_number() OVER (ORDER BY b) AS step, b, list(a ORDER BY a) AS pre FROM o GROUP BY b),
+g(step, lost) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT w.step, CASE WHEN len(list_filter(w.pre, lambda x: NOT list_contains(g.lost, x))) > 0 THEN list_append(g.lost, w.b) ELSE g.lost END FROM g JOIN w ON w.step = g.step + 1),
+z AS (SELECT lost FROM g ORDER BY step DESC LIMIT 1), t AS (SELECT w.b, list_filter(w.pre, lambda x: NOT list_contains(z.lost, x))[1] AS first FROM w, z), c AS (SELECT rk.id, coalesce(h.id, rk.id) AS representative FROM rk LEFT JOIN t ON t.b = rk.r LEFT JOIN rk h ON h.r = t.first)"""
+
+
+@query(_COLLAPSE + " SELECT id, representative, false AS protected FROM c")
 def collapse_panel(spark, sf):
     s = sequences(spark, sf).select("id", S.acgt(F.col("seq")).alias("seq"))
     items = s.select("id", F.struct((-F.length("seq")).alias("l"), "id").alias("rank"), F.lit(False).alias("protected"))
     return M.collapse(s, items, 15, 98.1)
 
 
-@query()
+@query(_COLLAPSE + " SELECT representative, count(*)::BIGINT AS n_absorbed, string_agg(id::VARCHAR, ';' ORDER BY id::VARCHAR) AS absorbed_ids FROM c WHERE id <> representative GROUP BY 1")
 def collapse_groups(spark, sf):
     return M.collapse_groups(collapse_panel(spark, sf)).where("n_absorbed > 0")
 
 
-@query()
+@query(_COLLAPSE + " SELECT lang AS cluster, count(*)::BIGINT AS genomes_in_cluster, count(*) FILTER (c.id = c.representative)::BIGINT AS retained FROM c JOIN documents d ON d.doc_id = c.id GROUP BY 1")
 def cluster_retention(spark, sf):
     kept = collapse_panel(spark, sf).select("id", (F.col("id") == F.col("representative")).alias("kept"))
     return sequences(spark, sf).join(kept, "id").groupBy("cluster").agg(F.count(F.lit(1)).alias("genomes_in_cluster"), F.count_if("kept").alias("retained"))
@@ -132,7 +143,9 @@ def curated_distinct(spark, sf):
     return d.groupBy(F.sha1(F.coalesce("text", F.lit(""))).alias("k")).agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies")).drop("k")
 
 
-@query()
+@query(f"""WITH s AS (SELECT doc_id AS id, {ACGT} AS q FROM documents), f AS (SELECT id, frame, list_transform(range(0, (length(q) - frame) // 3), lambda i: substring(q, (frame + 3*i + 1)::INT, 3)) AS codons FROM s, range(3) t(frame)),
+a AS (SELECT id, frame, regexp_replace(coalesce(array_to_string(list_transform(codons, lambda c: substring('{S._AMINO}', (16*(strpos('TCAG', c[1])-1) + 4*(strpos('TCAG', c[2])-1) + strpos('TCAG', c[3]))::INT, 1)), ''), ''), '[*]$', '') AS aa FROM f),
+r AS (SELECT *, length(aa) - length(replace(aa, '*', '')) AS stops FROM a), b AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY stops, -length(aa), encode(aa), frame) AS n FROM r) SELECT id, frame::INT AS frame, length(aa)::INT AS aa_len, stops::INT AS internal_stops, md5(aa) AS aa_md5 FROM b WHERE n = 1""")
 def translate_best_frame(spark, sf):
     s = sequences(spark, sf).select("id", S.best_frame(S.acgt(F.col("seq"))).alias("t"))
     return s.select("id", "t.frame", "t.aa_len", "t.internal_stops", F.md5("t.aa").alias("aa_md5"))
@@ -152,10 +165,14 @@ def quota_largest_remainder(spark, sf):
     return C.largest_remainder(sequences(spark, sf).groupBy(F.col("source").alias("key")).agg(F.count(F.lit(1)).alias("weight")), 100)
 
 
-@query()
+@query(f"""WITH RECURSIVE p AS {PTS}, w AS (SELECT cluster, count(*) AS weight, avg(x) AS cx, avg(y) AS cy FROM p GROUP BY 1), e AS (SELECT *, weight*60.0::DOUBLE/sum(weight) OVER () AS share FROM w), l AS (SELECT *, row_number() OVER (ORDER BY round(share-floor(share), 9) DESC, weight DESC, cluster) AS r FROM e),
+q AS (SELECT cluster, cx, cy, least(weight, floor(share) + CASE WHEN r <= 60 - (SELECT sum(floor(share)) FROM e) THEN 1 ELSE 0 END)::INT AS quota FROM l), m AS (SELECT cluster, any_value(quota) AS quota, list({{'o': ord, 'id': id, 'x': x, 'y': y, 'c': sqrt((x-cx)*(x-cx)+(y-cy)*(y-cy))}} ORDER BY ord) AS pts FROM p JOIN q USING (cluster) WHERE quota > 0 GROUP BY 1),
+g AS (SELECT cluster, 1 AS rank, [list_sort(list_transform(pts, lambda z: {{'c': round(z.c, 12), 'o': z.o, 'z': z}}))[1].z] AS chosen FROM m UNION ALL
+SELECT g.cluster, g.rank + 1, list_append(chosen, list_sort(list_transform(list_filter(pts, lambda z: NOT list_contains(list_transform(chosen, lambda k: k.o), z.o)), lambda z: {{'d': -round(list_min(list_transform(chosen, lambda k: sqrt((z.x-k.x)*(z.x-k.x)+(z.y-k.y)*(z.y-k.y)))), 12), 'c': -round(z.c, 12), 'o': z.o, 'z': z}}))[1].z) FROM g JOIN m USING (cluster) WHERE g.rank < m.quota)
+SELECT cluster, chosen[rank].id AS id, round(chosen[rank].x, 6) AS x, round(chosen[rank].y, 6) AS y, rank::INT AS selection_rank, CASE WHEN rank = 1 THEN 'centroid' ELSE 'coverage' END AS selection_mode, round(chosen[rank].c, 6) AS centroid_distance FROM g""")
 def sample_panel(spark, sf):
     p = points(spark, sf)
-    return farthest_point_panel(p, quotas(p, 60))
+    return farthest_point_panel(p, quotas(p, 60)).withColumns({c: F.round(c, 6) for c in ("x", "y", "centroid_distance")})
 
 
 @query(f"""WITH p AS {PTS}, c AS (SELECT cluster, avg(x) AS cx, avg(y) AS cy FROM p GROUP BY 1), d AS (SELECT p.*, round(sqrt((x-cx)**2+(y-cy)**2), 9) AS d FROM p JOIN c USING (cluster))
@@ -187,13 +204,16 @@ def cluster_centroids(spark, sf):
     return C.centroids(points(spark, sf)).select("cluster", F.round("cx", 6).alias("cx"), F.round("cy", 6).alias("cy"), "n")
 
 
-@query()
+@query(f"""WITH RECURSIVE p AS (SELECT DISTINCT cluster, x, y FROM {PTS}), e AS (SELECT a.cluster, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_ FROM p a JOIN p b ON a.cluster = b.cluster AND (a.x <> b.x OR a.y <> b.y) JOIN p c ON c.cluster = a.cluster
+GROUP BY ALL HAVING bool_and((b.x-a.x)*(c.y-a.y)-(b.y-a.y)*(c.x-a.x) > 0 OR ((b.x-a.x)*(c.y-a.y)-(b.y-a.y)*(c.x-a.x) = 0 AND (c.x-a.x)*(c.x-b.x)+(c.y-a.y)*(c.y-b.y) <= 0))),
+f AS (SELECT cluster, min({{'x': x, 'y': y}}) AS s FROM p GROUP BY 1), h AS (SELECT cluster, 0 AS pos, s.x AS x, s.y AS y, s FROM f WHERE cluster IN (SELECT cluster FROM e GROUP BY 1 HAVING count(*) > 2) UNION ALL SELECT h.cluster, pos + 1, e.bx, e.by_, h.s FROM h JOIN e ON e.cluster = h.cluster AND e.ax = h.x AND e.ay = h.y WHERE NOT (e.bx = h.s.x AND e.by_ = h.s.y)) SELECT cluster, pos::INT AS pos, round(x, 6) AS x, round(y, 6) AS y FROM h""")
 def convex_hulls(spark, sf):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         h = K.hull(frame[["x", "y"]].to_numpy())
         return pd.DataFrame({"cluster": frame["cluster"].iloc[0], "pos": range(len(h)), "x": h[:, 0], "y": h[:, 1]})
 
-    return points(spark, sf).select("cluster", "x", "y").groupBy("cluster").applyInPandas(run, "cluster string, pos int, x double, y double")
+    # a point that is not outermost in its cell of a coarse grid of directions stays out before any cluster is gathered
+    return outermost(points(spark, sf).select("cluster", "x", "y")).groupBy("cluster").applyInPandas(run, "cluster string, pos int, x double, y double").withColumns({c: F.round(c, 6) for c in "xy"})
 
 
 @query("""WITH f AS (SELECT source AS cluster, min(doc_id) AS first FROM documents GROUP BY 1) SELECT cluster, 'C' || lpad(row_number() OVER (ORDER BY first)::VARCHAR, greatest(2, length(row_number() OVER (ORDER BY first)::VARCHAR))::INT, '0') AS label FROM f""")
@@ -273,7 +293,7 @@ def reference_vote_25nn(spark, sf):
     return C.majority_vote(_searches(spark, sf, 25), points(spark, sf))
 
 
-@query()
+@query(_NN.replace("WITH", "WITH RECURSIVE", 1).replace(" WHERE id % 50 = 0", "") + """, e AS (SELECT DISTINCT id AS a, other AS b FROM k WHERE rank <= 3), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(id, component) AS (SELECT id, id FROM p UNION SELECT u.b, r.component FROM r JOIN u ON u.a = r.id) SELECT id, min(component)::BIGINT AS component FROM r GROUP BY 1""")
 def graph_components(spark, sf):
     p = points(spark, sf)
     edges = C.gaussian_edges(C.nearest(p, p, 3))
@@ -393,6 +413,15 @@ def explorer_grid(spark, sf):
     return run_grid(items, [3], [3, 5], [0.1, 0.5], [0.5, 1.0])
 
 
+@query()
+def explorer_items(spark, sf):
+    """The grid over the embeddings' rows, one task per cell: the size of a collection that ``run_grid`` states."""
+    from clademill.plans.stages import run_grid
+
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("ord"), F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
+    return run_grid(e, [3], [15], [0.1], [0.5, 1.0], graph_k=30)
+
+
 @query("""WITH v AS (SELECT doc_id AS id, 60 + (n_chars % 41) AS v FROM documents), t AS (SELECT id, v, (v-70)/30.0 AS t FROM v) SELECT id, CASE WHEN v < 70 THEN '#d9d9d9' ELSE printf('#%02x%02x%02x', trunc(247+(8-247)*t)::INT, trunc(251+(81-251)*t)::INT, trunc(255+(156-255)*t)::INT) END AS color FROM t""")
 def heatmap_colors(spark, sf):
     return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), S.heat_color((F.lit(60) + F.col("n_chars") % 41).cast("double")).alias("color"))
