@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import argparse
+import shlex
 
 from pyspark.sql import SparkSession
 
 from clademill.plans import stages
 
 
+def _names(text: str) -> list[str]:
+    return [x.strip() for x in text.split(",") if x.strip()]
+
+
 def _ints(text: str) -> list[int]:
     return [int(x) for x in text.split(",") if x.strip()]
 
@@ -35,8 +40,8 @@ def parser() -> argparse.ArgumentParser:
     command("collapse-panel", ["input-fasta", "explorer-dir", "kmer", "neighbors", "min-dist", "outdir"], reference_fasta="", resolution=1e-6, identity_threshold=98.1, jaccard_k=15, focal_ids="")
     command("align-panel", ["panel-dir", "outdir"], aligner="builtin", mafft="mafft", muscle="muscle")
     command("distance-explorer", ["panel-dir", "aligned-dir", "outdir"], thresholds="0.03,0.04,0.05,0.06,0.07,0.08,0.10", novelty=92.0, explorer_dir="", umap_neighbors=30, umap_min_dist=0.5, umap_spread=0.8, seed=42)
-    command("recombination", ["alignment-fasta", "outdir", "events"], min_methods=3, pvalue_max=0.05, feature_tsv="")
-    command("export-clusters", ["sequence-fasta", "cluster-tsv", "outdir"], id_column="id", cluster_column="cluster", filter_column="", filter_value="", clusters="")
+    command("recombination", ["alignment-fasta", "outdir"], events="", min_methods=3, pvalue_max=0.05, feature_tsv="", scan_command="", methods="")
+    command("export-clusters", ["sequence-fasta", "cluster-tsv", "outdir"], id_column="id", cluster_column="cluster", filter_column="", filter_value="", clusters="", manifest="", filename_prefix="")
     return top
 
 
@@ -54,9 +59,9 @@ def main(argv: list[str] | None = None) -> int:
     elif a.command == "distance-explorer":
         stages.review(spark, a.panel_dir, a.aligned_dir, a.outdir, _floats(a.thresholds), a.novelty, a.explorer_dir or None, a.umap_neighbors, a.umap_min_dist, a.umap_spread, a.seed)
     elif a.command == "recombination":
-        stages.recombination(spark, a.alignment_fasta, a.outdir, a.events.split(","), a.min_methods, a.pvalue_max, a.feature_tsv or None)
+        stages.recombination(spark, a.alignment_fasta, a.outdir, _names(a.events), a.min_methods, a.pvalue_max, a.feature_tsv or None, shlex.split(a.scan_command) or None, _names(a.methods))
     else:
-        stages.export_clusters(spark, a.sequence_fasta, a.cluster_tsv, a.outdir, a.id_column, a.cluster_column, a.filter_column or None, a.filter_value or None, a.clusters.split(",") if a.clusters else None)
+        stages.export_clusters(spark, a.sequence_fasta, a.cluster_tsv, a.outdir, a.id_column, a.cluster_column, a.filter_column or None, a.filter_value or None, _names(a.clusters) or None, a.manifest or None, a.filename_prefix)
     return 0
 
 

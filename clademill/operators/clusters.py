@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from clademill.functions.sequence import cluster_order
+from clademill.operators import kernels
 from clademill.plans.shared import checkpoint, forget
 
 
@@ -247,3 +249,65 @@ def best_hit(hits: DataFrame, least_pident: float = 0.0, least_qcovs: float = 0.
     """The highest bit score per query after the floors, the first by ``ord`` on ties."""
     ok = hits.where((F.col("pident") >= least_pident) & (F.col("qcovs") >= least_qcovs))
     return ok.groupBy("qseqid").agg(F.max_by(F.struct("sseqid", "pident", "qcovs", "bitscore"), F.struct("bitscore", -F.col("ord"))).alias("h")).select("qseqid", "h.*")
+
+
+def outermost(points: DataFrame, directions: int = 64) -> DataFrame:
+    """``(cluster, x, y)`` of the points that can be corners of their cluster's convex hull: a few per cluster, and no corner is left out.
+
+    The extreme points in ``directions`` directions span a polygon inside the hull; points
+    strictly inside it are no corners. Extremes are found by grouped maxima with partial aggregation.
+    """
+    angles = [2 * math.pi * i / directions for i in range(directions)]
+    along = [F.max_by(F.struct("x", "y"), F.col("x") * math.cos(a) + F.col("y") * math.sin(a)).alias(f"e{i}") for i, a in enumerate(angles)]
+    corners = points.groupBy("cluster").agg(*along).select(F.col("cluster").alias("_cluster"), F.array(*(f"e{i}" for i in range(directions))).alias("ring"))
+    rows = points.select("cluster", "x", "y").distinct().join(F.broadcast(corners), F.col("cluster").eqNullSafe(F.col("_cluster")))
+    after = F.concat(F.slice("ring", 2, directions - 1), F.slice("ring", 1, 1))
+    # inside if strictly to the left of every edge of the ring, with a margin for rounding; equal neighbours are no edge
+    edges = F.zip_with("ring", after, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    cross = lambda e: (e.b.x - e.a.x) * (F.col("y") - e.a.y) - (e.b.y - e.a.y) * (F.col("x") - e.a.x)
+    size = lambda e: F.abs(e.b.x - e.a.x) + F.abs(e.b.y - e.a.y)
+    margin = lambda e: 1e-9 * size(e) * (F.abs("x") + F.abs("y") + F.abs(e.a.x) + F.abs(e.a.y))
+    inside = F.forall(edges, lambda e: (size(e) == 0) | (cross(e) > margin(e)))
+    flat = F.size(F.array_distinct("ring")) < 3
+    return rows.where(flat | ~inside).select("cluster", "x", "y")
+
+
+def typed(queries: DataFrame, hits: DataFrame, types: DataFrame, default: str = "untyped", least_pident: float = 0.0, least_qcovs: float = 0.0) -> DataFrame:
+    """``(id, type, pident, qcovs)`` for every query: its best hit's type, ``default`` without a hit.
+
+    ``types``: ``(sseqid, type)``; a hit whose subject has none keeps the subject's id.
+    """
+    best = best_hit(hits, least_pident, least_qcovs).join(types, "sseqid", "left")
+    rows = queries.select("id").join(best.select(F.col("qseqid").alias("id"), F.coalesce("type", "sseqid").alias("type"), "pident", "qcovs"), "id", "left")
+    return rows.select("id", F.coalesce("type", F.lit(default)).alias("type"), "pident", "qcovs")
+
+
+def best_cell(scores: DataFrame, value: str, order: list[str]) -> DataFrame:
+    """The row of the largest ``value``, the first by ``order`` on ties; missing values are passed over."""
+    known = scores.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    first = known.agg(F.min_by(F.struct(*scores.columns), F.struct((-F.col(value)).alias("_v"), *order)).alias("r"))
+    return first.where("r IS NOT NULL").select("r.*")
+
+
+def cluster_view(points: DataFrame, least: int | None = None, most: int | None = None) -> DataFrame:
+    """Per cluster of the genomes in a length window: place in order, count, share, label place and hull.
+
+    ``points``: ``(id, x, y, cluster, len)`` and ``item_class`` if there are others than
+    genomes. Ordered by letters, number and name of the cluster; ``hull`` is an array of ``(x, y)``.
+    """
+    rows = points.where(F.coalesce("item_class", F.lit("genome")) != "reference") if "item_class" in points.columns else points
+    rows = rows.where(F.col("len") >= least) if least is not None else rows
+    rows = rows.where(F.col("len") <= most) if most is not None else rows
+    own = rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("genomes"), F.avg("x").alias("label_x"), F.avg("y").alias("label_y"))
+
+    def corners(frame):
+        import pandas as pd
+
+        h = kernels.hull(frame[["x", "y"]].to_numpy())
+        return pd.DataFrame({"cluster": [frame["cluster"].iloc[0]], "hull": [[{"x": float(a), "y": float(b)} for a, b in h]]})
+
+    kind = points.schema["cluster"].dataType.simpleString()
+    hulls = outermost(rows.select("cluster", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))).groupBy("cluster").applyInPandas(corners, f"cluster {kind}, hull array<struct<x:double,y:double>>")
+    total = own.agg(F.sum("genomes").alias("_total"))
+    place = F.row_number().over(W.orderBy(*cluster_order(F.col("cluster"))))  # one row per cluster
+    return own.join(hulls, "cluster", "left").crossJoin(F.broadcast(total)).select(place.alias("place"), "cluster", "genomes", (100.0 * F.col("genomes") / F.col("_total")).alias("pct_genomes"), "label_x", "label_y", "hull")

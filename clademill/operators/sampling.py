@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,27 +34,6 @@ def farthest_point_panel(points: DataFrame, allocation: DataFrame) -> DataFrame:
     return rows.groupBy("cluster").applyInPandas(run, f"cluster string, id {id_type}, x double, y double, selection_rank int, selection_mode string, centroid_distance double")
 
 
-def outermost(points: DataFrame, directions: int = 64) -> DataFrame:
-    """``(cluster, x, y)`` of the points that can be corners of their cluster's convex hull: a few per cluster, and no corner is left out.
-
-    The extreme points in ``directions`` directions span a polygon inside the hull; points
-    strictly inside it are no corners. Extremes are found by grouped maxima with partial aggregation.
-    """
-    angles = [2 * math.pi * i / directions for i in range(directions)]
-    along = [F.max_by(F.struct("x", "y"), F.col("x") * math.cos(a) + F.col("y") * math.sin(a)).alias(f"e{i}") for i, a in enumerate(angles)]
-    corners = points.groupBy("cluster").agg(*along).select(F.col("cluster").alias("_cluster"), F.array(*(f"e{i}" for i in range(directions))).alias("ring"))
-    rows = points.select("cluster", "x", "y").distinct().join(F.broadcast(corners), F.col("cluster").eqNullSafe(F.col("_cluster")))
-    after = F.concat(F.slice("ring", 2, directions - 1), F.slice("ring", 1, 1))
-    # inside if strictly to the left of every edge of the ring, with a margin for rounding; equal neighbours are no edge
-    edges = F.zip_with("ring", after, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    cross = lambda e: (e.b.x - e.a.x) * (F.col("y") - e.a.y) - (e.b.y - e.a.y) * (F.col("x") - e.a.x)
-    size = lambda e: F.abs(e.b.x - e.a.x) + F.abs(e.b.y - e.a.y)
-    margin = lambda e: 1e-9 * size(e) * (F.abs("x") + F.abs("y") + F.abs(e.a.x) + F.abs(e.a.y))
-    inside = F.forall(edges, lambda e: (size(e) == 0) | (cross(e) > margin(e)))
-    flat = F.size(F.array_distinct("ring")) < 3
-    return rows.where(flat | ~inside).select("cluster", "x", "y")
-
-
 def panel_metrics(items: DataFrame, panel: int) -> DataFrame:
     """One row: items, their pairs, the panel's share, how many times fewer pairs it has, its triplets."""
     n = items.agg(F.count(F.lit(1)).alias("n"))

@@ -20,7 +20,7 @@ from clademill.operators import clusters as C
 from clademill.operators import kernels as K
 from clademill.operators import recombination as R
 from clademill.operators import similarity as M
-from clademill.operators.sampling import farthest_point_panel, outermost, panel_metrics, quotas
+from clademill.operators.sampling import farthest_point_panel, panel_metrics, quotas
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -213,7 +213,7 @@ def convex_hulls(spark, sf):
         return pd.DataFrame({"cluster": frame["cluster"].iloc[0], "pos": range(len(h)), "x": h[:, 0], "y": h[:, 1]})
 
     # a point that is not outermost in its cell of a coarse grid of directions stays out before any cluster is gathered
-    return outermost(points(spark, sf).select("cluster", "x", "y")).groupBy("cluster").applyInPandas(run, "cluster string, pos int, x double, y double").withColumns({c: F.round(c, 6) for c in "xy"})
+    return C.outermost(points(spark, sf).select("cluster", "x", "y")).groupBy("cluster").applyInPandas(run, "cluster string, pos int, x double, y double").withColumns({c: F.round(c, 6) for c in "xy"})
 
 
 @query("""WITH f AS (SELECT source AS cluster, min(doc_id) AS first FROM documents GROUP BY 1) SELECT cluster, 'C' || lpad(row_number() OVER (ORDER BY first)::VARCHAR, greatest(2, length(row_number() OVER (ORDER BY first)::VARCHAR))::INT, '0') AS label FROM f""")

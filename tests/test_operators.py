@@ -179,12 +179,17 @@ def test_consensus_bound(spark):
 
 
 def test_roles():
-    back, don, rec = "A" * 40, "C" * 40, "A" * 20 + "C" * 10 + "A" * 10
-    call = R.polarise(rec, back, don, ("BACK", "DON"), 20, 30)
-    assert (call["backbone"], call["donor"], call["tract_sites"], call["flank_sites"]) == ("BACK", "DON", 10, 30)
-    assert R.polarise(back, back, don, ("BACK", "DON"), 20, 30) is None
-    assert R.assign_roles({"R": rec, "B": back, "D": don}, ["B", "D", "R"], 20, 30)["recombinant"] == "R"
-    assert R.assign_roles({"R": rec, "B": back}, ["B", "R", "D"], 20, 30) is None
+    rows = {"B": "A" * 40, "D": "C" * 40, "R": "A" * 20 + "C" * 10 + "A" * 9 + "-", "E": "A" * 40}
+    call = R.polarise(rows, "R", ["B", "D"], 20, 30)
+    assert call == {"backbone_parent": "B", "donor_parent": "D", "informative_sites_tract": 10, "informative_sites_flank": 29, "tract_supports": "D", "flank_supports": "B"}
+    assert R.polarise(rows, "R", ["B", "D", "E"], 20, 30) == R.NO_ROLES == R.polarise(rows, "gone", ["B", "D"], 20, 30)
+    assert R.polarise(rows, "R", ["B", "D", "gone", ""], 20, 30) == call
+    assert R.polarise(rows, "B", ["D", "E"], 20, 30)["backbone_parent"] == "" and R.polarise(rows, "B", ["D", "E"], 20, 30)["tract_supports"] == "E"
+    best = R.assign_roles(rows, ["B", "D", "R"], 20, 30)
+    assert (best["recombinant_resolved"], best["role_support"], best["donor_parent"]) == ("R", 39, "D")
+    assert R.assign_roles(rows, ["B", "R"], 20, 30) == R.NO_ROLES | {"recombinant_resolved": "", "role_support": 0}
+    none = R.assign_roles({"B": "AAAA", "D": "CCCC", "E": "AAAA"}, ["B", "D", "E"], 1, 2)
+    assert (none["recombinant_resolved"], none["informative_sites_tract"], none["informative_sites_flank"], none["tract_supports"]) == ("", 1, 3, "E")
 
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
