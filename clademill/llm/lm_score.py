@@ -1,8 +1,10 @@
-"""Language-model scores: a probabilistic suffix tree over bytes, beside a unigram base.
+"""Language-model scores: a probabilistic suffix tree over words, with one over letters for new words, beside a unigram base.
 
-Contexts of up to ``DEPTH`` bytes are kept where the next-byte distribution
-diverges from that of the context without its first byte. Texts are scored by the
-longest kept suffix at each place, with distributions smoothed along the tree.
+A word's context is the word before it, or nothing, or the text's start. The tree keeps the contexts whose
+next-word distribution diverges from that without them; it is a table that grows with
+the corpus, of which every block of documents gets the rows of its own words. The probability of a next
+word is smoothed along its longest kept suffix. Words that training has not seen are spelled by a suffix
+tree over the bytes of the training words, with contexts of up to ``DEPTH`` bytes.
 """
 
 from __future__ import annotations
@@ -13,13 +15,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clademill.llm.common import fold, save, tidy
+from clademill.llm.common import WordHashes, fold, mix, save, tidy
 
 DEPTH = 5
-#: A context is kept only where its share of all places reaches this, so a tree has at most DEPTH / MIN_SHARE contexts.
+#: The letters' resolution: a context of bytes is kept only where its share of all places reaches this. Contexts of words have no such bound.
 MIN_SHARE = 5e-5
 #: Least gain of a context in nats, and as a share of all places.
 MIN_GAIN, MIN_GAIN_SHARE = 12.0, 2e-7
@@ -28,10 +32,10 @@ BACKOFF = 6.0
 #: Byte that UTF-8 never has: the text's end, and the places before its start.
 END = 0xFF
 SYMBOLS = 256
-#: UTF-8 bytes of text in a block, and in a slice that is scored at once.
-BLOCK_BYTES, SLICE_BYTES = 12_000_000, 4_000_000
-#: Words and grams remembered before a task gives them out.
-FLUSH_WORDS, FLUSH_GRAMS = 400_000, 4_000_000
+#: UTF-8 bytes of text in a block, and of those that are read at once; blocks to a task where there are many.
+BLOCK_BYTES, SLICE_BYTES, TASK_BLOCKS = 24_000_000, 4_000_000, 8
+#: What stands for a word in the tables: a text's start and end. Words are hashes of 63 bits; 0 and 1 mark rows of single words and of bytes.
+WORDS, BYTES, START, STOP = 0, 1, 2, 3
 
 
 def stream_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -150,72 +154,162 @@ def build_tree(tables: list[dict[bytes, dict[int, int]]]) -> SuffixTree:
 
 
 def _blocks(docs: DataFrame) -> tuple[DataFrame, int]:
-    """``(doc_id, text, train, block)``, and how many blocks of about BLOCK_BYTES there are."""
+    """``(doc_id, text, train, held, block)``, and how many blocks of about BLOCK_BYTES there are."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-size // BLOCK_BYTES))
-    block = F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")
-    return docs.select("doc_id", "text", (fold() != 1).alias("train"), block.alias("block")), n
+    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(fold() != 1, F.lit(False)).alias("train"), (fold() == 1).alias("held"), block.alias("block")), n
 
 
-def _counted(blocks: DataFrame, n: int) -> DataFrame:
-    """One pass: ``(block, word, gram, n)`` rows of words (with counts in training texts) and of training grams."""
+class _Words(WordHashes):
+    """63-bit hashes of words, none of which is a mark."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.LIMIT:
+            self.clear()
+        value = self[word] = max(xxhash.xxh3_64_intdigest(word) >> 1, STOP + 1)
+        return value
+
+    def tokens(self, raw: bytes) -> tuple[list[bytes], np.ndarray]:
+        """A lower-case text's words, and their hashes with the end's."""
+        words = raw.split()
+        return words, np.fromiter((*map(self.__getitem__, words), STOP), np.int64, len(words) + 1)
+
+
+def _before(tokens: list[np.ndarray]) -> np.ndarray:
+    """The word before each token of the texts."""
+    whole = np.concatenate(tokens)
+    out = np.concatenate([[START], whole[:-1]])
+    out[np.cumsum([0, *map(len, tokens[:-1])])] = START
+    return out
+
+
+def _pair(q: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """One number for two words."""
+    return mix(q.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + mix(w.view(np.uint64)))
+
+
+ROW = "q bigint, w bigint, block int, n bigint"
+
+
+def _counted(blocks: DataFrame, parts: int) -> DataFrame:
+    """``(q, w, block, n)``: words (``q`` is WORDS) and pairs of a block, and byte grams of its training words (``q`` is BYTES).
+
+    ``n`` is twice the count in training texts, and one more where another text has it too.
+    """
+    names = [x.split()[0] for x in ROW.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: dict[tuple[int, bytes], int] = {}
-        texts: list[bytes] = []
-        held = 0
-        grams, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-        def given(block: list, word: list, gram: np.ndarray | list, number: np.ndarray | list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), pa.array(word, pa.binary()), pa.array(gram, pa.int64()), pa.array(number, pa.int64())], names=["block", "word", "gram", "n"])
-
-        def out_words() -> Iterator[pa.RecordBatch]:
-            keys = list(words)
-            for i in range(0, len(keys), 50_000):
-                part = keys[i : i + 50_000]
-                yield given([k[0] for k in part], [k[1] for k in part], [None] * len(part), [words[k] for k in part])
-            words.clear()
-
-        def out_grams() -> Iterator[pa.RecordBatch]:
-            for i in range(0, len(grams), 50_000):
-                part = grams[i : i + 50_000]
-                yield given([None] * len(part), [None] * len(part), part, counts[i : i + 50_000])
-
-        def merge() -> None:
-            nonlocal grams, counts, held
-            g, c = gram_counts(texts)
-            both, place = np.unique(np.concatenate([grams, g]), return_inverse=True)
-            counts = np.bincount(place, np.concatenate([counts, c]), minlength=len(both)).astype(np.int64)
-            grams = both
-            texts.clear()
-            held = 0
+        hashes = _Words()
+
+        def rows(block: int, tokens: list[np.ndarray], train: list[bool]) -> Iterator[pa.RecordBatch]:
+            w, q = np.concatenate(tokens), _before(tokens)
+            learned = np.repeat(np.array(train), [len(t) for t in tokens])
+            for before, key in ((np.zeros(len(w), np.int64), w), (q, _pair(q, w))):
+                _, first, place = np.unique(key, return_index=True, return_inverse=True)
+                n = 2 * np.bincount(place, learned, minlength=len(first)).astype(np.int64)
+                n += np.bincount(place, ~learned, minlength=len(first)) > 0
+                for i in range(0, len(first), 100_000):
+                    at = first[i : i + 100_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(before[at]), pa.array(w[at]), pa.array(np.full(len(at), block, np.int32)), pa.array(n[i : i + 100_000])], names=names)
+
+        def spelled(words: set[bytes]) -> Iterator[pa.RecordBatch]:
+            codes, n = gram_counts(sorted(words))
+            for i in range(0, len(codes), 100_000):
+                part = codes[i : i + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), BYTES)), pa.array(part), pa.nulls(len(part), pa.int32()), pa.array(2 * n[i : i + 100_000])], names=names)
+
+        now, tokens, train, seen, size = None, [], [], set(), 0
+        for batch in batches:
+            for text, learned, block in zip(batch.column(1), batch.column(2).to_pylist(), batch.column(4).to_pylist(), strict=True):
+                if tokens and (block != now or size > 2 * BLOCK_BYTES):  # many rows of one text are given out in parts
+                    yield from rows(now, tokens, train)
+                    yield from spelled(seen)
+                    tokens, train, seen, size = [], [], set(), 0
+                now = block
+                raw = text.as_py().encode().lower()
+                words, own = hashes.tokens(raw)
+                tokens.append(own)
+                train.append(learned)
+                size += len(raw)
+                if learned:
+                    seen.update(words)
+        if tokens:
+            yield from rows(now, tokens, train)
+            yield from spelled(seen)
+
+    return blocks.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(tidy(run), ROW)
+
+
+#: Rows of the table of totals: of a block, of the corpus, and of a context in one task.
+OF_BLOCK, OF_ALL, OF_CONTEXT = 0, 1, 2
+
+
+def _totals(counted: DataFrame) -> DataFrame:
+    """``(kind, q, w, block, c)`` with corpus counts ``c`` in training texts.
+
+    A block gets the rows that it cannot tell itself: those counted twice and more, and those counted once of which
+    another text than a training one has need. Of the corpus come words, byte grams, and pairs
+    counted twice and more; of contexts, in ``w`` how many words follow them in this task, and how often in ``c``.
+    """
+    names = ["kind", "q", "w", "block", "c"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None
+
+        def told(q: np.ndarray, w: np.ndarray, block: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+            if not len(q):
+                return
+            starts = np.nonzero(np.concatenate([[True], (q[1:] != q[:-1]) | (w[1:] != w[:-1])]))[0]
+            c = np.add.reduceat(n >> 1, starts)
+            each = np.repeat(c, np.diff(np.append(starts, len(q))))
+            need = (q != BYTES) & ((each >= 2) | (each == 1) & (n & 1 == 1))
+            yield rows(OF_BLOCK, q[need], w[need], block[need], each[need])
+            q1, w1 = q[starts], w[starts]
+            whole = (c >= 2) | (c > 0) & ((q1 == WORDS) | (q1 == BYTES))
+            yield rows(OF_ALL, q1[whole], w1[whole], None, c[whole])
+            pair = (q1 > BYTES) & (c > 0)
+            q2, c2 = q1[pair], c[pair]
+            if len(q2):
+                at = np.nonzero(np.concatenate([[True], q2[1:] != q2[:-1]]))[0]
+                yield rows(OF_CONTEXT, q2[at], np.diff(np.append(at, len(q2))), None, np.add.reduceat(c2, at))
+
+        def rows(kind: int, q: np.ndarray, w: np.ndarray, block: np.ndarray | None, c: np.ndarray) -> pa.RecordBatch:
+            blocks = pa.nulls(len(q), pa.int32()) if block is None else pa.array(block.astype(np.int32))
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(q), kind, np.int8)), pa.array(q), pa.array(w.astype(np.int64)), blocks, pa.array(c)], names=names)
 
         for batch in batches:
-            for text, train, block in zip(batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                raw = (text.as_py() or "").encode().lower()
-                tokens = raw.split()
-                for w in tokens:
-                    k = (block, w)
-                    words[k] = words.get(k, 0) + train
-                if train:
-                    texts.append(raw)
-                    held += len(raw)
-                if len(words) > FLUSH_WORDS:
-                    yield from out_words()
-                if held > SLICE_BYTES:
-                    merge()
-                    if len(grams) > FLUSH_GRAMS:
-                        yield from out_grams()
-                        grams, counts = grams[:0], counts[:0]
-        merge()
-        yield from out_words()
-        yield from out_grams()
-
-    return blocks.repartition(n, "block").mapInArrow(tidy(run), "block int, word binary, gram bigint, n bigint")
+            if not batch.num_rows:
+                continue
+            now = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).fill_null(0).to_numpy(), batch.column(3).to_numpy()]
+            if held is not None:
+                now = [np.concatenate(x) for x in zip(held, now, strict=True)]
+            q, w = now[0], now[1]
+            new = np.nonzero((q[1:] != q[:-1]) | (w[1:] != w[:-1]))[0]
+            cut = int(new[-1]) + 1 if len(new) else 0
+            yield from told(*(x[:cut] for x in now))
+            held = [x[cut:] for x in now]
+        if held is not None:
+            yield from told(*held)
+
+    return counted.repartition("q", "w").sortWithinPartitions("q", "w").mapInArrow(tidy(run), "kind tinyint, q bigint, w bigint, block int, c bigint")
+
+
+def _contexts(totals: DataFrame, tokens: int) -> DataFrame:
+    """``(w, t)``: the kept contexts, and how many different words follow them.
+
+    A context is kept where the gain of its repeated pairs over the distribution without
+    it, in nats and summed over their occurrences, reaches ``MIN_GAIN``.
+    """
+    words = totals.where(f"kind = {OF_ALL} AND q = {WORDS}").select("w", F.col("c").alias("cw"))
+    pairs = totals.where(f"kind = {OF_ALL} AND q > {BYTES}").select("q", "w", "c")
+    gain = pairs.join(words, "w").groupBy("q").agg(F.sum(F.col("c") * F.log(F.col("c") * float(max(tokens, 1)) / F.col("cw"))).alias("gain"), F.sum("c").alias("s"))
+    parts = totals.where(f"kind = {OF_CONTEXT}").groupBy("q").agg(F.sum("w").alias("t"), F.sum("c").alias("n"))
+    return gain.join(parts, "q").where(F.col("gain") - F.col("s") * F.log("n") >= MIN_GAIN).select(F.col("q").alias("w"), "t")
 
 
 def fit_tree(grams: DataFrame) -> SuffixTree:
-    """The tree of a gram table ``(gram, n)``; only counts of frequent contexts reach the driver."""
+    """The letters' tree of a gram table ``(gram, n)``; only counts of frequent contexts reach the driver."""
     counts = save(grams.groupBy("gram").agg(F.sum("n").alias("n")), "grams")
     total = counts.df.agg(F.sum("n")).first()[0] or 0
     least = max(2, math.ceil(total * MIN_SHARE))
@@ -230,59 +324,141 @@ def fit_tree(grams: DataFrame) -> SuffixTree:
     return build_tree(tables)
 
 
+@dataclass
+class WordTree:
+    """The tree's rows for one block, sorted, and what holds for all."""
+
+    words: np.ndarray  # words, and START's and STOP's where training has any
+    counts: np.ndarray
+    follow: np.ndarray  # different words after a kept context, 0 for others
+    pairs: np.ndarray
+    pair_counts: np.ndarray
+    tokens: int  # in training
+    new: float  # probability of a word that training has not seen
+    start: tuple[int, int]  # training texts, and different words that begin them, 0 if START is not kept
+    letters: SuffixTree
+
+    def scores(self, texts: list[bytes], train: list[bool], hashes: _Words) -> tuple[np.ndarray, np.ndarray]:
+        """Per token its corpus count and log10 probability, of all texts in turn.
+
+        A word or pair that the block's rows lack occurs once in training if the text is of it, else never.
+        """
+        both = [hashes.tokens(t) for t in texts]
+        tokens = [t for _, t in both]
+        w, q = np.concatenate(tokens), _before(tokens)
+        own = np.repeat(np.array(train), [len(t) for t in tokens]).astype(np.int64)
+
+        def found(keys: np.ndarray, table: np.ndarray, *columns: np.ndarray) -> list[np.ndarray]:
+            some, place = np.unique(keys, return_inverse=True)
+            at = np.minimum(np.searchsorted(table, some), max(len(table) - 1, 0))
+            hit = table[at] == some if len(table) else np.zeros(len(some), bool)
+            return [hit[place], *((np.where(hit, c[at], 0) if len(table) else np.zeros(len(some), c.dtype))[place] for c in columns)]
+
+        hit, count, follow = found(w, self.words, self.counts, self.follow)
+        count = np.where(hit, count, own)
+        p = count * ((1 - self.new) / max(self.tokens, 1))
+        spelled = np.nonzero(count == 0)[0]
+        if len(spelled):
+            flat = [x for words, _ in both for x in (*words, b"")]
+            names = sorted({flat[i] for i in spelled.tolist()})
+            of = dict(zip(names, self.letters.scores(names).tolist(), strict=True))
+            p[spelled] = self.new * 10.0 ** np.array([max(of[flat[i]], -290.0) for i in spelled.tolist()])
+        # the word before, of which count and follow are those of the token before
+        at_start = q == START
+        before_count, before_follow = (np.where(at_start, s, np.concatenate([[0], x[:-1]])) for s, x in zip(self.start, (count, follow), strict=True))
+        hit, n = found(_pair(q, w), self.pairs, self.pair_counts)
+        n = np.where(hit, n, own)
+        kept = before_follow > 0
+        p[kept] = (n[kept] + before_follow[kept] * p[kept]) / (before_count[kept] + before_follow[kept])
+        return count, np.log10(np.maximum(p, 1e-300))
+
+
 def score_documents(docs: DataFrame) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for every row.
 
-    Learns from the rows whose fold is not 1 (a null id is in no fold and only
-    scored). Null texts are empty; repeated rows are counted and scored each. With
-    nothing to learn from, the tree is uniform and the base has one class.
+    Learns from the rows whose fold is not 1. A null id is in no fold: it is not learned
+    from, and its ``held_out`` is null. Null texts are empty; repeated rows are counted and scored
+    each. With nothing to learn from, all words are spelled by a uniform tree and the base has one class.
 
-    Documents are dealt to blocks by id; each block gets the corpus counts of just
-    its own words, so neither the vocabulary nor a frequent word gathers in one
-    place. The tree is bounded and sent to all tasks.
+    Documents are dealt to blocks; each block gets the corpus counts of just its own words and pairs,
+    so neither the vocabulary nor a frequent word gathers in one place, and streams its texts
+    past them. The probabilities of the words after a context sum to at most 1.
     """
     spark = docs.sparkSession
     blocks, n = _blocks(docs)
-    blocks = blocks.withColumns({"train": F.coalesce("train", F.lit(False)), "block": F.coalesce("block", F.lit(0))})
-    counted = save(_counted(blocks, n), "counted").df
-    own = counted.where("word IS NOT NULL").select("block", "word", "n")
-    known = save(own.groupBy("word").agg(F.sum("n").alias("c")).where("c > 0"), "word-counts").df
-    row = known.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    ends = blocks.where("train").count()
-    tokens, distinct = (row.n or 0) + ends, row.v + (ends > 0)
-    tree = spark.sparkContext.broadcast(fit_tree(counted.where("gram IS NOT NULL").select("gram", "n")))
-    vocabulary = own.select("block", "word").join(known, "word").select("block", "word", "c")
+    parts = max(-(-n // TASK_BLOCKS), min(n, 2 * spark.sparkContext.defaultParallelism))
+    totals = save(_totals(_counted(blocks, parts)), "totals").df
+    all_words = totals.where(f"kind = {OF_ALL} AND q = {WORDS}")
+    row = all_words.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"), F.count_if(F.col("c") == 1).alias("once"), F.sum(F.when(F.col("w") == STOP, F.col("c"))).alias("ends")).first()
+    tokens, distinct, ends = row.n or 0, row.v, row.ends or 0
+    contexts = save(_contexts(totals, tokens), "contexts").df
+    begin = contexts.where(F.col("w") == START).first()
+    letters = spark.sparkContext.broadcast(fit_tree(totals.where(f"kind = {OF_ALL} AND q = {BYTES}").select(F.col("w").alias("gram"), F.col("c").alias("n"))))
+    new = min(max(row.once, 1) / tokens, 0.5) if tokens else 1.0
+    start = (ends, begin.t if begin else 0)
+    # one exchange deals a block's words, pairs and texts, in this order
+    of_block = totals.where(f"kind = {OF_BLOCK}")
+    words = of_block.where(f"q = {WORDS}").select("block", "w", "c").join(contexts, "w", "left").select("block", F.lit(0).alias("kind"), F.lit(0).cast("bigint").alias("q"), "w", "c", F.coalesce("t", F.lit(0)).cast("bigint").alias("t"))
+    pairs = of_block.where(f"q > {BYTES}").select("block", F.lit(1).alias("kind"), "q", "w", "c", F.lit(0).cast("bigint").alias("t"))
+    empty = lambda kind: F.lit(None).cast(kind)
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    model = words.unionByName(pairs).withColumns({"doc_id": empty(id_type), "text": empty("string"), "train": empty("boolean"), "held": empty("boolean")})
+    texts = blocks.withColumns({"kind": F.lit(2), **{c: empty("bigint") for c in "qwct"}})
+    dealt = model.unionByName(texts).select("block", "kind", "q", "w", "c", "t", "doc_id", "text", "train", "held").repartition(parts, "block").sortWithinPartitions("block", "kind")
     under = math.log10(tokens + 0.5 * (distinct + 1))
-    end_value = math.log10(ends + 0.5) - under
-    unknown = math.log10(0.5) - under
-
-    def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        value = dict(zip(right.column("word").to_pylist(), (np.log10(right.column("c").to_numpy() + 0.5) - under).tolist(), strict=True))
-        ids, train, texts = left.column("doc_id"), left.column("train"), left.column("text")
-        base, n_tokens, n_known, scores = [], [], [], []
-        raws: list[bytes] = []
-        size = 0
-        for text in texts:
-            raw = (text.as_py() or "").encode().lower()
-            words = raw.split()
-            got = [value[w] for w in words if w in value]
-            base.append(math.fsum(got) + (len(words) - len(got)) * unknown + end_value)
-            n_tokens.append(len(words) + 1)
-            n_known.append(len(got) + (ends > 0))
-            raws.append(raw)
-            size += len(raw)
-            if size > SLICE_BYTES:
-                scores.append(tree.value.scores(raws))
-                raws, size = [], 0
-        scores.append(tree.value.scores(raws))
-        held = pa.array([not t for t in train.to_pylist()], pa.bool_())
-        return pa.table({
-            "doc_id": ids, "held_out": held, "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()),
-            "train_tokens": pa.array([tokens] * len(n_tokens), pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(np.concatenate(scores), pa.float64()),
-        })
-
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    return blocks.groupBy("block").cogroup(vocabulary.groupBy("block")).applyInArrow(score, schema)
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _Words()
+        now, tree = None, None
+        got: dict[int, list[list[np.ndarray]]] = {0: [], 1: []}
+
+        def built() -> WordTree:
+            columns = []
+            for kind, width in ((0, 3), (1, 2)):
+                parts = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (zip(*got[kind], strict=True) if got[kind] else [[]] * width)]
+                order = np.argsort(parts[0], kind="stable")
+                columns += [x[order] for x in parts]
+                got[kind].clear()
+            return WordTree(*columns, tokens, new, start, letters.value)
+
+        def scored(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            texts = rows.column("text")
+            sizes = pc.binary_length(texts).to_numpy()
+            part = np.cumsum(sizes) // SLICE_BYTES
+            cuts = [0, *(np.nonzero(part[1:] != part[:-1])[0] + 1).tolist(), rows.num_rows]
+            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+                own = rows.slice(s, e - s)
+                raws = [t.as_py().encode().lower() for t in own.column("text")]
+                train = own.column("train").to_pylist()
+                count, lp = tree.scores(raws, train, hashes)
+                sizes = np.array([len(r.split()) + 1 for r in raws])
+                at = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+                base = np.add.reduceat(np.log10(count + 0.5) - under, at)
+                known = np.add.reduceat(count > 0, at, dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([own.column("doc_id"), own.column("held"), pa.array(sizes), pa.array(known), pa.array(np.full(len(sizes), tokens)), pa.array(base), pa.array(np.add.reduceat(lp, at))], names=names)
+
+        for batch in batches:
+            block, kind = batch.column("block").to_numpy(), batch.column("kind").to_numpy()
+            cuts = [0, *(np.nonzero((block[1:] != block[:-1]) | (kind[1:] != kind[:-1]))[0] + 1).tolist(), len(block)]
+            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+                if e == s:
+                    continue
+                if block[s] != now:
+                    now, tree = block[s], None
+                    got[0].clear()
+                    got[1].clear()
+                rows = batch.slice(s, e - s)
+                if kind[s] == 2:
+                    tree = tree or built()
+                    yield from scored(rows)
+                elif kind[s] == 0:
+                    got[0].append([rows.column(c).to_numpy() for c in "wct"])
+                else:
+                    got[1].append([_pair(rows.column("q").to_numpy(), rows.column("w").to_numpy()), rows.column("c").to_numpy()])
+
+    schema = f"doc_id {id_type}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+    return dealt.mapInArrow(tidy(run), schema)
 
 
 def lm_query(documents: DataFrame) -> DataFrame:
