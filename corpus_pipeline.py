@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clademill.llm.common import bounded, fresh, save, shared_dir
+from clademill.llm.common import SharedTable, bounded, fresh, save, shared_dir
 from clademill.llm.decontaminate import drop_contaminated
 from clademill.llm.line_dedup import cut_spans, repeated_spans
 from clademill.llm.near_dup import drop_near_duplicates, near_duplicates
@@ -76,10 +76,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written to the shared folder and read again."""
+    """All stages over ``documents``; each result is written to the shared folder and read again, and then its predecessor removed."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    before: SharedTable | None = None
     for number, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{base}/{number}-{name}")
-        docs = spark.read.parquet(f"{base}/{number}-{name}")
+        path = f"{base}/{number}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if before is not None:
+            before.drop()
+        before = SharedTable(docs, path)
     return docs
