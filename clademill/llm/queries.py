@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -73,6 +75,25 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_query(_table(spark, sf_dir, "conversations"))
 
 
+def secrets_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of :func:`op2_secrets`: its columns of the base patterns, by the same operator."""
+    return op2_secrets(spark, sf_dir).drop("spans")
+
+
+def lm_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of :func:`op9_lm_score`: its columns but the tree's score, by the same operator."""
+    return op9_lm_score(spark, sf_dir).drop("score").withColumn("base_score", F.round("base_score", 5))
+
+
+def packing_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of :func:`op4_packing`: per document whether its pieces cover it once, and in how few sequences all could be."""
+    pieces = op4_packing(spark, sf_dir)
+    along = W.partitionBy("sequence_id").orderBy("offset")
+    told = pieces.withColumns({"before": F.lag(F.col("offset") + F.col("length"), 1, 0).over(along), "own": F.lag(F.col("start") + F.col("length"), 1, 0).over(W.partitionBy("doc_id").orderBy("start"))})
+    gapless = F.bool_and((F.col("offset") == F.col("before")) & (F.col("start") == F.col("own")) & (F.col("offset") + F.col("length") <= 1024))
+    return told.groupBy("doc_id").agg((gapless & (F.sum("length") == F.max("doc_tokens"))).alias("whole"), F.bool_and((F.col("length") == 1024) | (F.col("start") + F.col("length") == F.col("doc_tokens"))).alias("cut_at_sequences"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_near_dup": op1_near_dup,
@@ -85,11 +106,41 @@ def queries() -> dict[str, Query]:
         "op8_html_extract": op8_html_extract,
         "op9_lm_score": op9_lm_score,
         "op10_chat_formatting": op10_chat_formatting,
+        "secrets_base": secrets_base,
+        "lm_base": lm_base,
+        "packing_documents": packing_documents,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_near_dup": OP1_SQL, "op5_embed_dup": OP5_SQL, "op10_chat_formatting": OP10_SQL}
+    return {"op1_near_dup": OP1_SQL, "op5_embed_dup": OP5_SQL, "op10_chat_formatting": OP10_SQL, "secrets_base": SECRETS_SQL, "lm_base": LM_SQL, "packing_documents": PACKING_SQL}
+
+
+#: Matches and the pieces between them give the places; A-Z stand beside a-z, since case folding would add other letters.
+SECRETS_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS (
+  SELECT doc_id, 'assign' AS kind, 0 AS n, regexp_extract_all(t, '([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)') AS ms, regexp_extract_all(t, '([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2) AS vs, string_split_regex(t, '([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)') AS ps, 12 AS least FROM d
+  UNION ALL SELECT doc_id, 'access', 1, regexp_extract_all(t, 'AKIA[A-Z0-9]+'), regexp_extract_all(t, 'AKIA[A-Z0-9]+'), string_split_regex(t, 'AKIA[A-Z0-9]+'), 18 FROM d
+  UNION ALL SELECT doc_id, 'hex', 2, regexp_extract_all(t, '[0-9a-f]{16,}'), regexp_extract_all(t, '[0-9a-f]{16,}'), string_split_regex(t, '[0-9a-f]{16,}'), 16 FROM d
+), s AS (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM m
+), f AS (SELECT doc_id, kind, n, (list_sum(list_transform(ps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0))::BIGINT AS a, length(ms[i]) AS len FROM s WHERE length(vs[i]) >= least)
+SELECT d.doc_id, count(*) FILTER (n = 0)::BIGINT AS n_assign, count(*) FILTER (n = 1)::BIGINT AS n_access, count(*) FILTER (n = 2)::BIGINT AS n_hex,
+  sha256(coalesce(string_agg(kind || ':' || a || ':' || (a + len), ',' ORDER BY a, n), '')) AS base_sha256
+FROM d LEFT JOIN f USING (doc_id) GROUP BY d.doc_id
+"""
+
+#: crc32 by its table, which the polynomial gives.
+LM_SQL = r"""
+WITH t AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, _: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS v FROM range(256) r(i))
+), c AS (SELECT doc_id, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]))) % 5 AS f, text FROM documents, t
+), w AS (SELECT doc_id, f = 1 AS held_out, list_append(list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> ''), ' ') AS ws FROM c
+), o AS (SELECT doc_id, held_out, unnest(ws) AS w FROM w), n AS (SELECT w, count(*) AS c FROM o WHERE NOT held_out GROUP BY 1), k AS (SELECT coalesce(sum(c), 0)::BIGINT AS n, count(*) AS v FROM n)
+SELECT o.doc_id, any_value(held_out) AS held_out, count(*)::BIGINT AS n_tokens, count(n.c)::BIGINT AS n_known, any_value(k.n)::BIGINT AS train_tokens, round(sum(log10((coalesce(n.c, 0) + 0.5) / (k.n + 0.5 * (k.v + 1)))), 5) AS base_score
+FROM o LEFT JOIN n USING (w), k GROUP BY o.doc_id
+"""
+
+PACKING_SQL = "SELECT doc_id, true AS whole, true AS cut_at_sequences FROM documents"
 
 
 OP1_SQL = r"""
