@@ -53,6 +53,12 @@ def save(df: DataFrame, label: str) -> SharedTable:
     return SharedTable(spark.read.schema(df.schema).parquet(path), path)
 
 
+def release(spark: SparkSession) -> None:
+    """Has Spark remove the shuffle files of plans that nothing refers to any more, which it does when the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """``run`` for a task's batches, after which the worker gives free memory back.
 

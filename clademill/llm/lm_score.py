@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clademill.llm.common import WordHashes, fold, mix, save, tidy
+from clademill.llm.common import WordHashes, fold, mix, release, save, tidy
 
 DEPTH = 5
 #: The letters' resolution: a context of bytes is kept only where its share of all places reaches this. Contexts of words have no such bound.
@@ -153,12 +153,24 @@ def build_tree(tables: list[dict[bytes, dict[int, int]]]) -> SuffixTree:
     return SuffixTree(classes, step, lp, len(kept))
 
 
-def _blocks(docs: DataFrame) -> tuple[DataFrame, int]:
-    """``(doc_id, text, train, held, block)``, and how many blocks of about BLOCK_BYTES there are."""
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-size // BLOCK_BYTES))
-    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(fold() != 1, F.lit(False)).alias("train"), (fold() == 1).alias("held"), block.alias("block")), n
+def _blocks(docs: DataFrame) -> DataFrame:
+    """``(doc_id, text, train, held, block)``: rows in the order they are read, dealt to blocks of about BLOCK_BYTES.
+
+    A block is the rows that one task reads in turn, so no id or text can make one large.
+    """
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(fold() != 1, F.lit(False)).alias("train"), (fold() == 1).alias("held"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        first, size = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            sizes = np.cumsum(pc.binary_length(batch.column(1)).to_numpy().astype(np.int64))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(first + (size + sizes) // BLOCK_BYTES)], names=[*batch.schema.names, "block"])
+            size += int(sizes[-1]) if len(sizes) else 0
+
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string, train boolean, held boolean, block bigint"
+    return rows.mapInArrow(tidy(run), schema)
 
 
 class _Words(WordHashes):
@@ -189,10 +201,10 @@ def _pair(q: np.ndarray, w: np.ndarray) -> np.ndarray:
     return mix(q.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + mix(w.view(np.uint64)))
 
 
-ROW = "q bigint, w bigint, block int, n bigint"
+ROW = "q bigint, w bigint, block bigint, n bigint"
 
 
-def _counted(blocks: DataFrame, parts: int) -> DataFrame:
+def _counted(blocks: DataFrame) -> DataFrame:
     """``(q, w, block, n)``: words (``q`` is WORDS) and pairs of a block, and byte grams of its training words (``q`` is BYTES).
 
     ``n`` is twice the count in training texts, and one more where another text has it too.
@@ -205,44 +217,44 @@ def _counted(blocks: DataFrame, parts: int) -> DataFrame:
         def rows(block: int, tokens: list[np.ndarray], train: list[bool]) -> Iterator[pa.RecordBatch]:
             w, q = np.concatenate(tokens), _before(tokens)
             learned = np.repeat(np.array(train), [len(t) for t in tokens])
-            for before, key in ((np.zeros(len(w), np.int64), w), (q, _pair(q, w))):
-                _, first, place = np.unique(key, return_index=True, return_inverse=True)
-                n = 2 * np.bincount(place, learned, minlength=len(first)).astype(np.int64)
-                n += np.bincount(place, ~learned, minlength=len(first)) > 0
+            for before in (np.full(len(w), WORDS), q):
+                order = np.lexsort((w, before))  # rows of one context stay together, which makes them small to ship
+                x, y, own = before[order], w[order], learned[order]
+                first = np.nonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])]))[0]
+                n = 2 * np.add.reduceat(own, first, dtype=np.int64) + np.logical_or.reduceat(~own, first)
                 for i in range(0, len(first), 100_000):
                     at = first[i : i + 100_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(before[at]), pa.array(w[at]), pa.array(np.full(len(at), block, np.int32)), pa.array(n[i : i + 100_000])], names=names)
+                    yield pa.RecordBatch.from_arrays([pa.array(x[at]), pa.array(y[at]), pa.array(np.full(len(at), block)), pa.array(n[i : i + 100_000])], names=names)
 
         def spelled(words: set[bytes]) -> Iterator[pa.RecordBatch]:
             codes, n = gram_counts(sorted(words))
             for i in range(0, len(codes), 100_000):
                 part = codes[i : i + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), BYTES)), pa.array(part), pa.nulls(len(part), pa.int32()), pa.array(2 * n[i : i + 100_000])], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), BYTES)), pa.array(part), pa.nulls(len(part), pa.int64()), pa.array(2 * n[i : i + 100_000])], names=names)
 
-        now, tokens, train, seen, size = None, [], [], set(), 0
+        now, tokens, train, seen = None, [], [], set()
         for batch in batches:
             for text, learned, block in zip(batch.column(1), batch.column(2).to_pylist(), batch.column(4).to_pylist(), strict=True):
-                if tokens and (block != now or size > 2 * BLOCK_BYTES):  # many rows of one text are given out in parts
+                if tokens and block != now:
                     yield from rows(now, tokens, train)
                     yield from spelled(seen)
-                    tokens, train, seen, size = [], [], set(), 0
+                    tokens, train, seen = [], [], set()
                 now = block
                 raw = text.as_py().encode().lower()
                 words, own = hashes.tokens(raw)
                 tokens.append(own)
                 train.append(learned)
-                size += len(raw)
                 if learned:
                     seen.update(words)
         if tokens:
             yield from rows(now, tokens, train)
             yield from spelled(seen)
 
-    return blocks.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(tidy(run), ROW)
+    return blocks.mapInArrow(tidy(run), ROW)
 
 
-#: Rows of the table of totals: of a block, of the corpus, and of a context in one task.
-OF_BLOCK, OF_ALL, OF_CONTEXT = 0, 1, 2
+#: Rows of the table of totals: of a block, and of the corpus.
+OF_BLOCK, OF_ALL = 0, 1
 
 
 def _totals(counted: DataFrame) -> DataFrame:
@@ -250,7 +262,7 @@ def _totals(counted: DataFrame) -> DataFrame:
 
     A block gets the rows that it cannot tell itself: those counted twice and more, and those counted once of which
     another text than a training one has need. Of the corpus come words, byte grams, and pairs
-    counted twice and more; of contexts, in ``w`` how many words follow them in this task, and how often in ``c``.
+    counted twice and more.
     """
     names = ["kind", "q", "w", "block", "c"]
 
@@ -268,15 +280,10 @@ def _totals(counted: DataFrame) -> DataFrame:
             q1, w1 = q[starts], w[starts]
             whole = (c >= 2) | (c > 0) & ((q1 == WORDS) | (q1 == BYTES))
             yield rows(OF_ALL, q1[whole], w1[whole], None, c[whole])
-            pair = (q1 > BYTES) & (c > 0)
-            q2, c2 = q1[pair], c[pair]
-            if len(q2):
-                at = np.nonzero(np.concatenate([[True], q2[1:] != q2[:-1]]))[0]
-                yield rows(OF_CONTEXT, q2[at], np.diff(np.append(at, len(q2))), None, np.add.reduceat(c2, at))
 
         def rows(kind: int, q: np.ndarray, w: np.ndarray, block: np.ndarray | None, c: np.ndarray) -> pa.RecordBatch:
-            blocks = pa.nulls(len(q), pa.int32()) if block is None else pa.array(block.astype(np.int32))
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(q), kind, np.int8)), pa.array(q), pa.array(w.astype(np.int64)), blocks, pa.array(c)], names=names)
+            blocks = pa.nulls(len(q), pa.int64()) if block is None else pa.array(block)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(q), kind, np.int8)), pa.array(q), pa.array(w), blocks, pa.array(c)], names=names)
 
         for batch in batches:
             if not batch.num_rows:
@@ -292,20 +299,24 @@ def _totals(counted: DataFrame) -> DataFrame:
         if held is not None:
             yield from told(*held)
 
-    return counted.repartition("q", "w").sortWithinPartitions("q", "w").mapInArrow(tidy(run), "kind tinyint, q bigint, w bigint, block int, c bigint")
+    return counted.repartition("q", "w").sortWithinPartitions("q", "w").mapInArrow(tidy(run), "kind tinyint, q bigint, w bigint, block bigint, c bigint")
 
 
-def _contexts(totals: DataFrame, tokens: int) -> DataFrame:
+def _contexts(totals: DataFrame, tokens: int, texts: int) -> DataFrame:
     """``(w, t)``: the kept contexts, and how many different words follow them.
 
     A context is kept where the gain of its repeated pairs over the distribution without
-    it, in nats and summed over their occurrences, reaches ``MIN_GAIN``.
+    it, in nats and summed over their occurrences, reaches ``MIN_GAIN``. Its other pairs occur
+    once, so that their number is what repeated ones leave of its count.
     """
     words = totals.where(f"kind = {OF_ALL} AND q = {WORDS}").select("w", F.col("c").alias("cw"))
     pairs = totals.where(f"kind = {OF_ALL} AND q > {BYTES}").select("q", "w", "c")
-    gain = pairs.join(words, "w").groupBy("q").agg(F.sum(F.col("c") * F.log(F.col("c") * float(max(tokens, 1)) / F.col("cw"))).alias("gain"), F.sum("c").alias("s"))
-    parts = totals.where(f"kind = {OF_CONTEXT}").groupBy("q").agg(F.sum("w").alias("t"), F.sum("c").alias("n"))
-    return gain.join(parts, "q").where(F.col("gain") - F.col("s") * F.log("n") >= MIN_GAIN).select(F.col("q").alias("w"), "t")
+    gain = F.sum(F.col("c") * F.log(F.col("c") * float(max(tokens, 1)) / F.col("cw")))
+    repeated = pairs.join(words, "w").groupBy("q").agg(gain.alias("gain"), F.sum("c").alias("s"), F.count(F.lit(1)).alias("d"))
+    start = totals.sparkSession.range(1).select(F.lit(START).cast("bigint").alias("q"), F.lit(texts).cast("bigint").alias("n"))
+    counts = words.select(F.col("w").alias("q"), F.col("cw").alias("n")).unionByName(start)
+    kept = repeated.join(counts, "q").where(F.col("gain") - F.col("s") * F.log("n") >= MIN_GAIN)
+    return kept.select(F.col("q").alias("w"), (F.col("n") - F.col("s") + F.col("d")).alias("t"))
 
 
 def fit_tree(grams: DataFrame) -> SuffixTree:
@@ -385,21 +396,23 @@ def score_documents(docs: DataFrame) -> DataFrame:
     past them. The probabilities of the words after a context sum to at most 1.
     """
     spark = docs.sparkSession
-    blocks, n = _blocks(docs)
-    parts = max(-(-n // TASK_BLOCKS), min(n, 2 * spark.sparkContext.defaultParallelism))
-    totals = save(_totals(_counted(blocks, parts)), "totals").df
+    blocks = save(_blocks(docs), "blocks").df
+    n = blocks.select("block").distinct().count()
+    parts = max(-(-n // TASK_BLOCKS), min(n, 2 * spark.sparkContext.defaultParallelism), 1)
+    totals = save(_totals(_counted(blocks)), "totals").df
+    release(spark)  # the exchange of all pairs is the largest
     all_words = totals.where(f"kind = {OF_ALL} AND q = {WORDS}")
     row = all_words.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"), F.count_if(F.col("c") == 1).alias("once"), F.sum(F.when(F.col("w") == STOP, F.col("c"))).alias("ends")).first()
     tokens, distinct, ends = row.n or 0, row.v, row.ends or 0
-    contexts = save(_contexts(totals, tokens), "contexts").df
+    contexts = save(_contexts(totals, tokens, ends), "contexts").df
     begin = contexts.where(F.col("w") == START).first()
     letters = spark.sparkContext.broadcast(fit_tree(totals.where(f"kind = {OF_ALL} AND q = {BYTES}").select(F.col("w").alias("gram"), F.col("c").alias("n"))))
     new = min(max(row.once, 1) / tokens, 0.5) if tokens else 1.0
     start = (ends, begin.t if begin else 0)
     # one exchange deals a block's words, pairs and texts, in this order
     of_block = totals.where(f"kind = {OF_BLOCK}")
-    words = of_block.where(f"q = {WORDS}").select("block", "w", "c").join(contexts, "w", "left").select("block", F.lit(0).alias("kind"), F.lit(0).cast("bigint").alias("q"), "w", "c", F.coalesce("t", F.lit(0)).cast("bigint").alias("t"))
-    pairs = of_block.where(f"q > {BYTES}").select("block", F.lit(1).alias("kind"), "q", "w", "c", F.lit(0).cast("bigint").alias("t"))
+    words = of_block.where(f"q = {WORDS}").select("block", "w", "c").join(contexts, "w", "left").select("block", F.lit(0).alias("kind"), F.lit(None).cast("bigint").alias("q"), "w", "c", F.coalesce("t", F.lit(0)).cast("bigint").alias("t"))
+    pairs = of_block.where(f"q > {BYTES}").select("block", F.lit(1).alias("kind"), "q", "w", "c", F.lit(None).cast("bigint").alias("t"))
     empty = lambda kind: F.lit(None).cast(kind)
     id_type = docs.schema["doc_id"].dataType.simpleString()
     model = words.unionByName(pairs).withColumns({"doc_id": empty(id_type), "text": empty("string"), "train": empty("boolean"), "held": empty("boolean")})

@@ -87,7 +87,8 @@ def test_equals_a_plain_restatement(spark, rng, monkeypatch, size):
     if size < 10**9:
         monkeypatch.setattr(M, "SLICE_BYTES", 500)
         monkeypatch.setattr(M, "fit_tree", lambda grams: _letters({w for i, t in rows if i is not None and _fold(i) != 1 for w in (t or "").encode().lower().split()}))  # blocks count a word once each
-    got = sorted(map(tuple, M.lm_query(_docs(spark, rows)).collect()), key=str)
+    docs = _docs(spark, rows)
+    got = sorted(map(tuple, M.lm_query(docs.coalesce(1) if size == 10**9 else docs).collect()), key=str)
     want = sorted(_plain(rows), key=str)
     assert [g[:5] for g in got] == [w[:5] for w in want]
     for g, w in zip(got, want, strict=True):
@@ -107,9 +108,9 @@ def test_what_is_kept_grows_with_the_corpus_and_beats_the_base(spark, rng):
                     out.append(rng.choice(WORDS))
             rows.append((i, " ".join(out)))
         docs = _docs(spark, rows).select("doc_id", "text")
-        blocks, parts = M._blocks(docs)
-        totals = M._totals(M._counted(blocks, parts))
-        kept.append(M._contexts(totals, sum(len(t.split()) + 1 for i, t in rows if _fold(i) != 1)).count())
+        totals = M._totals(M._counted(M._blocks(docs)))
+        train = [t for i, t in rows if _fold(i) != 1]
+        kept.append(M._contexts(totals, sum(len(t.split()) + 1 for t in train), len(train)).count())
         held = [r for r in M.lm_query(docs).collect() if r.held_out]
         above.append(sum(r.score - r.base_score for r in held) / sum(r.n_tokens for r in held))
     assert kept[1] > kept[0] and min(above) > 0.3
