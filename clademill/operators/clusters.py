@@ -130,21 +130,73 @@ def top_references(pairs: DataFrame, novelty: float = 92.0) -> DataFrame:
     return out.withColumn("candidate_novel", (F.col("item_class") == "genome") & (F.col("best_identity") < novelty))
 
 
-def nearest(queries: DataFrame, points: DataFrame, k: int, include_self: bool = False, block_rows: int = 2000) -> DataFrame:
-    """``(id, other, d, rank)``: the k nearest points of every query in the plane, exactly.
+#: Distances up to which all are taken, block by block; beyond, a grid leaves out what is too far to matter.
+ALL_PAIRS = 200_000_000
 
-    ``points`` are dealt into blocks of about ``block_rows``; each query meets each block, keeps its k
-    best there, and the blocks' winners are merged: nothing larger than k rows a
-    query and block is ever shuffled. Ties go to the smaller id.
-    """
+
+def _candidates(query: DataFrame, k: int, include_self: bool) -> DataFrame:
+    """``(id, x, y, best)`` of joined rows ``(id, x, y, other, ox, oy)``: the k nearest of each query, ties to the smaller id."""
+    d = F.sqrt((F.col("ox") - F.col("x")) * (F.col("ox") - F.col("x")) + (F.col("oy") - F.col("y")) * (F.col("oy") - F.col("y")))
+    near = F.struct(d.alias("d"), "other")
+    rows = F.collect_list(near) if include_self else F.collect_list(F.when(F.col("other") != F.col("id"), near))
+    return query.groupBy("id", "x", "y").agg(F.slice(F.array_sort(rows), 1, k).alias("best"))
+
+
+def _by_blocks(queries: DataFrame, points: DataFrame, k: int, include_self: bool, block_rows: int) -> DataFrame:
+    """``(id, other, d)``: each query meets each block of points, and of a block its k best are handed on."""
     blocks = max(1, -(-points.count() // block_rows))
-    tagged = points.select(F.col("id").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
-    packed = tagged.groupBy("block").agg(F.collect_list(F.struct("other", "ox", "oy")).alias("ps"))
-    q = queries.select("id", "x", "y")
+    packed = points.withColumn("block", F.pmod(F.xxhash64("other"), F.lit(blocks))).groupBy("block").agg(F.collect_list(F.struct("other", "ox", "oy")).alias("ps"))
     entry = lambda p: F.struct(F.sqrt((p.ox - F.col("x")) * (p.ox - F.col("x")) + (p.oy - F.col("y")) * (p.oy - F.col("y"))).alias("d"), p.other.alias("other"))
     each = F.transform("ps", entry)
     each = each if include_self else F.filter(each, lambda e: e.other != F.col("id"))
-    met = q.crossJoin(packed).select("id", F.explode(F.slice(F.array_sort(each), 1, k)).alias("e")).select("id", "e.d", "e.other")  # one row of `packed` is a block
+    met = queries.crossJoin(packed).select("id", F.explode(F.slice(F.array_sort(each), 1, k)).alias("e"))  # one row of `packed` is a block
+    return met.select("id", "e.other", "e.d")
+
+
+def _by_grid(queries: DataFrame, points: DataFrame, k: int, include_self: bool) -> DataFrame:
+    """``(id, other, d)`` over a grid of cells of about ``k`` points.
+
+    A query is done once its k-th neighbour is no farther than the rim of the cells it has
+    looked at; the others look twice as far in the next round. Of points in one place only the
+    ``k + 1`` smallest ids can be anybody's neighbours.
+    """
+    place = W.partitionBy("ox", "oy").orderBy("other")
+    points = points.withColumn("n", F.row_number().over(place)).where(F.col("n") <= k + 1).drop("n")
+    box = points.agg(F.min("ox").alias("x0"), F.max("ox").alias("x1"), F.min("oy").alias("y0"), F.max("oy").alias("y1"), F.count(F.lit(1)).alias("n")).first()
+    side = max(math.sqrt(max(box.x1 - box.x0, 1e-12) * max(box.y1 - box.y0, 1e-12) * k / box.n), max(box.x1 - box.x0, box.y1 - box.y0) / 1e6, 1e-12)
+    cell = lambda c, low: F.floor((F.col(c) - low) / side)
+    points = checkpoint(points.withColumns({"cx": cell("ox", box.x0), "cy": cell("oy", box.y0)}))
+    left = checkpoint(queries.select("id", "x", "y"))
+    wide = max((box.x1 - box.x0) / side, (box.y1 - box.y0) / side) + 2
+    reach, done = 1, []
+    while not left.isEmpty():
+        if reach >= wide:  # the rest see everything
+            done.append(_by_blocks(left, points.select("other", "ox", "oy"), k, include_self, 2000))
+            break
+        around = F.sequence(F.lit(-reach), F.lit(reach))
+        seen = left.withColumn("dx", F.explode(around)).withColumn("cx", cell("x", box.x0) + F.col("dx")).withColumn("dy", F.explode(around)).withColumn("cy", cell("y", box.y0) + F.col("dy")).drop("dx", "dy")
+        best = checkpoint(_candidates(seen.join(points, ["cx", "cy"]), k, include_self))
+        enough = (F.size("best") == k) & (F.element_at("best", -1)["d"] <= reach * side)
+        done.append(best.where(enough).select("id", F.explode("best").alias("e")).select("id", "e.other", "e.d"))
+        left = checkpoint(left.join(best.where(enough).select("id"), "id", "left_anti"))
+        reach *= 2
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def nearest(queries: DataFrame, points: DataFrame, k: int, include_self: bool = False, block_rows: int = 2000) -> DataFrame:
+    """``(id, other, d, rank)``: the k nearest points of every query in the plane, exactly.
+
+    ``points`` and ``queries``: ``(id, x, y)``, ids unique. Up to ``ALL_PAIRS`` distances each query meets
+    blocks of about ``block_rows`` points, and nothing larger than k rows a query and block is
+    shuffled; beyond, only points of cells near a query are compared with it. Ties go to the smaller id.
+    """
+    q = queries.select("id", "x", "y")
+    p = points.select(F.col("id").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"))
+    few = q.count() * p.count() <= ALL_PAIRS
+    met = _by_blocks(q, p, k, include_self, block_rows) if few else _by_grid(q, p, k, include_self)
     return met.withColumn("rank", F.row_number().over(W.partitionBy("id").orderBy("d", "other"))).where(F.col("rank") <= k).select("id", "other", "d", "rank")
 
 

@@ -80,6 +80,17 @@ def test_components(spark):
     assert {r.id: r.component for r in got.collect()} == {n: root(n) for n in nodes}
 
 
+@pytest.mark.parametrize("k", [1, 4, 30])
+def test_neighbours_by_grid_are_those_of_all_pairs(spark, monkeypatch, k):
+    rng = np.random.default_rng(k)
+    xy = np.concatenate([rng.normal(size=(150, 2)), rng.normal(scale=0.01, size=(60, 2)) + 3, np.full((40, 2), 1.5), [[90.0, -70.0], [90.0, -70.0]]])
+    points = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(xy)], "id bigint, x double, y double")
+    rows = lambda *a, **b: sorted(map(tuple, C.nearest(*a, **b).collect()))
+    whole, some = rows(points, points, k), rows(points.where("id % 7 = 0"), points, k, include_self=True)
+    monkeypatch.setattr(C, "ALL_PAIRS", 0)
+    assert rows(points, points, k) == whole and rows(points.where("id % 7 = 0"), points, k, include_self=True) == some
+
+
 def test_allocation_labels_and_references(spark):
     w = spark.createDataFrame([("A", 7), ("B", 2), ("C", 1)], "key string, weight bigint")
     assert {r.key: r.quota for r in C.largest_remainder(w, 10).collect()} == {"A": 7, "B": 2, "C": 1}
