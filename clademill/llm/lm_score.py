@@ -1,10 +1,10 @@
 """Language-model scores: a probabilistic suffix tree over words, with one over letters for new words, beside a unigram base.
 
-A word's context is the word before it, or nothing, or the text's start. The tree keeps the contexts whose
-next-word distribution diverges from that without them; it is a table that grows with
-the corpus, of which every block of documents gets the rows of its own words. The probability of a next
-word is smoothed along its longest kept suffix. Words that training has not seen are spelled by a suffix
-tree over the bytes of the training words, with contexts of up to ``DEPTH`` bytes.
+Contexts are the up to ``ORDER`` words before a token. A next word is kept in a context where its count diverges
+from what the shorter context gives, and the probability is smoothed along the suffixes, so the longest one that
+training has decides most. The tree's counts grow with the corpus: blocks of documents send the sorted
+hashes of their word runs to ranges of hashes and get back the corpus counts of just these. Words that training has not
+seen are spelled by a suffix tree over the bytes of the training words, with contexts of up to ``DEPTH`` bytes.
 """
 
 from __future__ import annotations
@@ -25,17 +25,26 @@ from clademill.llm.common import WordHashes, fold, mix, release, save, tidy
 DEPTH = 5
 #: The letters' resolution: a context of bytes is kept only where its share of all places reaches this. Contexts of words have no such bound.
 MIN_SHARE = 5e-5
-#: Least gain of a context in nats, and as a share of all places.
+#: Least gain of a context of bytes in nats, and as a share of all places.
 MIN_GAIN, MIN_GAIN_SHARE = 12.0, 2e-7
+#: Least divergence of a word from the shorter context's probability, in nats over its occurrences.
+MIN_DIVERGENCE = 0.5
 #: Weight of the shorter context's distribution.
 BACKOFF = 6.0
 #: Byte that UTF-8 never has: the text's end, and the places before its start.
 END = 0xFF
 SYMBOLS = 256
 #: UTF-8 bytes of text in a block, and of those that are read at once; blocks to a task where there are many.
-BLOCK_BYTES, SLICE_BYTES, TASK_BLOCKS = 24_000_000, 4_000_000, 8
-#: What stands for a word in the tables: a text's start and end. Words are hashes of 63 bits; 0 and 1 mark rows of single words and of bytes.
-WORDS, BYTES, START, STOP = 0, 1, 2, 3
+BLOCK_BYTES, TASK_BLOCKS = 24_000_000, 8
+#: Bytes of text to a range of hashes, and the most ranges.
+RANGE_BYTES, MOST_RANGES = 8_000_000, 65_536
+#: Words of a context, and the power of a context's count that is the weight of the shorter one, by their number.
+ORDER = 2
+WEIGHTS = (0.9, 0.8)
+#: What stands for a word at a text's start and end. Words are hashes of 63 bits.
+START, STOP = 2, 3
+#: The kind of a row of byte grams, and of a text; others are a context's number of words.
+BYTES, TEXT = 50, 100
 
 
 def stream_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -188,135 +197,150 @@ class _Words(WordHashes):
         return words, np.fromiter((*map(self.__getitem__, words), STOP), np.int64, len(words) + 1)
 
 
-def _before(tokens: list[np.ndarray]) -> np.ndarray:
-    """The word before each token of the texts."""
-    whole = np.concatenate(tokens)
-    out = np.concatenate([[START], whole[:-1]])
-    out[np.cumsum([0, *map(len, tokens[:-1])])] = START
+def _runs(tokens: list[np.ndarray]) -> list[np.ndarray]:
+    """For 0 to ORDER words of context, one 63-bit number for each token with that context."""
+    word = np.concatenate(tokens)
+    heads = np.cumsum([0, *map(len, tokens[:-1])])
+    out, before = [word.view(np.uint64)], word
+    key = word.view(np.uint64)
+    for _ in range(ORDER):
+        before = np.concatenate([[START], before[:-1]])
+        before[heads] = START
+        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + mix(before.view(np.uint64))) >> np.uint64(1)
+        out.append(key)
     return out
 
 
-def _pair(q: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """One number for two words."""
-    return mix(q.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + mix(w.view(np.uint64)))
+def _ranges(keys: np.ndarray, parts: int) -> np.ndarray:
+    """The range of each 63-bit number, of ``parts`` equal ones."""
+    return ((keys >> np.uint64(31)) * np.uint64(parts)) >> np.uint64(32)
 
 
-ROW = "q bigint, w bigint, block bigint, n bigint"
+def _low(part: int, parts: int) -> np.uint64:
+    """The least number of a range."""
+    return np.uint64((-(-(part << 32) // parts)) << 31)
 
 
-def _counted(blocks: DataFrame) -> DataFrame:
-    """``(q, w, block, n)``: words (``q`` is WORDS) and pairs of a block, and byte grams of its training words (``q`` is BYTES).
+def _shift(parts: int) -> np.uint64:
+    """How far numbers in a range are shifted to be of 40 bits."""
+    return np.uint64(max(0, 63 - (parts.bit_length() - 1) - 40))
 
-    ``n`` is twice the count in training texts, and one more where another text has it too.
+
+def _small(counts: np.ndarray) -> bytes:
+    """Counts in as few bytes each as the largest takes."""
+    top = int(counts.max(initial=0))
+    return counts.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64).tobytes()
+
+
+def _large(raw: bytes, size: int) -> np.ndarray:
+    """The counts that :func:`_small` wrote."""
+    return np.frombuffer(raw, np.dtype(f"u{len(raw) // size}")).astype(np.int64) if size else np.zeros(0, np.int64)
+
+
+COUNTED = "part int, kind int, block bigint, size int, keys binary, counts binary"
+
+
+def _counted(blocks: DataFrame, parts: int) -> DataFrame:
+    """Sorted distinct runs of each block with their counts in training texts, by kind and range; and byte grams of its training words.
+
+    Words are sent whole, longer runs as 40 bits within their range: two runs of one range in a trillion count as one.
     """
-    names = [x.split()[0] for x in ROW.split(", ")]
+    names = [x.split()[0] for x in COUNTED.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Words()
-
-        def rows(block: int, tokens: list[np.ndarray], train: list[bool]) -> Iterator[pa.RecordBatch]:
-            w, q = np.concatenate(tokens), _before(tokens)
-            learned = np.repeat(np.array(train), [len(t) for t in tokens])
-            for before in (np.full(len(w), WORDS), q):
-                order = np.lexsort((w, before))  # rows of one context stay together, which makes them small to ship
-                x, y, own = before[order], w[order], learned[order]
-                first = np.nonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])]))[0]
-                n = 2 * np.add.reduceat(own, first, dtype=np.int64) + np.logical_or.reduceat(~own, first)
-                for i in range(0, len(first), 100_000):
-                    at = first[i : i + 100_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(x[at]), pa.array(y[at]), pa.array(np.full(len(at), block)), pa.array(n[i : i + 100_000])], names=names)
-
-        def spelled(words: set[bytes]) -> Iterator[pa.RecordBatch]:
+        hashes, shift = _Words(), _shift(parts)
+
+        def told(kind: int, block: int, keys: np.ndarray, counts: np.ndarray, of: np.ndarray) -> Iterator[pa.RecordBatch]:
+            """Rows of numbers that are sorted by range."""
+            cuts = np.searchsorted(of, np.arange(parts + 1, dtype=of.dtype))
+            some = np.nonzero(cuts[1:] > cuts[:-1])[0].tolist()
+            packed = []
+            for i in some:
+                own = keys[cuts[i] : cuts[i + 1]]
+                if kind in (0, BYTES):
+                    packed.append(own.tobytes())
+                else:
+                    near = (own - _low(i, parts)) >> shift
+                    packed.append(near.astype(np.uint32).tobytes() + (near >> np.uint64(32)).astype(np.uint8).tobytes())
+            sizes = [int(cuts[i + 1] - cuts[i]) for i in some]
+            small = [_small(counts[cuts[i] : cuts[i + 1]]) for i in some]
+            n = len(some)
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([kind] * n, pa.int32()), pa.array([block] * n, pa.int64()), pa.array(sizes, pa.int32()), pa.array(packed, pa.binary()), pa.array(small, pa.binary())], names=names)
+
+        def given(block: int, tokens: list[np.ndarray], train: list[bool], words: set[bytes]) -> Iterator[pa.RecordBatch]:
+            learned = np.repeat(np.array(train, np.uint64), [len(t) for t in tokens])
+            for kind, key in enumerate(_runs(tokens)):
+                both = np.sort((key << np.uint64(1)) | learned)
+                whole = both >> np.uint64(1)
+                first = np.nonzero(np.concatenate([[True], whole[1:] != whole[:-1]]))[0]
+                keys = whole[first]
+                yield from told(kind, block, keys, np.add.reduceat((both & np.uint64(1)).astype(np.int64), first), _ranges(keys, parts))
             codes, n = gram_counts(sorted(words))
-            for i in range(0, len(codes), 100_000):
-                part = codes[i : i + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), BYTES)), pa.array(part), pa.nulls(len(part), pa.int64()), pa.array(2 * n[i : i + 100_000])], names=names)
+            of = _ranges(mix(codes.view(np.uint64)) >> np.uint64(1), parts)
+            order = np.argsort(of, kind="stable")
+            yield from told(BYTES, block, codes[order].view(np.uint64), n[order], of[order])
 
         now, tokens, train, seen = None, [], [], set()
         for batch in batches:
             for text, learned, block in zip(batch.column(1), batch.column(2).to_pylist(), batch.column(4).to_pylist(), strict=True):
                 if tokens and block != now:
-                    yield from rows(now, tokens, train)
-                    yield from spelled(seen)
+                    yield from given(now, tokens, train, seen)
                     tokens, train, seen = [], [], set()
                 now = block
-                raw = text.as_py().encode().lower()
-                words, own = hashes.tokens(raw)
+                words, own = hashes.tokens(text.as_py().encode().lower())
                 tokens.append(own)
                 train.append(learned)
                 if learned:
                     seen.update(words)
         if tokens:
-            yield from rows(now, tokens, train)
-            yield from spelled(seen)
+            yield from given(now, tokens, train, seen)
 
-    return blocks.mapInArrow(tidy(run), ROW)
+    return blocks.mapInArrow(tidy(run), COUNTED)
 
 
-#: Rows of the table of totals: of a block, and of the corpus.
-OF_BLOCK, OF_ALL = 0, 1
+TOTALS = "kind int, block bigint, part int, size int, counts binary, keys binary, n bigint, v bigint, once bigint"
 
 
-def _totals(counted: DataFrame) -> DataFrame:
-    """``(kind, q, w, block, c)`` with corpus counts ``c`` in training texts.
+def _totals(counted: DataFrame, parts: int) -> DataFrame:
+    """Each row of :func:`_counted` with corpus counts in its place; and per range one row without a block: sum, number, those of 1, and byte grams themselves."""
+    names = [x.split()[0] for x in TOTALS.split(", ")]
 
-    A block gets the rows that it cannot tell itself: those counted twice and more, and those counted once of which
-    another text than a training one has need. Of the corpus come words, byte grams, and pairs
-    counted twice and more.
-    """
-    names = ["kind", "q", "w", "block", "c"]
+    def one(table: pa.Table) -> pa.Table:
+        kind, part = table.column("kind")[0].as_py(), table.column("part")[0].as_py()
+        sizes = table.column("size").to_numpy()
+        keys = []
+        for raw, size in zip(table.column("keys").to_pylist(), sizes.tolist(), strict=True):
+            if kind in (0, BYTES):
+                keys.append(np.frombuffer(raw, np.uint64))
+            else:
+                keys.append(np.frombuffer(raw, np.uint32, size).astype(np.uint64) | np.frombuffer(raw, np.uint8, size, 4 * size).astype(np.uint64) << np.uint64(32))
+        key = np.concatenate(keys)
+        n = np.concatenate([_large(raw, size) for raw, size in zip(table.column("counts").to_pylist(), sizes.tolist(), strict=True)])
+        order = np.argsort(key, kind="stable")
+        first = np.nonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))[0]
+        total = np.add.reduceat(n[order], first)
+        whole = [kind, None, part, len(first), _small(total) if kind == BYTES else None, key[order][first].tobytes() if kind == BYTES else None, int(total.sum()), int((total > 0).sum()), int((total == 1).sum())]
+        rows = [whole]
+        if kind != BYTES:
+            each = np.empty(len(key), np.int64)
+            each[order] = np.repeat(total, np.diff(np.append(first, len(key))))
+            for block, part_, own in zip(table.column("block").to_pylist(), table.column("part").to_pylist(), np.split(each, np.cumsum(sizes)[:-1]), strict=True):
+                rows.append([kind, block, part_, len(own), _small(own), None, None, None, None])
+        kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    return counted.groupBy("part", "kind").applyInArrow(one, TOTALS)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
-
-        def told(q: np.ndarray, w: np.ndarray, block: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-            if not len(q):
-                return
-            starts = np.nonzero(np.concatenate([[True], (q[1:] != q[:-1]) | (w[1:] != w[:-1])]))[0]
-            c = np.add.reduceat(n >> 1, starts)
-            each = np.repeat(c, np.diff(np.append(starts, len(q))))
-            need = (q != BYTES) & ((each >= 2) | (each == 1) & (n & 1 == 1))
-            yield rows(OF_BLOCK, q[need], w[need], block[need], each[need])
-            q1, w1 = q[starts], w[starts]
-            whole = (c >= 2) | (c > 0) & ((q1 == WORDS) | (q1 == BYTES))
-            yield rows(OF_ALL, q1[whole], w1[whole], None, c[whole])
-
-        def rows(kind: int, q: np.ndarray, w: np.ndarray, block: np.ndarray | None, c: np.ndarray) -> pa.RecordBatch:
-            blocks = pa.nulls(len(q), pa.int64()) if block is None else pa.array(block)
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(q), kind, np.int8)), pa.array(q), pa.array(w), blocks, pa.array(c)], names=names)
 
+def _grams(totals: DataFrame) -> DataFrame:
+    """``(gram, n)`` of the byte grams."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            now = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).fill_null(0).to_numpy(), batch.column(3).to_numpy()]
-            if held is not None:
-                now = [np.concatenate(x) for x in zip(held, now, strict=True)]
-            q, w = now[0], now[1]
-            new = np.nonzero((q[1:] != q[:-1]) | (w[1:] != w[:-1]))[0]
-            cut = int(new[-1]) + 1 if len(new) else 0
-            yield from told(*(x[:cut] for x in now))
-            held = [x[cut:] for x in now]
-        if held is not None:
-            yield from told(*held)
-
-    return counted.repartition("q", "w").sortWithinPartitions("q", "w").mapInArrow(tidy(run), "kind tinyint, q bigint, w bigint, block bigint, c bigint")
-
-
-def _contexts(totals: DataFrame, tokens: int, texts: int) -> DataFrame:
-    """``(w, t)``: the kept contexts, and how many different words follow them.
-
-    A context is kept where the gain of its repeated pairs over the distribution without
-    it, in nats and summed over their occurrences, reaches ``MIN_GAIN``. Its other pairs occur
-    once, so that their number is what repeated ones leave of its count.
-    """
-    words = totals.where(f"kind = {OF_ALL} AND q = {WORDS}").select("w", F.col("c").alias("cw"))
-    pairs = totals.where(f"kind = {OF_ALL} AND q > {BYTES}").select("q", "w", "c")
-    gain = F.sum(F.col("c") * F.log(F.col("c") * float(max(tokens, 1)) / F.col("cw")))
-    repeated = pairs.join(words, "w").groupBy("q").agg(gain.alias("gain"), F.sum("c").alias("s"), F.count(F.lit(1)).alias("d"))
-    start = totals.sparkSession.range(1).select(F.lit(START).cast("bigint").alias("q"), F.lit(texts).cast("bigint").alias("n"))
-    counts = words.select(F.col("w").alias("q"), F.col("cw").alias("n")).unionByName(start)
-    kept = repeated.join(counts, "q").where(F.col("gain") - F.col("s") * F.log("n") >= MIN_GAIN)
-    return kept.select(F.col("q").alias("w"), (F.col("n") - F.col("s") + F.col("d")).alias("t"))
+            for size, counts, keys in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(keys, np.int64)), pa.array(_large(counts, size))], names=["gram", "n"])
+
+    return totals.where(f"kind = {BYTES}").select("size", "counts", "keys").mapInArrow(tidy(run), "gram bigint, n bigint")
 
 
 def fit_tree(grams: DataFrame) -> SuffixTree:
@@ -335,53 +359,20 @@ def fit_tree(grams: DataFrame) -> SuffixTree:
     return build_tree(tables)
 
 
-@dataclass
-class WordTree:
-    """The tree's rows for one block, sorted, and what holds for all."""
-
-    words: np.ndarray  # words, and START's and STOP's where training has any
-    counts: np.ndarray
-    follow: np.ndarray  # different words after a kept context, 0 for others
-    pairs: np.ndarray
-    pair_counts: np.ndarray
-    tokens: int  # in training
-    new: float  # probability of a word that training has not seen
-    start: tuple[int, int]  # training texts, and different words that begin them, 0 if START is not kept
-    letters: SuffixTree
-
-    def scores(self, texts: list[bytes], train: list[bool], hashes: _Words) -> tuple[np.ndarray, np.ndarray]:
-        """Per token its corpus count and log10 probability, of all texts in turn.
-
-        A word or pair that the block's rows lack occurs once in training if the text is of it, else never.
-        """
-        both = [hashes.tokens(t) for t in texts]
-        tokens = [t for _, t in both]
-        w, q = np.concatenate(tokens), _before(tokens)
-        own = np.repeat(np.array(train), [len(t) for t in tokens]).astype(np.int64)
-
-        def found(keys: np.ndarray, table: np.ndarray, *columns: np.ndarray) -> list[np.ndarray]:
-            some, place = np.unique(keys, return_inverse=True)
-            at = np.minimum(np.searchsorted(table, some), max(len(table) - 1, 0))
-            hit = table[at] == some if len(table) else np.zeros(len(some), bool)
-            return [hit[place], *((np.where(hit, c[at], 0) if len(table) else np.zeros(len(some), c.dtype))[place] for c in columns)]
-
-        hit, count, follow = found(w, self.words, self.counts, self.follow)
-        count = np.where(hit, count, own)
-        p = count * ((1 - self.new) / max(self.tokens, 1))
-        spelled = np.nonzero(count == 0)[0]
-        if len(spelled):
-            flat = [x for words, _ in both for x in (*words, b"")]
-            names = sorted({flat[i] for i in spelled.tolist()})
-            of = dict(zip(names, self.letters.scores(names).tolist(), strict=True))
-            p[spelled] = self.new * 10.0 ** np.array([max(of[flat[i]], -290.0) for i in spelled.tolist()])
-        # the word before, of which count and follow are those of the token before
-        at_start = q == START
-        before_count, before_follow = (np.where(at_start, s, np.concatenate([[0], x[:-1]])) for s, x in zip(self.start, (count, follow), strict=True))
-        hit, n = found(_pair(q, w), self.pairs, self.pair_counts)
-        n = np.where(hit, n, own)
-        kept = before_follow > 0
-        p[kept] = (n[kept] + before_follow[kept] * p[kept]) / (before_count[kept] + before_follow[kept])
-        return count, np.log10(np.maximum(p, 1e-300))
+def smoothed(p: np.ndarray, n: np.ndarray, context: np.ndarray, power: float) -> np.ndarray:
+    """Probabilities one context longer: of words that occur ``n`` times after contexts that occur ``context`` times.
+
+    A word is kept in the context where its count diverges enough from ``p``, the
+    shorter context's probability, whose weight is a power of the context's count.
+    """
+    out = p.copy()
+    some = context > 0
+    p, n, context = p[some], n[some].astype(float), context[some].astype(float)
+    share = np.where(n > 0, n, 1.0) / context
+    n = np.where((n > 0) & (n * np.log(share / p) >= MIN_DIVERGENCE), n, 0.0)
+    weight = context**power
+    out[some] = (n + weight * p) / (context + weight)
+    return out
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
@@ -391,65 +382,68 @@ def score_documents(docs: DataFrame) -> DataFrame:
     from, and its ``held_out`` is null. Null texts are empty; repeated rows are counted and scored
     each. With nothing to learn from, all words are spelled by a uniform tree and the base has one class.
 
-    Documents are dealt to blocks; each block gets the corpus counts of just its own words and pairs,
-    so neither the vocabulary nor a frequent word gathers in one place, and streams its texts
-    past them. The probabilities of the words after a context sum to at most 1.
+    Documents are dealt to blocks in the order in which tasks read them, and go to the shared folder so. A block's
+    sorted runs are the rows that it sends and the order in which it reads the counts that come
+    back, so neither the vocabulary nor a frequent word gathers in one place. The
+    probabilities of the words after a context sum to at most 1.
     """
     spark = docs.sparkSession
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = min(MOST_RANGES, max(8, -(-size // RANGE_BYTES)))
     blocks = save(_blocks(docs), "blocks").df
+    totals = save(_totals(_counted(blocks, parts), parts), "totals").df
+    release(spark)  # the exchange of all runs is done with
+    row = totals.where("kind = 0 AND block IS NULL").agg(*(F.sum(c).alias(c) for c in ("n", "v", "once"))).first()
+    tokens, distinct, once, learned = row.n or 0, row.v or 0, row.once or 0, blocks.where("train").count()
+    letters = spark.sparkContext.broadcast(fit_tree(_grams(totals)))
+    new = min(max(once, 1) / tokens, 0.5) if tokens else 1.0  # the share of words that are met for the first time
+    under = math.log10(tokens + 0.5 * (distinct + 1))
     n = blocks.select("block").distinct().count()
-    parts = max(-(-n // TASK_BLOCKS), min(n, 2 * spark.sparkContext.defaultParallelism), 1)
-    totals = save(_totals(_counted(blocks)), "totals").df
-    release(spark)  # the exchange of all pairs is the largest
-    all_words = totals.where(f"kind = {OF_ALL} AND q = {WORDS}")
-    row = all_words.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"), F.count_if(F.col("c") == 1).alias("once"), F.sum(F.when(F.col("w") == STOP, F.col("c"))).alias("ends")).first()
-    tokens, distinct, ends = row.n or 0, row.v, row.ends or 0
-    contexts = save(_contexts(totals, tokens, ends), "contexts").df
-    begin = contexts.where(F.col("w") == START).first()
-    letters = spark.sparkContext.broadcast(fit_tree(totals.where(f"kind = {OF_ALL} AND q = {BYTES}").select(F.col("w").alias("gram"), F.col("c").alias("n"))))
-    new = min(max(row.once, 1) / tokens, 0.5) if tokens else 1.0
-    start = (ends, begin.t if begin else 0)
-    # one exchange deals a block's words, pairs and texts, in this order
-    of_block = totals.where(f"kind = {OF_BLOCK}")
-    words = of_block.where(f"q = {WORDS}").select("block", "w", "c").join(contexts, "w", "left").select("block", F.lit(0).alias("kind"), F.lit(None).cast("bigint").alias("q"), "w", "c", F.coalesce("t", F.lit(0)).cast("bigint").alias("t"))
-    pairs = of_block.where(f"q > {BYTES}").select("block", F.lit(1).alias("kind"), "q", "w", "c", F.lit(None).cast("bigint").alias("t"))
-    empty = lambda kind: F.lit(None).cast(kind)
+    tasks = max(-(-n // TASK_BLOCKS), min(n, 2 * spark.sparkContext.defaultParallelism), 1)
+    # one exchange deals a block's counts and texts, in this order
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    model = words.unionByName(pairs).withColumns({"doc_id": empty(id_type), "text": empty("string"), "train": empty("boolean"), "held": empty("boolean")})
-    texts = blocks.withColumns({"kind": F.lit(2), **{c: empty("bigint") for c in "qwct"}})
-    dealt = model.unionByName(texts).select("block", "kind", "q", "w", "c", "t", "doc_id", "text", "train", "held").repartition(parts, "block").sortWithinPartitions("block", "kind")
-    under = math.log10(tokens + 0.5 * (distinct + 1))
+    empty = lambda kind: F.lit(None).cast(kind)
+    model = totals.where("block IS NOT NULL").select("block", "kind", "part", "size", "counts", empty(id_type).alias("doc_id"), empty("string").alias("text"), empty("boolean").alias("held"))
+    texts = blocks.select("block", F.lit(TEXT).alias("kind"), empty("int").alias("part"), empty("int").alias("size"), empty("binary").alias("counts"), "doc_id", "text", "held")
+    dealt = model.unionByName(texts).repartition(tasks, "block").sortWithinPartitions("block", "kind", "part")
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Words()
-        now, tree = None, None
-        got: dict[int, list[list[np.ndarray]]] = {0: [], 1: []}
-
-        def built() -> WordTree:
-            columns = []
-            for kind, width in ((0, 3), (1, 2)):
-                parts = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (zip(*got[kind], strict=True) if got[kind] else [[]] * width)]
-                order = np.argsort(parts[0], kind="stable")
-                columns += [x[order] for x in parts]
-                got[kind].clear()
-            return WordTree(*columns, tokens, new, start, letters.value)
-
-        def scored(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            texts = rows.column("text")
-            sizes = pc.binary_length(texts).to_numpy()
-            part = np.cumsum(sizes) // SLICE_BYTES
-            cuts = [0, *(np.nonzero(part[1:] != part[:-1])[0] + 1).tolist(), rows.num_rows]
-            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-                own = rows.slice(s, e - s)
-                raws = [t.as_py().encode().lower() for t in own.column("text")]
-                train = own.column("train").to_pylist()
-                count, lp = tree.scores(raws, train, hashes)
-                sizes = np.array([len(r.split()) + 1 for r in raws])
-                at = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-                base = np.add.reduceat(np.log10(count + 0.5) - under, at)
-                known = np.add.reduceat(count > 0, at, dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([own.column("doc_id"), own.column("held"), pa.array(sizes), pa.array(known), pa.array(np.full(len(sizes), tokens)), pa.array(base), pa.array(np.add.reduceat(lp, at))], names=names)
+        now: int | None = None
+        counts: dict[int, list[np.ndarray]] = {}
+        held: list[pa.RecordBatch] = []
+
+        def scored() -> pa.RecordBatch:
+            rows = pa.Table.from_batches(held)
+            raws = [t.as_py().encode().lower() for c in rows.column("text").chunks for t in c]
+            both = [hashes.tokens(r) for r in raws]
+            tokens_of = [t for _, t in both]
+            sizes = np.array([len(t) for t in tokens_of])
+            at = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+            of = []
+            for kind, key in enumerate(_runs(tokens_of)):
+                some, place = np.unique(key, return_inverse=True)
+                known = np.concatenate(counts[kind])
+                if len(known) != len(some):
+                    raise ValueError("a block's counts are not those of its texts")
+                of.append(known[place])
+            p = of[0] * ((1 - new) / max(tokens, 1))
+            spelled = np.nonzero(of[0] == 0)[0].tolist()
+            if spelled:
+                flat = [x for words, _ in both for x in (*words, b"")]
+                novel = sorted({flat[i] for i in spelled})
+                lp = dict(zip(novel, letters.value.scores(novel).tolist(), strict=True))
+                p[spelled] = new * 10.0 ** np.array([max(lp[flat[i]], -290.0) for i in spelled])
+            for k in range(ORDER):  # a context's count is that of the run which ends in the token before
+                context = np.concatenate([[0], of[k][:-1]])
+                context[at] = learned
+                p = smoothed(p, of[k + 1], context, WEIGHTS[k])
+            base = np.add.reduceat(np.log10(of[0] + 0.5) - under, at)
+            known = np.add.reduceat(of[0] > 0, at, dtype=np.int64)
+            score = np.add.reduceat(np.log10(np.maximum(p, 1e-300)), at)
+            columns = [rows.column("doc_id").combine_chunks(), rows.column("held").combine_chunks(), pa.array(sizes), pa.array(known), pa.array(np.full(len(sizes), tokens)), pa.array(base), pa.array(score)]
+            return pa.RecordBatch.from_arrays(columns, names=names)
 
         for batch in batches:
             block, kind = batch.column("block").to_numpy(), batch.column("kind").to_numpy()
@@ -458,17 +452,16 @@ def score_documents(docs: DataFrame) -> DataFrame:
                 if e == s:
                     continue
                 if block[s] != now:
-                    now, tree = block[s], None
-                    got[0].clear()
-                    got[1].clear()
+                    if held:
+                        yield scored()
+                    now, counts, held = block[s], {}, []
                 rows = batch.slice(s, e - s)
-                if kind[s] == 2:
-                    tree = tree or built()
-                    yield from scored(rows)
-                elif kind[s] == 0:
-                    got[0].append([rows.column(c).to_numpy() for c in "wct"])
+                if kind[s] == TEXT:
+                    held.append(rows.select(["doc_id", "text", "held"]))
                 else:
-                    got[1].append([_pair(rows.column("q").to_numpy(), rows.column("w").to_numpy()), rows.column("c").to_numpy()])
+                    counts.setdefault(int(kind[s]), []).extend(_large(raw, n) for raw, n in zip(rows.column("counts").to_pylist(), rows.column("size").to_pylist(), strict=True))
+        if held:
+            yield scored()
 
     schema = f"doc_id {id_type}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
     return dealt.mapInArrow(tidy(run), schema)

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from clademill.llm import lm_score as M
 
@@ -40,30 +41,26 @@ def _letters(words):
 
 
 def _plain(rows):
-    texts = [(i, [*(t or "").encode().lower().split(), None]) for i, t in rows]
+    texts = [(i, ["start", "start", *(t or "").encode().lower().split(), None]) for i, t in rows]
     train = [w for i, w in texts if i is not None and _fold(i) != 1]
-    one, two = Counter(w for d in train for w in d), Counter()
-    for d in train:
-        two.update(zip(["start", *d[:-1]], d, strict=True))
-    n, v, first = sum(one.values()), len(one), Counter()
-    follow = Counter(q for q, _ in two)
-    for (q, _), c in two.items():
-        first[q] += c
-    gain = Counter()
-    for (q, w), c in two.items():
-        if c >= 2:
-            gain[q] += c * math.log(c / first[q] * n / one[w])
-    new = min(max(sum(c == 1 for c in one.values()), 1) / n, 0.5) if n else 1.0
-    tree, out = _letters({w for d in train for w in d if w}), []
+    runs = [Counter(tuple(d[i - k : i + 1]) for d in train for i in range(2, len(d))) for k in range(3)]
+    after = [Counter(tuple(d[i - k : i]) for d in train for i in range(2, len(d))) for k in range(3)]
+    n, v = sum(runs[0].values()), len(runs[0])
+    new = min(max(sum(c == 1 for c in runs[0].values()), 1) / n, 0.5) if n else 1.0
+    tree, out = _letters({w for d in train for w in d[2:-1]}), []
     for i, d in texts:
         base = score = 0.0
-        for q, w in zip(["start", *d[:-1]], d, strict=True):
-            base += math.log10((one[w] + 0.5) / (n + 0.5 * (v + 1)))
-            p = one[w] / n * (1 - new) if one[w] else new * 10 ** float(tree.scores([w or b""])[0])
-            if gain[q] >= M.MIN_GAIN:
-                p = (two[q, w] + follow[q] * p) / (first[q] + follow[q])
+        for j in range(2, len(d)):
+            c = runs[0][d[j],]
+            base += math.log10((c + 0.5) / (n + 0.5 * (v + 1)))
+            p = c / n * (1 - new) if c else new * 10 ** float(tree.scores([d[j] or b""])[0])
+            for k in (1, 2):
+                context, c = after[k][tuple(d[j - k : j])], runs[k][tuple(d[j - k : j + 1])]
+                if context:
+                    c = c if c and c * math.log(c / context / p) >= M.MIN_DIVERGENCE else 0
+                    p = (c + context ** M.WEIGHTS[k - 1] * p) / (context + context ** M.WEIGHTS[k - 1])
             score += math.log10(p)
-        out.append((i, None if i is None else _fold(i) == 1, len(d), sum(one[w] > 0 for w in d), n, base, score))
+        out.append((i, None if i is None else _fold(i) == 1, len(d) - 2, sum(runs[0][w,] > 0 for w in d[2:]), n, base, score))
     return out
 
 
@@ -85,7 +82,7 @@ def test_equals_a_plain_restatement(spark, rng, monkeypatch, size):
     monkeypatch.setattr(M, "BLOCK_BYTES", size)
     rows = _rows(rng)
     if size < 10**9:
-        monkeypatch.setattr(M, "SLICE_BYTES", 500)
+        monkeypatch.setattr(M, "RANGE_BYTES", 400)
         monkeypatch.setattr(M, "fit_tree", lambda grams: _letters({w for i, t in rows if i is not None and _fold(i) != 1 for w in (t or "").encode().lower().split()}))  # blocks count a word once each
     docs = _docs(spark, rows)
     got = sorted(map(tuple, M.lm_query(docs.coalesce(1) if size == 10**9 else docs).collect()), key=str)
@@ -108,33 +105,38 @@ def test_what_is_kept_grows_with_the_corpus_and_beats_the_base(spark, rng):
                     out.append(rng.choice(WORDS))
             rows.append((i, " ".join(out)))
         docs = _docs(spark, rows).select("doc_id", "text")
-        totals = M._totals(M._counted(M._blocks(docs)))
-        train = [t for i, t in rows if _fold(i) != 1]
-        kept.append(M._contexts(totals, sum(len(t.split()) + 1 for t in train), len(train)).count())
+        totals = M._totals(M._counted(M._blocks(docs), 16), 16).where("block IS NULL")
+        kept.append({r.kind: (r.v, r.n) for r in totals.groupBy("kind").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).collect()})
+        train = [t.split() for i, t in rows if _fold(i) != 1]
+        assert kept[-1][0][1] == kept[-1][1][1] == kept[-1][2][1] == sum(len(t) + 1 for t in train)
+        assert kept[-1][1][0] == len({p for t in train for p in zip(["", *t], [*t, ""], strict=True)})
         held = [r for r in M.lm_query(docs).collect() if r.held_out]
         above.append(sum(r.score - r.base_score for r in held) / sum(r.n_tokens for r in held))
-    assert kept[1] > kept[0] and min(above) > 0.3
+    assert kept[1][2][0] > 2 * kept[0][2][0] and min(above) > 0.3
 
 
 def test_probabilities_after_a_context_sum_to_at_most_one(rng):
-    hashes = M._Words()
-    words = [w.encode() for w in WORDS[:40]]
-    keys = np.array([hashes[w] for w in words])
-    counts = rng.integers(1, 30, 40)
-    order = np.argsort(keys)
-    after = rng.choice(40, 12, replace=False)
-    pair = M._pair(np.full(12, keys[0]), keys[after])
-    n = rng.integers(1, 4, 12)
-    counts[0] = n.sum()
-    follow = np.zeros(40, np.int64)
-    follow[0] = 12
-    at = np.argsort(pair)
-    tree = M.WordTree(keys[order], counts[order], follow[order], pair[at], n[at], int(counts.sum()), 0.05, (0, 0), _letters(set(words)))
-    total = 0.0
-    for w in words:
-        _, lp = tree.scores([words[0] + b" " + w], [False], hashes)
-        total += 10 ** lp[1]
-    assert 0.9 < total + 0.05 * 12 / (12 + n.sum()) <= 1 + 1e-9
+    for _ in range(20):
+        p = rng.dirichlet(np.full(50, 0.3)) * 0.95 + 1e-12
+        n = rng.integers(0, 4, 50) * (rng.random(50) < 0.3)
+        out = M.smoothed(p, n, np.full(50, max(1, n.sum())), 0.8)
+        assert 0.3 < out.sum() <= 1 + 1e-9 and (out > 0).all()
+        assert (M.smoothed(p, n, np.zeros(50, int), 0.8) == p).all()
+
+
+def test_counts_travel_as_they_are(rng):
+    for top in (2, 300, 70_000, 1 << 40):
+        n = rng.integers(0, top, 99)
+        n[0] = top - 1
+        assert (M._large(M._small(n), 99) == n).all()
+    assert len(M._large(M._small(np.zeros(0, int)), 0)) == 0
+    keys = np.sort(rng.integers(0, 1 << 63, 5000).astype(np.uint64))
+    for parts in (8, 51, 1000):
+        of = M._ranges(keys, parts)
+        assert (np.diff(of.astype(int)) >= 0).all() and of.max() < parts
+        assert all(M._low(i, parts) <= keys[of == i].min() for i in np.unique(of).tolist())
+        near = (keys - np.array([M._low(i, parts) for i in of.tolist()], np.uint64)) >> M._shift(parts)
+        assert near.max() < 1 << 40
 
 
 def test_empty_table(spark):
