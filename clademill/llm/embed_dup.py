@@ -107,30 +107,45 @@ def _vectors(column: pa.Array) -> list[np.ndarray | None]:
     return out
 
 
+def _normal(flat: np.ndarray, dims: np.ndarray) -> np.ndarray:
+    """Double unit vectors of vectors one after the other."""
+    flat = flat.astype(np.float64)
+    starts = np.concatenate([[0], np.cumsum(dims)[:-1]])
+    flat /= np.repeat(np.maximum.reduceat(np.abs(flat), starts), dims)
+    return flat / np.repeat(np.sqrt(np.add.reduceat(flat * flat, starts)), dims)
+
+
+def _kind(rows: DataFrame) -> type:
+    """The number that vectors travel as: single precision where they come in it, so that they take half the room."""
+    return np.float32 if rows.schema["embedding"].dataType.elementType.simpleString() == "float" else np.float64
+
+
 def _units(rows: DataFrame) -> DataFrame:
-    """``(vec_id, node, unit)``; node, a hash of the unit vector, and unit are null for vectors that link with nothing."""
+    """``(vec_id, node, unit)``; node, a hash of the unit vector, and unit, the vector as it is, are null for vectors that link with nothing."""
+    kind = _kind(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             units = _vectors(batch.column(1))
-            raw = [None if u is None else u.tobytes() for u in units]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([None if r is None else xxhash.xxh3_64_intdigest(r) >> 1 for r in raw], pa.int64()), pa.array(raw, pa.binary())], names=["vec_id", "node", "unit"])
+            nodes = [None if u is None else xxhash.xxh3_64_intdigest(u.tobytes()) >> 1 for u in units]
+            raw = [None if u is None else v.values.to_numpy(zero_copy_only=False).astype(kind).tobytes() for u, v in zip(units, batch.column(1), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(nodes, pa.int64()), pa.array(raw, pa.binary())], names=["vec_id", "node", "unit"])
 
     return rows.select("vec_id", "embedding").mapInArrow(tidy(run), "vec_id bigint, node bigint, unit binary")
 
 
-def _filters(units: DataFrame, level: float) -> DataFrame:
+def _filters(units: DataFrame, level: float, kind: type) -> DataFrame:
     """``(dim, cap, node, copies)``: each distinct vector under each of its filters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes: dict[int, CapCode] = {}
         for batch in batches:
             raw = batch.column("unit").to_pylist()
-            dims = np.array([len(r) // 8 for r in raw])
+            dims = np.array([len(r) // np.dtype(kind).itemsize for r in raw])
             for dim in np.unique(dims):
                 own = np.nonzero(dims == dim)[0]
                 code = codes.setdefault(int(dim), CapCode(int(dim), size=book_size(int(dim)), level=level))
-                caps = code.decode(np.frombuffer(b"".join(raw[i] for i in own)).reshape(len(own), dim))
+                caps = code.decode(_normal(np.frombuffer(b"".join(raw[i] for i in own), kind), dims[own]).reshape(len(own), dim))
                 at = pa.array(np.repeat(own, [len(c) for c in caps]), pa.int64())
                 ids = batch.column("node").take(at)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), dim, np.int32)), pa.array(np.concatenate(caps)), ids, batch.column("copies").take(at)], names=["dim", "cap", "node", "copies"])
@@ -138,7 +153,7 @@ def _filters(units: DataFrame, level: float) -> DataFrame:
     return units.mapInArrow(tidy(run), "dim int, cap bigint, node bigint, copies bigint")
 
 
-def _compared(tiles: DataFrame, cosine: float) -> DataFrame:
+def _compared(tiles: DataFrame, cosine: float, number: type) -> DataFrame:
     """``(node, other, links)`` for tiles sorted together: degrees in a tile and spanning links.
 
     ``tiles``: ``(dim, cap, row_tile, col_tile, tile, node, copies, caps, unit)``, with
@@ -198,8 +213,8 @@ def _compared(tiles: DataFrame, cosine: float) -> DataFrame:
         if not len(i):
             return None
         unit = table.column("unit").combine_chunks()
-        raw = np.frombuffer(b"".join(unit.to_pylist()))
         dims = table.column("dim").to_numpy()
+        raw = _normal(np.frombuffer(b"".join(unit.to_pylist()), number), dims)
         offset = np.concatenate([[0], np.cumsum(dims)])
         hit = np.zeros(len(i), bool)
         for dim in np.unique(dims[i]):
@@ -230,7 +245,7 @@ def _compared(tiles: DataFrame, cosine: float) -> DataFrame:
             for s, e in zip(bounds[:-1][~few & (size > 1)], bounds[1:][~few & (size > 1)], strict=True):
                 part = table.slice(s, e - s).combine_chunks()
                 rows = {n: part.column(n).to_numpy() for n in ("tile", "row_tile", "col_tile", "node", "copies")}
-                units = np.frombuffer(b"".join(part.column("unit").to_pylist())).reshape(e - s, -1)
+                units = _normal(np.frombuffer(b"".join(part.column("unit").to_pylist()), number), part.column("dim").to_numpy()).reshape(e - s, -1)
                 out.append(one(rows, units, [np.array(c, np.int64) for c in part.column("caps").to_pylist()]))
             out = [x for x in out if x is not None and len(x[0])]
             if out:
@@ -266,7 +281,7 @@ def near_vectors(rows: DataFrame, cosine: float = 0.9, level: float = 4.5) -> Da
     valid = units.where("node IS NOT NULL AND vec_id IS NOT NULL")
     # one row of each direction, combined before the shuffle
     firsts = save(valid.groupBy("node").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("unit").alias("unit")), "directions").df
-    caps = save(_filters(firsts.select("node", "copies", "unit"), level), "caps")
+    caps = save(_filters(firsts.select("node", "copies", "unit"), level, _kind(rows)), "caps")
     sizes = caps.df.groupBy("dim", "cap").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     met = save(caps.df.join(sizes, ["dim", "cap"]), "shared-caps")  # filters of one vector are done with
     tiled = met.df.withColumn("tiles", F.ceil(F.col("size") / TILE).cast("int"))
@@ -282,7 +297,7 @@ def near_vectors(rows: DataFrame, cosine: float = 0.9, level: float = 4.5) -> Da
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     # a vector comes with its shared filters before the tile's, which is all that telling a pair's first filter takes
     tiles = pairs.join(carried, "node").withColumn("caps", F.filter("caps", lambda c: c < F.col("cap"))).repartition(parts, *keys).sortWithinPartitions(*keys)
-    found = save(_compared(tiles, cosine), "vector-links").df
+    found = save(_compared(tiles, cosine, _kind(rows)), "vector-links").df
     for table in (caps, met):
         table.drop()
     degree = found.groupBy("node").agg(F.sum("links").alias("links"))
