@@ -35,7 +35,7 @@ BACKOFF = 6.0
 END = 0xFF
 SYMBOLS = 256
 #: UTF-8 bytes of text in a block, and of those that are read at once; blocks to a task where there are many.
-BLOCK_BYTES, TASK_BLOCKS = 24_000_000, 8
+BLOCK_BYTES, TASK_BLOCKS = 12_000_000, 16
 #: Bytes of text to a range of hashes, and the most ranges.
 RANGE_BYTES, MOST_RANGES = 8_000_000, 65_536
 #: Words of a context, and the power of a context's count that is the weight of the shorter one, by their number.
@@ -222,8 +222,22 @@ def _low(part: int, parts: int) -> np.uint64:
 
 
 def _shift(parts: int) -> np.uint64:
-    """How far numbers in a range are shifted to be of 40 bits."""
-    return np.uint64(max(0, 63 - (parts.bit_length() - 1) - 40))
+    """How far numbers in a range are shifted to be of 32 bits."""
+    return np.uint64(max(0, 63 - (parts.bit_length() - 1) - 32))
+
+
+def _steps(keys: np.ndarray) -> bytes:
+    """Sorted numbers as their differences, in as few bytes each as the largest takes; that width comes first."""
+    steps = np.diff(keys, prepend=np.uint64(0))
+    width = max(1, -(-int(steps.max(initial=0)).bit_length() // 8))
+    return bytes([width]) + np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+
+
+def _numbers(raw: bytes) -> np.ndarray:
+    """The numbers that :func:`_steps` wrote."""
+    whole = np.zeros(((len(raw) - 1) // raw[0], 8), np.uint8)
+    whole[:, : raw[0]] = np.frombuffer(raw, np.uint8, offset=1).reshape(-1, raw[0])
+    return np.cumsum(whole.view(np.uint64).ravel(), dtype=np.uint64)
 
 
 def _small(counts: np.ndarray) -> bytes:
@@ -243,7 +257,8 @@ COUNTED = "part int, kind int, block bigint, size int, keys binary, counts binar
 def _counted(blocks: DataFrame, parts: int) -> DataFrame:
     """Sorted distinct runs of each block with their counts in training texts, by kind and range; and byte grams of its training words.
 
-    Words are sent whole, longer runs as 40 bits within their range: two runs of one range in a trillion count as one.
+    Words are sent whole, longer runs as 32 bits within their range of about a million runs, so that about one in
+    some thousands counts with another. Sorted, they go as differences of about three bytes.
     """
     names = [x.split()[0] for x in COUNTED.split(", ")]
 
@@ -257,11 +272,7 @@ def _counted(blocks: DataFrame, parts: int) -> DataFrame:
             packed = []
             for i in some:
                 own = keys[cuts[i] : cuts[i + 1]]
-                if kind in (0, BYTES):
-                    packed.append(own.tobytes())
-                else:
-                    near = (own - _low(i, parts)) >> shift
-                    packed.append(near.astype(np.uint32).tobytes() + (near >> np.uint64(32)).astype(np.uint8).tobytes())
+                packed.append(_steps(own if kind in (0, BYTES) else (own - _low(i, parts)) >> shift))
             sizes = [int(cuts[i + 1] - cuts[i]) for i in some]
             small = [_small(counts[cuts[i] : cuts[i + 1]]) for i in some]
             n = len(some)
@@ -308,13 +319,7 @@ def _totals(counted: DataFrame, parts: int) -> DataFrame:
     def one(table: pa.Table) -> pa.Table:
         kind, part = table.column("kind")[0].as_py(), table.column("part")[0].as_py()
         sizes = table.column("size").to_numpy()
-        keys = []
-        for raw, size in zip(table.column("keys").to_pylist(), sizes.tolist(), strict=True):
-            if kind in (0, BYTES):
-                keys.append(np.frombuffer(raw, np.uint64))
-            else:
-                keys.append(np.frombuffer(raw, np.uint32, size).astype(np.uint64) | np.frombuffer(raw, np.uint8, size, 4 * size).astype(np.uint64) << np.uint64(32))
-        key = np.concatenate(keys)
+        key = np.concatenate([_numbers(raw) for raw in table.column("keys").to_pylist()])
         n = np.concatenate([_large(raw, size) for raw, size in zip(table.column("counts").to_pylist(), sizes.tolist(), strict=True)])
         order = np.argsort(key, kind="stable")
         first = np.nonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))[0]
@@ -392,10 +397,10 @@ def score_documents(docs: DataFrame) -> DataFrame:
     parts = min(MOST_RANGES, max(8, -(-size // RANGE_BYTES)))
     blocks = save(_blocks(docs), "blocks").df
     totals = save(_totals(_counted(blocks, parts), parts), "totals").df
-    release(spark)  # the exchange of all runs is done with
     row = totals.where("kind = 0 AND block IS NULL").agg(*(F.sum(c).alias(c) for c in ("n", "v", "once"))).first()
     tokens, distinct, once, learned = row.n or 0, row.v or 0, row.once or 0, blocks.where("train").count()
     letters = spark.sparkContext.broadcast(fit_tree(_grams(totals)))
+    release(spark)  # the exchange of all runs is done with
     new = min(max(once, 1) / tokens, 0.5) if tokens else 1.0  # the share of words that are met for the first time
     under = math.log10(tokens + 0.5 * (distinct + 1))
     n = blocks.select("block").distinct().count()
@@ -417,24 +422,28 @@ def score_documents(docs: DataFrame) -> DataFrame:
         def scored() -> pa.RecordBatch:
             rows = pa.Table.from_batches(held)
             raws = [t.as_py().encode().lower() for c in rows.column("text").chunks for t in c]
-            both = [hashes.tokens(r) for r in raws]
-            tokens_of = [t for _, t in both]
+            tokens_of = [hashes.tokens(r)[1] for r in raws]
             sizes = np.array([len(t) for t in tokens_of])
             at = np.concatenate([[0], np.cumsum(sizes)[:-1]])
             of = []
             for kind, key in enumerate(_runs(tokens_of)):
                 some, place = np.unique(key, return_inverse=True)
-                known = np.concatenate(counts[kind])
+                known = np.concatenate(counts.pop(kind))
                 if len(known) != len(some):
                     raise ValueError("a block's counts are not those of its texts")
                 of.append(known[place])
             p = of[0] * ((1 - new) / max(tokens, 1))
-            spelled = np.nonzero(of[0] == 0)[0].tolist()
-            if spelled:
-                flat = [x for words, _ in both for x in (*words, b"")]
-                novel = sorted({flat[i] for i in spelled})
-                lp = dict(zip(novel, letters.value.scores(novel).tolist(), strict=True))
-                p[spelled] = new * 10.0 ** np.array([max(lp[flat[i]], -290.0) for i in spelled])
+            spelled = np.nonzero(of[0] == 0)[0]
+            if len(spelled):
+                text = np.searchsorted(at, spelled, side="right") - 1
+                novel: list[bytes] = []
+                for places in np.split(spelled, np.nonzero(np.diff(text))[0] + 1):
+                    i = int(np.searchsorted(at, places[0], side="right")) - 1
+                    own = [*raws[i].split(), b""]
+                    novel += [own[j] for j in (places - at[i]).tolist()]
+                names_of = sorted(set(novel))
+                lp = dict(zip(names_of, letters.value.scores(names_of).tolist(), strict=True))
+                p[spelled] = new * 10.0 ** np.array([max(lp[x], -290.0) for x in novel])
             for k in range(ORDER):  # a context's count is that of the run which ends in the token before
                 context = np.concatenate([[0], of[k][:-1]])
                 context[at] = learned
