@@ -42,6 +42,8 @@ def parser() -> argparse.ArgumentParser:
     command("distance-explorer", ["panel-dir", "aligned-dir", "outdir"], thresholds="0.03,0.04,0.05,0.06,0.07,0.08,0.10", novelty=92.0, explorer_dir="", umap_neighbors=30, umap_min_dist=0.5, umap_spread=0.8, seed=42)
     command("recombination", ["alignment-fasta", "outdir"], events="", min_methods=3, pvalue_max=0.05, feature_tsv="", scan_command="", methods="")
     command("export-clusters", ["sequence-fasta", "cluster-tsv", "outdir"], id_column="id", cluster_column="cluster", filter_column="", filter_value="", clusters="", manifest="", filename_prefix="")
+    command("assign-types", ["sequence-fasta", "hits", "types", "outdir"], least_pident=0.0, least_qcovs=0.0)
+    command("distinct-records", ["arriving", "outdir", "checkpoints"], delay="1 day")
     return top
 
 
@@ -60,6 +62,10 @@ def main(argv: list[str] | None = None) -> int:
         stages.review(spark, a.panel_dir, a.aligned_dir, a.outdir, _floats(a.thresholds), a.novelty, a.explorer_dir or None, a.umap_neighbors, a.umap_min_dist, a.umap_spread, a.seed)
     elif a.command == "recombination":
         stages.recombination(spark, a.alignment_fasta, a.outdir, _names(a.events), a.min_methods, a.pvalue_max, a.feature_tsv or None, shlex.split(a.scan_command) or None, _names(a.methods))
+    elif a.command == "assign-types":
+        stages.assign_types(spark, a.sequence_fasta, a.hits, a.types, a.outdir, a.least_pident, a.least_qcovs)
+    elif a.command == "distinct-records":
+        stages.distinct_records(spark, a.arriving, a.outdir, a.checkpoints, a.delay).awaitTermination()
     else:
         stages.export_clusters(spark, a.sequence_fasta, a.cluster_tsv, a.outdir, a.id_column, a.cluster_column, a.filter_column or None, a.filter_value or None, _names(a.clusters) or None, a.manifest or None, a.filename_prefix)
     return 0

@@ -99,3 +99,41 @@ def test_export_headers_of_a_manifest(spark, tmp_path):
 def test_picture_is_optional(spark, tmp_path):
     cells = spark.createDataFrame([("a", "b", 90.0)], "row string, col string, v double")
     assert O.png_heatmap(cells, "t", str(tmp_path / "x.png")) == (tmp_path / "x.png").exists()
+
+
+def test_states_of_delimited_tables(spark, tmp_path):
+    for state, rows in (("k3_n5_d0p1_r1e-02", "a\tA\tgenome\tC01\nb\tB\treference\tC02\n"), ("other", "a\tA\tgenome\tC09\n")):
+        for name, head, body in (("assignments", "id\tlabel\titem_class\tcluster\n", rows), ("coords", "ID,AF_UMAP1,AF_UMAP2\n", "a,1.5,2\nb,3,4\n")):
+            (tmp_path / "x/tables" / state / name).mkdir(parents=True)
+            (tmp_path / "x/tables" / state / name / "part-0.csv").write_text(head + body)
+    got = {(r.state_id, r.id): (r.k, r.min_dist, r.resolution, r.cluster, r.x) for r in I.read_states(spark, str(tmp_path / "x/tables")).collect()}
+    assert got == {("k3_n5_d0p1_r1e-02", "a"): (3, 0.1, 0.01, "C01", 1.5), ("k3_n5_d0p1_r1e-02", "b"): (3, 0.1, 0.01, "C02", 3.0), ("other", "a"): (None, None, None, "C09", 1.5)}
+    assert G._state(spark, str(tmp_path / "x"), 3, 5, 0.1, 0.01).count() == 2
+
+
+def test_matrix_file(spark, tmp_path):
+    (tmp_path / "m.tsv").write_text("ID\ta\tb\na\t0\t0.25\nb\t0.25\t0\n")
+    assert {(r.i, r.j): r.v for r in I.read_matrix(spark, str(tmp_path / "m.tsv")).collect()} == {("a", "a"): 0.0, ("a", "b"): 0.25, ("b", "a"): 0.25, ("b", "b"): 0.0}
+    (tmp_path / "w.tsv").write_text("ID\ta\tb\nb\t0\t0.25\na\t0.25\t0\n")
+    with pytest.raises(ValueError):
+        I.read_matrix(spark, str(tmp_path / "w.tsv"))
+
+
+def test_assign_types(spark, tmp_path):
+    (tmp_path / "s.fa").write_text(">q1\nAC\n>q2\nGT\n")
+    (tmp_path / "h.tsv").write_text("q1\ts1\t90\t80\t10\nq1\ts2\t95\t80\t10\n")
+    (tmp_path / "t.tsv").write_text("id\ttype\ns1\tGI\ns2\tGII\n")
+    got = G.assign_types(spark, str(tmp_path / "s.fa"), str(tmp_path / "h.tsv"), str(tmp_path / "t.tsv"), str(tmp_path / "o"))
+    assert {r.id: (r.type, r.pident) for r in got.collect()} == {"q1": ("GI", 90.0), "q2": ("untyped", None)}  # the first hit on ties
+
+
+def test_distinct_records_of_a_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    line = '{{"id": "{}", "seq": "{}", "at": "2026-01-0{}T00:00:00"}}\n'
+    (tmp_path / "in/1.json").write_text(line.format("a", "AC-GT", 1) + line.format("b", "acgt", 1) + line.format("c", "GG", 1))
+    run = lambda: G.distinct_records(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck"), "9 days").awaitTermination()
+    run()
+    (tmp_path / "in/2.json").write_text(line.format("d", "ACGT", 2) + line.format("e", "TT", 2))
+    run()
+    rows = [r.seq.replace("-", "").upper() for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    assert sorted(rows) == ["ACGT", "GG", "TT"]
