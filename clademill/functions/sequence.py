@@ -32,7 +32,9 @@ def kmers(seq: Column, k: int) -> Column:
 
     def of(s: Column) -> Column:
         n = F.length(s)
-        return F.when(n >= k, F.transform(F.sequence(F.lit(1), n - (k - 1)), lambda i: F.substring(s, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+        # letters as an array, so that each place is reached at once and not from the start of the string
+        pieces = bound(F.split(s, ""), lambda x: F.transform(F.sequence(F.lit(1), n - (k - 1)), lambda i: F.array_join(F.slice(x, i, k), "")))
+        return F.when(n >= k, pieces).otherwise(F.array().cast("array<string>"))
 
     return bound(seq, of)
 

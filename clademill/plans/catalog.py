@@ -94,6 +94,12 @@ def kmer_vectors(spark, sf):
     return M.kmer_vectors(sequences(spark, sf), 3).select("id", F.posexplode("vector").alias("i", "v")).withColumn("v", F.round(F.col("v").cast("double"), 6))
 
 
+@query("""WITH s AS (SELECT doc_id AS id, upper(replace(replace(coalesce(text,''), '-', ''), 'ß', 'SS')) AS q FROM documents) SELECT id, len(list_distinct(list_filter(list_transform(range(1, greatest(length(q) - 2, 1)), lambda i: substring(q, i::INT, 4)), lambda x: NOT contains(x, 'N'))))::BIGINT AS n FROM s""")
+def kmer_set_sizes(spark, sf):
+    """Distinct 4-mers without N over all letters of a record."""
+    return sequences(spark, sf).select("id", F.size(S.kmer_set(S.normalise(F.col("seq")), 4)).cast("bigint").alias("n"))
+
+
 @query(f"""WITH s AS (SELECT doc_id AS id, {ACGT} AS q FROM documents), k AS (SELECT DISTINCT id, substring(q, i::INT, 15) AS kmer FROM s, range(1, greatest(length(q)-13, 1)) t(i) WHERE length(q) >= 15),
 n AS (SELECT id, count(*) AS n FROM k GROUP BY id), p AS (SELECT a.id AS a, b.id AS b, count(*) AS shared FROM k a JOIN k b ON a.kmer = b.kmer AND a.id < b.id GROUP BY ALL)
 SELECT p.a, p.b, shared::BIGINT AS shared, na.n::BIGINT AS size_a, nb.n::BIGINT AS size_b, round(100*(1+ln(2.0*shared/(na.n+nb.n))/15), 6) AS identity FROM p JOIN n na ON na.id = p.a JOIN n nb ON nb.id = p.b WHERE 100*(1+ln(2.0*shared/(na.n+nb.n))/15) >= 98.1 - 1e-9""")

@@ -90,3 +90,15 @@ def test_kmer_codes():
         codes = K.kmer_codes(text, k).tolist()
         assert len(set(zip(windows, codes, strict=True))) == len(set(windows)) == len(set(codes))
         assert len(K.kmer_codes_without_n(text, k)) == len({w for w in windows if "N" not in w})
+
+
+def test_kmer_columns(spark):
+    from pyspark.sql import functions as F
+
+    from clademill.functions import sequence as S
+
+    rows = spark.createDataFrame([(t,) for t in ("ACGNACG", "AC", "", "AAAA", "ACé\U0001f600T", None)], "s string")
+    got = rows.select("s", S.kmers(F.col("s"), 3).alias("k"), S.kmer_set(F.col("s"), 3).alias("u")).collect()
+    for r in got:
+        want = [r.s[i : i + 3] for i in range(len(r.s) - 2)] if r.s else []
+        assert (r.k or []) == want and sorted(r.u or []) == sorted({w for w in want if "N" not in w})
