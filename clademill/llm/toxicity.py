@@ -27,7 +27,7 @@ from clademill.llm.common import fold, fresh, save, tidy
 MAX_TRAINING_ROWS = 8_000
 MAX_TRAINING_CHARS = 30_000_000
 #: Words whose features are remembered while fitting, and while scoring.
-FIT_MEMO, SCORE_MEMO = 20_000, 200_000
+FIT_MEMO, SCORE_MEMO = 200_000, 200_000
 
 #: Groups of identity terms, each in one language and number: terms of a group are swapped for one another.
 IDENTITY_GROUPS = [
@@ -43,6 +43,9 @@ IDENTITY_GROUPS = [
     ["mujeres", "hombres"], ["musulmanes", "cristianos", "judíos"],
 ]
 
+#: The term that takes each one's place.
+AFTER = {t: g[(i + 1) % len(g)] for g in IDENTITY_GROUPS for i, t in enumerate(g)}
+
 WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
 LOOKALIKES = str.maketrans("013457@$!", "oieastasi")
 GRAM_SIZES = (3, 4, 5)
@@ -87,12 +90,11 @@ class ToxicityModel:
 
 def _swapped(text: str) -> str | None:
     """The text with each identity term replaced by the next of its group; None if it has none."""
-    after = {t: g[(i + 1) % len(g)] for g in IDENTITY_GROUPS for i, t in enumerate(g)}
     found = False
 
     def put(m: re.Match) -> str:
         nonlocal found
-        other = after.get(m[0].lower())
+        other = AFTER.get(m[0].lower())
         found |= other is not None
         return m[0] if other is None else other
 
@@ -100,11 +102,11 @@ def _swapped(text: str) -> str | None:
     return out if found else None
 
 
-def _rows(per_text: list[set[str]], index: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Row and column numbers of the ones of a sparse indicator matrix."""
-    r = [(i, index[f]) for i, fs in enumerate(per_text) for f in fs if f in index]
-    a = np.array(r, dtype=np.int64).reshape(-1, 2)
-    return a[:, 0], a[:, 1]
+def _rows(per_text: list[np.ndarray], column: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column numbers of the ones of a sparse indicator matrix; features without a column are left out."""
+    row = np.repeat(np.arange(len(per_text)), [len(x) for x in per_text])
+    col = column[np.concatenate([np.zeros(0, np.int32), *per_text])]
+    return row[col >= 0], col[col >= 0]
 
 
 def fit(texts: list[str], labels: list[int], *, features: int = 3000, least: int = 4, l2: float = 0.02, counterfactual: float = 1.0, steps: int = 600, rate: float = 0.05) -> ToxicityModel:
@@ -120,47 +122,53 @@ def fit(texts: list[str], labels: list[int], *, features: int = 3000, least: int
     if len(y) == 0 or y.min() == y.max():
         mean = float(y.mean()) if len(y) else 0.0
         return ToxicityModel({}, 6.0 if mean > 0.5 else -6.0)
-    memo: dict[str, set[str]] = {}
-
-    def feats(text: str) -> set[str]:
-        out: set[str] = set()
-        for w in set(words(text)):
-            if w not in memo:
+    held = [set(words(t)) for t, v in zip(texts, labels, strict=True) if v]
+    seen = Counter(f for own in held for f in set().union(*map(word_features, own)))
+    known = {f: i for i, f in enumerate(sorted(f for f, n in seen.items() if n >= least))}
+    del held, seen
+    memo: dict[str, np.ndarray] = {}
+
+    def feats(own: set[str]) -> np.ndarray:
+        """Sorted numbers of the features in ``known`` that the words have."""
+        found = [np.zeros(0, np.int64)]
+        for w in own:
+            hit = memo.get(w)
+            if hit is None:
                 if len(memo) >= FIT_MEMO:
                     memo.clear()
-                memo[w] = word_features(w)
-            out |= memo[w]
-        return out
-
-    # counts by class first, so that features of rare words never fill memory twice
-    counts = {0: Counter(), 1: Counter()}
-    for t, v in zip(texts, labels, strict=True):
-        if v:
-            counts[1].update(feats(t))
-    keep = {f for f, n in counts[1].items() if n >= least}
-    counts[1] = Counter({f: n for f, n in counts[1].items() if f in keep})
-    for t, v in zip(texts, labels, strict=True):
-        if not v:
-            counts[0].update(feats(t) & keep)
+                hit = memo[w] = np.array([known[f] for f in word_features(w) if f in known], np.int64)
+            found.append(hit)
+        return np.unique(np.concatenate(found))
+
+    per: list[np.ndarray] = []
+    pairs: list[int] = []
+    other: list[np.ndarray] = []
+    for i, t in enumerate(texts):
+        own = set(words(t))
+        per.append(feats(own).astype(np.int32))
+        if not own.isdisjoint(AFTER) and (swap := _swapped(t)) is not None:
+            pairs.append(i)
+            other.append(feats(set(words(swap))).astype(np.int32))
+    memo.clear()
     n1, n0 = y.sum(), len(y) - y.sum()
+    of_class = [np.zeros(len(known), np.int64), np.zeros(len(known), np.int64)]
+    for own, v in zip(per, labels, strict=True):
+        of_class[int(v > 0)][own] += 1
 
-    def gain(f: str) -> float:
-        a, b = counts[1][f], counts[0][f]
+    def gain(a: int, b: int) -> float:
         if a / n1 <= 2 * b / n0:
             return 0.0
         p, q, m = a / n1, b / n0, (a + b) / len(y)
         term = lambda k, n, x: (k * math.log(x) if k else 0) + ((n - k) * math.log(1 - x) if n > k else 0)
         return term(a, n1, p) + term(b, n0, q) - term(a + b, len(y), min(m, 1 - 1e-12))
 
-    gains = {f: g for f in counts[1] if (g := gain(f)) > 6.0}
+    gains = {f: g for f, i in known.items() if (g := gain(int(of_class[1][i]), int(of_class[0][i]))) > 6.0}
     names = sorted(gains, key=lambda f: (-gains[f], f))[:features]
-    index = {f: i for i, f in enumerate(names)}
-    per = [{f for f in feats(t) if f in index} for t in texts]
-    rows, cols = _rows(per, index)
-    pairs = [(i, s) for i, t in enumerate(texts) if (s := _swapped(t)) is not None]
-    other = [{f for f in feats(s) if f in index} for _, s in pairs]
-    r2, c2 = _rows([per[i] - o for (i, _), o in zip(pairs, other, strict=True)], index)
-    r3, c3 = _rows([o - per[i] for (i, _), o in zip(pairs, other, strict=True)], index)
+    column = np.full(len(known), -1)
+    column[[known[f] for f in names]] = np.arange(len(names))
+    rows, cols = _rows(per, column)
+    r2, c2 = _rows([np.setdiff1d(per[i], o, assume_unique=True) for i, o in zip(pairs, other, strict=True)], column)
+    r3, c3 = _rows([np.setdiff1d(o, per[i], assume_unique=True) for i, o in zip(pairs, other, strict=True)], column)
     weight = np.where(y == 1, 0.5 / n1, 0.5 / n0)
     w, b = np.zeros(len(names)), math.log(n1 / n0)
     m1, m2 = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
