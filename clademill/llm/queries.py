@@ -75,6 +75,18 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_query(_table(spark, sf_dir, "conversations"))
 
 
+def op11_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clademill.llm.token_align import align_query
+
+    return align_query(_table(spark, sf_dir, "documents"))
+
+
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clademill.llm.fingerprint import fingerprint_query
+
+    return fingerprint_query(_table(spark, sf_dir, "documents"))
+
+
 def secrets_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What SQL can say of :func:`op2_secrets`: its columns of the base patterns, by the same operator."""
     return op2_secrets(spark, sf_dir).drop("spans")
@@ -106,6 +118,8 @@ def queries() -> dict[str, Query]:
         "op8_html_extract": op8_html_extract,
         "op9_lm_score": op9_lm_score,
         "op10_chat_formatting": op10_chat_formatting,
+        "op11_token_align": op11_token_align,
+        "op12_fingerprints": op12_fingerprints,
         "secrets_base": secrets_base,
         "lm_base": lm_base,
         "packing_documents": packing_documents,
