@@ -3,9 +3,9 @@
 Each task puts its texts' tokens into two interval tables over bytes, one for the
 byte-level BPE (A) and one for the pieces (B). An ASOF join finds the B token at which an
 A token ends, a window turns that into the range of B tokens that an A token overlaps and
-sums the shared ends into group numbers, and a range join lists the links. A document
-leaves its task with its digest and how often it links which pair of ids. Spark merges the pairs'
-counts of all tasks and brings them back to the documents.
+sums the shared ends into group numbers, and a join with the unrolled ranges lists the links. A
+document leaves its task with its digest and how often it links which pair of ids. Spark merges
+the pairs' counts of all tasks and brings them back to the documents.
 
 Tokens of A are those of a space and the text; B adds that space itself. A text that is
 null or empty, or whose tokens' bytes are not those of space and text in either
@@ -20,6 +20,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -66,18 +67,36 @@ class ByteLevel:
         return self._slow.encode(text, add_special_tokens=False).ids if LONG_SPACE.search(text) else self._encode(text)
 
 
-class Pieces:
-    """Ids and bytes of a ``sentencepiece`` model."""
+class Pieces(dict):
+    """Ids and bytes of a ``sentencepiece`` model; short words' ids are remembered up to a bound.
+
+    Where texts are taken as they are and no piece goes on past a space, words have the same ids alone as
+    in a text, so a text of words with one space between them is put together from those.
+    """
+
+    LIMIT, LONGEST = 100_000, 40
 
     def __init__(self, path: str):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self._encode = model.encode
-        self.bytes = [bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace("▁", " ").encode() for i, p in ((i, model.id_to_piece(i)) for i in range(model.get_piece_size()))]
+        pieces = [model.id_to_piece(i) for i in range(model.get_piece_size())]
+        self._encode = functools.partial(model.encode, num_threads=1)
+        self.bytes = [bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.by_word = model.normalize(" ﬁ①  A ") == "▁▁ﬁ①▁▁A▁" and not any("▁" in p.lstrip("▁") for p in pieces)
+
+    def __missing__(self, word: str) -> list[int]:
+        ids = self._encode(word)
+        if len(word) <= self.LONGEST:
+            if len(self) >= self.LIMIT:
+                self.clear()
+            self[word] = ids
+        return ids
 
     def __call__(self, text: str) -> list[int]:
-        return self._encode(text, num_threads=1)
+        if not self.by_word or "  " in text or text.startswith(" ") or text.endswith(" "):
+            return self._encode(text)
+        return list(chain.from_iterable(map(self.__getitem__, text.split(" "))))
 
 
 class Aligner:
@@ -103,7 +122,7 @@ class Aligner:
 
     @staticmethod
     def _table(ids: list[list[int]], wide: np.ndarray) -> pa.Table:
-        flat = np.fromiter((i for x in ids for i in x), np.int32)
+        flat = np.fromiter(chain.from_iterable(ids), np.int32, sum(map(len, ids)))
         end = np.cumsum(wide[flat])
         doc = np.repeat(np.arange(len(ids), dtype=np.int32), [len(x) for x in ids])
         return pa.table({"i": np.arange(len(flat), dtype=np.int32), "doc": doc, "id": flat, "s": end - wide[flat], "e": end})
@@ -120,11 +139,12 @@ class Aligner:
         db = self.db
         db.register("a", a)
         db.register("b", b)
-        db.execute("CREATE OR REPLACE TEMP TABLE reach AS SELECT a.i, a.doc, a.id, b.i AS last, b.e = a.e AS shut FROM a ASOF JOIN b ON a.e <= b.e")
+        db.execute("CREATE OR REPLACE TEMP TABLE reach AS SELECT a.i, a.doc, a.id, b.i AS last, b.id AS last_id, b.e = a.e AS shut FROM a ASOF JOIN b ON a.e <= b.e")
         db.execute("""CREATE OR REPLACE TEMP TABLE spans AS SELECT *, lag(last + shut::INT, 1, 0) OVER (ORDER BY i) AS first,
             (sum(shut::INT) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING))::INT - shut::INT AS grp FROM reach""")
         pairs = db.sql("""SELECT doc, code, count(*)::INT AS n FROM (
-            SELECT spans.doc, spans.id::BIGINT * 4294967296 + b.id AS code FROM (SELECT doc, id, unnest(range(first, last + 1)) AS j FROM spans) spans JOIN b ON b.i = spans.j
+            SELECT doc, id::BIGINT * 4294967296 + last_id AS code FROM spans
+            UNION ALL SELECT x.doc, x.id::BIGINT * 4294967296 + b.id FROM (SELECT doc, id, unnest(range(first, last)) AS i FROM spans WHERE first < last) x JOIN b USING (i)
             ) GROUP BY ALL ORDER BY doc, code""").to_arrow_table()
         told = db.sql("SELECT i, last, first, grp FROM spans ORDER BY i").to_arrow_table()
         db.unregister("a")
@@ -136,8 +156,11 @@ class Aligner:
         # groups one after another, in each its A tokens and then its B tokens
         line = np.empty(a.num_rows + b.num_rows, object)
         ids_a, ids_b = a["id"].to_numpy(), b["id"].to_numpy()
-        line[np.arange(a.num_rows) + np.repeat(b_from, a_size)] = self.text_a[ids_a + len(self.a.bytes) * np.isin(np.arange(a.num_rows), heads, assume_unique=True)]
-        line[np.arange(b.num_rows) + np.repeat(heads + a_size, b_size)] = self.text_b[ids_b + len(self.b.bytes) * np.isin(np.arange(b.num_rows), b_from, assume_unique=True)]
+        marked_a, marked_b = ids_a.copy(), ids_b.copy()
+        marked_a[heads] += len(self.a.bytes)
+        marked_b[b_from] += len(self.b.bytes)
+        line[np.arange(a.num_rows) + np.repeat(b_from, a_size)] = self.text_a[marked_a]
+        line[np.arange(b.num_rows) + np.repeat(heads + a_size, b_size)] = self.text_b[marked_b]
         at = lambda doc: np.searchsorted(doc, np.arange(n + 1))
         in_a, in_b, in_g, in_p = at(a["doc"].to_numpy()), at(b["doc"].to_numpy()), at(a["doc"].to_numpy()[heads]), at(pairs["doc"].to_numpy())
         code, times = pairs["code"].to_numpy(), pairs["n"].to_numpy()
@@ -145,7 +168,8 @@ class Aligner:
         out = {"n_a": np.diff(in_a), "n_b": np.diff(in_b), "n_groups": np.diff(in_g), "pairs": cut(code, in_p), "times": cut(times, in_p)}
         out["n_links"] = [int(x.sum()) for x in out["times"]]
         out |= {"a_ids": cut(ids_a, in_a), "b_ids": cut(ids_b, in_b), "a_sizes": cut(a_size, in_g), "b_sizes": cut(b_size, in_g)}
-        out["groups"] = ["".join(x.tolist())[1:] for x in cut(line, in_a + in_b)]
+        parts, bounds = line.tolist(), (in_a + in_b).tolist()
+        out["groups"] = ["".join(parts[x:y])[1:] for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
         return out
 
 
