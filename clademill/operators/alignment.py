@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clademill.operators.kernels import align_identity
+from clademill.operators.kernels import align_identities, align_identity
 from clademill.plans.shared import partitions
 
 ALIGNERS = ("builtin", "mafft", "muscle")
@@ -95,15 +95,17 @@ def identity_pairs(seqs: DataFrame, tile: int = 25, aligner: str = "builtin", pr
     kind = seqs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = identity_of(aligner, program)
+        one = None if aligner == "builtin" else identity_of(aligner, program)
+        score = align_identities if one is None else lambda pairs: [one(x, y) for x, y in pairs]
         held: list[dict] = []
         ids = None
 
         def out() -> Iterator[pa.RecordBatch]:
             ta, tb = held[0]["ta"], held[0]["tb"]
-            got = [(x["id"], y["id"], score(x["seq"], y["seq"])) for i, x in enumerate(held) for y in held[i + 1 :] if ta == tb or x["t"] != y["t"]]
-            if got:
-                yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], ids), pa.array([g[1] for g in got], ids), pa.array([g[2] for g in got])], names=["a", "b", "identity"])
+            both = [(x, y) for i, x in enumerate(held) for y in held[i + 1 :] if ta == tb or x["t"] != y["t"]]
+            told = score([(x["seq"], y["seq"]) for x, y in both])
+            if both:
+                yield pa.RecordBatch.from_arrays([pa.array([x["id"] for x, _ in both], ids), pa.array([y["id"] for _, y in both], ids), pa.array(told)], names=["a", "b", "identity"])
 
         for batch in batches:
             ids = batch.schema.field("id").type

@@ -236,6 +236,95 @@ def align_identity(a: str, b: str, match: float = 1.0, opening: float = -1.0, ex
     return 100.0 * end[2][0] / end[1][0] if end[1][0] else 0.0
 
 
+#: Pairs with a sequence above this length go one by one to :func:`align_identity`; below it a cell fits a 64-bit number.
+BANDED = 16_000
+#: Cells of all pairs of a batch that are worked on at a time.
+CELLS = 16_384
+# A cell's number: twice the score above bit 46, above 32 which of equals is taken, above 16 its columns, and its matches.
+_SCORE, _TIE, _COLUMN = 1 << 46, 1 << 32, 1 << 16
+_PLAIN = ~np.int64(0x3FFF * _TIE)
+_LOW = -60_000 * _SCORE
+
+
+def _banded(pairs: list[tuple[np.ndarray, np.ndarray]], wide: int) -> tuple[np.ndarray, np.ndarray]:
+    """Penalties and cell numbers of the best alignments that stay within ``wide`` diagonals of both corners.
+
+    One pass over the rows of all pairs; column ``c`` of a pair's band is the diagonal ``lo + c``.
+    """
+    m, n = (np.array([len(p[k]) for p in pairs]) for k in (0, 1))
+    lo = np.minimum(0, n - m) - wide
+    width = int((np.maximum(0, n - m) + wide - lo).max()) + 1
+    rows = int(m.max())
+    x, y = np.zeros((rows, len(pairs)), np.uint8), np.zeros((len(pairs), rows + width + 1), np.uint8)
+    for p, (a, b) in enumerate(pairs):
+        x[: len(a), p] = a
+        at = 1 - lo[p]  # y[p, i + c] is the letter that row i and column c compare
+        y[p, max(at, 0) : at + len(b)] = b[max(-at, 0) :][: y.shape[1] - max(at, 0)]
+    c = np.arange(width, dtype=np.int64)
+    low = np.full((len(pairs), width), _LOW)
+    place = c + lo[:, None]
+    # of equal scores a column comes before a gap in b, and that before a gap in a; a gap that opens before one that goes on
+    d, up = np.where(place == 0, 2 * _TIE, low), low + _TIE
+    left = np.where(place > 0, (-1 - place) * _SCORE, low)
+    ahead, back = c * (_SCORE + _TIE), (c[1:] + 1) * _SCORE
+    end = np.zeros(len(pairs), np.int64)
+    for i in range(1, rows + 1):
+        whole = np.maximum(np.maximum(d, up), left) & _PLAIN
+        same = y[:, i : i + width] == x[i - 1][:, None]
+        d = whole + (_COLUMN + 2 * _TIE)
+        d += same * np.int64(2 * _SCORE + 1)
+        opened = whole[:, 1:] + (_TIE - 2 * _SCORE)
+        up[:, :-1] = (np.maximum(opened, (up[:, 1:] & _PLAIN) - _SCORE) & _PLAIN) + _TIE
+        up[:, -1] = _LOW
+        base = np.maximum(d, up) & _PLAIN
+        run = np.maximum.accumulate(base + ahead, axis=1)
+        left = np.empty_like(run)
+        left[:, 0] = _LOW
+        left[:, 1:] = (run[:, :-1] - back) & _PLAIN
+        if (done := np.flatnonzero(m == i)).size:
+            at = (n - m - lo)[done]
+            end[done] = np.maximum(np.maximum(d[done, at], up[done, at]), left[done, at]) & _PLAIN
+    return m + n - (end >> 46), end
+
+
+def align_identities(pairs: list[tuple[str, str]]) -> list[float]:
+    """:func:`align_identity` of many pairs, by work that grows with their length times their distance.
+
+    A score is turned into a penalty: two for a mismatch, and for a gap one and two for each
+    of its letters. A path that leaves the band on either side pays for the way there and back, so
+    once the best penalty inside is below that, all best paths are inside, with all their ties. A
+    narrow band gives a penalty, and that the width which is enough.
+    """
+    out = [0.0] * len(pairs)
+    held = []
+    for at, (a, b) in enumerate(pairs):
+        x, y = np.frombuffer(a.encode(), np.uint8), np.frombuffer(b.encode(), np.uint8)
+        if len(x) and len(y):
+            if max(len(x), len(y)) > BANDED or 0 in x or 0 in y:
+                out[at] = align_identity(a, b)
+            else:
+                held.append((12, abs(len(x) - len(y)), len(x), at, (x, y)))
+    while held:
+        held.sort(key=lambda h: h[:4])
+        wide, apart = held[0][0], held[0][1]
+        # pairs of about one width, so that none is worked on much beyond its own
+        near = [h for h in held if h[0] <= 1.25 * wide + 8 and h[1] <= 1.25 * apart + 32]
+        wide = max(h[0] for h in near)
+        many = max(1, CELLS // (max(h[1] for h in near) + 2 * wide + 1))
+        batch = near[:many]
+        penalty, end = _banded([h[4] for h in batch], wide)
+        taken = {h[3] for h in batch}
+        held = [h for h in held if h[3] not in taken]
+        for h, p, e in zip(batch, penalty.tolist(), end.tolist(), strict=True):
+            if p < 2 + 2 * h[1] + 4 * (wide + 1) or wide >= max(map(len, h[4])):
+                columns = e >> 16 & 0xFFFF
+                out[h[3]] = 100.0 * (e & 0xFFFF) / columns if columns else 0.0
+            else:
+                enough = min((p - 2 - 2 * h[1]) // 4 + 1, max(map(len, h[4])))
+                held.append((enough, *h[1:]))
+    return out
+
+
 _BASES = np.full(256, 4, np.uint8)
 _BASES[list(b"ACGT")] = range(4)
 #: The longest k-mer that two bits a base hold in a signed 64-bit number.

@@ -7,19 +7,24 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder of ``spark.checkpoint.dir`` and read again, in one job.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which all executors share.
 
     A local master gets its own folder where the setting is missing; a cluster is
     refused, since other executors could not read a machine's own folder.
     """
-    spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file:///tmp/checkpoints"
-    path = f"{base.rstrip('/')}/rounds-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read again, in one job."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/rounds-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._checkpoint_path = path

@@ -1,10 +1,13 @@
 """Aligners: where programs are found, what they answer, and that all cores get pairs."""
 
+import random
 import stat
+import time
 
 import pytest
 
 from clademill.operators import alignment as A
+from clademill.operators import kernels as K
 from clademill.operators import similarity as M
 
 
@@ -102,3 +105,50 @@ def test_kmer_columns(spark):
     for r in got:
         want = [r.s[i : i + 3] for i in range(len(r.s) - 2)] if r.s else []
         assert (r.k or []) == want and sorted(r.u or []) == sorted({w for w in want if "N" not in w})
+
+
+def _changed(rng, seq, rate, gaps):
+    out = []
+    for x in seq:
+        u = rng.random()
+        if u < rate:
+            out.append(rng.choice("ACGT"))
+        elif u >= rate + gaps:
+            out.append(x)
+            if u < rate + 2 * gaps:
+                out += rng.choices("ACGT", k=rng.randint(1, 4))
+    return "".join(out)
+
+
+@pytest.mark.parametrize("letters", ["A", "AC", "ACGT"])
+def test_batches_equal_the_dynamic_program(letters):
+    """Few letters give many ties."""
+    rng = random.Random(len(letters))
+    pairs = []
+    for _ in range(400):
+        a = "".join(rng.choices(letters, k=rng.randint(0, 40)))
+        pairs.append((a, _changed(rng, a, rng.random() / 2, rng.random() / 5) if rng.random() < 0.6 else "".join(rng.choices(letters, k=rng.randint(0, 40)))))
+    for _ in range(12):
+        a = "".join(rng.choices(letters, k=rng.randint(100, 300)))
+        pairs += [(a, _changed(rng, a, rng.random() / 5, rng.random() / 20)), (a, "".join(rng.choices(letters, k=rng.randint(20, 400)))), (a[:150] + a, a)]
+    assert K.align_identities(pairs) == pytest.approx([K.align_identity(a, b) for a, b in pairs], abs=1e-9)
+
+
+def test_batches_of_odd_pairs(monkeypatch):
+    pairs = [("", "A"), ("A", ""), ("ACGT", "ACGT"), ("A\0C", "AC"), ("é", "é"), ("A" * 60, "C")]
+    want = [K.align_identity(a, b) for a, b in pairs]
+    assert K.align_identities(pairs) == want and K.align_identities([]) == []
+    monkeypatch.setattr(K, "BANDED", 3)
+    assert K.align_identities(pairs) == want
+
+
+def test_related_genomes_cost_by_their_distance():
+    rng = random.Random(4)
+    base = "".join(rng.choices("ACGT", k=2800))
+    pairs = [tuple(_changed(rng, base, 0.03, 0.001) for _ in "ab") for _ in range(60)]
+    start = time.process_time()
+    got = K.align_identities(pairs)
+    batch = time.process_time() - start
+    start = time.process_time()
+    assert got[:2] == [K.align_identity(*p) for p in pairs[:2]]
+    assert batch / len(pairs) < (time.process_time() - start) / 2 / 10
