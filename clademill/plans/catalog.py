@@ -18,6 +18,7 @@ from pyspark.sql import Window as W
 from clademill.functions import sequence as S
 from clademill.operators import clusters as C
 from clademill.operators import kernels as K
+from clademill.operators import metric as X
 from clademill.operators import recombination as R
 from clademill.operators import similarity as M
 from clademill.operators.sampling import farthest_point_panel, panel_metrics, quotas
@@ -282,6 +283,16 @@ def knn_search(spark, sf):
     return _searches(spark, sf, 10).select("id", "other", F.round("d", 6).alias("d"), F.col("rank").cast("int").alias("rank"))
 
 
+@query(f"""WITH s AS (SELECT doc_id AS id, {ACGT} AS q FROM documents), g AS (SELECT id, substring(q, i::INT, 3) AS kmer FROM s, range(1, greatest(length(q)-1, 1)) t(i) WHERE length(q) >= 3),
+f AS (SELECT id, kmer, (count(*) / sum(count(*)) OVER (PARTITION BY id))::FLOAT AS v FROM g GROUP BY id, kmer), c AS (SELECT substring('ACGT', (i // 16 + 1)::INT, 1) || substring('ACGT', (i // 4 % 4 + 1)::INT, 1) || substring('ACGT', (i % 4 + 1)::INT, 1) AS kmer, i FROM range(64) t(i)),
+v AS (SELECT s.id, list(coalesce(f.v, 0)::DOUBLE ORDER BY c.i) AS v FROM s CROSS JOIN c LEFT JOIN f ON f.id = s.id AND f.kmer = c.kmer GROUP BY s.id), k AS (SELECT a.id, b.id AS other, round(list_distance(a.v, b.v), 9) AS d FROM v a JOIN v b ON a.id <> b.id WHERE a.id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, other) AS rank FROM k) SELECT id, other, round(d, 6) AS d, rank::INT AS rank FROM r WHERE rank <= 10""")
+def knn_kmer_profiles(spark, sf):
+    """The sequences nearest to every fiftieth one by their 3-mer frequencies, in 64 dimensions."""
+    v = M.kmer_vectors(sequences(spark, sf), 3).select("id", "vector")
+    return X.nearest_vectors(v.where("id % 50 = 0"), v, 10).select("id", "other", F.round("d", 6).alias("d"), F.col("rank").cast("int").alias("rank"))
+
+
 @query(_NN + """, n AS (SELECT * FROM k WHERE rank <= 10), s AS (SELECT quantile_cont(d, 0.5) AS s FROM n WHERE d > 0) SELECT least(id, other) AS src, greatest(id, other) AS dst, round(max(exp(-d*d/(2*s*s))), 6) AS w FROM n, s GROUP BY 1, 2""")
 def knn_edges_gaussian(spark, sf):
     return C.gaussian_edges(_searches(spark, sf, 10)).withColumn("w", F.round("w", 6))
