@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from clademill.functions.sequence import AMBIGUITY_CODES, recode_ambiguity
 from clademill.operators.clusters import connected
+from clademill.operators.intervals import overlapping
 from clademill.plans.shared import checkpoint, partitions
 
 
@@ -42,17 +43,20 @@ def gate(events: DataFrame, pvalue_max: float = 0.05) -> DataFrame:
 def compatible_pairs(gated: DataFrame, min_overlap: float = 0.5, tolerance: int = 100) -> DataFrame:
     """``(a, b)`` of events ``a < b`` that share two members and agree in place.
 
-    Events meet in an equi-join on member pairs; they agree if the overlap is
-    ``min_overlap`` of the shorter, or both ends lie within ``tolerance``.
+    Events of one member pair meet where they come near each other; they agree if the overlap is
+    ``min_overlap`` of the shorter, or both ends lie within ``tolerance``. ``ord`` is unique.
     """
     pair = F.explode(F.flatten(F.transform("members", lambda x: F.transform(F.filter("members", lambda y: y > x), lambda y: F.struct(x.alias("m"), y.alias("n"))))))
     rows = gated.select("ord", "start", "end", pair.alias("pair"))
-    a, b = (rows.select("pair", *(F.col(c).alias(c + s) for c in ("ord", "start", "end"))) for s in "ab")
-    both = a.join(b, "pair").where("orda < ordb")
+    reach = (tolerance + 1) // 2  # events that agree by their ends need not overlap, but are as near as that
+    wide = rows.select(F.col("ord").alias("id"), "pair", (F.least("start", "end") - reach).alias("start"), (F.greatest("start", "end") + reach).alias("end"))
+    met = overlapping(wide, wide, ["pair"]).where("left < right").distinct()
+    a, b = (gated.select(*(F.col(c).alias(c + s) for c in ("ord", "start", "end"))) for s in "ab")
+    both = met.join(a, F.col("left") == F.col("orda")).join(b, F.col("right") == F.col("ordb"))
     overlap = F.greatest(F.lit(0), F.least("enda", "endb") - F.greatest("starta", "startb"))
     shorter = F.least(F.col("enda") - F.col("starta"), F.col("endb") - F.col("startb"))
     near = (F.abs(F.col("starta") - F.col("startb")) <= tolerance) & (F.abs(F.col("enda") - F.col("endb")) <= tolerance)
-    return both.where(((shorter > 0) & (overlap >= min_overlap * shorter)) | near).select(F.col("orda").alias("a"), F.col("ordb").alias("b")).distinct()
+    return both.where(((shorter > 0) & (overlap >= min_overlap * shorter)) | near).select(F.col("orda").alias("a"), F.col("ordb").alias("b"))
 
 
 def pair_fragments(events: list[dict]) -> tuple[list[dict], set[int]]:
@@ -256,13 +260,29 @@ def assign_roles(alignment: dict[str, str], members: list[str], start: int, end:
     return polarise(alignment, members[0] if members else "", members[1:], start, end) | {"recombinant_resolved": "", "role_support": 0}
 
 
+#: Features up to this count are packed into one row beside the events; more are joined by their places.
+PACKED_FEATURES = 1000
+
+
 def feature_overlap(events: DataFrame, features: DataFrame) -> DataFrame:
     """``events`` with ``features``: names of overlapping closed intervals in file order, ``none`` without.
 
-    Features are a gene map of one genome; they are collected per row by a range
-    condition over one packed row, so events are not shuffled.
+    The features of one genome are few, and are collected per row by a range condition over one packed row, so
+    events are not shuffled. Those of many are met by :func:`clademill.operators.intervals.overlapping`.
     """
+    if features.limit(PACKED_FEATURES + 1).count() > PACKED_FEATURES:
+        return _placed_features(events, features)
     packed = features.agg(F.array_sort(F.collect_list(F.struct("ord", "name", F.col("start").alias("s"), F.col("end").alias("e")))).alias("_f"))
     hit = F.filter("_f", lambda f: ~((F.col("end") < f.s) | (F.col("start") > f.e)))
     names = F.array_join(F.transform(hit, lambda f: f["name"]), ",")
     return events.crossJoin(F.broadcast(packed)).withColumn("features", F.coalesce(F.nullif(names, F.lit("")), F.lit("none"))).drop("_f")
+
+
+def _placed_features(events: DataFrame, features: DataFrame) -> DataFrame:
+    rows = checkpoint(events.withColumn("_event", F.monotonically_increasing_id()))
+    named = checkpoint(features.withColumn("_feature", F.monotonically_increasing_id()))
+    met = overlapping(rows.select(F.col("_event").alias("id"), "start", "end"), named.select(F.col("_feature").alias("id"), "start", "end"))
+    met = met.join(named.select(F.col("_feature").alias("right"), "ord", "name"), "right")
+    told = met.groupBy("left").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "name", "right"))), lambda x: x["name"]), ",").alias("features"))
+    out = rows.join(told.withColumnRenamed("left", "_event"), "_event", "left").withColumn("features", F.coalesce(F.nullif("features", F.lit("")), F.lit("none")))
+    return out.select(*events.columns, "features")

@@ -17,6 +17,7 @@ from pyspark.sql import Window as W
 
 from clademill.functions import sequence as S
 from clademill.operators import clusters as C
+from clademill.operators import intervals as V
 from clademill.operators import kernels as K
 from clademill.operators import metric as X
 from clademill.operators import recombination as R
@@ -467,6 +468,19 @@ def consensus_events(spark, sf):
 _FEATURES = [("rep", 1, 1200), ("ren", 1100, 1500), ("trap", 1400, 1900), ("cp", 2600, 3400), ("pre", 3500, 3600)]
 
 
+_SPREAD = "SELECT event_id AS id, event_id * 37 AS \"start\", event_id * 37 + 100 + event_id % 211 AS \"end\" FROM events"
+
+
+@query(f"""WITH e AS ({_SPREAD}), f AS (SELECT doc_id AS id, doc_id * 370 AS "start", doc_id * 370 + n_chars % 900 AS "end" FROM documents), x AS (SELECT e.id, count(*) AS n, min(f.id) AS low, max(f.id) AS high FROM e JOIN f ON e.start <= f.end AND f.start <= e.end GROUP BY 1)
+SELECT e.id, coalesce(x.n, 0)::BIGINT AS features, x.low, x.high FROM e LEFT JOIN x USING (id)""")
+def overlaps_by_place(spark, sf):
+    """Events along one long genome, and how many features of it each overlaps."""
+    e = table(spark, sf, "events").select(F.col("event_id").alias("id"), (F.col("event_id") * 37).alias("start"), (F.col("event_id") * 37 + 100 + F.pmod("event_id", F.lit(211))).alias("end"))
+    f = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), (F.col("doc_id") * 370).alias("start"), (F.col("doc_id") * 370 + F.pmod("n_chars", F.lit(900))).alias("end"))
+    met = V.overlapping(e, f).groupBy(F.col("left").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.min("right").alias("low"), F.max("right").alias("high"))
+    return e.join(met, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("features"), "low", "high")
+
+
 @query(f"""WITH e AS {EVT}, f(ord, name, s, t) AS (VALUES (0,'rep',1,1200),(1,'ren',1100,1500),(2,'trap',1400,1900),(3,'cp',2600,3400),(4,'pre',3500,3600)), h AS (SELECT e.ord, string_agg(name, ',' ORDER BY f.ord) AS features FROM e JOIN f ON NOT (e."end" < f.s OR e."start" > f.t) GROUP BY 1) SELECT e.ord, coalesce(features, 'none') AS features FROM e LEFT JOIN h USING (ord)""")
 def feature_overlap(spark, sf):
     f = spark.createDataFrame([(i, *r) for i, r in enumerate(_FEATURES)], "ord bigint, name string, start int, end int")
