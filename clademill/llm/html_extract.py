@@ -43,8 +43,10 @@ ENDS = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)", re.IGNORECASE | re.ASCII) for t in
 BESIDE = re.compile(r"ads?|advert\w*|adbox|adslot|sponsor\w*|promo\w*|banner\w*|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|nav|navbar|navigation|menu\w*|breadcrumbs?|sidebar\w*|side|aside|footer|foot|masthead|siteheader|pageheader|topbar|share|sharing|social|related|recommend\w*|newsletter|subscribe\w*|signup|login|widgets?|pagination|pager|toolbar|search\w*|copyright|legal|skiplink|complementary|contentinfo")
 COMMENT = re.compile(r"comments?|commentlist|replies|respond|disqus")
 GOOD = re.compile(r"article|content|main|post|entry|story|body|text")
-#: Names that tell of a state or a layout, such as ``has-sidebar`` or ``comments-open``.
-STATE = re.compile(r"(?:has|no|with|without|is|show|hide|supports)[-_].*|.*[-_](?:open|closed|enabled|disabled|on|off|visible|active|left|right|layout)")
+#: Names that tell of a state or a layout, such as ``has-sidebar``; and, on the page and its article themselves, such as ``comments-open``.
+STATE = re.compile(r"(?:has|no|with|without|is|supports)[-_].*")
+STATE_OF_PAGE = re.compile(r".*[-_](?:open|closed|enabled|disabled|on|off|visible|active|left|right|layout)|(?:show|hide)[-_].*")
+PAGE = frozenset("html body main article".split())
 PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 PAIRED = re.compile(r"(?i)(site|page)[-_]?(header)|(skip)[-_]?(link)")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
@@ -59,7 +61,7 @@ class Names:
 
     __slots__ = ("bad", "comment", "general", "good", "hidden")
 
-    def __init__(self, attributes: str):
+    def __init__(self, attributes: str, page: bool = False):
         self.general, self.hidden = "", False
         self.bad = self.comment = self.good = 0
         if not NAMED.search(attributes):
@@ -77,11 +79,10 @@ class Names:
                 if name == "class":
                     self.general = "".join(f".{DIGITS.sub('#', c.lower())}" for c in sorted(set(words)))
                 for word in words:
-                    self._weigh(word)
+                    if not STATE.fullmatch(word.lower()) and not (page and STATE_OF_PAGE.fullmatch(word.lower())):
+                        self._weigh(word)
 
     def _weigh(self, name: str) -> None:
-        if STATE.fullmatch(name.lower()):
-            return
         parts = [x.lower() for x in PARTS.findall(PAIRED.sub(lambda m: "".join(x.lower() for x in m.groups() if x), name))]
         if any(COMMENT.fullmatch(x) for x in parts):
             self.comment += 1
@@ -125,16 +126,17 @@ class Page:
         self._parse(source)
         self._measure()
 
-    def _named(self, attributes: str) -> Names:
-        found = self._known.get(attributes)
+    def _named(self, attributes: str, page: bool) -> Names:
+        known = f"{attributes}\0" if page else attributes
+        found = self._known.get(known)
         if found is None:
             if len(self._known) >= self.MEMO:
                 self._known.clear()
-            found = self._known[attributes] = Names(attributes)
+            found = self._known[known] = Names(attributes, page)
         return found
 
     def _child(self, node: Node, tag: str, attributes: str) -> Node:
-        names = self._named(attributes)
+        names = self._named(attributes, tag in PAGE)
         child = Node(tag, xxhash.xxh3_64_intdigest(f"{tag}{names.general}".encode("utf-8", "replace"), node.path) >> 1, names, node)
         node.parts.append(child)
         self.nodes.append(child)

@@ -14,7 +14,7 @@ OTHER = "Some of what stands beside it, told at length. " * 4
 
 @pytest.mark.parametrize(
     "wrap",
-    ['<article class="post comments-open">{}</article>', '<div class="site-main has-sidebar">{}</div>', '<div class="content no-sidebar">{}</div>', '<article class="article related-article">{}</article>',
+    ['<article class="post comments-open">{}</article>', '<body class="sidebar-left"><main class="menu-visible">{}</main></body>', '<div class="site-main has-sidebar">{}</div>', '<div class="content no-sidebar">{}</div>', '<article class="article related-article">{}</article>',
      '<div class="sidebar-layout"><div class="post sidebar-right">{}</div></div>', '<form id="aspnetForm"><div>{}</div></form>', '<div class="menuPage">{}</div>', '<main class="widget">{}</main>', '<section class="banner"><h1></h1>{}</section>'],
 )
 def test_articles_stay(wrap):
@@ -25,7 +25,8 @@ def test_articles_stay(wrap):
 @pytest.mark.parametrize(
     "beside",
     ['<div class="comments"><p>{}</p></div>', '<section id="disqus_thread"><article class="comment"><p>{}</p></article></section>', '<div class="sidebar"><p>{}</p></div>', '<div class="related-posts"><p>{}</p></div>', '<aside>{}</aside>',
-     '<div hidden><p>{}</p></div>', '<div style="display: none">{}</div>', '<div aria-hidden=true>{}</div>', '<form>{}</form>', '<div role=complementary>{}</div>', '<div class="cookie-consent">{}</div>', "<noscript>{}</noscript>", '<div class="siteHeader">{}</div>'],
+     '<div hidden><p>{}</p></div>', '<div style="display: none">{}</div>', '<div aria-hidden=true>{}</div>', '<form>{}</form>', '<div role=complementary>{}</div>', '<div class="cookie-consent">{}</div>', "<noscript>{}</noscript>", '<div class="siteHeader">{}</div>',
+     '<div class="sidebar-right"><p>{}</p></div>', '<div class="ad-left">{}</div>', '<div class="menu-on"><p>{}</p></div>', '<div class="cookie-visible">{}</div>', '<div class="promo-layout">{}</div>', '<div class="show-comments"><p>{}</p></div>'],
 )
 def test_what_is_beside_goes(beside):
     page = f"<body><article><h1>Title</h1><p>{TEXT}</p>{beside.format(OTHER)}</article>{beside.format(OTHER)}</body>"
