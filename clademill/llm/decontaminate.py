@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clademill.llm.common import bounded, save
+from clademill.llm.common import bounded, fresh, save
 
 WINDOW = 8
 #: Items with fewer tokens than this are compared by their values, and by values with whole lines below ``LINE``.
@@ -109,39 +109,44 @@ def _windows(text: Column, widths: dict[int, bool]) -> Column:
     return once(text, lambda m: once(template(m), lambda w: F.concat(*(of(w, m, width) for width in sorted(widths)))))
 
 
+def row_key() -> Column:
+    """A number for a document's id and text."""
+    return F.xxhash64("doc_id", F.lit("/"), "text")
+
+
 def _items(benchmark: DataFrame) -> DataFrame:
-    """``(item_id, raw, words, width)`` of the items with words, one row per id."""
-    rows = benchmark.where("item_id IS NOT NULL").groupBy("item_id").agg(F.max("text").alias("text"))
+    """``(item, item_id, raw, words, width)`` of the items with words, one row for each id and text, by a number for both."""
+    rows = benchmark.where("text IS NOT NULL").select("item_id", "text").distinct()
     m = marked(F.col("text"))
-    rows = rows.select("item_id", tokens(m).alias("raw"), template(m).alias("words"))
+    rows = rows.select(F.xxhash64("item_id", F.lit("/"), "text").alias("item"), "item_id", tokens(m).alias("raw"), template(m).alias("words"))
     return rows.where(F.size("words") > 0).withColumn("width", F.least(F.lit(WINDOW), F.size("words")))
 
 
 def _whole_lines(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Passages of the items of under ``LINE`` tokens: a document's own lines of just their values."""
     line = F.transform(F.split(F.col("text"), "\n"), lambda x: F.array_join(values(tokens(marked(x))), " "))
-    short = items.select("item_id", F.array_join(values(F.col("raw")), " ").alias("line"), "width")
-    lines = docs.select("doc_id", F.posexplode(line).alias("at", "line")).where("line != ''")
-    found = lines.join(F.broadcast(short) if short.count() <= BROADCAST_WINDOWS else short, "line").groupBy("doc_id", "item_id").agg(F.min("at").alias("at"), F.max("width").alias("width"))
+    short = items.select("item", "item_id", F.array_join(values(F.col("raw")), " ").alias("line"), "width")
+    lines = docs.select("doc", "doc_id", F.posexplode(line).alias("at", "line")).where("line != ''")
+    found = lines.join(F.broadcast(short) if short.count() <= BROADCAST_WINDOWS else short, "line").groupBy("doc", "doc_id", "item", "item_id").agg(F.min("at").alias("at"), F.max("width").alias("width"))
     # its place in the document's tokens
-    texts = docs.join(bounded(save(found.select("doc_id").distinct(), "lined").df), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
+    texts = docs.join(bounded(save(found.select("doc").distinct(), "lined").df), "doc", "left_semi").groupBy("doc").agg(F.max("text").alias("text"))
     before = F.size(tokens(marked(F.array_join(F.slice(F.split(F.col("text"), "\n"), F.lit(1), F.col("at")), "\n"))))
-    rows = found.join(texts, "doc_id").withColumn("start", F.when(F.col("at") > 0, before).otherwise(0))
-    return rows.select("doc_id", "item_id", "start", (F.col("start") + F.col("width")).alias("end"), F.lit(1).alias("n_windows"), F.lit(True).alias("exact"))
+    rows = found.join(texts, "doc").withColumn("start", F.when(F.col("at") > 0, before).otherwise(0))
+    return rows.select("doc", "doc_id", "item_id", "start", (F.col("start") + F.col("width")).alias("end"), F.lit(1).alias("n_windows"), F.lit(True).alias("exact"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``(doc_id, item_id, start, end, n_windows, exact)``: passages of items in documents.
+    """``(doc, doc_id, item_id, start, end, n_windows, exact)``: passages of items in documents.
 
     ``start`` and ``end`` count the document's tokens, ``exact`` tells whether all
-    values agree too. Null texts have no tokens; of rows of one document id the last
-    text in order counts, null ids are never matched. The templates of windows of fewer
+    values agree too. Null texts have no tokens. Rows are known by id and text, of documents (``doc``, from
+    :func:`row_key`) and of items, so every text of an id counts, and null ids too. The templates of windows of fewer
     literals than placeholders are no evidence; such windows, and items of three
     tokens, are compared by their values; items of one or two tokens with whole lines.
     """
     items = save(_items(benchmark), "items").df
     counts = {r.width: r.n for r in items.groupBy("width").agg(F.count(F.lit(1)).alias("n")).collect()}
-    rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")
+    rows = docs.where("text IS NOT NULL").select(row_key().alias("doc"), "doc_id", "text")
     literal = lambda w: F.size(F.filter(w, lambda t: ~F.rlike(t, F.lit(MARK))))
     found = []
     if any(w < LINE for w in counts):
@@ -150,24 +155,24 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         width = F.col("width")
         own = items.where(width >= LINE).withColumn("values", values(F.col("raw")))
         runs = F.transform(F.sequence(F.lit(0), F.size("words") - width), lambda i: F.struct(F.slice("words", i + 1, width).alias("window"), F.slice("values", i + 1, width).alias("values")))
-        own = own.select("item_id", "width", F.posexplode(runs).alias("ipos", "run")).withColumn("rich", (width >= SHORTEST) & (literal(F.col("run.window")) * 2 >= width))
-        side = own.select("item_id", "ipos", "width", "rich", F.when(F.col("rich"), F.xxhash64("run.window")).otherwise(F.xxhash64(F.lit(VALUES), F.col("run.values"))).alias("hash"))
+        own = own.select("item", "width", F.posexplode(runs).alias("ipos", "run")).withColumn("rich", (width >= SHORTEST) & (literal(F.col("run.window")) * 2 >= width))
+        side = own.select("item", "ipos", "width", "rich", F.when(F.col("rich"), F.xxhash64("run.window")).otherwise(F.xxhash64(F.lit(VALUES), F.col("run.values"))).alias("hash"))
         side = save(side, "item-windows").df
         widths = {r.width: r.poor for r in side.groupBy("width").agg(F.bool_or(~F.col("rich")).alias("poor")).collect()}
         small = side.count() <= BROADCAST_WINDOWS
-        windows = rows.select("doc_id", F.inline(_windows(marked(F.col("text")), widths)))
+        windows = rows.select("doc", "doc_id", F.inline(_windows(marked(F.col("text")), widths)))
         hits = windows.withColumnRenamed("pos", "dpos").join(F.broadcast(side) if small else side, ["width", "hash"])
         found.append(_passages(hits, side, items, rows))
     if not found:
-        return docs.where("false").select("doc_id", F.lit(0).cast("bigint").alias("item_id"), *(F.lit(0).alias(c) for c in ("start", "end", "n_windows")), F.lit(True).alias("exact"))
+        return docs.where("false").select(F.lit(0).cast("bigint").alias("doc"), "doc_id", F.lit(0).cast("bigint").alias("item_id"), *(F.lit(0).alias(c) for c in ("start", "end", "n_windows")), F.lit(True).alias("exact"))
     return found[0] if len(found) == 1 else found[0].unionByName(found[1])
 
 
 def _passages(hits: DataFrame, side: DataFrame, items: DataFrame, docs: DataFrame) -> DataFrame:
     """The hits of each diagonal as a passage, where they are enough and what they cover agrees."""
-    diagonals = hits.groupBy("doc_id", "item_id", "width", (F.col("dpos") - F.col("ipos")).alias("diagonal")).agg(
+    diagonals = hits.groupBy("doc", "doc_id", "item", "width", (F.col("dpos") - F.col("ipos")).alias("diagonal")).agg(
         F.sort_array(F.collect_set("ipos")).alias("at"), F.size(F.collect_set(F.when(F.col("rich"), F.col("ipos")))).alias("n_rich"))
-    total = side.groupBy("item_id").agg(F.count(F.lit(1)).alias("total"), F.count_if("rich").alias("total_rich"))
+    total = side.groupBy("item").agg(F.count(F.lit(1)).alias("total"), F.count_if("rich").alias("total_rich"))
     # the longest run of neighbouring windows: what lies between two runs is no evidence
     zero = F.struct(F.lit(-2).alias("last"), F.lit(0).alias("run"), F.lit(0).alias("most"))
 
@@ -179,11 +184,11 @@ def _passages(hits: DataFrame, side: DataFrame, items: DataFrame, docs: DataFram
     # half of the windows of either kind's count: windows by value add hits, and never raise the bar for templates
     share = (F.size("at") >= F.col("total") * SHARE) | ((F.col("n_rich") > 0) & (F.col("n_rich") >= F.col("total_rich") * SHARE))
     enough = (run + F.col("width") - 1 >= RUN) | share
-    diagonals = save(diagonals.join(total, "item_id").where(enough), "diagonals").df
+    diagonals = save(diagonals.join(total, "item").where(enough), "diagonals").df
     # the tokens behind the windows, for the documents with hits
-    texts = docs.join(bounded(save(diagonals.select("doc_id").distinct(), "hit").df), "doc_id", "left_semi")
-    texts = texts.groupBy("doc_id").agg(F.max("text").alias("text")).select("doc_id", tokens(marked(F.col("text"))).alias("raw"))
-    rows = diagonals.join(texts, "doc_id").join(items.select("item_id", F.col("raw").alias("item_raw")), "item_id")
+    texts = docs.join(bounded(save(diagonals.select("doc").distinct(), "hit").df), "doc", "left_semi")
+    texts = texts.groupBy("doc").agg(F.max("text").alias("text")).select("doc", tokens(marked(F.col("text"))).alias("raw"))
+    rows = diagonals.join(texts, "doc").join(items.select("item", "item_id", F.col("raw").alias("item_raw")), "item")
     covered = F.array_distinct(F.flatten(F.transform("at", lambda i: F.sequence(i, i + F.col("width") - 1))))
     rows = rows.withColumn("pairs", F.transform(covered, lambda i: F.struct(F.get("item_raw", i).alias("x"), F.get("raw", i + F.col("diagonal")).alias("y"))))
     kind = lambda t: F.regexp_replace(F.lower(t), rf"({MARK})\S*", "$1")
@@ -195,17 +200,18 @@ def _passages(hits: DataFrame, side: DataFrame, items: DataFrame, docs: DataFram
     start = F.element_at("at", 1) + F.col("diagonal")
     end = F.element_at("at", -1) + F.col("width") + F.col("diagonal")
     told = rows.withColumns({"exact": exact, "holds": agree & consistent}).where("holds OR exact")
-    return told.select("doc_id", "item_id", start.alias("start"), end.alias("end"), F.size("at").alias("n_windows"), "exact")
+    return told.select("doc", "doc_id", "item_id", start.alias("start"), end.alias("end"), F.size("at").alias("n_windows"), "exact")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose document holds no benchmark passage; columns as given."""
-    gone = save(contamination(docs, benchmark).select("doc_id").distinct(), "contaminated").df
-    return docs.join(bounded(gone), "doc_id", "left_anti").select(*docs.columns)
+    """The rows of ``docs`` whose text holds no benchmark passage; columns as given."""
+    key = fresh("_doc", docs.columns)
+    gone = save(contamination(docs, benchmark).select(F.col("doc").alias(key)).distinct(), "contaminated").df
+    return docs.withColumn(key, row_key()).join(bounded(gone), key, "left_anti").select(*docs.columns)
 
 
 def decontaminate_query(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """op7: per document whether it is contaminated, by how many items, and by which first."""
-    found = contamination(documents, benchmark).groupBy("doc_id").agg(F.countDistinct("item_id").alias("n_items"), F.min("item_id").alias("first_item"), F.sum("n_windows").alias("n_windows"))
-    out = documents.select("doc_id").join(found, "doc_id", "left")
+    found = contamination(documents, benchmark).groupBy("doc").agg(F.countDistinct(F.struct("item_id")).alias("n_items"), F.min("item_id").alias("first_item"), F.sum("n_windows").alias("n_windows"))
+    out = documents.select("doc_id", row_key().alias("doc")).join(found, "doc", "left")
     return out.select("doc_id", F.col("n_items").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).alias("n_items"), "first_item", F.coalesce("n_windows", F.lit(0)).alias("n_windows"))

@@ -42,17 +42,10 @@ def _poor(window):
 
 
 def _brute(rows, bench):
-    items = {}
-    for i, t in bench:
-        if i is not None:
-            items[i] = max(items.get(i) or "", t or "")
-    texts = {}
-    for i, t in rows:
-        if i is not None and t is not None:
-            texts[i] = max(texts.get(i, ""), t)
-    every = [(i, t) for i, t in rows if i is not None and t is not None]
+    items = {(i, t) for i, t in bench if t is not None}
+    every = {(i, t) for i, t in rows if t is not None}
     out = set()
-    for item, source in items.items():
+    for item, source in items:
         raw = _tokens(source)
         kinds, bare = [*map(_kind, raw)], [*map(_bare, raw)]
         width = min(D.WINDOW, len(raw))
@@ -61,13 +54,13 @@ def _brute(rows, bench):
         n = len(raw) - width + 1
         rich = [width >= D.SHORTEST and not _poor(kinds[i : i + width]) for i in range(n)]
         hits = defaultdict(set)
-        for doc, text in every:
+        for doc, text in every:  # every row by itself, whatever its id
             own = _tokens(text)
             if width < D.LINE:
                 at = 0
                 for line in text.split("\n"):
                     of_line = _tokens(line)
-                    if [*map(_bare, of_line)] == bare and text == texts[doc]:
+                    if [*map(_bare, of_line)] == bare:
                         out.add((doc, item, len(_tokens("\n".join(text.split("\n")[:at]))), len(_tokens("\n".join(text.split("\n")[:at]))) + width, 1, True))
                         break
                     at += 1
@@ -76,8 +69,8 @@ def _brute(rows, bench):
             for d in range(len(own) - width + 1):
                 for i in range(n):
                     if k[d : d + width] == kinds[i : i + width] if rich[i] else (width < D.SHORTEST or _poor(k[d : d + width])) and b[d : d + width] == bare[i : i + width]:
-                        hits[doc, d - i].add(i)
-        for (doc, diagonal), at in hits.items():
+                        hits[doc, text, d - i].add(i)
+        for (doc, text, diagonal), at in hits.items():
             run = best = 0
             for i in range(n):
                 run = run + 1 if i in at else 0
@@ -85,7 +78,7 @@ def _brute(rows, bench):
             some = [i for i in at if rich[i]]
             if not (best + width - 1 >= D.RUN or 2 * len(at) >= n or some and 2 * len(some) >= sum(rich)):
                 continue
-            own = _tokens(texts[doc])
+            own = _tokens(text)
             pairs = [(raw[i], own[i + diagonal]) for i in sorted({i + j for i in at for j in range(width)}) if i + diagonal < len(own)]
             exact = all(_bare(x) == _bare(y) for x, y in pairs)
             slots = {(x, y) for x, y in pairs if regex.match(D.MARK, x)}
@@ -137,3 +130,15 @@ def test_very_long_texts(spark, rng):
     long = " ".join(rng.choice(WORDS, 200_000))
     got = D.decontaminate_query(spark.createDataFrame([(1, long), (2, long + " " + item), (3, "7 " * 50_000)], "doc_id bigint, text string"), spark.createDataFrame([(1, item), (2, "a 7 7 7 7 7 7 7 8")], "item_id bigint, text string"))
     assert {r.doc_id: r.contaminated for r in got.collect()} == {1: False, 2: True, 3: False}
+
+
+def test_every_row_counts_whatever_its_id(spark):
+    """Two texts of one document id, rows without one, two texts of one item id, and an item without one."""
+    item, other, third = ("Which of the seven rivers that cross the old city of Varn was dammed first and why", "Name the chemist who first isolated the violet salt of mount Ker in winter", "Explain how the two clocks of Elm tower came to disagree by an hour each spring")
+    bench = spark.createDataFrame([(1, item), (1, other), (None, third)], "item_id bigint, text string")
+    own = "Some words of its own that no item has, before "
+    rows = [(1, own + item), (1, own + "nothing else at all"), (None, own + other), (None, "clean words only, and no id"), (2, own + third), (3, None), (3, own)]
+    docs = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id bigint, text string, _doc int")
+    assert sorted(r._doc for r in D.drop_contaminated(docs, bench).collect()) == [1, 3, 5, 6]
+    told = sorted((str(r.doc_id), r.contaminated, r.n_items) for r in D.decontaminate_query(docs, bench).collect())
+    assert told == [("1", False, 0), ("1", True, 1), ("2", True, 1), ("3", False, 0), ("3", False, 0), ("None", False, 0), ("None", True, 1)]
