@@ -19,6 +19,7 @@ from clademill.functions import sequence as S
 from clademill.operators import clusters as C
 from clademill.operators import intervals as V
 from clademill.operators import kernels as K
+from clademill.operators import linkage as L
 from clademill.operators import metric as X
 from clademill.operators import recombination as R
 from clademill.operators import similarity as M
@@ -402,6 +403,14 @@ def closest_threshold(spark, sf):
     return threshold_summary(spark, sf).agg(F.min_by("threshold", F.struct(F.abs(F.col("cluster_count") - 4), "threshold")).alias("threshold"))
 
 
+@query()
+def threshold_clusters(spark, sf):
+    """Complete-linkage groups of all sequences by k-mer distance, at four thresholds."""
+    s = sequences(spark, sf).select("id", S.acgt(F.col("seq")).alias("seq"))
+    pairs = M.similar_pairs(s, 15, 98.1).select(F.col("a").alias("i"), F.col("b").alias("j"), (1 - F.col("identity") / 100).alias("v"))
+    return L.threshold_sizes(L.threshold_groups(s, pairs, [0.002, 0.005, 0.01, 0.019]))
+
+
 @query()
 def nj_tree(spark, sf):
     ids, d = _mean_matrix(spark, sf)
