@@ -31,21 +31,24 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     ``n_chars`` follows the cut text. Documents mostly made of repeated passages stay
     whole only where the next stage is sure to remove them: the near-duplicate rule, on
-    the texts that stage will get, links them to a first document that is not
-    one of them. All others are cut.
+    the texts that stage would get, links them to a first document that is not
+    one of them. All others are cut, by the passages that those others hold: a document
+    that is going to be removed is no first holder, so what only it shares with a later
+    one stays there.
     """
-    spans = repeated_spans(docs)
     counts = tuple(fresh(c, docs.columns) for c in ("n_words", "n_removed", "n_spans"))  # documents keep columns of these names
     removed, found = F.col(counts[1]), F.col(counts[2])
-    cut = save(cut_spans(docs, spans, whole_share=WHOLE_COPY_SHARE, counts=counts), "cut").df
-    whole = cut.where((removed == 0) & (found > 0)).select("doc_id").distinct()
-    copies = near_duplicates(cut.select("doc_id", "text")).where("NOT kept").select("doc_id", "component_id").distinct()
+    first = save(cut_spans(docs, repeated_spans(docs), whole_share=WHOLE_COPY_SHARE, counts=counts), "first-cut")
+    whole = first.df.where((removed == 0) & (found > 0)).select("doc_id").distinct()
+    copies = near_duplicates(first.df.select("doc_id", "text")).where("NOT kept").select("doc_id", "component_id").distinct()
     copies = copies.join(whole.toDF("component_id"), "component_id", "left_anti")
-    rest = bounded(save(whole.join(copies, "doc_id", "left_anti"), "not-copies").df)
-    cut = cut.join(rest, "doc_id", "left_anti").unionByName(cut_spans(docs.join(rest, "doc_id", "left_semi"), spans, counts=counts))
+    leaving = bounded(save(whole.join(copies, "doc_id", "left_semi"), "leaving").df)
+    first.drop()
+    staying = docs.join(leaving, "doc_id", "left_anti")
+    cut = cut_spans(staying, repeated_spans(staying), counts=counts)
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.when(removed > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return cut.select(*docs.columns)
+    return cut.select(*docs.columns).unionByName(docs.join(leaving, "doc_id", "left_semi"))
 
 
 def near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
