@@ -58,6 +58,20 @@ def test_shared_passage_in_most_of_a_document(spark):
     assert not kept & {21, 22} and set(range(8)) <= kept
 
 
+def test_what_only_a_removed_copy_held_before_stays(spark):
+    """Document 2 is a copy of 1 and a passage, which 3 holds among other words."""
+    rng = np.random.default_rng(6)
+    words = [f"v{i}q" for i in range(500)]
+    text = lambda n: " ".join(rng.choice(words, n))
+    passage, original = text(90), text(400)
+    rows = {1: original, 2: original + " " + passage, 3: text(300) + " " + passage + " " + text(300), 4: text(200) + " " + passage + " " + text(90)}
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows.items()], SCHEMA)
+    cut = spark.createDataFrame(P.line_dedup(spark, docs, "").collect(), SCHEMA)
+    kept = {r.doc_id: r.text for r in P.near_dup(spark, cut, "").collect()}
+    assert set(kept) == {1, 3, 4} and kept[1] == original and kept[3] == rows[3]
+    assert passage not in kept[4] and len(kept[4].split()) < 360
+
+
 def test_empty(spark, tmp_path):
     for name, schema in (("documents", SCHEMA), ("labels", "doc_id bigint, quality int, toxic int"), ("benchmark", "item_id bigint, text string")):
         spark.createDataFrame([], schema).write.parquet(str(tmp_path / f"{name}.parquet"))
