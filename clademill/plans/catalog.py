@@ -23,6 +23,7 @@ from clademill.operators import linkage as L
 from clademill.operators import metric as X
 from clademill.operators import recombination as R
 from clademill.operators import similarity as M
+from clademill.operators.communities import leiden
 from clademill.operators.sampling import farthest_point_panel, panel_metrics, quotas
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -319,6 +320,13 @@ def graph_components(spark, sf):
     return C.connected(p.select("id"), edges)
 
 
+@query()
+def graph_communities(spark, sf):
+    """Communities of the whole neighbour graph, by rounds over its edges."""
+    p = points(spark, sf)
+    return leiden(p.select("id"), C.gaussian_edges(C.nearest(p, p, 10)))
+
+
 def _vectors(spark, sf):
     return table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.concat(F.lit("L"), F.col("label").cast("string")).alias("cluster"), F.posexplode("embedding").alias("i", "v")).withColumn("v", F.col("v").cast("double"))
 
