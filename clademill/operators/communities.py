@@ -12,8 +12,6 @@ from clademill.plans.shared import checkpoint, forget
 MOVES, REFINEMENTS, LEVELS = 24, 12, 12
 #: Gains below this share of the graph's weight are none, so that the order of sums decides nothing.
 LEAST = 1e-10
-#: Three rounds in a row that each add less than this to the quality end a level's moves.
-WORTH = 1e-4
 
 
 def _coin(column: Column, seed: int) -> Column:
@@ -40,7 +38,8 @@ def _moved(edges: DataFrame, state: DataFrame, whole: float, inside: float, reso
         within = rows.agg(F.sum(F.when(F.col("to") == F.col("c"), F.col("w")))).first()[0] or 0.0
         spread = total.agg(F.sum((F.col("t") / whole) ** 2)).first()[0] or 0.0
         quality = (within + inside) / whole - resolution * spread
-        better, idle = quality > top + LEAST, 0 if quality > top + WORTH else idle + 1
+        better = quality > top + LEAST
+        idle = 0 if better else idle + 1
         if better:
             if best is not state:
                 forget(best)
