@@ -95,33 +95,79 @@ def cut_tree(merges: np.ndarray, n: int, threshold: float) -> np.ndarray:
     return np.array([seen.setdefault(root(i), len(seen)) for i in range(n)], int)
 
 
+#: Criteria of two pairs that differ by less than this share of the sums they are made of are tied.
+TIED = 1e-11
+
+
+def _closest(d: np.ndarray, total: np.ndarray, near: np.ndarray, node: np.ndarray, m: int) -> tuple[int, int]:
+    """Slots of the pair with the smallest criterion, on ties (but for the rounding of sums) of the first nodes, the smaller node first.
+
+    A row's criterion is at least what its smallest distance and the largest total give it, so only
+    rows whose bound does not lie above the best of the most promising rows are gone through.
+    """
+    bound = (m - 2) * near - total - total.max()
+
+    def across(rows: np.ndarray) -> np.ndarray:
+        """The criterion without the rows' own totals."""
+        q = d[rows]
+        q *= m - 2
+        q -= total
+        return q
+
+    some = np.argpartition(bound, 3)[:4] if len(bound) > 4 else np.flatnonzero(np.isfinite(bound))
+    low = (across(some).min(1) - total[some]).min()
+    slack = TIED * (1 + abs(low) + total.max())
+    rows = np.flatnonzero(bound <= low + 2 * slack)
+    q = across(rows)
+    least = q.min(1) - total[rows]
+    top = np.flatnonzero(least <= least.min() + slack)
+    r, two = np.nonzero(q[top] <= least.min() + slack + total[rows[top]][:, None])
+    one = rows[top][r]
+    first, last = np.minimum(node[one], node[two]), np.maximum(node[one], node[two])
+    k = np.lexsort((last, first))[0]
+    return (one[k], two[k]) if node[one[k]] < node[two[k]] else (two[k], one[k])
+
+
 def neighbor_joining(distance: np.ndarray) -> list[tuple[int, int, float]]:
     """Edges ``(parent, child, length)``; leaves are 0 to n - 1, inner nodes count on, the last parent is the root.
 
-    Negative input distances count as 0; the first smallest criterion wins ties.
+    Negative input distances count as 0; the first smallest criterion wins ties. The next pair is found by a
+    bounded search over the rows, whose totals and smallest distances are carried along; a new node
+    takes the slot of its first child, and the other's is infinitely far.
     """
     d = np.maximum(np.array(distance, float), 0)
     n = len(d)
-    nodes, edges, new = list(range(n)), [], n
-    while len(nodes) > 2:
-        m = len(nodes)
-        total = d.sum(1)
-        q = (m - 2) * d - total[:, None] - total[None, :]
-        q[np.tril_indices(m)] = np.inf
-        i, j = divmod(int(np.argmin(q)), m)
-        li = d[i, j] / 2 + (total[i] - total[j]) / (2 * (m - 2))
-        edges += [(new, nodes[i], li), (new, nodes[j], d[i, j] - li)]
-        row = (d[i] + d[j] - d[i, j]) / 2
-        keep = [k for k in range(m) if k not in (i, j)]
-        d = np.block([[d[np.ix_(keep, keep)], row[keep][:, None]], [row[keep][None, :], np.zeros((1, 1))]])
-        nodes = [nodes[k] for k in keep] + [new]
-        new += 1
-    if len(nodes) == 2:
-        a, b = nodes
-        if n == 2:
-            edges += [(new, a, d[0, 1] / 2), (new, b, d[0, 1] / 2)]
-        else:
-            edges.append((b, a, d[0, 1]))
+    node, edges = np.arange(n), []
+    np.fill_diagonal(d, 0)
+    total = d.sum(1)
+    np.fill_diagonal(d, np.inf)
+    near = d.min(1, initial=np.inf)
+    for new in range(n, 2 * n - 2):
+        m = 2 * n - new
+        if 2 * m < len(d):  # half of the slots are empty
+            held = np.flatnonzero(np.isfinite(near))
+            d, total, near, node = d[np.ix_(held, held)], total[held], near[held], node[held]
+        i, j = _closest(d, total, near, node, m)
+        apart = d[i, j]
+        length = apart / 2 + (total[i] - total[j]) / (2 * (m - 2))
+        edges += [(new, int(node[i]), float(length)), (new, int(node[j]), float(apart - length))]
+        row = (d[i] + d[j] - apart) / 2
+        row[[i, j]] = np.inf
+        live = np.flatnonzero(np.isfinite(row))
+        total[live] += row[live] - d[i, live] - d[j, live]
+        again = live[(near[live] == d[i, live]) | (near[live] == d[j, live])]
+        d[i] = d[:, i] = row
+        d[j] = d[:, j] = np.inf
+        near[live] = np.minimum(near[live], row[live])
+        near[again] = d[again].min(1)
+        total[i], near[i] = row[live].sum(), row[live].min()
+        total[j], near[j] = -np.inf, np.inf
+        node[i] = new
+    if n == 2:
+        edges += [(2, 0, float(d[0, 1] / 2)), (2, 1, float(d[0, 1] / 2))]
+    elif n > 2:
+        i, j = sorted(np.flatnonzero(np.isfinite(near)), key=lambda k: node[k])
+        edges.append((int(node[j]), int(node[i]), float(d[i, j])))
     return edges
 
 
@@ -149,6 +195,26 @@ def tree_nodes(edges: list[tuple[int, int, float]], n: int) -> dict[int, dict]:
     return out
 
 
+#: Columns of a drawn tree's lines.
+SEGMENT = "kind string, parent int, child int, x1 double, y1 double, x2 double, y2 double, branch_length double, distance_from_root double"
+
+
+def tree_segments(nodes: dict[int, dict]) -> list[tuple]:
+    """The lines of a drawn tree, as ``SEGMENT`` tells: a branch to every node but the root, a connector across each one's children."""
+    out, across = [], {}
+    for child, v in nodes.items():
+        up = v["parent"]
+        if up is not None:
+            x = nodes[up]["x"]
+            out.append(("branch", up, child, x, v["y"], v["x"], v["y"], v["x"] - x, v["x"]))
+            low, high = across.get(up, (v["y"], v["y"]))
+            across[up] = min(low, v["y"]), max(high, v["y"])
+    for node, (low, high) in across.items():
+        x = nodes[node]["x"]
+        out.append(("connector", node, None, x, low, x, high, 0.0, x))
+    return out
+
+
 def newick(edges: list[tuple[int, int, float]], names: list[str]) -> str:
     """The tree as text, with six decimals."""
     children: dict[int, list[tuple[int, float]]] = {}

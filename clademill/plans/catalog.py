@@ -19,12 +19,14 @@ from clademill.functions import sequence as S
 from clademill.operators import clusters as C
 from clademill.operators import intervals as V
 from clademill.operators import kernels as K
+from clademill.operators import layout as U
 from clademill.operators import linkage as L
 from clademill.operators import metric as X
 from clademill.operators import recombination as R
 from clademill.operators import similarity as M
 from clademill.operators.communities import leiden
 from clademill.operators.sampling import farthest_point_panel, panel_metrics, quotas
+from clademill.operators.trees import group_trees
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -428,6 +430,14 @@ def nj_tree(spark, sf):
     return spark.createDataFrame(rows, "node int, parent int, branch_length double, x double, y double, is_leaf boolean, id string")
 
 
+@query()
+def panel_trees(spark, sf):
+    """A proportional panel of the embeddings' rows, and the tree of each label's members by their whole vectors, drawn."""
+    own = points(spark, sf)
+    panel = farthest_point_panel(own, quotas(own, 200)).select("id", "cluster")
+    return group_trees(_rows(spark, sf).join(panel, "id"))
+
+
 @query()
 def pairwise_identity(spark, sf):
     """Global alignment identity of the benchmark items' ACGT letters, tile by tile."""
@@ -457,6 +467,31 @@ def explorer_items(spark, sf):
     return run_grid(e, [3], [15], [0.1], [0.5, 1.0], graph_k=30)
 
 
+_GRAPH = """WITH RECURSIVE e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings), k AS (SELECT a.id, b.id AS other, round(list_distance(a.v, b.v), 9) AS d FROM e a JOIN e b ON a.id <> b.id),
+n AS (SELECT id, other, d FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, other) AS r FROM k) WHERE r <= 15), h AS (SELECT id, list(d ORDER BY d) AS ds, coalesce(min(d) FILTER (d > 0), 0) AS rho, log2(count(*)) AS target FROM n GROUP BY id),
+b AS (SELECT id, ds, rho, target, 0 AS step, 0::DOUBLE AS low, 'inf'::DOUBLE AS high, 1::DOUBLE AS sigma FROM h UNION ALL
+SELECT id, ds, rho, target, step + 1, low2, high2, CASE WHEN isinf(high2) THEN sigma * 2 ELSE (low2 + high2) / 2 END FROM (SELECT *, CASE WHEN total > target THEN low ELSE sigma END AS low2, CASE WHEN total > target THEN sigma ELSE high END AS high2 FROM (SELECT *, list_sum(list_transform(ds, lambda d: exp(-greatest(d - rho, 0) / sigma))) AS total FROM b WHERE step < 64))),
+s AS (SELECT id, rho, greatest(sigma, 1e-3 * (SELECT avg(d) FROM n)) AS sigma FROM b WHERE step = 64), p AS (SELECT least(id, other) AS src, greatest(id, other) AS dst, exp(-greatest(d - rho, 0) / sigma) AS p FROM n JOIN s USING (id))
+SELECT src, dst, round(CASE WHEN count(*) = 1 THEN max(p) ELSE min(p) + max(p) - min(p) * max(p) END, 6) AS w FROM p GROUP BY ALL"""
+
+
+def _rows(spark, sf):
+    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
+
+
+@query(_GRAPH)
+def umap_graph(spark, sf):
+    """The fuzzy graph of the embeddings' rows by their 15 nearest, in all dimensions."""
+    rows = _rows(spark, sf)
+    return U.fuzzy_graph(X.nearest_vectors(rows, rows, 15)).withColumn("w", F.round("w", 6))
+
+
+@query()
+def umap_items(spark, sf):
+    """The embeddings' rows in the plane, by rounds over that graph."""
+    return U.embed(_rows(spark, sf), 15, 0.1)
+
+
 @query("""WITH v AS (SELECT doc_id AS id, 60 + (n_chars % 41) AS v FROM documents), t AS (SELECT id, v, (v-70)/30.0 AS t FROM v) SELECT id, CASE WHEN v < 70 THEN '#d9d9d9' ELSE printf('#%02x%02x%02x', trunc(247+(8-247)*t)::INT, trunc(251+(81-251)*t)::INT, trunc(255+(156-255)*t)::INT) END AS color FROM t""")
 def heatmap_colors(spark, sf):
     return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), S.heat_color((F.lit(60) + F.col("n_chars") % 41).cast("double")).alias("color"))
