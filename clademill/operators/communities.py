@@ -9,7 +9,7 @@ from clademill.operators.clusters import connected
 from clademill.plans.shared import checkpoint, forget
 
 #: Rounds of moves and of refinement in one level, and levels; all end earlier where nothing is gained.
-MOVES, REFINEMENTS, LEVELS = 24, 12, 12
+MOVES, REFINEMENTS, LEVELS = 24, 12, 32
 #: Gains below this share of the graph's weight are none, so that the order of sums decides nothing.
 LEAST = 1e-10
 
@@ -103,13 +103,19 @@ def _refined(edges: DataFrame, state: DataFrame, whole: float, resolution: float
     return now.select("id", "c", "k", "r")
 
 
+def _joined(parts: DataFrame) -> DataFrame:
+    """``(id, c, k)``: the parts as nodes of the next level."""
+    return parts.groupBy(F.col("r").alias("id")).agg(F.first("c").alias("c"), F.sum("k").alias("k"))
+
+
 def leiden(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, seed: int = 42) -> DataFrame:
     """``(id, cluster)``: communities of the configuration null model, each connected and named by its smallest id.
 
     ``nodes``: ``(id)``, unique; ``edges``: ``(src, dst, w)``, undirected. Weights of repeated pairs are
     added in either direction; loops, edges to unknown nodes and weights that are null or not positive are
     left out. A level moves nodes between communities, refines each community into well connected
-    parts, and makes each part a node of the next level, which starts from the communities found. All of
+    parts, and makes each part a node of the next level, which starts from the communities found; where no
+    part has grown, the communities themselves become nodes, and it ends where each is one already. All of
     it is joins and sums over the edge table: a round moves at most one row an edge, and neither
     a community nor the graph is ever one group. The quality never falls from level to level.
     """
@@ -124,15 +130,18 @@ def leiden(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, seed: in
     degree = first.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("k"))
     state = checkpoint(known.join(degree, "id", "left").select("id", F.col("id").alias("c"), F.coalesce("k", F.lit(0.0)).alias("k")))
     member = known.select("id", F.col("id").alias("node"))
-    links, inside, top, size = first, 0.0, float("-inf"), state.count()
+    links, inside, size = first, 0.0, state.count()
     for level in range(LEVELS):
-        state, quality = _moved(links, state, whole, inside, resolution, seed + 1000 * level)
-        if quality <= top + LEAST:
-            break
-        top = quality
+        state, _ = _moved(links, state, whole, inside, resolution, seed + 1000 * level)
         parts = _refined(links, state, whole, resolution, seed + 1000 * level + 500)
-        fewer = checkpoint(parts.groupBy(F.col("r").alias("id")).agg(F.first("c").alias("c"), F.sum("k").alias("k")))
+        fewer = checkpoint(_joined(parts))
         now = fewer.count()
+        if now == size:
+            # no parts grow any more: whole communities become nodes, so that they can join
+            parts = state.select("id", "c", "k", F.col("c").alias("r"))
+            forget(fewer)
+            fewer = checkpoint(_joined(parts))
+            now = fewer.count()
         if now == size:
             break
         size = now

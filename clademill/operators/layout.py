@@ -103,25 +103,30 @@ def _descent(far: Broadcast, n: int, first: int, last: int, whole: int, heaviest
 
     def move(own: pd.DataFrame, pulled: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values("id").reset_index(drop=True)
-        ids, y, away = own["id"].to_numpy(), own[["x", "y"]].to_numpy(float), far.value
+        ids, y = own["id"].to_numpy(), own[["x", "y"]].to_numpy(float)
+        others, away = far.value
         pulled = pulled.sort_values(["src", "dst"])
         at = pd.Index(ids)
         s, t = at.get_indexer(pulled["src"]), at.get_indexer(pulled["dst"])
         outside = t < 0
         t[outside] = len(y) + np.arange(outside.sum())
-        fixed = pulled.loc[outside, ["tx", "ty"]].to_numpy(float)
+        fixed = np.concatenate([pulled.loc[outside, ["tx", "ty"]].to_numpy(float), away])
+        # of the sample, the block's own points push from where they are now
+        pushes = at.get_indexer(others)
+        pushes = np.where(pushes >= 0, pushes, len(y) + len(fixed) - len(away) + np.arange(len(away)))
         often = pulled["w"].to_numpy(float) / heaviest
         rng = np.random.default_rng([seed, n, int(own["block"].iloc[0])])
         for e in range(first, last):
             on = np.floor((e + 1) * often) > np.floor(e * often)
             i, j = s[on], t[on]
-            delta = y[i] - np.concatenate([y, fixed])[j]
+            places = np.concatenate([y, fixed])
+            delta = y[i] - places[j]
             q = (delta * delta).sum(1)
             with np.errstate(divide="ignore", invalid="ignore"):
                 pull = np.where(q > 0, -2 * a * b * q ** (b - 1) / (1 + a * q**b), 0.0)
             step = 2 * np.clip(pull[:, None] * delta, -4, 4)  # an edge is in the table once for each end, and either row pulls at both
             for _ in range(NEGATIVES):
-                delta = y[i] - away[rng.integers(0, len(away), len(i))]
+                delta = y[i] - places[pushes[rng.integers(0, len(pushes), len(i))]]
                 q = (delta * delta).sum(1)
                 step += np.clip((2 * b / ((0.001 + q) * (1 + a * q**b)))[:, None] * delta, -4, 4)
             moved = np.column_stack([np.bincount(i, step[:, c], len(y)) for c in (0, 1)])
@@ -136,7 +141,8 @@ def layout(edges: DataFrame, start: DataFrame, min_dist: float, spread: float =
 
     In a round every block of the plane has its points, their edges and the other ends' places: ends in
     the block move, those outside stay until the next round. An edge pulls in every ``max(w) / w``-th epoch;
-    points are pushed off places drawn from a bounded sample of all, which changes with the round. A task holds about
+    points are pushed off points drawn from a bounded sample of all, which changes with the round and whose
+    members in the block move too. A task holds about
     ``block`` points and their edges; a round shuffles the edges and the places, once each.
     """
     a, b = _curve(spread, min_dist)
@@ -152,7 +158,8 @@ def layout(edges: DataFrame, start: DataFrame, min_dist: float, spread: float =
     whole = rounds * epochs
     for n in range(rounds):
         placed = checkpoint(_blocks(now, count, block, n % 2 == 1))
-        far = np.array([(r.x, r.y) for r in placed.orderBy(F.xxhash64("id", F.lit(seed + n)), "id").limit(FAR).collect()])  # a bounded sample
+        sample = placed.orderBy(F.xxhash64("id", F.lit(seed + n)), "id").limit(FAR).toPandas()
+        far = sample["id"].to_numpy(), sample[["x", "y"]].to_numpy(float)
         there = placed.select(F.col("id").alias("dst"), F.col("x").alias("tx"), F.col("y").alias("ty"))
         here = placed.select(F.col("id").alias("src"), F.col("block").alias("part"))
         pulls = both.join(here, "src").join(there, "dst").select("part", "src", "dst", "w", "tx", "ty")

@@ -60,6 +60,10 @@ def test_places_are_as_trustworthy_as_the_dense_kernels(spark):
     d = np.sqrt(((got[:, None] - got[None]) ** 2).sum(-1))
     np.fill_diagonal(d, np.inf)
     assert (own[d.argmin(1)] == own).mean() > 0.97
+    gaps = np.sqrt(((dense[:, None] - dense[None]) ** 2).sum(-1))
+    np.fill_diagonal(gaps, np.inf)
+    near = lambda m: np.median(np.sort(m, axis=1)[:, :10])
+    assert near(gaps) / 2 < near(d) < 2 * near(gaps)  # points do not fall into clumps
 
 
 def test_same_seed_same_places(spark):
