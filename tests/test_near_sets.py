@@ -39,3 +39,22 @@ def test_pairs_equal_brute_force_and_candidates_are_few(spark, identity):
     # sixty sequences hold one passage, and none of their pairs is looked at in full
     assert not any(28 <= a < 88 and 28 <= b < 88 for a, b in near)
     assert {p for p in want if rows[p[0]] != rows[p[1]] and rows.index(rows[p[0]]) == p[0] and rows.index(rows[p[1]]) == p[1]} <= near
+
+
+def test_a_query_goes_once_to_a_tile_of_cells(spark):
+    """Vectors that no bound parts need all cells, and are sent as often as there are tiles, not cells."""
+    import numpy as np
+    import pandas as pd
+
+    from clademill.operators import metric as X
+
+    rng = np.random.default_rng(3)
+    pivots = rng.normal(size=(50, 16))
+    cells = pd.DataFrame({"cell": range(50), "n": 20, "low": 0.0, "high": 9.0})
+    tile, told = X._tiled(cells, pivots, 200)
+    assert np.bincount(tile, cells["n"]).max() <= 200 and told["parts"].max() == 1 and tile.max() + 1 == 5
+    rows = [(i, [float(v) for v in rng.normal(size=16)], 50.0) for i in range(30)]
+    asked = spark.createDataFrame(rows, "id bigint, vector array<double>, bound double")
+    first = X._plan(asked, pivots, cells, 5, "bigint", False, tile).count()
+    rest = X._plan(asked, pivots, cells, 5, "bigint", True, tile).count()
+    assert first == 30 and first + rest == 30 * 5
