@@ -131,7 +131,7 @@ def top_references(pairs: DataFrame, novelty: float = 92.0) -> DataFrame:
 
 
 #: Distances up to which all are taken, block by block; beyond, a grid leaves out what is too far to matter.
-ALL_PAIRS = 200_000_000
+ALL_PAIRS = 10_000_000
 
 
 def _candidates(query: DataFrame, k: int, include_self: bool) -> DataFrame:
