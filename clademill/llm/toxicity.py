@@ -104,9 +104,9 @@ def _swapped(text: str) -> str | None:
 
 def _rows(per_text: list[np.ndarray], column: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Row and column numbers of the ones of a sparse indicator matrix; features without a column are left out."""
-    row = np.repeat(np.arange(len(per_text)), [len(x) for x in per_text])
-    col = column[np.concatenate([np.zeros(0, np.int32), *per_text])]
-    return row[col >= 0], col[col >= 0]
+    # text by text, since most features have no column and the long arrays of all of them would be held several times
+    kept = [c[c >= 0] for c in (column[x] for x in per_text)]
+    return np.repeat(np.arange(len(kept)), [len(x) for x in kept]), np.concatenate([np.zeros(0, column.dtype), *kept])
 
 
 def fit(texts: list[str], labels: list[int], *, features: int = 3000, least: int = 4, l2: float = 0.02, counterfactual: float = 1.0, steps: int = 600, rate: float = 0.05) -> ToxicityModel:
