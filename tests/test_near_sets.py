@@ -58,3 +58,29 @@ def test_a_query_goes_once_to_a_tile_of_cells(spark):
     first = X._plan(asked, pivots, cells, 5, "bigint", False, tile).count()
     rest = X._plan(asked, pivots, cells, 5, "bigint", True, tile).count()
     assert first == 30 and first + rest == 30 * 5
+
+
+def test_ten_thousand_points_go_by_the_grid(spark, monkeypatch):
+    """All pairs of them were made and sorted; the grid gives the same."""
+    import numpy as np
+
+    from clademill.operators import clusters as C
+
+    def refused(*_):
+        raise AssertionError("all pairs of 4,000 points")
+
+    x = np.random.default_rng(6).normal(size=(4000, 2))
+    points = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(x)], "id bigint, x double, y double")
+    monkeypatch.setattr(C, "_by_blocks", refused)
+    got = {(r.id, r["rank"]): r.other for r in C.nearest(points, points, 3).where("id % 400 = 7").collect()}
+    for i in range(7, 4000, 400):
+        d = np.hypot(*(x - x[i]).T)
+        d[i] = np.inf
+        assert [got[i, n] for n in (1, 2, 3)] == np.argsort(d)[:3].tolist()
+
+
+def test_kmer_set_sizes_over_all_letters():
+    from clademill.operators.kernels import kmer_set_size
+
+    for s in ("", "ACG", "ACGTACGTAC", "ABNCDEFNGHIJKL", "\0\0\0\0\0", "aé\U0001F600\U0001F600bcdaé\U0001F600\U0001F600N", "N" * 9, "Mitternacht im Wald" * 3):
+        assert kmer_set_size(s, 4) == len({s[i : i + 4] for i in range(len(s) - 3) if "N" not in s[i : i + 4]}), s
