@@ -2,8 +2,8 @@
 
 Each task puts its texts' tokens into two interval tables over bytes, one for the
 byte-level BPE (A) and one for the pieces (B). An ASOF join finds the B token at which an
-A token ends, a window turns that into the range of B tokens that an A token overlaps and
-sums the shared ends into group numbers, and a join with the unrolled ranges lists the links. A
+A token ends, windows turn that into the range of B tokens that an A token overlaps and
+sum the shared ends into group numbers, and a join with the unrolled ranges lists the links. A
 document leaves its task with its digest and how often it links which pair of ids. Spark merges
 the pairs' counts of all tasks and brings them back to the documents.
 
@@ -67,36 +67,122 @@ class ByteLevel:
         return self._slow.encode(text, add_special_tokens=False).ids if LONG_SPACE.search(text) else self._encode(text)
 
 
-class Pieces(dict):
-    """Ids and bytes of a ``sentencepiece`` model; short words' ids are remembered up to a bound.
-
-    Where texts are taken as they are and no piece goes on past a space, words have the same ids alone as
-    in a text, so a text of words with one space between them is put together from those.
-    """
-
-    LIMIT, LONGEST = 100_000, 40
+class Pieces:
+    """Ids and bytes of a ``sentencepiece`` model, which adds a space before a text."""
 
     def __init__(self, path: str):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = [model.id_to_piece(i) for i in range(model.get_piece_size())]
-        self._encode = functools.partial(model.encode, num_threads=1)
+        self.many = functools.partial(model.encode, num_threads=1)
         self.bytes = [bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.by_word = model.normalize(" ﬁ①  A ") == "▁▁ﬁ①▁▁A▁" and not any("▁" in p.lstrip("▁") for p in pieces)
 
-    def __missing__(self, word: str) -> list[int]:
-        ids = self._encode(word)
-        if len(word) <= self.LONGEST:
-            if len(self) >= self.LIMIT:
-                self.clear()
-            self[word] = ids
-        return ids
-
     def __call__(self, text: str) -> list[int]:
-        if not self.by_word or "  " in text or text.startswith(" ") or text.endswith(" "):
-            return self._encode(text)
-        return list(chain.from_iterable(map(self.__getitem__, text.split(" "))))
+        return self.many(text)
+
+
+class Words:
+    """Ids of texts by both tokenizers, put together from those of their words, which are remembered up to a bound.
+
+    Where B takes texts as they are and no piece goes on past a space, words have the same pieces alone as in a
+    text with one space between them. So have A's tokens, whose pattern begins anew at such a space unless other white space stands on both
+    sides of it. Other texts are encoded whole. New words are encoded many at a time.
+    """
+
+    LIMIT, LONGEST = 150_000, 40
+
+    def __init__(self, a: ByteLevel, b: Pieces):
+        self.a, self.b = a, b
+        self.wide = [np.array([len(x) for x in side.bytes], np.int64) for side in (a, b)]
+        self._clear()
+
+    def _clear(self) -> None:
+        self._known: dict[str, int] = {}
+        self._chars = 0
+        # of each side: the ids of all words, one after another, and where a word's begin
+        self._ids, self._from = [np.zeros(0, np.int32)] * 2, [np.zeros(1, np.int64)] * 2
+        # of each word: whether either side's bytes are a space and the word, and whether it begins or ends with white space
+        self._same = self._opens = self._ends = np.zeros(0, bool)
+
+    def _of_a(self, spaced: list[str], rough: list[str], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A's ids of words with their space, and where a word's end; all but the ``rough`` last go as one text."""
+        flat = np.array(self.a("".join(spaced)), np.int32)
+        at = np.cumsum(self.wide[0][flat])
+        ends = np.searchsorted(at, np.cumsum(sizes), side="right")
+        each = [self.a(w) for w in rough]
+        if len(spaced) and not np.array_equal(at[ends - 1], np.cumsum(sizes)):
+            raise ValueError("a token of A goes on past a space")
+        more = np.cumsum(np.fromiter(map(len, each), np.int64, len(each)))
+        return np.concatenate([flat, np.fromiter(chain.from_iterable(each), np.int32)]), np.concatenate([ends, len(flat) + more])
+
+    def _learn(self, new: set[str]) -> None:
+        rough = [w for w in new if w[0].isspace() or w[-1].isspace()]
+        words = [*new.difference(rough), *rough]
+        self._known.update(zip(words, range(len(self._known), len(self._known) + len(words)), strict=True))
+        self._chars += sum(map(len, words))
+        spaced = [f" {w}" for w in words]
+        raw = [w.encode() for w in spaced]
+        whole, sizes = b"".join(raw), np.fromiter(map(len, raw), np.int64, len(raw))
+        n, same = len(words) - len(rough), np.ones(len(words), bool)
+        of_b = self.b.many(words)
+        ids_b = np.fromiter(chain.from_iterable(of_b), np.int32), np.cumsum(np.fromiter(map(len, of_b), np.int64, len(of_b)))
+        for i, (side, (flat, ends)) in enumerate(((self.a, self._of_a(spaced[:n], spaced[n:], sizes[:n])), (self.b, ids_b))):
+            bounds = np.concatenate([[0], np.cumsum(self.wide[i][flat])])[np.concatenate([[0], ends])]
+            of, ids = side.bytes.__getitem__, flat.tolist()
+            if not np.array_equal(np.diff(bounds), sizes) or b"".join(map(of, ids)) != whole:
+                same &= np.fromiter((b"".join(map(of, ids[s:e])) == w for s, e, w in zip([0, *ends.tolist()], ends.tolist(), raw, strict=False)), bool, len(raw))
+            self._from[i] = np.concatenate([self._from[i], self._from[i][-1] + ends])
+            self._ids[i] = np.concatenate([self._ids[i], flat])
+        self._same = np.concatenate([self._same, same])
+        self._opens = np.concatenate([self._opens, np.fromiter((w[0].isspace() for w in words), bool, len(words))])
+        self._ends = np.concatenate([self._ends, np.fromiter((w[-1].isspace() for w in words), bool, len(words))])
+
+    def _whole(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        raw = f" {text}"
+        ids = self.a(raw), self.b(text)
+        same = all(b"".join(map(side.bytes.__getitem__, x)) == raw.encode() for side, x in zip((self.a, self.b), ids, strict=True))
+        return tuple(np.array(x if same else [], np.int32) for x in ids)
+
+    def __call__(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """The ids of each text on either side, none if one side's bytes are not those of a space and the text."""
+        none = np.zeros(0, np.int32)
+        out = [none] * len(texts), [none] * len(texts)
+        places, parts, apart = [], [], []
+        for i, text in enumerate(texts):
+            if not text:
+                continue
+            if not self.b.by_word or "  " in text or text[0] == " " or text[-1] == " ":
+                apart.append(i)
+            else:
+                places.append(i)
+                parts.append(text.split(" "))
+        if parts:
+            if len(self._known) > self.LIMIT or self._chars > self.LIMIT * self.LONGEST:
+                self._clear()
+            if new := set(chain.from_iterable(parts)).difference(self._known):
+                self._learn(new)
+            sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+            last = np.cumsum(sizes)
+            word = np.fromiter(map(self._known.__getitem__, chain.from_iterable(parts)), np.int64, int(last[-1]))
+            mixed = np.zeros(len(word), bool)
+            mixed[:-1] = self._ends[word[:-1]] & self._opens[word[1:]]
+            mixed[last - 1] = False
+            ok, cut = np.logical_and.reduceat(self._same[word], last - sizes), np.logical_or.reduceat(mixed, last - sizes)
+            for side in range(2):
+                first = self._from[side][word]
+                n = self._from[side][word + 1] - first
+                ends = np.cumsum(n)
+                flat = self._ids[side][np.arange(ends[-1]) + np.repeat(first - (ends - n), n)]
+                bounds = [0, *ends[last - 1].tolist()]
+                for i, s, e, told in zip(places, bounds[:-1], bounds[1:], (ok & ~cut).tolist(), strict=True):
+                    if told:
+                        out[side][i] = flat[s:e]
+            apart += [i for i, x in zip(places, cut.tolist(), strict=True) if x]
+        for i in apart:
+            out[0][i], out[1][i] = self._whole(texts[i])
+        return out
 
 
 class Aligner:
@@ -106,31 +192,22 @@ class Aligner:
         import duckdb
 
         self.a, self.b = ByteLevel(a), Pieces(b)
-        self.wide_a, self.wide_b = (np.array([len(x) for x in side.bytes], np.int64) for side in (self.a, self.b))
+        self.words = Words(self.a, self.b)
         # an id's text after each mark that may stand before it in the digest
         mark = lambda side, marks: np.array([f"{m}{i}" for m in marks for i in range(len(side.bytes))], object)
         self.text_a, self.text_b = mark(self.a, ",;"), mark(self.b, ",|")
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "600MB"})
 
-    def tokens(self, text: str | None) -> tuple[list[int], list[int]]:
-        if not text:
-            return [], []
-        raw = f" {text}"
-        a, b, whole = self.a(raw), self.b(text), raw.encode()
-        same = b"".join(map(self.a.bytes.__getitem__, a)) == whole and b"".join(map(self.b.bytes.__getitem__, b)) == whole
-        return (a, b) if same else ([], [])
-
     @staticmethod
-    def _table(ids: list[list[int]], wide: np.ndarray) -> pa.Table:
-        flat = np.fromiter(chain.from_iterable(ids), np.int32, sum(map(len, ids)))
+    def _table(ids: list[np.ndarray], wide: np.ndarray) -> pa.Table:
+        flat = np.concatenate(ids)
         end = np.cumsum(wide[flat])
         doc = np.repeat(np.arange(len(ids), dtype=np.int32), [len(x) for x in ids])
         return pa.table({"i": np.arange(len(flat), dtype=np.int32), "doc": doc, "id": flat, "s": end - wide[flat], "e": end})
 
     def __call__(self, texts: list[str | None]) -> dict[str, list]:
         """Per text ``n_a``, ``n_b``, ``n_groups``, ``n_links``, ``groups``, ``a_ids``, ``b_ids``, ``a_sizes``, ``b_sizes``, ``pairs`` and ``times``."""
-        both = [self.tokens(t) for t in texts]
-        a, b = self._table([x for x, _ in both], self.wide_a), self._table([x for _, x in both], self.wide_b)
+        a, b = (self._table(ids, wide) for ids, wide in zip(self.words(texts), self.words.wide, strict=True))
         n = len(texts)
         none = np.zeros(0, np.int64)
         if not a.num_rows:
@@ -139,9 +216,10 @@ class Aligner:
         db = self.db
         db.register("a", a)
         db.register("b", b)
+        # one thread, and the windows follow the order of i without a sort of their own
         db.execute("CREATE OR REPLACE TEMP TABLE reach AS SELECT a.i, a.doc, a.id, b.i AS last, b.id AS last_id, b.e = a.e AS shut FROM a ASOF JOIN b ON a.e <= b.e")
-        db.execute("""CREATE OR REPLACE TEMP TABLE spans AS SELECT *, lag(last + shut::INT, 1, 0) OVER (ORDER BY i) AS first,
-            (sum(shut::INT) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING))::INT - shut::INT AS grp FROM reach""")
+        db.execute("""CREATE OR REPLACE TEMP TABLE spans AS SELECT *, lag(last + shut::INT, 1, 0) OVER () AS first,
+            (sum(shut::INT) OVER (ROWS UNBOUNDED PRECEDING))::INT - shut::INT AS grp FROM (SELECT * FROM reach ORDER BY i)""")
         pairs = db.sql("""SELECT doc, code, count(*)::INT AS n FROM (
             SELECT doc, id::BIGINT * 4294967296 + last_id AS code FROM spans
             UNION ALL SELECT x.doc, x.id::BIGINT * 4294967296 + b.id FROM (SELECT doc, id, unnest(range(first, last)) AS i FROM spans WHERE first < last) x JOIN b USING (i)

@@ -117,3 +117,17 @@ def test_groups_as_arrays(spark, plain):
     assert one.a_ids == [i for i, *_ in a] and one.b_ids == [i for i, *_ in b]
     assert sum(one.a_sizes) == one.n_a and sum(one.b_sizes) == one.n_b and len(one.a_sizes) == one.n_groups
     assert none.a_ids == [] and none.pairs == []
+
+
+def test_new_words_are_encoded_together_and_equal_whole_texts(plain, monkeypatch):
+    monkeypatch.setattr(token_align.Words, "LIMIT", 60)
+    texts = [f"word{i} w{i % 7}, it's\tx{i} {i * 977} é{i}" for i in range(300)]
+    texts += ["a\n \nb", "a \n b", "x\n y", "q \n\n z\n", "\n \n", "a\t \tb it's", "n\n", "\x1c \x1d", "a　 　b"]
+    a, b = token_align.ByteLevel(A), token_align.Pieces(B)
+    calls = []
+    words = token_align.Words(a, b)
+    monkeypatch.setattr(type(a), "__call__", lambda self, text, own=type(a).__call__: calls.append(text) or own(self, text))
+    for part in (texts[:150], texts[150:], texts[:150]):
+        for text, *got in zip(part, *words(part), strict=True):
+            assert [x.tolist() for x in got] == [[i for i, *_ in side] for side in plain.spans(text)]
+    assert len(calls) < 30  # a text each before
