@@ -197,13 +197,13 @@ class _Words(WordHashes):
         return words, np.fromiter((*map(self.__getitem__, words), STOP), np.int64, len(words) + 1)
 
 
-def _runs(tokens: list[np.ndarray]) -> list[np.ndarray]:
-    """For 0 to ORDER words of context, one 63-bit number for each token with that context."""
+def _runs(tokens: list[np.ndarray], order: int = ORDER) -> list[np.ndarray]:
+    """For 0 to ``order`` words of context, one 63-bit number for each token with that context."""
     word = np.concatenate(tokens)
     heads = np.cumsum([0, *map(len, tokens[:-1])])
     out, before = [word.view(np.uint64)], word
     key = word.view(np.uint64)
-    for _ in range(ORDER):
+    for _ in range(order):
         before = np.concatenate([[START], before[:-1]])
         before[heads] = START
         key = mix(key * np.uint64(0x9E3779B97F4A7C15) + mix(before.view(np.uint64))) >> np.uint64(1)
@@ -254,11 +254,12 @@ def _large(raw: bytes, size: int) -> np.ndarray:
 COUNTED = "part int, kind int, block bigint, size int, keys binary, counts binary"
 
 
-def _counted(blocks: DataFrame, parts: int) -> DataFrame:
+def _counted(blocks: DataFrame, parts: int, tree: bool = True) -> DataFrame:
     """Sorted distinct runs of each block with their counts in training texts, by kind and range; and byte grams of its training words.
 
     Words are sent whole, longer runs as 32 bits within their range of about a million runs, so that about one in
-    some thousands counts with another. Sorted, they go as differences of about three bytes.
+    some thousands counts with another. Sorted, they go as differences of about three bytes. Without ``tree``
+    only words go, all that the base needs.
     """
     names = [x.split()[0] for x in COUNTED.split(", ")]
 
@@ -280,12 +281,14 @@ def _counted(blocks: DataFrame, parts: int) -> DataFrame:
 
         def given(block: int, tokens: list[np.ndarray], train: list[bool], words: set[bytes]) -> Iterator[pa.RecordBatch]:
             learned = np.repeat(np.array(train, np.uint64), [len(t) for t in tokens])
-            for kind, key in enumerate(_runs(tokens)):
+            for kind, key in enumerate(_runs(tokens, ORDER if tree else 0)):
                 both = np.sort((key << np.uint64(1)) | learned)
                 whole = both >> np.uint64(1)
                 first = np.nonzero(np.concatenate([[True], whole[1:] != whole[:-1]]))[0]
                 keys = whole[first]
                 yield from told(kind, block, keys, np.add.reduceat((both & np.uint64(1)).astype(np.int64), first), _ranges(keys, parts))
+            if not tree:
+                return
             codes, n = gram_counts(sorted(words))
             of = _ranges(mix(codes.view(np.uint64)) >> np.uint64(1), parts)
             order = np.argsort(of, kind="stable")
@@ -301,7 +304,7 @@ def _counted(blocks: DataFrame, parts: int) -> DataFrame:
                 words, own = hashes.tokens(text.as_py().encode().lower())
                 tokens.append(own)
                 train.append(learned)
-                if learned:
+                if learned and tree:
                     seen.update(words)
         if tokens:
             yield from given(now, tokens, train, seen)
@@ -380,7 +383,7 @@ def smoothed(p: np.ndarray, n: np.ndarray, context: np.ndarray, power: float) ->
     return out
 
 
-def score_documents(docs: DataFrame) -> DataFrame:
+def score_documents(docs: DataFrame, tree: bool = True) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for every row.
 
     Learns from the rows whose fold is not 1. A null id is in no fold: it is not learned
@@ -390,16 +393,17 @@ def score_documents(docs: DataFrame) -> DataFrame:
     Documents are dealt to blocks in the order in which tasks read them, and go to the shared folder so. A block's
     sorted runs are the rows that it sends and the order in which it reads the counts that come
     back, so neither the vocabulary nor a frequent word gathers in one place. The
-    probabilities of the words after a context sum to at most 1.
+    probabilities of the words after a context sum to at most 1. Without ``tree`` there is no ``score``, and
+    nothing is counted, sent or fitted for it.
     """
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = min(MOST_RANGES, max(8, -(-size // RANGE_BYTES)))
     blocks = save(_blocks(docs), "blocks").df
-    totals = save(_totals(_counted(blocks, parts), parts), "totals").df
+    totals = save(_totals(_counted(blocks, parts, tree), parts), "totals").df
     row = totals.where("kind = 0 AND block IS NULL").agg(*(F.sum(c).alias(c) for c in ("n", "v", "once"))).first()
     tokens, distinct, once, learned = row.n or 0, row.v or 0, row.once or 0, blocks.where("train").count()
-    letters = spark.sparkContext.broadcast(fit_tree(_grams(totals)))
+    letters = spark.sparkContext.broadcast(fit_tree(_grams(totals))) if tree else None
     release(spark)  # the exchange of all runs is done with
     new = min(max(once, 1) / tokens, 0.5) if tokens else 1.0  # the share of words that are met for the first time
     under = math.log10(tokens + 0.5 * (distinct + 1))
@@ -411,7 +415,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     model = totals.where("block IS NOT NULL").select("block", "kind", "part", "size", "counts", empty(id_type).alias("doc_id"), empty("string").alias("text"), empty("boolean").alias("held"))
     texts = blocks.select("block", F.lit(TEXT).alias("kind"), empty("int").alias("part"), empty("int").alias("size"), empty("binary").alias("counts"), "doc_id", "text", "held")
     dealt = model.unionByName(texts).repartition(tasks, "block").sortWithinPartitions("block", "kind", "part")
-    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", *(["score"] if tree else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Words()
@@ -419,19 +423,8 @@ def score_documents(docs: DataFrame) -> DataFrame:
         counts: dict[int, list[np.ndarray]] = {}
         held: list[pa.RecordBatch] = []
 
-        def scored() -> pa.RecordBatch:
-            rows = pa.Table.from_batches(held)
-            raws = [t.as_py().encode().lower() for c in rows.column("text").chunks for t in c]
-            tokens_of = [hashes.tokens(r)[1] for r in raws]
-            sizes = np.array([len(t) for t in tokens_of])
-            at = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            of = []
-            for kind, key in enumerate(_runs(tokens_of)):
-                some, place = np.unique(key, return_inverse=True)
-                known = np.concatenate(counts.pop(kind))
-                if len(known) != len(some):
-                    raise ValueError("a block's counts are not those of its texts")
-                of.append(known[place])
+        def likely(of: list[np.ndarray], raws: list[bytes], at: np.ndarray) -> np.ndarray:
+            """The tree's probability of each token, by the counts ``of`` its runs."""
             p = of[0] * ((1 - new) / max(tokens, 1))
             spelled = np.nonzero(of[0] == 0)[0]
             if len(spelled):
@@ -448,10 +441,26 @@ def score_documents(docs: DataFrame) -> DataFrame:
                 context = np.concatenate([[0], of[k][:-1]])
                 context[at] = learned
                 p = smoothed(p, of[k + 1], context, WEIGHTS[k])
+            return p
+
+        def scored() -> pa.RecordBatch:
+            rows = pa.Table.from_batches(held)
+            raws = [t.as_py().encode().lower() for c in rows.column("text").chunks for t in c]
+            tokens_of = [hashes.tokens(r)[1] for r in raws]
+            sizes = np.array([len(t) for t in tokens_of])
+            at = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+            of = []
+            for kind, key in enumerate(_runs(tokens_of, ORDER if tree else 0)):
+                some, place = np.unique(key, return_inverse=True)
+                known = np.concatenate(counts.pop(kind))
+                if len(known) != len(some):
+                    raise ValueError("a block's counts are not those of its texts")
+                of.append(known[place])
             base = np.add.reduceat(np.log10(of[0] + 0.5) - under, at)
             known = np.add.reduceat(of[0] > 0, at, dtype=np.int64)
-            score = np.add.reduceat(np.log10(np.maximum(p, 1e-300)), at)
-            columns = [rows.column("doc_id").combine_chunks(), rows.column("held").combine_chunks(), pa.array(sizes), pa.array(known), pa.array(np.full(len(sizes), tokens)), pa.array(base), pa.array(score)]
+            columns = [rows.column("doc_id").combine_chunks(), rows.column("held").combine_chunks(), pa.array(sizes), pa.array(known), pa.array(np.full(len(sizes), tokens)), pa.array(base)]
+            if tree:
+                columns.append(pa.array(np.add.reduceat(np.log10(np.maximum(likely(of, raws, at), 1e-300)), at)))
             return pa.RecordBatch.from_arrays(columns, names=names)
 
         for batch in batches:
@@ -472,7 +481,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
         if held:
             yield scored()
 
-    schema = f"doc_id {id_type}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+    schema = f"doc_id {id_type}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double{', score double' if tree else ''}"
     return dealt.mapInArrow(tidy(run), schema)
 
 

@@ -145,3 +145,13 @@ def test_empty_table(spark):
     assert M.lm_query(_docs(spark, [])).count() == 0
     only = M.lm_query(_docs(spark, [(next(i for i in range(99) if _fold(i) == 1), "a b")])).first()
     assert (only.n_tokens, only.n_known, only.train_tokens, only.held_out) == (3, 0, 0, True) and only.score < 0 and only.base_score == pytest.approx(0.0)
+
+
+def test_the_base_needs_no_tree(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"the cat sat on mat {i % 5} word{i}") for i in range(60)] + [(60, None), (None, "no id")], "doc_id bigint, text string")
+    whole = M.score_documents(docs)
+    want = sorted(map(str, whole.drop("score").collect()))
+    monkeypatch.setattr(M, "fit_tree", None)
+    monkeypatch.setattr(M, "gram_counts", None)
+    base = M.score_documents(docs, tree=False)
+    assert base.columns == whole.columns[:-1] and sorted(map(str, base.collect())) == want
