@@ -35,7 +35,9 @@ BACKOFF = 6.0
 END = 0xFF
 SYMBOLS = 256
 #: UTF-8 bytes of text in a block, and of those that are read at once; blocks to a task where there are many.
-BLOCK_BYTES, TASK_BLOCKS = 12_000_000, 16
+BLOCK_BYTES, TASK_BLOCKS = 12_000_000, 4
+#: Tokens that are scored at a time, and new words that are spelled at a time.
+SLICE, SPELLED = 65_536, 50_000
 #: Bytes of text to a range of hashes, and the most ranges.
 RANGE_BYTES, MOST_RANGES = 8_000_000, 65_536
 #: Words of a context, and the power of a context's count that is the weight of the shorter one, by their number.
@@ -197,18 +199,26 @@ class _Words(WordHashes):
         return words, np.fromiter((*map(self.__getitem__, words), STOP), np.int64, len(words) + 1)
 
 
-def _runs(tokens: list[np.ndarray], order: int = ORDER) -> list[np.ndarray]:
-    """For 0 to ``order`` words of context, one 63-bit number for each token with that context."""
-    word = np.concatenate(tokens)
-    heads = np.cumsum([0, *map(len, tokens[:-1])])
-    out, before = [word.view(np.uint64)], word
+def _runs(word: np.ndarray, heads: np.ndarray, order: int = ORDER) -> Iterator[np.ndarray]:
+    """For 0 to ``order`` words of context in turn, one 63-bit number for each token with that context; texts begin at ``heads``."""
     key = word.view(np.uint64)
+    yield key
+    before = key.copy()
     for _ in range(order):
-        before = np.concatenate([[START], before[:-1]])
+        before[1:] = before[:-1]
         before[heads] = START
-        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + mix(before.view(np.uint64))) >> np.uint64(1)
-        out.append(key)
-    return out
+        longer = np.empty_like(key)
+        for s in range(0, len(key), SLICE):
+            part = slice(s, s + SLICE)
+            longer[part] = mix(key[part] * np.uint64(0x9E3779B97F4A7C15) + mix(before[part])) >> np.uint64(1)
+        key = longer
+        del longer
+        yield key
+
+
+def _heads(sizes: list[int]) -> np.ndarray:
+    """Where texts of so many tokens begin."""
+    return np.cumsum([0, *sizes[:-1]])
 
 
 def _ranges(keys: np.ndarray, parts: int) -> np.ndarray:
@@ -246,9 +256,31 @@ def _small(counts: np.ndarray) -> bytes:
     return counts.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64).tobytes()
 
 
+def _as_sent(raw: bytes, size: int) -> np.ndarray:
+    """The counts that :func:`_small` wrote, as wide as it wrote them."""
+    return np.frombuffer(raw, np.dtype(f"u{len(raw) // size}")) if size else np.zeros(0, np.uint8)
+
+
 def _large(raw: bytes, size: int) -> np.ndarray:
     """The counts that :func:`_small` wrote."""
-    return np.frombuffer(raw, np.dtype(f"u{len(raw) // size}")).astype(np.int64) if size else np.zeros(0, np.int64)
+    return _as_sent(raw, size).astype(np.int64)
+
+
+def _placed(key: np.ndarray, counts: list[np.ndarray]) -> np.ndarray:
+    """Each number's count, of ``counts`` in the order of the distinct numbers. ``counts`` is emptied."""
+    known = np.concatenate(counts)
+    counts.clear()
+    order = np.argsort(key)
+    key = key[order]
+    rank = np.concatenate([[True], key[1:] != key[:-1]])
+    del key
+    rank = np.cumsum(rank, dtype=np.int32 if len(rank) < 1 << 31 else np.int64)
+    if len(known) != rank[-1]:
+        raise ValueError("a block's counts are not those of its texts")
+    rank -= 1
+    out = np.empty(len(order), known.dtype)
+    out[order] = known[rank]
+    return out
 
 
 COUNTED = "part int, kind int, block bigint, size int, keys binary, counts binary"
@@ -280,13 +312,19 @@ def _counted(blocks: DataFrame, parts: int, tree: bool = True) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([kind] * n, pa.int32()), pa.array([block] * n, pa.int64()), pa.array(sizes, pa.int32()), pa.array(packed, pa.binary()), pa.array(small, pa.binary())], names=names)
 
         def given(block: int, tokens: list[np.ndarray], train: list[bool], words: set[bytes]) -> Iterator[pa.RecordBatch]:
-            learned = np.repeat(np.array(train, np.uint64), [len(t) for t in tokens])
-            for kind, key in enumerate(_runs(tokens, ORDER if tree else 0)):
-                both = np.sort((key << np.uint64(1)) | learned)
-                whole = both >> np.uint64(1)
-                first = np.nonzero(np.concatenate([[True], whole[1:] != whole[:-1]]))[0]
-                keys = whole[first]
-                yield from told(kind, block, keys, np.add.reduceat((both & np.uint64(1)).astype(np.int64), first), _ranges(keys, parts))
+            sizes = [len(t) for t in tokens]
+            learned, word = np.repeat(np.array(train, bool), sizes), np.concatenate(tokens)
+            tokens.clear()
+            for kind, key in enumerate(_runs(word, _heads(sizes), ORDER if tree else 0)):
+                both = key << np.uint64(1)
+                both |= learned
+                both.sort()
+                ones = (both & np.uint64(1)).astype(bool)
+                both >>= np.uint64(1)
+                first = np.nonzero(np.concatenate([[True], both[1:] != both[:-1]]))[0]
+                keys = both[first]
+                del both
+                yield from told(kind, block, keys, np.add.reduceat(ones, first, dtype=np.int64), _ranges(keys, parts))
             if not tree:
                 return
             codes, n = gram_counts(sorted(words))
@@ -383,6 +421,63 @@ def smoothed(p: np.ndarray, n: np.ndarray, context: np.ndarray, power: float) ->
     return out
 
 
+def _spelled(raws: list[bytes], at: np.ndarray, places: np.ndarray, new: float, letters: SuffixTree) -> np.ndarray:
+    """The probabilities of the new words at ``places`` among all tokens, spelled by ``letters``."""
+    out = np.empty(len(places))
+    text = np.searchsorted(at, places, side="right") - 1
+    cuts = [0, *(np.nonzero(np.diff(text))[0] + 1).tolist(), len(places)] if len(places) else []
+    done, novel = 0, []
+    for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+        i = int(text[s])
+        own = [*raws[i].split(), b""]
+        for first in range(s, e, SPELLED):
+            last = min(e, first + SPELLED)
+            novel += [own[j] for j in (places[first:last] - at[i]).tolist()]
+            if len(novel) >= SPELLED or last == len(places):
+                names = sorted(set(novel))
+                lp = dict(zip(names, letters.scores(names).tolist(), strict=True))
+                out[done:last] = new * 10.0 ** np.array([max(lp[x], -290.0) for x in novel])
+                done, novel = last, []
+    return out
+
+
+def block_scores(raws: list[bytes], counts: dict[int, list[np.ndarray]], hashes: _Words, tokens: int, learned: int, under: float, new: float, letters: SuffixTree | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
+    """Numbers of tokens and of known ones, base and score of a block's lower-case texts, by its ``counts``, which are used up.
+
+    ``tokens`` and ``learned`` are the numbers of training tokens and texts, ``under`` the base's logarithm of the
+    share of one, ``new`` the share of words met for the first time. Counts of tokens stay as narrow as they were
+    sent, and all else goes by slices of tokens, so memory is some tens of bytes a token. Without ``letters`` there is no score.
+    """
+    own = [hashes.tokens(r)[1] for r in raws]
+    sizes = [len(t) for t in own]
+    word, at = np.concatenate(own), _heads(sizes)
+    del own
+    of = [_placed(key, counts.pop(kind)) for kind, key in enumerate(_runs(word, at, ORDER if letters else 0))]
+    total = len(word)
+    del word
+    each = np.empty(total)
+    for s in range(0, total, SLICE):
+        each[s : s + SLICE] = np.log10(of[0][s : s + SLICE] + 0.5) - under
+    base, known = np.add.reduceat(each, at), np.add.reduceat(of[0] > 0, at, dtype=np.int64)
+    if letters is None:
+        return np.array(sizes), known, base, None
+    places = np.nonzero(of[0] == 0)[0]
+    spelled = _spelled(raws, at, places, new, letters)
+    for s in range(0, total, SLICE):
+        e = min(total, s + SLICE)
+        p = of[0][s:e] * ((1 - new) / max(tokens, 1))
+        low, high = np.searchsorted(places, (s, e))
+        p[places[low:high] - s] = spelled[low:high]
+        heads = at[slice(*np.searchsorted(at, (s, e)))] - s
+        for k in range(ORDER):  # a context's count is that of the run which ends in the token before
+            context = np.empty(e - s, np.int64)
+            context[1:], context[0] = of[k][s : e - 1], of[k][s - 1] if s else 0
+            context[heads] = learned
+            p = smoothed(p, of[k + 1][s:e], context, WEIGHTS[k])
+        each[s:e] = np.log10(np.maximum(p, 1e-300))
+    return np.array(sizes), known, base, np.add.reduceat(each, at)
+
+
 def score_documents(docs: DataFrame, tree: bool = True) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for every row.
 
@@ -408,7 +503,7 @@ def score_documents(docs: DataFrame, tree: bool = True) -> DataFrame:
     new = min(max(once, 1) / tokens, 0.5) if tokens else 1.0  # the share of words that are met for the first time
     under = math.log10(tokens + 0.5 * (distinct + 1))
     n = blocks.select("block").distinct().count()
-    tasks = max(-(-n // TASK_BLOCKS), min(n, 2 * spark.sparkContext.defaultParallelism), 1)
+    tasks = max(-(-n // TASK_BLOCKS), min(n, 8 * spark.sparkContext.defaultParallelism), 1)
     # one exchange deals a block's counts and texts, in this order
     id_type = docs.schema["doc_id"].dataType.simpleString()
     empty = lambda kind: F.lit(None).cast(kind)
@@ -422,46 +517,13 @@ def score_documents(docs: DataFrame, tree: bool = True) -> DataFrame:
         now: int | None = None
         counts: dict[int, list[np.ndarray]] = {}
         held: list[pa.RecordBatch] = []
-
-        def likely(of: list[np.ndarray], raws: list[bytes], at: np.ndarray) -> np.ndarray:
-            """The tree's probability of each token, by the counts ``of`` its runs."""
-            p = of[0] * ((1 - new) / max(tokens, 1))
-            spelled = np.nonzero(of[0] == 0)[0]
-            if len(spelled):
-                text = np.searchsorted(at, spelled, side="right") - 1
-                novel: list[bytes] = []
-                for places in np.split(spelled, np.nonzero(np.diff(text))[0] + 1):
-                    i = int(np.searchsorted(at, places[0], side="right")) - 1
-                    own = [*raws[i].split(), b""]
-                    novel += [own[j] for j in (places - at[i]).tolist()]
-                names_of = sorted(set(novel))
-                lp = dict(zip(names_of, letters.value.scores(names_of).tolist(), strict=True))
-                p[spelled] = new * 10.0 ** np.array([max(lp[x], -290.0) for x in novel])
-            for k in range(ORDER):  # a context's count is that of the run which ends in the token before
-                context = np.concatenate([[0], of[k][:-1]])
-                context[at] = learned
-                p = smoothed(p, of[k + 1], context, WEIGHTS[k])
-            return p
+        raws: list[bytes] = []
 
         def scored() -> pa.RecordBatch:
             rows = pa.Table.from_batches(held)
-            raws = [t.as_py().encode().lower() for c in rows.column("text").chunks for t in c]
-            tokens_of = [hashes.tokens(r)[1] for r in raws]
-            sizes = np.array([len(t) for t in tokens_of])
-            at = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            of = []
-            for kind, key in enumerate(_runs(tokens_of, ORDER if tree else 0)):
-                some, place = np.unique(key, return_inverse=True)
-                known = np.concatenate(counts.pop(kind))
-                if len(known) != len(some):
-                    raise ValueError("a block's counts are not those of its texts")
-                of.append(known[place])
-            base = np.add.reduceat(np.log10(of[0] + 0.5) - under, at)
-            known = np.add.reduceat(of[0] > 0, at, dtype=np.int64)
-            columns = [rows.column("doc_id").combine_chunks(), rows.column("held").combine_chunks(), pa.array(sizes), pa.array(known), pa.array(np.full(len(sizes), tokens)), pa.array(base)]
-            if tree:
-                columns.append(pa.array(np.add.reduceat(np.log10(np.maximum(likely(of, raws, at), 1e-300)), at)))
-            return pa.RecordBatch.from_arrays(columns, names=names)
+            n, known, base, score = block_scores(raws, counts, hashes, tokens, learned, under, new, letters and letters.value)
+            columns = [rows.column("doc_id").combine_chunks(), rows.column("held").combine_chunks(), pa.array(n), pa.array(known), pa.array(np.full(len(n), tokens)), pa.array(base)]
+            return pa.RecordBatch.from_arrays([*columns, pa.array(score)] if tree else columns, names=names)
 
         for batch in batches:
             block, kind = batch.column("block").to_numpy(), batch.column("kind").to_numpy()
@@ -472,12 +534,14 @@ def score_documents(docs: DataFrame, tree: bool = True) -> DataFrame:
                 if block[s] != now:
                     if held:
                         yield scored()
-                    now, counts, held = block[s], {}, []
+                    now, counts, held, raws = block[s], {}, [], []
                 rows = batch.slice(s, e - s)
-                if kind[s] == TEXT:
-                    held.append(rows.select(["doc_id", "text", "held"]))
+                if kind[s] == TEXT:  # copies, since a slice would keep the whole batch
+                    held.append(rows.select(["doc_id", "held"]).take(pa.array(np.arange(e - s))))
+                    raws.extend(t.as_py().encode().lower() for t in rows.column("text"))
                 else:
-                    counts.setdefault(int(kind[s]), []).extend(_large(raw, n) for raw, n in zip(rows.column("counts").to_pylist(), rows.column("size").to_pylist(), strict=True))
+                    counts.setdefault(int(kind[s]), []).extend(_as_sent(raw.as_py(), n) for raw, n in zip(rows.column("counts"), rows.column("size").to_pylist(), strict=True))
+            batch = rows = None
         if held:
             yield scored()
 

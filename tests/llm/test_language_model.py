@@ -1,6 +1,7 @@
 """The word tree against a plain restatement over blocks of any size, and on unusual rows."""
 
 import math
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -155,3 +156,25 @@ def test_the_base_needs_no_tree(spark, monkeypatch):
     monkeypatch.setattr(M, "gram_counts", None)
     base = M.score_documents(docs, tree=False)
     assert base.columns == whole.columns[:-1] and sorted(map(str, base.collect())) == want
+
+
+@pytest.mark.parametrize("new", [0, 7])
+def test_a_block_is_scored_in_little_memory(rng, new):
+    """Whole arrays of 64 bits, three orders side by side, took 145 bytes a token."""
+    words = np.array([f"w{i}" for i in range(3000)])
+    raws = [" ".join(rng.choice(words, int(k))).encode() for k in (*rng.integers(1, 1000, 300), 300_000)] + [b""]
+    hashes = M._Words()
+    own = [hashes.tokens(r)[1] for r in raws]
+    sizes = [len(t) for t in own]
+    counts = {}
+    for kind, key in enumerate(M._runs(np.concatenate(own), M._heads(sizes))):
+        n = np.unique(key, return_counts=True)[1]
+        n[:new] = 0
+        counts[kind] = [M._as_sent(M._small(x), len(x)) for x in np.array_split(n, 5)]
+    tree = M.build_tree([{b"": {s: 1 for s in (*b"w0123456789", M.END)}}, *({} for _ in range(M.DEPTH))])
+    tracemalloc.start()
+    tokens, known, base, score = M.block_scores(raws, counts, hashes, sum(sizes), len(raws), 6.0, 0.1, tree)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert tokens.tolist() == sizes and (known.sum() < sum(sizes)) == (new > 0) and np.isfinite(base).all() and (score < 0).all()
+    assert peak < 70 * sum(sizes)
