@@ -62,3 +62,35 @@ def test_far_cells_are_not_looked_into(spark):
     bounds = _frame(spark, x).withColumn("bound", metric.F.lit(12.0))
     looks = metric._plan(bounds, pivots, cells, 5, "bigint", True).join(dealt.groupBy("cell").count(), "cell")
     assert looks.agg(metric.F.sum("count")).first()[0] < 960 * 70
+
+
+def test_what_is_shuffled_grows_with_tiles_that_grow_too(spark, monkeypatch):
+    """Tiles of 6,000 points, however many there were, sent each of 100,000 queries to 17 of them."""
+    import pandas as pd
+
+    seen = []
+    tiled = metric._tiled
+    monkeypatch.setattr(metric, "_tiled", lambda cells, pivots, rows: (seen.append(rows), tiled(cells, pivots, rows))[1])
+    x = np.random.default_rng(4).normal(size=(120, 3))
+    points = _frame(spark, x)
+    monkeypatch.setattr(metric, "LEAST_ROWS", 10)
+    assert _got(metric.nearest_vectors(points, points, 4)) == _all_pairs(x, x, 4, False)
+    assert seen == [15]  # eight tiles of few points
+    cells = pd.DataFrame({"cell": range(400), "n": 250, "low": 0.0, "high": 9.0})
+    tile, told = tiled(cells, np.random.default_rng(1).normal(size=(400, 16)), max(2000, 100_000 // metric.LEAST_TILES))
+    assert tile.max() < 9 and told["parts"].max() == 1 and metric.TILE >= 12_500
+
+
+def test_distances_within_a_bound_need_no_order():
+    """With a bound for each query no row of distances is partitioned, and what comes out is the same."""
+    rng = np.random.default_rng(8)
+    x, y = np.round(rng.normal(size=(300, 8)), 2), np.round(rng.normal(size=(500, 8)), 2)
+    y[100:160] = y[0]
+    d = np.round(np.sqrt(((x[:, None] - y[None]) ** 2).sum(-1)), 9)
+    bound = np.sort(d, axis=1)[:, 5]
+    own = np.full(300, -1)
+    row, col, gap = metric._nearest_in(x, own, bound, y, 6)
+    free = metric._nearest_in(x, own, np.full(300, np.inf), y, 6)
+    assert all((a == b).all() for a, b in zip((row, col, gap), free, strict=True))
+    order = [np.lexsort((np.arange(500), d[i]))[:6] for i in range(300)]
+    assert (col.reshape(300, 6) == np.array(order)).all() and (gap.reshape(300, 6) == np.take_along_axis(d, np.array(order), 1)).all()
