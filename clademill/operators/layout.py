@@ -44,7 +44,9 @@ def fuzzy_graph(near: DataFrame) -> DataFrame:
     A neighbour's membership falls with its distance beyond the nearest positive one, by the bandwidth that
     makes a row's memberships add up to the logarithm of their count; bandwidths are at least a thousandth of the
     mean distance. The union of both directions is ``p + q - p q``. A group is one row's neighbours.
+    The neighbours are needed twice, and are found once.
     """
+    near = checkpoint(near.select("id", "other", "d"))
     mean = near.agg(F.avg("d")).first()[0] or 0.0
     held = near.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("other", "d"))).alias("near"))
     held = held.withColumn("ds", F.transform("near", lambda e: e.d))

@@ -94,3 +94,20 @@ def test_distances_within_a_bound_need_no_order():
     assert all((a == b).all() for a, b in zip((row, col, gap), free, strict=True))
     order = [np.lexsort((np.arange(500), d[i]))[:6] for i in range(300)]
     assert (col.reshape(300, 6) == np.array(order)).all() and (gap.reshape(300, 6) == np.take_along_axis(d, np.array(order), 1)).all()
+
+
+def test_neighbours_of_the_graph_are_found_once(spark):
+    """The mean distance and the graph took a search each."""
+    from pyspark.sql import functions as F
+
+    from clademill.operators import layout
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    near = spark.createDataFrame([(0, 1, 1.0), (1, 0, 1.0), (2, 0, 2.0)], "id bigint, other bigint, d double").mapInArrow(counted, "id bigint, other bigint, d double")
+    assert layout.fuzzy_graph(near).agg(F.count("*")).first()[0] == 2 and seen.value == 3
